@@ -12,7 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle as O
+from . import report as RP
+from ..operators import balances as B
 from ..operators import forecast as FC
+from ..operators import rollup as R
+from ..operators import rules as RU
 from ..sources import fixtures as fx
 
 
@@ -71,6 +75,73 @@ def q7(spark, d):
                         FC.bills_forecast_weekly(bills_view(spark, d)))
 
 
+# --- report grid (Q1-Q3, A8, W3, rule linter, Q8) -----------------------------------
+W3_LINE, W3_GROUP = "Total inflow - Others", "2"
+
+
+@register("q1_report_base_cells", O.q1_sql)
+def q1(spark, d):
+    """Rules x lines x columns grid joined to the daily key sums of every
+    ledger (range join on the column dates), positive cells rounded to 3 dp."""
+    return RP.base_cells(RP.inputs_from_dir(spark, d))
+
+
+@register("q2_totals_closings", O.q2_sql)
+def q2(spark, d):
+    """Roll-up totals and closing balances over the base cells, level by level
+    (corrected member ids)."""
+    return RP.totals(RP.inputs_from_dir(spark, d), mode="repaired")
+
+
+@register("q2_totals_closings_literal", lambda: O.q2_sql("literal"))
+def q2_literal(spark, d):
+    """Roll-ups exactly as listed in the workbook (misspelt ids, text windows)."""
+    return RP.totals(RP.inputs_from_dir(spark, d), mode="literal")
+
+
+@register("q3_opening_balances", O.q3_openings_sql)
+def q3(spark, d):
+    """Openings from the previous same-status column's closings (col_no - 2,
+    window moved back 7 days) after one base + totals pass."""
+    return RP.openings(RP.inputs_from_dir(spark, d))
+
+
+@register("q3_balance_roll_forward", O.q3_roll_forward_sql)
+def q3_chain(spark, d):
+    """Clamped running balance per account and status: opening and closing
+    cells of every weekly column, via running sum and running min windows."""
+    return RP.balances(RP.inputs_from_dir(spark, d))
+
+
+@register("a8_group_totals", O.a8_sql)
+def a8(spark, d):
+    """Per (group_no, column) sums of the stored base cells."""
+    inp = RP.inputs_from_dir(spark, d)
+    return R.group_totals(RP.base_cells(inp), inp.columns)
+
+
+@register("w3_replace_group_line", lambda: O.w3_sql(W3_LINE, W3_GROUP))
+def w3(spark, d):
+    """Delete a line's cells (anti join) and re-append it as its group's total."""
+    inp = RP.inputs_from_dir(spark, d)
+    return R.replace_group_line(RP.base_cells(inp), inp.columns, inp.lines, W3_LINE, W3_GROUP)
+
+
+@register("lint_unmatched_rules", O.lint_sql)
+def lint(spark, d):
+    """Rules whose key never occurs in their source's data."""
+    inp = RP.inputs_from_dir(spark, d)
+    return RU.unmatched_rules(inp.rules, inp.sources())
+
+
+@register("q8_revised_date_impact", O.q8_sql)
+def q8(spark, d):
+    """Bills with a revised realisation date -> report cells of the USD sales
+    line in the 7 days ending at the revised week's end."""
+    inp = RP.inputs_from_dir(spark, d)
+    return RP.revised_date_impact(fx.bills_under_collection(spark, d), RP.base_cells(inp))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: e.build for k, e in REGISTRY.items()}
 

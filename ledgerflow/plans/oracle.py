@@ -172,3 +172,226 @@ b AS ({pivot_side('bill_rows_l', '_y')})
 SELECT COALESCE(a.variable, b.variable) AS variable,
   {', '.join(qi(d + '_x') for d in ACCOUNT_NAMES)}, {', '.join(qi(d + '_y') for d in ACCOUNT_NAMES)}
 FROM a FULL OUTER JOIN b ON a.variable = b.variable""")
+
+
+# --- report grid -----------------------------------------------------------------
+def lit(v) -> str:
+    import datetime as _dt
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    if isinstance(v, _dt.date):
+        return f"DATE '{v.isoformat()}'"
+    return q(v)
+
+
+def values(rows: list[tuple], names: list[str]) -> str:
+    body = ",\n    ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES\n    {body}) AS t({', '.join(names)})"
+
+
+def rule_rows() -> list[tuple]:
+    scaled = set(fixed.USD_PER_THOUSAND_RULES)
+    return [(s, line, src, dim, key if key is not None else line,
+             "usd_per_thousand" if (s, line) in scaled else None)
+            for s, line, src, dim, key in fixed.RULES]
+
+
+def report_ctes(usd_rate: float = fixed.DEFAULT_SETTINGS["usd_rate"]) -> str:
+    """CTEs ending in ``cells`` (Q1 rows) plus config CTEs rules_t, lines_t, cols_t."""
+    facts = "\n  UNION ALL ".join([
+        "SELECT 'income_forecast' AS source, expenses_head AS Descriptio, main_account AS account, "
+        "COALESCE(week_date, expenses_date) AS variable, amount FROM income_forecast",
+        "SELECT 'income_actual', expenses_head, main_account, COALESCE(week_date, expenses_date), "
+        "amount FROM income_actual",
+        "SELECT 'expenses_forecast', expenses_head, main_account, "
+        "COALESCE(week_date, expenses_date), amount FROM expenses_forecast",
+        "SELECT 'expenses_actual', expenses_head, main_account, expenses_date, amount "
+        "FROM expenses_actual",
+        "SELECT 'shipments_qty', 'Shipped Qty', NULL, COALESCE(week_date, shipment_date), quentity "
+        "FROM shipments WHERE shipment_type = 'Actual'",
+        "SELECT 'shipments_fob', 'Shipped FOB', NULL, COALESCE(week_date, shipment_date), amount "
+        "FROM shipments WHERE shipment_type = 'Actual'",
+        "SELECT 'final_proj_income', Descriptio, NULL, variable, value FROM ship_rows_l",
+        "SELECT 'final_proj_income', Descriptio, NULL, variable, value FROM bill_rows_l",
+    ])
+    return f"""{SHIP_ROWS},
+{weekly_long('ship_rows', 'amount', 'r_day')},
+{bill_rows(NOT_REALISED)},
+{weekly_long('bill_rows', 'amount', 'r_day')},
+rules_t AS ({values(rule_rows(), ['col_status', 'line_name', 'source', 'dim', 'key', 'scale'])}),
+lines_t AS ({values(report_line_rows(), ['name', 'report_name', 'group_no', 'line_name', 'unit', 'line_number'])}),
+cols_t AS ({values(report_column_rows(), ['name', 'col_no', 'month', 'date1', 'date2', 'ismonth', 'col_status'])}),
+facts AS ({facts}),
+keyed AS (SELECT source, 'head' AS dim, trim(Descriptio) AS key, variable, amount FROM facts
+          WHERE Descriptio IS NOT NULL
+          UNION ALL SELECT source, 'account', trim(account), variable, amount FROM facts
+          WHERE account IS NOT NULL),
+daily AS (SELECT source, dim, key, variable, SUM(CAST(amount AS DECIMAL(38,6))) AS amount
+          FROM keyed GROUP BY source, dim, key, variable),
+grid AS (SELECT r.source, r.dim, trim(r.key) AS key, r.scale, l.name AS report_line, l.line_name,
+                l.group_no, c.name AS report_col, c.col_no AS col_index, c.month, c.date1, c.date2
+         FROM rules_t r JOIN lines_t l ON trim(l.line_name) = trim(r.line_name)
+         JOIN cols_t c ON c.col_status = r.col_status),
+cell_sums AS (SELECT g.report_line, g.report_col, g.col_index, g.date2, g.month, g.line_name,
+                     g.group_no, g.scale, SUM(d.amount) AS s
+              FROM daily d JOIN grid g ON d.source = g.source AND d.dim = g.dim AND d.key = g.key
+                   AND d.variable BETWEEN g.date1 AND g.date2
+              GROUP BY g.report_line, g.report_col, g.col_index, g.date2, g.month, g.line_name,
+                       g.group_no, g.scale),
+cell_v AS (SELECT *, CASE WHEN scale = 'usd_per_thousand'
+                  THEN CAST(CAST({usd_rate!r} AS DOUBLE) * CAST(s AS DOUBLE) / 1000 AS DECIMAL(38,6))
+                  ELSE s END AS v FROM cell_sums),
+cells AS (SELECT report_line, report_col, col_index, date2 AS ex_date, month, line_name, group_no,
+                 CAST(round_even(v, 3) AS DOUBLE) AS amount FROM cell_v WHERE v > 0)"""
+
+
+CELL_COLS = "report_line, report_col, col_index, ex_date, month, line_name, group_no, amount"
+
+
+def q1_sql() -> str:
+    return with_fixtures(f"{report_ctes()}\nSELECT * FROM cells")
+
+
+def _roll_sql(cells: str, level: int, mode: str) -> str:
+    window = ("x.ex_date > k.date1 AND x.ex_date <= k.date2" if mode == "literal"
+              else "x.ex_date BETWEEN k.date1 AND k.date2")
+    group = "CAST(NULL AS VARCHAR)" if mode == "literal" else "l.group_no"
+    return f"""SELECT a.total_line AS report_line, a.report_col, k.col_no AS col_index,
+       k.date2 AS ex_date, k.month, l.line_name, {group} AS group_no,
+       CAST(round_even(a.v, 0) AS DOUBLE) AS amount
+FROM (SELECT m.total_line, x.report_col, SUM(CAST(x.amount AS DECIMAL(38,6)) * m.sign) AS v
+      FROM {cells} x JOIN cols_t k ON x.report_col = k.name
+      JOIN members_t m ON x.report_line = m.member_line AND m.level = {level}
+      WHERE {window}
+      GROUP BY m.total_line, x.report_col) a
+JOIN cols_t k ON a.report_col = k.name JOIN lines_t l ON a.total_line = l.name
+WHERE a.v > 0"""
+
+
+def totals_ctes(mode: str, cells: str = "cells") -> str:
+    from ..operators.rollup import member_rows
+    rows = member_rows(mode)
+    levels = sorted({r[3] for r in rows})
+    parts = [f"members_t AS ({values(rows, ['total_line', 'member_line', 'sign', 'level'])})"]
+    current = cells
+    outs = []
+    for lv in levels:
+        parts.append(f"lvl{lv} AS ({_roll_sql(current, lv, mode)})")
+        parts.append(f"cur{lv} AS (SELECT {CELL_COLS} FROM {current} UNION ALL "
+                     f"SELECT {CELL_COLS} FROM lvl{lv})")
+        current = f"cur{lv}"
+        outs.append(f"SELECT {CELL_COLS} FROM lvl{lv}")
+    parts.append("totals AS (" + " UNION ALL ".join(outs) + ")")
+    return ",\n".join(parts)
+
+
+def q2_sql(mode: str = "repaired") -> str:
+    return with_fixtures(f"{report_ctes()},\n{totals_ctes(mode)}\nSELECT * FROM totals")
+
+
+def openings_ctes(cells: str) -> str:
+    from ..operators.balances import opening_map_rows
+    return f"""omap AS ({values(opening_map_rows(), ['open_line', 'close_line'])}),
+openings AS (
+  SELECT o.open_line AS report_line, k.name AS report_col, k.col_no AS col_index,
+         k.date2 AS ex_date, k.month, l.line_name, CAST(NULL AS VARCHAR) AS group_no,
+         CAST(round_even(SUM(CAST(x.amount AS DECIMAL(38,6))), 0) AS DOUBLE) AS amount
+  FROM {cells} x JOIN omap o ON x.report_line = o.close_line
+  JOIN cols_t k ON x.col_index = k.col_no - 2
+  JOIN lines_t l ON l.name = o.open_line
+  WHERE x.ex_date > k.date1 - 7 AND x.ex_date <= k.date2 - 7
+  GROUP BY o.open_line, k.name, k.col_no, k.date2, k.month, l.line_name
+  HAVING SUM(CAST(x.amount AS DECIMAL(38,6))) > 0)"""
+
+
+def q3_openings_sql() -> str:
+    return with_fixtures(f"""{report_ctes()},
+{totals_ctes('literal')},
+pass1 AS (SELECT {CELL_COLS} FROM cells UNION ALL SELECT {CELL_COLS} FROM totals),
+{openings_ctes('pass1')}
+SELECT * FROM openings""")
+
+
+def roll_forward_ctes(cells: str = "cells") -> str:
+    rows = []
+    acc = []
+    for closing, opening, plus, minus in fixed.CLOSINGS:
+        cid = fixed.LINE_ID_FORMAT % closing
+        acc.append((cid, fixed.LINE_ID_FORMAT % opening))
+        rows += [(cid, fixed.LINE_ID_FORMAT % m, 1) for m in plus]
+        rows += [(cid, fixed.LINE_ID_FORMAT % m, -1) for m in minus]
+    return f"""netmem AS ({values(rows, ['account', 'member_line', 'sign'])}),
+acc_t AS ({values(acc, ['account', 'open_line'])}),
+nets AS (SELECT n.account, x.report_col, SUM(CAST(x.amount AS DECIMAL(38,6)) * n.sign) AS net
+         FROM {cells} x JOIN netmem n ON x.report_line = n.member_line
+         GROUP BY n.account, x.report_col),
+chain_grid AS (SELECT a.account, a.open_line, k.name AS report_col, k.col_no AS col_index,
+                      k.date1, k.date2, k.month, k.col_status,
+                      COALESCE(n.net, CAST(0 AS DECIMAL(38,6))) AS net
+               FROM cols_t k JOIN acc_t a ON NOT k.ismonth
+               LEFT JOIN nets n ON n.account = a.account AND n.report_col = k.name),
+chain_s AS (SELECT *, SUM(net) OVER w AS s FROM chain_grid
+            WINDOW w AS (PARTITION BY account, col_status ORDER BY date1, col_index
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+chain_c AS (SELECT *, s - LEAST(0, MIN(s) OVER w) AS closing FROM chain_s
+            WINDOW w AS (PARTITION BY account, col_status ORDER BY date1, col_index
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+chain AS (SELECT *, COALESCE(LAG(closing) OVER (PARTITION BY account, col_status
+                                               ORDER BY date1, col_index), 0) AS opening
+          FROM chain_c),
+rolled AS (
+  SELECT c.open_line AS report_line, c.report_col, c.col_index, c.date2 AS ex_date, c.month,
+         l.line_name, l.group_no, CAST(round_even(c.opening, 0) AS DOUBLE) AS amount
+  FROM chain c JOIN lines_t l ON l.name = c.open_line WHERE c.opening > 0
+  UNION ALL
+  SELECT c.account, c.report_col, c.col_index, c.date2, c.month, l.line_name, l.group_no,
+         CAST(round_even(c.closing, 0) AS DOUBLE)
+  FROM chain c JOIN lines_t l ON l.name = c.account WHERE c.closing > 0)"""
+
+
+def q3_roll_forward_sql() -> str:
+    return with_fixtures(f"{report_ctes()},\n{roll_forward_ctes()}\nSELECT * FROM rolled")
+
+
+def a8_sql() -> str:
+    return with_fixtures(f"""{report_ctes()}
+SELECT x.group_no, x.col_index, CAST(SUM(CAST(x.amount AS DECIMAL(38,6))) AS DOUBLE) AS amount
+FROM cells x JOIN cols_t k ON x.col_index = k.col_no
+WHERE x.ex_date BETWEEN k.date1 AND k.date2 AND x.group_no IS NOT NULL
+GROUP BY x.group_no, x.col_index""")
+
+
+def w3_sql(line_name: str, group_no: str) -> str:
+    return with_fixtures(f"""{report_ctes()},
+kept AS (SELECT * FROM cells WHERE line_name <> {q(line_name)}),
+gt AS (SELECT x.group_no, x.col_index, CAST(SUM(CAST(x.amount AS DECIMAL(38,6))) AS DOUBLE) AS amount
+       FROM kept x JOIN cols_t k ON x.col_index = k.col_no
+       WHERE x.ex_date BETWEEN k.date1 AND k.date2 AND x.group_no = {q(group_no)}
+       GROUP BY x.group_no, x.col_index)
+SELECT {CELL_COLS} FROM kept
+UNION ALL
+SELECT l.name, k.name, gt.col_index, k.date2, k.month, l.line_name, gt.group_no, gt.amount
+FROM gt JOIN cols_t k ON gt.col_index = k.col_no JOIN lines_t l ON l.line_name = {q(line_name)}""")
+
+
+def lint_sql() -> str:
+    return with_fixtures(f"""{report_ctes()},
+seen AS (SELECT DISTINCT source, dim, key FROM daily)
+SELECT r.col_status, r.line_name, r.source, r.dim, trim(r.key) AS key FROM rules_t r
+WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.source = r.source AND s.dim = r.dim
+                  AND s.key = trim(r.key))""")
+
+
+def q8_sql(line_name: str = "USD Sales from build up account") -> str:
+    return with_fixtures(f"""{report_ctes()},
+rb AS (SELECT invoice, COALESCE(ex3, ex2, ex1) AS revised_date FROM bills
+       WHERE ex1 IS NOT NULL OR ex2 IS NOT NULL OR ex3 IS NOT NULL),
+rw AS (SELECT invoice, revised_date, {week_end('revised_date')} AS week_end FROM rb)
+SELECT rw.invoice, rw.revised_date, rw.week_end, c.report_line, c.report_col, c.col_index,
+       c.ex_date, c.line_name, c.amount
+FROM rw JOIN cells c ON c.line_name = {q(line_name)}
+     AND c.ex_date > rw.week_end - 7 AND c.ex_date <= rw.week_end""")
