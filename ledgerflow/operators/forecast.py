@@ -91,12 +91,17 @@ def realised(status_col: str = "status"):
 
 
 # weekly split core (P13, P10/P11, A1, R2) ---------------------------------------------
+def split_rows(df: DataFrame, amount, day, keep=()) -> DataFrame:
+    """Per row: week-of-month end of ``day`` and ``amount`` split over the
+    five accounts (P13, P10, P11)."""
+    return df.select(*keep, P.week_end(day).alias("weekend"),
+                     *[S.ratio_split(amount, r).alias(r) for r in fixed.RATIO_FIELDS])
+
+
 def split_by_week(df: DataFrame, amount, day) -> DataFrame:
-    """Per row: week-of-month end of ``day`` and ``amount`` split over the five
-    accounts; then one row per week with the five exact sums (NULL week kept
-    as its own group)."""
-    per_row = df.select(P.week_end(day).alias("weekend"),
-                        *[S.ratio_split(amount, r).alias(r) for r in fixed.RATIO_FIELDS])
+    """One row per week with the five exact split sums (NULL week kept as its
+    own group)."""
+    per_row = split_rows(df, amount, day)
     return per_row.groupBy("weekend").agg(
         *[S.money_sum(r).cast("double").alias(d) for r, d in fixed.ACCOUNTS])
 
@@ -109,22 +114,31 @@ def weekly_to_long(weekly: DataFrame, unit: str = "USD") -> DataFrame:
 
 
 # Q4 ----------------------------------------------------------------------------------
+def shipment_rows(view: DataFrame, keep=()) -> DataFrame:
+    """Per forecast row: net amount after bank charge, whole units."""
+    price, qty = S.number_of(view, "rate"), S.number_of(view, "quantity")
+    return view.select(*keep, S.net_shipment_amount(price, qty).alias("amount"), "r_day",
+                       *fixed.RATIO_FIELDS)
+
+
+def bill_rows(view: DataFrame, keep=()) -> DataFrame:
+    """Per bill: amount net of the bank charge."""
+    return view.select(*keep, S.net_bill_amount(S.number_of(view, "total__fob_income")).alias("amount"),
+                       "r_day", *fixed.RATIO_FIELDS)
+
+
 def shipment_forecast_weekly(view: DataFrame, from_date=None) -> DataFrame:
     """Weekly receipts from the forecast view: net amount after bank charge
     (rounded to whole units), bucketed by week of ``r_day``, split over the
     five accounts, summed, long. ``from_date`` (a Column or literal date) keeps
     only rows with ``r_day >= from_date`` (F6)."""
     v = view if from_date is None else view.where(F.col("r_day") >= from_date)
-    price, qty = S.number_of(v, "rate"), S.number_of(v, "quantity")
-    rows = v.select(S.net_shipment_amount(price, qty).alias("amount"), "r_day", *fixed.RATIO_FIELDS)
-    return weekly_to_long(split_by_week(rows, "amount", "r_day"))
+    return weekly_to_long(split_by_week(shipment_rows(v), "amount", "r_day"))
 
 
 # Q5 / Q6 ----------------------------------------------------------------------------
 def _bills_weekly(view: DataFrame) -> DataFrame:
-    rows = view.select(S.net_bill_amount(S.number_of(view, "total__fob_income")).alias("amount"),
-                       "r_day", *fixed.RATIO_FIELDS)
-    return weekly_to_long(split_by_week(rows, "amount", "r_day"))
+    return weekly_to_long(split_by_week(bill_rows(view), "amount", "r_day"))
 
 
 def bills_forecast_weekly(view: DataFrame) -> DataFrame:

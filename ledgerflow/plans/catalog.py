@@ -13,11 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle as O
 from . import report as RP
-from ..operators import balances as B
+from .. import fixed
+from ..functions import periods as P
+from ..functions import scalars as S
+from ..operators import contracts as K
 from ..operators import forecast as FC
+from ..operators import imports as IM
+from ..operators import reshape as RS
 from ..operators import rollup as R
 from ..operators import rules as RU
 from ..sources import fixtures as fx
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -142,6 +148,191 @@ def q8(spark, d):
     return RP.revised_date_impact(fx.bills_under_collection(spark, d), RP.base_cells(inp))
 
 
+# --- forecast side: views, joins, early variants, refresh -----------------------------
+LOOKUP_BUYER = "Customer#000000001"
+SHEET_REGION = (2, 4)
+
+
+@register("q4_shipment_forecast_weekly_from_cf_date", O.q4_from_cf_date_sql)
+def q4_from(spark, d):
+    """Q4 restricted to realisation days on or after the settings' cf_date."""
+    cf = F.lit(fixed.DEFAULT_SETTINGS["cf_date"]).cast("date")
+    return FC.shipment_forecast_weekly(forecast_view(spark, d), from_date=cf)
+
+
+@register("q9_shipment_forecast_report", O.q9_sql)
+def q9(spark, d):
+    """Forecast lines joined to buyer terms; r_day = ex date + credit days."""
+    return FC.shipment_forecast_report(fx.shipment_forecast(spark, d), terms(spark, d))
+
+
+@register("q10_buyer_bank", O.q10_sql)
+def q10(spark, d):
+    """Buyers joined to their bank's ratios."""
+    return terms(spark, d)
+
+
+@register("q11_buyer_list", O.q11_sql)
+def q11(spark, d):
+    """Buyer list with a total row."""
+    return RP.buyer_list(fx.buyers(spark, d))
+
+
+@register("q17_buyer_lookup", lambda: O.q17_sql(LOOKUP_BUYER))
+def q17(spark, d):
+    """One buyer's bank by name (filter + first row)."""
+    return RP.buyer_lookup(fx.buyers(spark, d), LOOKUP_BUYER)
+
+
+@register("q15_shipment_weekly_early", O.q15_ship_sql)
+def q15_ship(spark, d):
+    """Early split: rows with nulls dropped, gross amount, text week key, wide."""
+    return FC.early_weekly_split(forecast_view(spark, d), "amount", "r_day")
+
+
+@register("q15_bills_weekly_early", O.q15_bills_sql)
+def q15_bills(spark, d):
+    """Early bills split over the whole bills view (null status rows dropped)."""
+    return FC.early_weekly_split(FC.bills_early_view(bills_view(spark, d)), "amount", "realised_day")
+
+
+@register("q16_refresh_forecast_fields", O.q16_sql)
+def q16(spark, d):
+    """Working fields derived from the imported forecast fields."""
+    return FC.refresh_forecast_fields(fx.shipment_forecast(spark, d)).select(
+        "buyer", "style", "po_no", "ex_date", "fob_price", "rate", "quantity", "order_qty",
+        "total", "original_shipment_date", "status")
+
+
+@register("p8_p10_p13_forecast_rows", O.forecast_rows_sql)
+def forecast_rows(spark, d):
+    """Per forecast row: net amount, week end and the five account splits."""
+    rows = FC.shipment_rows(forecast_view(spark, d), keep=("buyer", "style"))
+    return FC.split_rows(rows, "amount", "r_day", keep=("buyer", "style", "amount", "r_day"))
+
+
+@register("p9_p21_bill_rows", O.bill_rows_sql)
+def bill_rows(spark, d):
+    """Per bill: net amount, realisation day (revised dates first), week end, splits."""
+    rows = FC.bill_rows(bills_view(spark, d), keep=("invoice",))
+    return FC.split_rows(rows, "amount", "r_day", keep=("invoice", "amount", "r_day"))
+
+
+@register("p13_p25_calendar", O.calendar_sql)
+def calendar(spark, d):
+    """Per distinct shipment date: week end, its text key, weekday, number of
+    Fridays so far in the year, and the date a week earlier."""
+    days = fx.shipments(spark, d).select(F.col("shipment_date")).distinct()
+    friday = P.weekday_number(F.lit("Friday"))
+    return days.select("shipment_date", P.week_end("shipment_date").alias("week_end"),
+                       S.date_key(P.week_end("shipment_date")).alias("week_key"),
+                       F.weekday("shipment_date").alias("weekday"),
+                       P.week_number("shipment_date", friday).alias("week_no"),
+                       P.shift_days("shipment_date", -7).alias("week_before"))
+
+
+@register("p26_weekday_dates", O.weekday_dates_sql)
+def weekday_dates(spark, d):
+    """Every Friday of every year that has shipments."""
+    years = fx.shipments(spark, d).select(F.year("shipment_date").alias("year")).distinct()
+    return years.select("year", F.explode(P.weekday_dates("year", 4)).alias("day"))
+
+
+# --- imports ---------------------------------------------------------------------
+@register("q12_import_gate", O.q12_sql)
+def q12(spark, d):
+    """Quantity total of a forecast upload against the yearly target."""
+    upload = IM.as_upload(fx.shipment_forecast(spark, d), fixed.FORECAST_UPLOAD_FIELDS)
+    return IM.import_gate(upload, fixed.FORECAST_QTY_HEADER)
+
+
+@register("q13_quantity_check", O.q13_sql)
+def q13(spark, d):
+    """'Check File' when the forecast view's quantity is under the target."""
+    return IM.quantity_check(forecast_view(spark, d), "quantity")
+
+
+@register("w1_snapshot_import", O.w1_sql)
+def w1(spark, d):
+    """Table state after importing an upload: old rows Inactive, upload Active."""
+    sf = fx.shipment_forecast(spark, d)
+    return IM.snapshot_import(sf, IM.as_upload(sf, fixed.FORECAST_UPLOAD_FIELDS))
+
+
+# --- reshape ---------------------------------------------------------------------
+@register("r1_wide_to_long", O.r1_sql)
+def r1(spark, d):
+    """Whole wide sheet -> 10-char headers -> long (nulls kept)."""
+    sheet = RS.normalise_headers(fx.wide_sheet(spark, d).drop("row_no"))
+    return RS.wide_to_long(sheet, ["Descriptio", "Unit"])
+
+
+@register("q14_sheet_region_load", lambda: O.q14_sql(*SHEET_REGION))
+def q14(spark, d):
+    """Sheet rows 2-4 without the quarter columns -> long fact with DATE variable."""
+    return RS.load_sheet_region(fx.wide_sheet(spark, d), *SHEET_REGION)
+
+
+@register("r3_long_to_wide", O.r3_sql)
+def r3(spark, d):
+    """Weekly long receipts -> one column per account (strict pivot)."""
+    long = FC.shipment_forecast_weekly(forecast_view(spark, d))
+    return RS.long_to_wide(long, "variable", "Descriptio", "value", FC.ACCOUNT_NAMES)
+
+
+# --- contracts ---------------------------------------------------------------------
+def _ledgers(spark, d):
+    return {"income_forecast": fx.income_forecast(spark, d),
+            "income_actual": fx.income_actual(spark, d),
+            "expenses_forecast": fx.expenses_forecast(spark, d),
+            "expenses_actual": fx.expenses_actual(spark, d)}
+
+
+def _union(frames):
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+@register("k1_required_fields", O.k1_sql)
+def k1(spark, d):
+    """Null / empty required fields of the ledgers, shipments and bills."""
+    parts = [K.required(df, t, ["expenses_date"]) for t, df in _ledgers(spark, d).items()]
+    parts.append(K.required(fx.shipments(spark, d), "shipments", ["shipment_date"]))
+    parts.append(K.required(fx.bills_under_collection(spark, d), "bills_under_collection",
+                            ["invoice", "status"]))
+    return _union(parts)
+
+
+@register("k2_option_lists", O.k2_sql)
+def k2(spark, d):
+    """Values outside the closed option lists."""
+    tables = dict(_ledgers(spark, d), shipments=fx.shipments(spark, d),
+                  shipment_forecast=fx.shipment_forecast(spark, d),
+                  bills_under_collection=fx.bills_under_collection(spark, d))
+    return _union(K.allowed_values(tables[t], t, {f: opts}) for t, f, opts in O.k2_checks())
+
+
+@register("k4_unique_keys", O.k4_sql)
+def k4(spark, d):
+    """Repeated invoice numbers and PO numbers."""
+    return K.unique(fx.bills_under_collection(spark, d), "bills_under_collection", "invoice") \
+        .unionByName(K.unique(fx.shipment_forecast(spark, d), "shipment_forecast", "po_no"))
+
+
+@register("k5_foreign_keys", O.k5_sql)
+def k5(spark, d):
+    """Buyer banks without ratios; forecast / bill buyers without a buyer record."""
+    buyers = fx.buyers(spark, d)
+    return _union([
+        K.foreign_key(buyers, "buyers", "bank", fx.bank_ratio(spark, d), "name"),
+        K.foreign_key(fx.shipment_forecast(spark, d), "shipment_forecast", "buyer", buyers,
+                      "buyer_name"),
+        K.foreign_key(fx.bills_under_collection(spark, d), "bills_under_collection", "buyer",
+                      buyers, "buyer_name")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: e.build for k, e in REGISTRY.items()}
 

@@ -71,8 +71,11 @@ FIXTURES = {
       CAST(2 * (n_nationkey % 4) AS DOUBLE) AS bildup_machine,
       CAST(20 + n_nationkey % 7 AS DOUBLE) AS bildup_regular FROM nation""",
     "shipment_forecast": """SELECT c_name AS buyer, CAST(l_partkey AS VARCHAR) AS style,
-      CAST(l_orderkey AS VARCHAR) AS po_no, l_extendedprice / l_quantity AS fobpc,
-      l_quantity AS po_qty, CAST(l_shipdate AS DATE) AS exfty_date,
+      CAST(l_orderkey AS VARCHAR) AS po_no, CAST(NULL AS VARCHAR) AS color,
+      CAST(NULL AS VARCHAR) AS team, CAST(NULL AS VARCHAR) AS oc,
+      l_extendedprice / l_quantity AS fobpc, l_quantity AS po_qty,
+      l_extendedprice / l_quantity AS fob_price, l_quantity AS order_qty,
+      CAST(NULL AS DOUBLE) AS shipped_qty, CAST(l_shipdate AS DATE) AS exfty_date,
       CASE WHEN l_returnflag = 'R' THEN 'Inactive' ELSE 'Active' END AS status
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
     "bills": """SELECT CAST(o_orderkey AS VARCHAR) AS invoice, c_name AS buyer,
@@ -395,3 +398,212 @@ SELECT rw.invoice, rw.revised_date, rw.week_end, c.report_line, c.report_col, c.
        c.ex_date, c.line_name, c.amount
 FROM rw JOIN cells c ON c.line_name = {q(line_name)}
      AND c.ex_date > rw.week_end - 7 AND c.ex_date <= rw.week_end""")
+
+
+# --- forecast-side queries -------------------------------------------------------
+def q4_from_cf_date_sql(cf_date: str = fixed.DEFAULT_SETTINGS["cf_date"]) -> str:
+    return with_fixtures(f"""ship_rows AS (SELECT {net_shipment('rate', 'quantity')} AS amount, r_day,
+  {', '.join(RATIOS)} FROM v_shipment_forecast WHERE r_day >= DATE '{cf_date}'),
+{weekly_long('ship_rows', 'amount', 'r_day')}
+SELECT * FROM ship_rows_l""")
+
+
+def q9_sql() -> str:
+    return with_fixtures("SELECT * FROM v_sf_report")
+
+
+def q10_sql() -> str:
+    return with_fixtures("SELECT * FROM v_buyer")
+
+
+def q11_sql() -> str:
+    return with_fixtures("""SELECT buyer_name, bank, 1 AS buyers FROM buyers
+UNION ALL SELECT 'Total', NULL, CAST(count(*) AS INTEGER) FROM buyers""")
+
+
+def q17_sql(name: str) -> str:
+    return with_fixtures(f"""SELECT bank, buyer_name FROM buyers WHERE buyer_name = {q(name)}
+ORDER BY buyer_name, bank LIMIT 1""")
+
+
+def early_sql(view: str, amount: str, day: str, not_null: list[str]) -> str:
+    sums = ", ".join(f"{msum(split(amount, r))} AS {r}" for r in RATIOS)
+    cond = " AND ".join(f"{c} IS NOT NULL" for c in not_null)
+    return with_fixtures(f"""e AS (SELECT * FROM {view} WHERE {cond})
+SELECT strftime({week_end(day)}, '%Y-%m-%d') AS w, {sums} FROM e GROUP BY 1""")
+
+
+def q15_ship_sql() -> str:
+    cols = ["buyer", "style", "ex_date", "r_day", "quantity", "rate", "amount", "buyer_name",
+            "bank", *RATIOS, "status"]
+    return early_sql("v_shipment_forecast", "amount", "r_day", cols)
+
+
+def q15_bills_sql() -> str:
+    cols = ["invoice", "buyer", "ex_fty_date", "r_day", "total__fob_income", *RATIOS, "status"]
+    return early_sql("v_bills", "total__fob_income", "r_day", cols)
+
+
+def q16_sql() -> str:
+    return with_fixtures("""SELECT buyer, style, po_no, exfty_date AS ex_date, fobpc AS fob_price,
+  fobpc AS rate, po_qty AS quantity, po_qty AS order_qty, po_qty * fobpc AS total,
+  oc AS original_shipment_date, status FROM shipment_forecast""")
+
+
+def q12_sql(target: float = fixed.YEARLY_SHIPMENT_TARGET) -> str:
+    return with_fixtures(f"""g AS (SELECT COALESCE(SUM(COALESCE(order_qty, 0)), 0) AS total
+       FROM shipment_forecast)
+SELECT total, CASE WHEN total >= {target!r} THEN 1 ELSE 0 END AS res,
+  CASE WHEN total >= {target!r} THEN {q(fixed.GATE_MESSAGE_OK)} ELSE {q(fixed.GATE_MESSAGE_SHORT)} END AS msg
+FROM g""")
+
+
+def q13_sql(target: float = fixed.YEARLY_SHIPMENT_TARGET) -> str:
+    return with_fixtures(f"""SELECT CASE WHEN SUM(quantity) < {target!r} THEN {q(fixed.CHECK_MESSAGE)}
+  ELSE '' END AS chkfile FROM v_shipment_forecast""")
+
+
+def w1_sql() -> str:
+    return with_fixtures("""SELECT buyer, style, po_no, color, team, oc, fobpc, po_qty, fob_price,
+  order_qty, shipped_qty, exfty_date, 'Inactive' AS status FROM shipment_forecast
+UNION ALL
+SELECT buyer, style, po_no, COALESCE(color, '0'), COALESCE(team, '0'), COALESCE(oc, '0'),
+  CAST(NULL AS DOUBLE), COALESCE(order_qty, 0), COALESCE(fob_price, 0), COALESCE(order_qty, 0),
+  COALESCE(shipped_qty, 0), exfty_date, 'Active' FROM shipment_forecast""")
+
+
+def _sheet_ctes() -> str:
+    return """ev AS (SELECT event_type, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, value FROM events),
+types AS (SELECT event_type, CAST(dense_rank() OVER (ORDER BY event_type) AS INTEGER) AS row_no
+          FROM (SELECT DISTINCT event_type FROM ev)),
+days AS (SELECT DISTINCT day FROM ev),
+sums AS (SELECT event_type, day, CAST(SUM(CAST(value AS DECIMAL(38,6))) AS DOUBLE) AS v
+         FROM ev GROUP BY event_type, day)"""
+
+
+def r1_sql() -> str:
+    return with_fixtures(f"""{_sheet_ctes()},
+cells AS (SELECT t.event_type, d.day AS variable, s.v AS value FROM types t CROSS JOIN days d
+          LEFT JOIN sums s ON s.event_type = t.event_type AND s.day = d.day
+          UNION ALL
+          SELECT t.event_type, m.variable, CAST(NULL AS DOUBLE) FROM types t
+          CROSS JOIN (VALUES ('Apr'), ('May'), ('Jun')) m(variable))
+SELECT event_type AS Descriptio, 'USD' AS Unit, variable, value FROM cells""")
+
+
+def q14_sql(first: int, last: int) -> str:
+    return with_fixtures(f"""{_sheet_ctes()}
+SELECT t.event_type AS Descriptio, 'USD' AS Unit, CAST(d.day AS DATE) AS variable, s.v AS value
+FROM types t CROSS JOIN days d LEFT JOIN sums s ON s.event_type = t.event_type AND s.day = d.day
+WHERE t.row_no BETWEEN {first} AND {last}""")
+
+
+def r3_sql() -> str:
+    return with_fixtures(f"""{SHIP_ROWS},
+{weekly_long('ship_rows', 'amount', 'r_day')}
+{pivot_side('ship_rows_l', '')}""")
+
+
+def forecast_rows_sql() -> str:
+    splits = ", ".join(f"{split('amount', r)} AS {r}" for r in RATIOS)
+    return with_fixtures(f"""x AS (SELECT buyer, style, {net_shipment('rate', 'quantity')} AS amount, r_day
+       , {', '.join(RATIOS)} FROM v_shipment_forecast)
+SELECT buyer, style, amount, r_day, {week_end('r_day')} AS weekend, {splits} FROM x""")
+
+
+def bill_rows_sql() -> str:
+    splits = ", ".join(f"{split('amount', r)} AS {r}" for r in RATIOS)
+    return with_fixtures(f"""x AS (SELECT invoice, total__fob_income - total__fob_income * 0.001 AS amount, r_day,
+       {', '.join(RATIOS)} FROM v_bills)
+SELECT invoice, amount, r_day, {week_end('r_day')} AS weekend, {splits} FROM x""")
+
+
+def calendar_sql(weekday: int = 4) -> str:
+    """Brute force: count the matching weekdays day by day."""
+    iso = weekday + 1
+    return with_fixtures(f"""d AS (SELECT DISTINCT shipment_date AS d FROM shipments)
+SELECT d AS shipment_date, {week_end('d')} AS week_end,
+  strftime({week_end('d')}, '%Y-%m-%d') AS week_key,
+  CAST(isodow(d) - 1 AS INTEGER) AS weekday,
+  CAST(len(list_filter(generate_series(CAST(date_trunc('year', d) AS DATE), d, INTERVAL 1 DAY),
+                       lambda x: isodow(x) = {iso})) AS INTEGER) AS week_no,
+  d - 7 AS week_before
+FROM d""")
+
+
+def weekday_dates_sql(weekday: int = 4) -> str:
+    iso = weekday + 1
+    return with_fixtures(f"""y AS (SELECT DISTINCT CAST(year(shipment_date) AS INTEGER) AS year FROM shipments),
+days AS (SELECT year, CAST(unnest(generate_series(make_date(year, 1, 1), make_date(year, 12, 31),
+                                                  INTERVAL 1 DAY)) AS DATE) AS day FROM y)
+SELECT year, day FROM days WHERE isodow(day) = {iso}""")
+
+
+# --- contracts ---------------------------------------------------------------------
+def _viol(table: str, check: str, field: str, src: str) -> str:
+    return (f"SELECT {q(table)} AS \"table\", {q(check)} AS \"check\", {q(field)} AS field, "
+            f"CAST(value AS VARCHAR) AS value, rows FROM ({src})")
+
+
+def k1_sql() -> str:
+    parts = []
+    for t in ("income_forecast", "income_actual", "expenses_forecast", "expenses_actual"):
+        parts.append(_viol(t, "required", "expenses_date",
+                           f"SELECT expenses_date AS value, count(*) AS rows FROM {t} "
+                           f"WHERE expenses_date IS NULL GROUP BY 1"))
+    parts.append(_viol("shipments", "required", "shipment_date",
+                       "SELECT shipment_date AS value, count(*) AS rows FROM shipments "
+                       "WHERE shipment_date IS NULL GROUP BY 1"))
+    for f in ("invoice", "status"):
+        parts.append(_viol("bills_under_collection", "required", f,
+                           f"SELECT {f} AS value, count(*) AS rows FROM bills "
+                           f"WHERE {f} IS NULL OR trim({f}) = '' GROUP BY 1"))
+    return with_fixtures("\nUNION ALL ".join(parts))
+
+
+def k2_checks() -> list[tuple[str, str, list[str]]]:
+    return [
+        ("income_forecast", "main_account", fixed.INCOME_ACCOUNTS),
+        ("income_forecast", "expenses_head", fixed.INCOME_FORECAST_HEADS),
+        ("income_forecast", "currency", fixed.CURRENCIES),
+        ("income_actual", "main_account", fixed.INCOME_ACCOUNTS),
+        ("income_actual", "expenses_head", fixed.INCOME_ACTUAL_HEADS),
+        ("expenses_forecast", "main_account", fixed.EXPENSE_ACCOUNTS),
+        ("expenses_forecast", "expenses_head", fixed.EXPENSE_HEADS),
+        ("expenses_actual", "main_account", fixed.EXPENSE_ACCOUNTS),
+        ("expenses_actual", "expenses_head", fixed.EXPENSE_HEADS),
+        ("shipments", "shipment_type", fixed.SHIPMENT_TYPES),
+        ("shipment_forecast", "status", fixed.RECORD_STATUSES),
+        ("bills_under_collection", "status", fixed.RECORD_STATUSES),
+    ]
+
+
+def k2_sql() -> str:
+    parts = []
+    for t, f, opts in k2_checks():
+        src = "bills" if t == "bills_under_collection" else t
+        parts.append(_viol(t, "option", f,
+                           f"SELECT {f} AS value, count(*) AS rows FROM {src} WHERE {f} IS NOT NULL "
+                           f"AND NOT list_contains({lst(list(dict.fromkeys(opts)))}, {f}) GROUP BY 1"))
+    return with_fixtures("\nUNION ALL ".join(parts))
+
+
+def k4_sql() -> str:
+    parts = [_viol("bills_under_collection", "unique", "invoice",
+                   "SELECT invoice AS value, count(*) AS rows FROM bills WHERE invoice IS NOT NULL "
+                   "GROUP BY 1 HAVING count(*) > 1"),
+             _viol("shipment_forecast", "unique", "po_no",
+                   "SELECT po_no AS value, count(*) AS rows FROM shipment_forecast "
+                   "WHERE po_no IS NOT NULL GROUP BY 1 HAVING count(*) > 1")]
+    return with_fixtures("\nUNION ALL ".join(parts))
+
+
+def k5_sql() -> str:
+    def fk(t, src, f, parent, pf):
+        return _viol(t, "foreign_key", f,
+                     f"SELECT {f} AS value, count(*) AS rows FROM {src} WHERE {f} IS NOT NULL "
+                     f"AND {f} NOT IN (SELECT {pf} FROM {parent} WHERE {pf} IS NOT NULL) GROUP BY 1")
+    parts = [fk("buyers", "buyers", "bank", "bank_ratio", "name"),
+             fk("shipment_forecast", "shipment_forecast", "buyer", "buyers", "buyer_name"),
+             fk("bills_under_collection", "bills", "buyer", "buyers", "buyer_name")]
+    return with_fixtures("\nUNION ALL ".join(parts))

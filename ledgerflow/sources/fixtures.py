@@ -154,7 +154,8 @@ def wide_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct().orderBy(1).collect()]
     long = ev.select(F.col("event_type").alias("Description"),
                      F.date_format(F.col("ts").cast("date"), "yyyy-MM-dd").alias("day"), "value")
-    wide = long.groupBy("Description").pivot("day", days).agg(F.sum("value"))
+    day_sum = F.sum(F.col("value").cast("decimal(38,6)")).cast("double")
+    wide = long.groupBy("Description").pivot("day", days).agg(day_sum)
     rn = F.dense_rank().over(Window.orderBy("Description"))  # a handful of sheet rows
     return wide.select(rn.cast("int").alias("row_no"), "Description",
                        F.lit("USD").alias("Unit"), *[F.col(f"`{d}`") for d in days],
