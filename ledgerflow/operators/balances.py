@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 from .. import fixed
 from ..functions import scalars as S
 from .rules import CELL_COLUMNS
+from ..sources.tables import local_frame
 
 
 def _line_id(n: int) -> str:
@@ -41,7 +42,7 @@ def opening_balances(cells: DataFrame, lines: DataFrame, columns: DataFrame,
                      shift_days: int = fixed.OPENING_SHIFT_DAYS) -> DataFrame:
     """Q3 as written: openings from the closing cells of column ``n - 2``."""
     spark = cells.sparkSession
-    omap = spark.createDataFrame(opening_map_rows(), "open_line string, close_line string")
+    omap = local_frame(spark, opening_map_rows(), "open_line string, close_line string")
     cols = columns.select(F.col("name").alias("report_col"), F.col("col_no").alias("col_index"),
                           F.col("date1"), F.col("date2"), "month")
     prev = cells.select(F.col("report_line").alias("close_line"),
@@ -69,7 +70,7 @@ def account_nets(cells: DataFrame) -> DataFrame:
     for closing, _opening, plus, minus in fixed.CLOSINGS:
         rows += [(_line_id(closing), _line_id(m), 1) for m in plus]
         rows += [(_line_id(closing), _line_id(m), -1) for m in minus]
-    mem = spark.createDataFrame(rows, "account string, member_line string, sign int")
+    mem = local_frame(spark, rows, "account string, member_line string, sign int")
     j = cells.join(F.broadcast(mem), cells.report_line == mem.member_line)
     return (j.groupBy("account", "report_col")
             .agg(F.sum(S.money(F.col("amount")) * F.col("sign")).alias("net")))
@@ -84,7 +85,7 @@ def balance_roll_forward(cells: DataFrame, lines: DataFrame, columns: DataFrame,
     plain running balance. Emits positive balances rounded to whole units,
     as report cells of the opening and closing lines."""
     spark = cells.sparkSession
-    acc = spark.createDataFrame([(_line_id(c), _line_id(o)) for c, o, _p, _m in fixed.CLOSINGS],
+    acc = local_frame(spark, [(_line_id(c), _line_id(o)) for c, o, _p, _m in fixed.CLOSINGS],
                                 "account string, open_line string")
     cols = columns.where(~F.col("ismonth")).select(
         F.col("name").alias("report_col"), F.col("col_no").alias("col_index"), "date1", "date2",

@@ -15,6 +15,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from ..sources.tables import local_frame
 
 VIOLATION_SCHEMA = "table string, check string, field string, value string, rows bigint"
 
@@ -55,7 +56,7 @@ def allowed_values(df: DataFrame, table: str, options: Mapping[str, Sequence[str
     spark = df.sparkSession
     out = None
     for f, values in options.items():
-        opts = spark.createDataFrame([(v,) for v in dict.fromkeys(values)], f"{f} string")
+        opts = local_frame(spark, [(v,) for v in dict.fromkeys(values)], f"{f} string")
         bad = _value_counts(df, f).join(F.broadcast(opts), f, "left_anti")
         v = _label(bad, table, "option", f)
         out = v if out is None else out.unionByName(v)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import scalars as S
 from .rules import CELL_COLUMNS
+from ..sources.tables import local_frame
 
 MEMBERS_SCHEMA = "total_line string, member_line string, sign int, level int"
 
@@ -69,7 +70,7 @@ def member_rows(mode: str = "repaired") -> list[tuple[str, str, int, int]]:
 
 
 def members(spark: SparkSession, mode: str = "repaired") -> DataFrame:
-    return spark.createDataFrame(member_rows(mode), MEMBERS_SCHEMA)
+    return local_frame(spark, member_rows(mode), MEMBERS_SCHEMA)
 
 
 def _in_window(mode: str):
@@ -102,7 +103,7 @@ def totals_and_closings(cells: DataFrame, lines: DataFrame, columns: DataFrame,
     Returns only the new rows (same schema as the cells)."""
     spark = cells.sparkSession
     rows = member_rows(mode)
-    mem_all = spark.createDataFrame(rows, MEMBERS_SCHEMA)
+    mem_all = local_frame(spark, rows, MEMBERS_SCHEMA)
     out = None
     current = cells.select(*CELL_COLUMNS)
     for level in sorted({r[3] for r in rows}):

@@ -130,7 +130,7 @@ def a8(spark, d):
 def w3(spark, d):
     """Delete a line's cells (anti join) and re-append it as its group's total."""
     inp = RP.inputs_from_dir(spark, d)
-    return R.replace_group_line(RP.base_cells(inp), inp.columns, inp.lines, W3_LINE, W3_GROUP)
+    return R.replace_group_line(RP.stored_cells(inp), inp.columns, inp.lines, W3_LINE, W3_GROUP)
 
 
 @register("lint_unmatched_rules", O.lint_sql)

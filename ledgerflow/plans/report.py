@@ -19,6 +19,7 @@ from ..operators import rollup as R
 from ..operators import rules as RU
 from ..sources import fixtures as fx
 from ..sources import tables as TB
+from ..session import materialize
 
 
 @dataclass
@@ -40,8 +41,22 @@ class ReportInputs:
                                  self.expenses_actual, self.shipments, self.final_proj_income)
 
 
+_INPUTS: dict[tuple, ReportInputs] = {}
+
+
 def inputs_from_dir(spark: SparkSession, sf_dir: str, year: int = 1996) -> ReportInputs:
-    """Report inputs over the driver tables (domain views of sources.fixtures)."""
+    """Report inputs over the driver tables (domain views of sources.fixtures).
+    The lazy plans are defined once per session and folder, like views; every
+    query still executes them afresh."""
+    key = (id(spark), sf_dir, year)
+    hit = _INPUTS.get(key)
+    if hit is not None and hit.rules.sparkSession is spark:
+        return hit
+    _INPUTS[key] = inp = _inputs_from_dir(spark, sf_dir, year)
+    return inp
+
+
+def _inputs_from_dir(spark: SparkSession, sf_dir: str, year: int) -> ReportInputs:
     terms = FC.buyer_terms(fx.buyers(spark, sf_dir), fx.bank_ratio(spark, sf_dir))
     ship = FC.shipment_forecast_weekly(
         FC.active_shipment_forecast(fx.shipment_forecast(spark, sf_dir), terms))
@@ -62,32 +77,37 @@ def base_cells(inp: ReportInputs) -> DataFrame:
     return RU.base_cells(inp.sources(), inp.rules, inp.lines, inp.columns, inp.usd_rate)
 
 
+def stored_cells(inp: ReportInputs) -> DataFrame:
+    """Q1 written once (checkpoint) for the passes that read it again."""
+    return materialize(base_cells(inp))
+
+
 def totals(inp: ReportInputs, cells: DataFrame | None = None, mode: str = "repaired") -> DataFrame:
     """Q2: totals and closings over the base cells."""
-    cells = base_cells(inp) if cells is None else cells
+    cells = stored_cells(inp) if cells is None else cells
     return R.totals_and_closings(cells, inp.lines, inp.columns, mode)
 
 
 def openings(inp: ReportInputs, cells: DataFrame | None = None) -> DataFrame:
     """Q3 as written: openings from the cells after one base + totals pass."""
     if cells is None:
-        base = base_cells(inp)
-        cells = base.unionByName(totals(inp, base, "literal"))
+        base = stored_cells(inp)
+        cells = materialize(base.unionByName(totals(inp, base, "literal")))
     return B.opening_balances(cells, inp.lines, inp.columns)
 
 
 def balances(inp: ReportInputs, cells: DataFrame | None = None,
              initial: DataFrame | None = None) -> DataFrame:
     """Repaired Q2+Q3 for the accounts: the clamped balance chain."""
-    cells = base_cells(inp) if cells is None else cells
+    cells = stored_cells(inp) if cells is None else cells
     return B.balance_roll_forward(cells, inp.lines, inp.columns, initial)
 
 
 def full_report(inp: ReportInputs, initial: DataFrame | None = None) -> DataFrame:
     """Base cells, the balance chain, then totals (repaired) over both."""
-    base = base_cells(inp)
+    base = stored_cells(inp)
     chain = B.balance_roll_forward(base, inp.lines, inp.columns, initial)
-    cells = base.unionByName(chain)
+    cells = materialize(base.unionByName(chain))
     closing_ids = [fixed.LINE_ID_FORMAT % c for c, *_ in fixed.CLOSINGS]
     tot = R.totals_and_closings(cells, inp.lines, inp.columns, "repaired")
     tot = tot.where(~F.col("report_line").isin(closing_ids))   # closings come from the chain

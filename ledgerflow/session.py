@@ -55,3 +55,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set(CHECKPOINT_KEY, current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df):
+    """Cut lineage of a small intermediate that several passes read: an eager
+    reliable checkpoint into the shared ``spark.checkpoint.dir``. The report
+    cells (lines x columns) are written once instead of every roll-up level
+    re-scanning the ledgers."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -20,9 +20,46 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
                  "conversations"]
 
 
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    if isinstance(v, dt.date):
+        return f"DATE '{v.isoformat()}'"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A small in-driver table as an inline ``VALUES`` relation. Unlike a
+    frame made from a Python list, a local relation carries its true size,
+    so the planner broadcasts it and folds constants through it."""
+    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    if not rows:
+        return spark.createDataFrame([], st)
+    names = [f.name for f in st.fields]
+    body = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
+    cols = ", ".join(f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`"
+                     for f in st.fields)
+    return spark.sql(f"SELECT {cols} FROM VALUES {body} AS t({', '.join(f'`{n}`' for n in names)})")
+
+
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table of the data folder."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One Parquet table of the data folder. The relation (file listing,
+    footer schema) is resolved once per session and path, as a catalog
+    table would be; every use still scans lazily with its own pruning."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _TABLES[key] = df
+    return df
 
 
 # --- configuration frames (bounded by construction: a few hundred rows) ------
@@ -60,7 +97,7 @@ def report_line_rows() -> list[tuple]:
 
 
 def report_lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(report_line_rows(), LINES_SCHEMA)
+    return local_frame(spark, report_line_rows(), LINES_SCHEMA)
 
 
 def report_column_rows(year: int = 1996) -> list[tuple]:
@@ -85,7 +122,7 @@ def report_column_rows(year: int = 1996) -> list[tuple]:
 
 
 def report_columns(spark: SparkSession, year: int = 1996) -> DataFrame:
-    return spark.createDataFrame(report_column_rows(year), COLUMNS_SCHEMA)
+    return local_frame(spark, report_column_rows(year), COLUMNS_SCHEMA)
 
 
 def settings(spark: SparkSession, usd_rate: float | None = None, cf_date: str | None = None,
@@ -95,7 +132,7 @@ def settings(spark: SparkSession, usd_rate: float | None = None, cf_date: str |
     row = (float(usd_rate if usd_rate is not None else s["usd_rate"]),
            dt.date.fromisoformat(cf_date or s["cf_date"]),
            float(target if target is not None else s["yearly_shipment_qty_akl"]))
-    return spark.createDataFrame([row], SETTINGS_SCHEMA)
+    return local_frame(spark, [row], SETTINGS_SCHEMA)
 
 
 def rules(spark: SparkSession) -> DataFrame:
@@ -105,13 +142,14 @@ def rules(spark: SparkSession) -> DataFrame:
              "usd_per_thousand" if (status, line) in scaled else None)
             for status, line, source, dim, key in fixed.RULES]
     schema = "col_status string, line_name string, source string, dim string, key string, scale string"
-    return spark.createDataFrame(rows, schema)
+    return local_frame(spark, rows, schema)
 
 
 def options_frame(spark: SparkSession, field: str, values: list[str]) -> DataFrame:
-    return spark.createDataFrame([(field, v) for v in dict.fromkeys(values)],
-                                 "field string, value string")
+    return local_frame(spark, [(field, v) for v in dict.fromkeys(values)],
+                       "field string, value string")
 
 
 def literal_array(values: list[str]):
-    return F.array(*[F.lit(v) for v in values])
+    """ARRAY literal of strings as one SQL expression (one driver round trip)."""
+    return F.expr("array(" + ", ".join(_sql_literal(v) for v in values) + ")")
