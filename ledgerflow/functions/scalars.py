@@ -23,6 +23,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def value(x) -> Column:
+    """A Python number / Column (e.g. a setting read as a scalar subquery)."""
+    return x if isinstance(x, Column) else F.lit(x)
+
+
 def dec(x: str) -> Column:
     """Exact decimal literal (a Python float literal would be a double)."""
     return F.lit(Decimal(x))
@@ -71,9 +76,12 @@ def net_bill_amount(a) -> Column:
 
 
 # P10, P11 -------------------------------------------------------------------
-def ratio_split(amount, ratio) -> Column:
+def ratio_split(amount, ratio, share: bool = False) -> Column:
     """amount / ratio * 100; a zero, empty or null ratio gives NULL (the
-    infinity a plain division would give is dropped)."""
+    infinity a plain division would give is dropped). ``share=True`` reads the
+    ratio as a percentage share instead: amount * ratio / 100."""
+    if share:
+        return col(amount) * col(ratio) / F.lit(fixed.RATIO_SCALE)
     return F.try_divide(col(amount), col(ratio)) * F.lit(fixed.RATIO_SCALE)
 
 

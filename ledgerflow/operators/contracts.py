@@ -15,6 +15,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 from ..sources.tables import local_frame
 
 VIOLATION_SCHEMA = "table string, check string, field string, value string, rows bigint"
@@ -80,3 +81,25 @@ def foreign_key(df: DataFrame, table: str, field: str, parent: DataFrame,
     keys = parent.select(F.col(parent_field).alias(field))
     bad = _value_counts(df, field).join(keys, field, "left_anti")
     return _label(bad, table, "foreign_key", field)
+
+
+def id_series(df: DataFrame, order_by: Sequence[str], fmt: str, id_col: str = "name",
+              start: int = 1) -> DataFrame:
+    """K6: a gap-free formatted id series (``fmt % n``, n from ``start``) in
+    ``order_by`` order -- distributed, no single-partition window over the
+    table. Rows are range-partitioned and sorted; each row gets its position
+    inside its partition (``monotonically_increasing_id`` keeps the partition
+    in the high bits), and per-partition row counts -- one row per partition,
+    a bounded broadcast -- give each partition its starting offset.
+    ``order_by`` should be unique, or ids among ties are arbitrary."""
+    ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    tagged = (ordered.withColumn("_mid", F.monotonically_increasing_id())
+              .withColumn("_pid", F.shiftright("_mid", 33))
+              .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    n = F.col("_off") + F.col("_pos") + F.lit(start)
+    return (tagged.join(F.broadcast(offsets), "_pid")
+            .withColumn(id_col, F.format_string(fmt, n))
+            .drop("_mid", "_pid", "_pos", "_off"))

@@ -91,17 +91,17 @@ def realised(status_col: str = "status"):
 
 
 # weekly split core (P13, P10/P11, A1, R2) ---------------------------------------------
-def split_rows(df: DataFrame, amount, day, keep=()) -> DataFrame:
+def split_rows(df: DataFrame, amount, day, keep=(), share: bool = False) -> DataFrame:
     """Per row: week-of-month end of ``day`` and ``amount`` split over the
     five accounts (P13, P10, P11)."""
     return df.select(*keep, P.week_end(day).alias("weekend"),
-                     *[S.ratio_split(amount, r).alias(r) for r in fixed.RATIO_FIELDS])
+                     *[S.ratio_split(amount, r, share).alias(r) for r in fixed.RATIO_FIELDS])
 
 
-def split_by_week(df: DataFrame, amount, day) -> DataFrame:
+def split_by_week(df: DataFrame, amount, day, share: bool = False) -> DataFrame:
     """One row per week with the five exact split sums (NULL week kept as its
     own group)."""
-    per_row = split_rows(df, amount, day)
+    per_row = split_rows(df, amount, day, share=share)
     return per_row.groupBy("weekend").agg(
         *[S.money_sum(r).cast("double").alias(d) for r, d in fixed.ACCOUNTS])
 

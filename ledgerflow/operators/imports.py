@@ -21,13 +21,13 @@ from ..functions import scalars as S
 
 
 def import_gate(upload: DataFrame, qty_header: str = fixed.FORECAST_QTY_HEADER,
-                target: float = fixed.YEARLY_SHIPMENT_TARGET) -> DataFrame:
+                target=fixed.YEARLY_SHIPMENT_TARGET) -> DataFrame:
     """Q12: one row ``(total, res, msg)``: the file's quantity total (nulls as
     0), 1 when it reaches the yearly target, and the prompt shown before the
     import."""
     total = F.sum(F.coalesce(S.number_of(upload, qty_header), F.lit(0.0)))
     agg = upload.agg(total.alias("total"))
-    ok = F.col("total") >= F.lit(float(target))
+    ok = F.col("total") >= S.value(target).cast("double")
     return agg.select(
         F.coalesce(F.col("total"), F.lit(0.0)).alias("total"),
         F.when(ok, 1).otherwise(0).alias("res"),
@@ -35,11 +35,11 @@ def import_gate(upload: DataFrame, qty_header: str = fixed.FORECAST_QTY_HEADER,
 
 
 def quantity_check(view: DataFrame, qty_col: str = "order_qty",
-                   target: float = fixed.YEARLY_SHIPMENT_TARGET) -> DataFrame:
+                   target=fixed.YEARLY_SHIPMENT_TARGET) -> DataFrame:
     """Q13: ``chkfile`` = 'Check File' when the total quantity is under the
     target, else ''. An empty view sums to NULL, which is not under anything."""
     return view.agg(F.sum(S.number_of(view, qty_col)).alias("total")).select(
-        S.below_target_message(F.col("total"), F.lit(float(target))).alias("chkfile"))
+        S.below_target_message(F.col("total"), S.value(target).cast("double")).alias("chkfile"))
 
 
 def map_upload(upload: DataFrame, mapping: Sequence[tuple[str, str]],

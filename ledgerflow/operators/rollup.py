@@ -35,8 +35,9 @@ def _line_id(n: int) -> str:
     return fixed.LINE_ID_FORMAT % n
 
 
-def member_rows(mode: str = "repaired") -> list[tuple[str, str, int, int]]:
-    """(total line id, member line id, sign, level) for totals and closings."""
+def member_rows(mode: str = "repaired", closings: bool = True) -> list[tuple[str, str, int, int]]:
+    """(total line id, member line id, sign, level) for totals and, when
+    ``closings``, the closing-balance formulas."""
     by_name: dict[str, list[int]] = {}
     for n, _r, _g, name, _u in fixed.REPORT_LINES:
         by_name.setdefault(name, []).append(n)
@@ -55,7 +56,7 @@ def member_rows(mode: str = "repaired") -> list[tuple[str, str, int, int]]:
     rows: list[tuple[str, str, int]] = []
     for n, members in assigned.items():
         rows += [(_line_id(n), m, 1) for m in members]
-    for closing, opening, plus, minus in fixed.CLOSINGS:
+    for closing, opening, plus, minus in (fixed.CLOSINGS if closings else []):
         rows += [(_line_id(closing), _line_id(m), 1) for m in [opening] + plus]
         rows += [(_line_id(closing), _line_id(m), -1) for m in minus]
     totals = {t for t, _, _ in rows}
@@ -98,11 +99,12 @@ def _roll_level(cells: DataFrame, mem: DataFrame, lines: DataFrame, columns: Dat
 
 
 def totals_and_closings(cells: DataFrame, lines: DataFrame, columns: DataFrame,
-                        mode: str = "repaired") -> DataFrame:
+                        mode: str = "repaired", closings: bool = True) -> DataFrame:
     """Q2: totals and closing balances from stored cells, level by level.
-    Returns only the new rows (same schema as the cells)."""
+    Returns only the new rows (same schema as the cells). ``closings=False``
+    when the cells already hold closing balances (from the balance chain)."""
     spark = cells.sparkSession
-    rows = member_rows(mode)
+    rows = member_rows(mode, closings)
     mem_all = local_frame(spark, rows, MEMBERS_SCHEMA)
     out = None
     current = cells.select(*CELL_COLUMNS)

@@ -90,8 +90,9 @@ def cell_grid(rules: DataFrame, lines: DataFrame, columns: DataFrame) -> DataFra
 
 
 def base_cells(sources: DataFrame, rules: DataFrame, lines: DataFrame, columns: DataFrame,
-               usd_rate: float = fixed.DEFAULT_SETTINGS["usd_rate"], digits: int = 3) -> DataFrame:
-    """Q1: stored report cells -- positive sums only, rounded to ``digits``."""
+               usd_rate=fixed.DEFAULT_SETTINGS["usd_rate"], digits: int = 3) -> DataFrame:
+    """Q1: stored report cells -- positive sums only, rounded to ``digits``.
+    ``usd_rate``: a number or a Column (the settings row as a scalar subquery)."""
     daily = daily_key_sums(sources)
     grid = F.broadcast(cell_grid(rules, lines, columns))   # rules x columns: config sized
     hit = daily.join(grid, on=[daily.source == grid.source, daily.dim == grid.dim,
@@ -101,7 +102,7 @@ def base_cells(sources: DataFrame, rules: DataFrame, lines: DataFrame, columns:
             "scale"]
     summed = hit.groupBy(*keys).agg(F.sum("amount").alias("s"))
     value = (F.when(F.col("scale") == "usd_per_thousand",
-                    S.money(F.lit(float(usd_rate)) * F.col("s").cast("double") / F.lit(1000)))
+                    S.money(S.value(usd_rate).cast("double") * F.col("s").cast("double") / F.lit(1000)))
              .otherwise(F.col("s")))
     return (summed.withColumn("v", value).where(F.col("v") > 0)
             .select("report_line", "report_col", "col_index", F.col("date2").alias("ex_date"),

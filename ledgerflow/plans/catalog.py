@@ -23,6 +23,7 @@ from ..operators import reshape as RS
 from ..operators import rollup as R
 from ..operators import rules as RU
 from ..sources import fixtures as fx
+from ..sources import tables as TB
 from pyspark.sql import functions as F
 
 
@@ -156,7 +157,7 @@ SHEET_REGION = (2, 4)
 @register("q4_shipment_forecast_weekly_from_cf_date", O.q4_from_cf_date_sql)
 def q4_from(spark, d):
     """Q4 restricted to realisation days on or after the settings' cf_date."""
-    cf = F.lit(fixed.DEFAULT_SETTINGS["cf_date"]).cast("date")
+    cf = TB.setting(spark, "cf_date")
     return FC.shipment_forecast_weekly(forecast_view(spark, d), from_date=cf)
 
 
@@ -243,7 +244,8 @@ def weekday_dates(spark, d):
 def q12(spark, d):
     """Quantity total of a forecast upload against the yearly target."""
     upload = IM.as_upload(fx.shipment_forecast(spark, d), fixed.FORECAST_UPLOAD_FIELDS)
-    return IM.import_gate(upload, fixed.FORECAST_QTY_HEADER)
+    return IM.import_gate(upload, fixed.FORECAST_QTY_HEADER,
+                          TB.setting(spark, "yearly_shipment_qty_akl"))
 
 
 @register("q13_quantity_check", O.q13_sql)
@@ -333,6 +335,19 @@ def k5(spark, d):
                       buyers, "buyer_name")])
 
 
+@register("k6_id_series", lambda: O.k6_sql("BUC%08d"))
+def k6(spark, d):
+    """Gap-free formatted ids for bills in (ex-factory date, invoice) order."""
+    bills = fx.bills_under_collection(spark, d).select("invoice", "ex_fty_date")
+    return K.id_series(bills, ["ex_fty_date", "invoice"], "BUC%08d")
+
+
+@register("w2_full_report", O.w2_sql)
+def w2(spark, d):
+    """Whole report rebuild: base cells + balance chain + roll-up totals."""
+    return RP.full_report(RP.inputs_from_dir(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: e.build for k, e in REGISTRY.items()}
 

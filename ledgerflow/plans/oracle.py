@@ -275,9 +275,9 @@ JOIN cols_t k ON a.report_col = k.name JOIN lines_t l ON a.total_line = l.name
 WHERE a.v > 0"""
 
 
-def totals_ctes(mode: str, cells: str = "cells") -> str:
+def totals_ctes(mode: str, cells: str = "cells", closings: bool = True) -> str:
     from ..operators.rollup import member_rows
-    rows = member_rows(mode)
+    rows = member_rows(mode, closings)
     levels = sorted({r[3] for r in rows})
     parts = [f"members_t AS ({values(rows, ['total_line', 'member_line', 'sign', 'level'])})"]
     current = cells
@@ -607,3 +607,16 @@ def k5_sql() -> str:
              fk("shipment_forecast", "shipment_forecast", "buyer", "buyers", "buyer_name"),
              fk("bills_under_collection", "bills", "buyer", "buyers", "buyer_name")]
     return with_fixtures("\nUNION ALL ".join(parts))
+
+
+def w2_sql() -> str:
+    return with_fixtures(f"""{report_ctes()},
+{roll_forward_ctes('cells')},
+chain_cells AS (SELECT {CELL_COLS} FROM cells UNION ALL SELECT {CELL_COLS} FROM rolled),
+{totals_ctes('repaired', 'chain_cells', closings=False)}
+SELECT {CELL_COLS} FROM chain_cells UNION ALL SELECT {CELL_COLS} FROM totals""")
+
+
+def k6_sql(fmt_sql: str) -> str:
+    return with_fixtures(f"""SELECT invoice, ex_fty_date,
+  printf({q(fmt_sql)}, row_number() OVER (ORDER BY ex_fty_date, invoice)) AS name FROM bills""")

@@ -34,7 +34,7 @@ class ReportInputs:
     rules: DataFrame
     lines: DataFrame
     columns: DataFrame
-    usd_rate: float = fixed.DEFAULT_SETTINGS["usd_rate"]
+    usd_rate: object = fixed.DEFAULT_SETTINGS["usd_rate"]     # number or scalar Column
 
     def sources(self) -> DataFrame:
         return RU.report_sources(self.income_forecast, self.income_actual, self.expenses_forecast,
@@ -69,7 +69,8 @@ def _inputs_from_dir(spark: SparkSession, sf_dir: str, year: int) -> ReportInput
         shipments=fx.shipments(spark, sf_dir),
         final_proj_income=FC.projected_income(ship, bills),
         rules=TB.rules(spark), lines=TB.report_lines(spark),
-        columns=TB.report_columns(spark, year))
+        columns=TB.report_columns(spark, year),
+        usd_rate=TB.setting(spark, "usd_rate"))
 
 
 def base_cells(inp: ReportInputs) -> DataFrame:
@@ -104,13 +105,12 @@ def balances(inp: ReportInputs, cells: DataFrame | None = None,
 
 
 def full_report(inp: ReportInputs, initial: DataFrame | None = None) -> DataFrame:
-    """Base cells, the balance chain, then totals (repaired) over both."""
+    """The whole report rebuilt -- base cells, the clamped balance chain
+    (openings and closings), then the roll-up totals over both."""
     base = stored_cells(inp)
     chain = B.balance_roll_forward(base, inp.lines, inp.columns, initial)
     cells = materialize(base.unionByName(chain))
-    closing_ids = [fixed.LINE_ID_FORMAT % c for c, *_ in fixed.CLOSINGS]
-    tot = R.totals_and_closings(cells, inp.lines, inp.columns, "repaired")
-    tot = tot.where(~F.col("report_line").isin(closing_ids))   # closings come from the chain
+    tot = R.totals_and_closings(cells, inp.lines, inp.columns, "repaired", closings=False)
     return cells.unionByName(tot)
 
 

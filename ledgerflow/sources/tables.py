@@ -135,6 +135,11 @@ def settings(spark: SparkSession, usd_rate: float | None = None, cf_date: str |
     return local_frame(spark, [row], SETTINGS_SCHEMA)
 
 
+def setting(spark: SparkSession, key: str, settings_df: DataFrame | None = None):
+    """One setting as a scalar-subquery Column (evaluated once, no join)."""
+    return (settings_df if settings_df is not None else settings(spark)).select(key).scalar()
+
+
 def rules(spark: SparkSession) -> DataFrame:
     """The default rule set as a frame: one row per (status, line)."""
     scaled = set(fixed.USD_PER_THOUSAND_RULES)
