@@ -28,41 +28,67 @@ CELL_COLUMNS = ["report_line", "report_col", "col_index", "ex_date", "month", "l
 
 
 # --- ledger views (the report's sources) ---------------------------------------------
+def in_window(day: str, week: str | None, window) -> Column:
+    """``coalesce(week, day)`` inside ``window`` (inclusive), written on the
+    raw columns so the Parquet reader can skip row groups by their stats."""
+    lo, hi = window
+    d = F.col(day).cast("date").between(lo, hi)
+    if not week:
+        return d
+    w = F.col(week)
+    return (w.isNotNull() & w.cast("date").between(lo, hi)) | (w.isNull() & d)
+
+
 def ledger_view(df: DataFrame, source: str, head: str | Column = "expenses_head",
                 account: str | Column | None = "main_account", day: str = "expenses_date",
-                week: str | None = "week_date", measure: str = "amount") -> DataFrame:
+                week: str | None = "week_date", measure: str = "amount",
+                window=None) -> DataFrame:
     """One source as rows ``(source, Descriptio, account, variable, amount)``;
-    ``variable`` is the week date when given, else the booking date."""
-    variable = F.coalesce(F.col(week), F.col(day)) if week and week in df.columns else F.col(day)
+    ``variable`` is the week date when given, else the booking date.
+    ``window=(lo, hi)`` keeps only rows whose ``variable`` falls inside it."""
+    has_week = bool(week and week in df.columns)
+    variable = F.coalesce(F.col(week), F.col(day)) if has_week else F.col(day)
+    if window is not None:
+        df = df.where(in_window(day, week if has_week else None, window))
     acc = F.lit(None).cast("string") if account is None else S.col(account)
     return df.select(F.lit(source).alias("source"), S.col(head).alias("Descriptio"),
                      acc.alias("account"), variable.cast("date").alias("variable"),
                      F.col(measure).cast("double").alias("amount"))
 
 
-def shipment_views(shipments: DataFrame) -> DataFrame:
+def shipment_views(shipments: DataFrame, window=None) -> DataFrame:
     """Actual shipments as two sources: quantity and FOB value."""
     actual = shipments.where(F.col("shipment_type") == "Actual")
     return (ledger_view(actual, "shipments_qty", F.lit("Shipped Qty"), None, "shipment_date",
-                        "week_date", "quentity")
+                        "week_date", "quentity", window)
             .unionByName(ledger_view(actual, "shipments_fob", F.lit("Shipped FOB"), None,
-                                     "shipment_date", "week_date", "amount")))
+                                     "shipment_date", "week_date", "amount", window)))
 
 
-def projected_income_view(final_proj_income: DataFrame) -> DataFrame:
+def projected_income_view(final_proj_income: DataFrame, window=None) -> DataFrame:
     return ledger_view(final_proj_income, "final_proj_income", "Descriptio", None, "variable",
-                       None, "value")
+                       None, "value", window)
 
 
 def report_sources(income_forecast: DataFrame, income_actual: DataFrame,
                    expenses_forecast: DataFrame, expenses_actual: DataFrame,
-                   shipments: DataFrame, final_proj_income: DataFrame) -> DataFrame:
-    return (ledger_view(income_forecast, "income_forecast")
-            .unionByName(ledger_view(income_actual, "income_actual"))
-            .unionByName(ledger_view(expenses_forecast, "expenses_forecast"))
-            .unionByName(ledger_view(expenses_actual, "expenses_actual"))
-            .unionByName(shipment_views(shipments))
-            .unionByName(projected_income_view(final_proj_income)))
+                   shipments: DataFrame, final_proj_income: DataFrame,
+                   window=None) -> DataFrame:
+    """All report sources as one long frame; ``window=(lo, hi)`` (the span of
+    the report's columns) drops rows no column can use before any shuffle."""
+    return (ledger_view(income_forecast, "income_forecast", window=window)
+            .unionByName(ledger_view(income_actual, "income_actual", window=window))
+            .unionByName(ledger_view(expenses_forecast, "expenses_forecast", window=window))
+            .unionByName(ledger_view(expenses_actual, "expenses_actual", window=window))
+            .unionByName(shipment_views(shipments, window))
+            .unionByName(projected_income_view(final_proj_income, window)))
+
+
+def column_span(columns: DataFrame):
+    """(first date1, last date2) of the report columns -- read from the
+    config relation on the driver (a few hundred rows)."""
+    r = columns.agg(F.min("date1").alias("lo"), F.max("date2").alias("hi")).first()
+    return (r.lo, r.hi)
 
 
 # --- compiler -----------------------------------------------------------------------

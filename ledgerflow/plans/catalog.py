@@ -138,7 +138,7 @@ def w3(spark, d):
 def lint(spark, d):
     """Rules whose key never occurs in their source's data."""
     inp = RP.inputs_from_dir(spark, d)
-    return RU.unmatched_rules(inp.rules, inp.sources())
+    return RU.unmatched_rules(inp.rules, inp.sources(prune=False))
 
 
 @register("q8_revised_date_impact", O.q8_sql)

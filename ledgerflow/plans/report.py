@@ -36,9 +36,12 @@ class ReportInputs:
     columns: DataFrame
     usd_rate: object = fixed.DEFAULT_SETTINGS["usd_rate"]     # number or scalar Column
 
-    def sources(self) -> DataFrame:
+    def sources(self, prune: bool = True) -> DataFrame:
+        """All ledgers as one long frame, limited to the columns' date span."""
+        window = RU.column_span(self.columns) if prune else None
         return RU.report_sources(self.income_forecast, self.income_actual, self.expenses_forecast,
-                                 self.expenses_actual, self.shipments, self.final_proj_income)
+                                 self.expenses_actual, self.shipments, self.final_proj_income,
+                                 window)
 
 
 _INPUTS: dict[tuple, ReportInputs] = {}
