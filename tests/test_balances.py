@@ -53,3 +53,23 @@ def test_literal_openings_miss_short_last_bucket(spark):
     assert "B" not in got          # 7-day window (Apr 22, Apr 23] misses Apr 28
     assert got["C"] == 20.0        # month edge: bucket 5 -> bucket 1 is found
     assert got["D"] == 30.0
+
+
+def test_gap_column_and_one_column_account(spark):
+    cols = weekly_columns(spark, 3)
+    cells = spark.createDataFrame([
+        ("CFRL0145", "C0", 1, dt.date(1996, 1, 7), "January", "in", None, 40.0),    # cash account
+        ("CFRL0172", "C2", 5, dt.date(1996, 1, 21), "January", "out", None, 15.0),  # C1 is a gap
+        ("CFRL0140", "C1", 3, dt.date(1996, 1, 14), "January", "in", None, 8.0)],   # welfare, once
+        CELLS)
+    out = {(r.report_line, r.report_col): r.amount
+           for r in B.balance_roll_forward(cells, TB.report_lines(spark), cols).collect()}
+    assert out[("CFRL0186", "C0")] == 40.0 and out[("CFRL0186", "C1")] == 40.0   # carried over the gap
+    assert out[("CFRL0121", "C2")] == 40.0 and out[("CFRL0186", "C2")] == 25.0
+    assert out[("CFRL0187", "C1")] == 8.0 and out[("CFRL0187", "C2")] == 8.0
+    assert ("CFRL0187", "C0") not in out                                         # zero is not stored
+    initial = spark.createDataFrame([("CFRL0188", "Projected", 5.0)],
+                                    "account string, col_status string, opening double")
+    out2 = {(r.report_line, r.report_col): r.amount for r in
+            B.balance_roll_forward(cells, TB.report_lines(spark), cols, initial).collect()}
+    assert out2[("CFRL0123", "C0")] == 5.0 and out2[("CFRL0188", "C2")] == 5.0   # opening carried

@@ -63,3 +63,18 @@ def test_early_split_drops_null_rows(spark):
                                f"amount double, r_day date, {RATIOS}, status string")
     out = rows(FC.early_weekly_split(df, "amount", "r_day"))
     assert out == [("2021-01-07", 1000.0, 2000.0, 200.0, 5000.0, 500.0)]
+
+
+def test_early_split_excludes_handover(spark):
+    df = spark.createDataFrame([(100.0, dt.date(2021, 1, 2), 10.0, 5.0, 50.0, 2.0, 20.0, "BUC"),
+                                (100.0, dt.date(2021, 1, 3), 10.0, 5.0, 50.0, 2.0, 20.0, "SF")],
+                               f"amount double, r_day date, {RATIOS}, considerable_handover string")
+    out = rows(FC.early_weekly_split(df, "amount", "r_day"))
+    assert out == [("2021-01-07", 1000.0, 2000.0, 200.0, 5000.0, 500.0)]
+
+
+def test_share_option(spark):
+    df = spark.createDataFrame([(200.0, dt.date(2021, 1, 2), 10.0, 5.0, 50.0, 2.0, 20.0)],
+                               f"amount double, r_day date, {RATIOS}")
+    w = FC.split_by_week(df, "amount", "r_day", share=True).first()
+    assert w["Sales Proceeds - Margin A/C"] == 20.0 and w["Sales Proceeds - ERQ A/C"] == 100.0

@@ -60,3 +60,20 @@ def test_group_totals_and_replace(spark):
     out = R.replace_group_line(cells, columns, TB.report_lines(spark), "Total inflow - Others", "2")
     assert rows(out, "line_name", "amount") == [("Cash Incentive", 5.0), ("Other Inflow", 6.0),
                                                 ("Total inflow - Others", 11.0)]
+
+
+def test_repeated_and_missing_members(spark):
+    # 209 is listed by two totals (T19 and T21); 211 by none; 212 has no cells (missing member)
+    columns = TB.local_frame(spark, [("W1", 1, "March", dt.date(1996, 3, 1), dt.date(1996, 3, 7), False,
+                                      "Projected")], TB.COLUMNS_SCHEMA)
+    d = dt.date(1996, 3, 7)
+    cells = spark.createDataFrame([("CFRL0209", "W1", 1, d, "March", "x", None, 10.0),
+                                   ("CFRL0211", "W1", 1, d, "March", "x", None, 99.0),
+                                   ("CFRL0208", "W1", 1, d, "March", "x", None, 1.0)], CELLS)
+    got = {r.report_line: r.amount
+           for r in R.totals_and_closings(cells, TB.report_lines(spark), columns, "repaired").collect()}
+    assert got["CFRL0219"] == 11.0          # 208 + 209 (+ 212 missing)
+    assert got["CFRL0221"] == 10.0          # 209 counted again, 211 in no total
+    lit = {r.report_line for r in
+           R.totals_and_closings(cells, TB.report_lines(spark), columns, "literal").collect()}
+    assert "CFRL0219" not in lit            # all CCFRL ids: nothing matches
