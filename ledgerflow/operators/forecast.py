@@ -4,12 +4,12 @@ Q4: shipment forecast; Q5/Q6: bills under collection (open / realised);
 Q7: fund flow; Q9/Q10: buyer-term joins; Q15: early variants; Q16: refresh.
 
 Scale notes. The fact side (forecast lines, bills) is the only large input.
-Joins to buyer terms are N:1 dimension joins: Spark broadcasts the terms when
-their estimated (or, under AQE, measured) size is under the broadcast
-threshold, and otherwise sort-merge joins with AQE splitting a skewed buyer.
-The weekly aggregation has a handful of groups per month, so the partial
-(map-side) aggregate shrinks every task's output to a few rows before the
-shuffle: a buyer or week holding a third of all rows costs no more.
+Joins to buyer terms are N:1 dimension joins (``joins.dimension_join``): the
+terms are broadcast when a bounded count proves them small, otherwise the
+join is salted so a buyer holding a third of all rows is spread over many
+tasks. The weekly aggregation has a handful of groups per month, so the
+partial (map-side) aggregate shrinks every task's output to a few rows before
+the shuffle: a week holding a third of all rows costs no more.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import periods as P
 from ..functions import scalars as S
+from .joins import dimension_join
 from .reshape import long_to_wide
 
 ACCOUNT_NAMES = [d for _, d in fixed.ACCOUNTS]
@@ -43,7 +44,7 @@ def refresh_forecast_fields(sf: DataFrame) -> DataFrame:
 def buyer_terms(buyers: DataFrame, ratios: DataFrame) -> DataFrame:
     """Buyers with their bank's account ratios (inner join bank = name)."""
     r = ratios.select("name", *[S.number_of(ratios, c).alias(c) for c in fixed.RATIO_FIELDS])
-    return buyers.join(r, buyers["bank"] == r["name"], "inner")
+    return dimension_join(buyers, r, ["bank"], ["name"])
 
 
 # Q9 / J2, P14, P16 -------------------------------------------------------------
@@ -52,7 +53,7 @@ def shipment_forecast_report(sf: DataFrame, terms: DataFrame) -> DataFrame:
     the ex-factory date moved by the buyer's credit period."""
     f = refresh_forecast_fields(sf)
     t = terms.select("buyer_name", "bank", "realised_day", *fixed.RATIO_FIELDS)
-    j = f.join(t, f["buyer"] == t["buyer_name"], "inner")
+    j = dimension_join(f, t, ["buyer"], ["buyer_name"])
     return j.select(
         "buyer", "style", "ex_date",
         P.shift_days("ex_date", "realised_day").alias("r_day"),
@@ -74,7 +75,7 @@ def bills_view(bills: DataFrame, terms: DataFrame) -> DataFrame:
     at quantity x unit price."""
     b = bills
     t = terms.select("buyer_name", "realised_day", *fixed.RATIO_FIELDS)
-    j = b.join(t, b["buyer"] == t["buyer_name"], "inner")
+    j = dimension_join(b, t, ["buyer"], ["buyer_name"])
     ex_fty = P.to_day("ex_fty_date", b.schema["ex_fty_date"].dataType)
     revised = S.first_present(*[P.to_day(c, b.schema[c].dataType) for c in ("ex3", "ex2", "ex1")])
     amount = F.coalesce(S.number_of(b, "total__fob_income"),

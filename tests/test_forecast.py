@@ -78,3 +78,14 @@ def test_share_option(spark):
                                f"amount double, r_day date, {RATIOS}")
     w = FC.split_by_week(df, "amount", "r_day", share=True).first()
     assert w["Sales Proceeds - Margin A/C"] == 20.0 and w["Sales Proceeds - ERQ A/C"] == 100.0
+
+
+def test_dimension_join_salted_path_matches_broadcast(spark):
+    from ledgerflow.operators.joins import dimension_join
+    fact = spark.createDataFrame([("hot", i) for i in range(200)] + [("cold", 1), ("none", 2)],
+                                 "buyer string, n int")
+    dim = spark.createDataFrame([("hot", 30), ("cold", 45)], "buyer_name string, days int")
+    a = dimension_join(fact, dim, ["buyer"], ["buyer_name"])
+    b = dimension_join(fact, dim, ["buyer"], ["buyer_name"], max_broadcast_rows=0, buckets=8)
+    assert b.columns == a.columns
+    assert rows(a) == rows(b) and len(rows(b)) == 201

@@ -1,6 +1,5 @@
 import datetime as dt
 
-from ledgerflow import fixed
 from ledgerflow.operators import rollup as R
 from ledgerflow.sources import tables as TB
 from conftest import rows
