@@ -143,3 +143,27 @@ def unmatched_rules(rules: DataFrame, sources: DataFrame) -> DataFrame:
     seen = daily_key_sums(sources).select("source", "dim", "key").distinct()
     r = rules.select("col_status", "line_name", "source", "dim", S.trimmed("key").alias("key"))
     return r.join(seen, ["source", "dim", "key"], "left_anti")
+
+
+def rules_outside_options(rules: DataFrame, options: DataFrame) -> DataFrame:
+    """Rules whose trimmed key is not in the closed option list of the column
+    they match (``options``: source, dim, value). Sources without a declared
+    list (shipments, projected income) are not judged."""
+    judged = options.select("source", "dim").distinct()
+    opts = options.select("source", "dim", S.trimmed("value").alias("key"))
+    r = rules.select("col_status", "line_name", "source", "dim", S.trimmed("key").alias("key"))
+    return (r.join(F.broadcast(judged), ["source", "dim"])
+            .join(F.broadcast(opts), ["source", "dim", "key"], "left_anti"))
+
+
+def ledger_option_rows() -> list[tuple[str, str, str]]:
+    """(source, dim, allowed value) from the ledgers' declared option lists."""
+    lists = [("income_forecast", "head", fixed.INCOME_FORECAST_HEADS),
+             ("income_forecast", "account", fixed.INCOME_ACCOUNTS),
+             ("income_actual", "head", fixed.INCOME_ACTUAL_HEADS),
+             ("income_actual", "account", fixed.INCOME_ACCOUNTS),
+             ("expenses_forecast", "head", fixed.EXPENSE_HEADS),
+             ("expenses_forecast", "account", fixed.EXPENSE_ACCOUNTS),
+             ("expenses_actual", "head", fixed.EXPENSE_HEADS),
+             ("expenses_actual", "account", fixed.EXPENSE_ACCOUNTS)]
+    return [(src, dim, v) for src, dim, values in lists for v in dict.fromkeys(values)]

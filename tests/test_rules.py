@@ -44,3 +44,13 @@ def test_cell_rules_edge_cases(spark):
                    ("L4", "M1", 169.0)]                 # 84.5 * 2000 / 1000; B negative; C no match
     lint = rows(RU.unmatched_rules(rules, sources), "line_name")
     assert lint == [("C",)]
+
+
+def test_dead_rules_against_option_lists(spark):
+    options = TB.local_frame(spark, RU.ledger_option_rows(), "source string, dim string, value string")
+    dead = rows(RU.rules_outside_options(TB.rules(spark), options), "col_status", "line_name")
+    assert dead == [("Actual", "EOT"),
+                    ("Projected", "Bank Charge (Mother A/C)"),
+                    ("Projected", "Finance/Interest Expenses (Mother A/C)"),
+                    ("Projected", "Received in L/O Account Bank"),
+                    ("Projected", "Received in Zakat Account")]
