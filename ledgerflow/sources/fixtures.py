@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import fixed
-from .tables import literal_array, read_table
+from .tables import literal_array, read_table, spread
 
 
 def _date(c: str) -> Column:
@@ -48,6 +48,7 @@ def bank_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shipment_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+    li = spread(li, ["l_orderkey", "l_partkey", "l_shipdate"])   # three joins follow per row
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     price = F.col("l_extendedprice") / F.col("l_quantity")

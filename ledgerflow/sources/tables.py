@@ -62,6 +62,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Give a coarse scan (fewer splits than cores, e.g. a file written as a
+    single row group) one partition per core before a heavy per-row
+    pipeline, hashing the row's own ``columns`` (even, deterministic, no hot
+    key). Filters and pruning still reach the reader below the exchange.
+    When the scan already has at least as many splits as cores -- any large
+    table -- nothing is added."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, F.xxhash64(*[F.col(c) for c in columns]))
+
+
 # --- configuration frames (bounded by construction: a few hundred rows) ------
 
 LINES_SCHEMA = T.StructType([
