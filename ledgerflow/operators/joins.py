@@ -22,9 +22,11 @@ SALT_BUCKETS = 16
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most
-    ``max_rows + 1`` of them)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows. ``take`` scans
+    partitions incrementally and stops after ``max_rows + 1`` one-column rows,
+    so the check never reads a large dimension in full nor funnels it
+    through one task."""
+    return len(df.select(F.lit(1).alias("_one")).take(max_rows + 1)) <= max_rows
 
 
 def dimension_join(fact: DataFrame, dim: DataFrame, fact_keys: Sequence[str],
