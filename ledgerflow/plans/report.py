@@ -17,7 +17,7 @@ from ..operators import balances as B
 from ..operators import forecast as FC
 from ..operators import rollup as R
 from ..operators import rules as RU
-from ..sources import fixtures as fx
+from ..sources import domain
 from ..sources import tables as TB
 from ..session import materialize
 
@@ -60,16 +60,22 @@ def inputs_from_dir(spark: SparkSession, sf_dir: str, year: int = 1996) -> Repor
 
 
 def _inputs_from_dir(spark: SparkSession, sf_dir: str, year: int) -> ReportInputs:
-    terms = FC.buyer_terms(fx.buyers(spark, sf_dir), fx.bank_ratio(spark, sf_dir))
-    ship = FC.shipment_forecast_weekly(
-        FC.active_shipment_forecast(fx.shipment_forecast(spark, sf_dir), terms))
-    bills = FC.bills_forecast_weekly(FC.bills_view(fx.bills_under_collection(spark, sf_dir), terms))
+    return inputs_from_tables(spark, domain.load(spark, sf_dir), year)
+
+
+def inputs_from_tables(spark: SparkSession, t: dict[str, DataFrame], year: int = 1996) -> ReportInputs:
+    """Report inputs from the domain tables (``sources.domain.load``): the
+    ledgers, shipments, and projected income = weekly shipment receipts +
+    weekly open-bill receipts."""
+    terms = FC.buyer_terms(t["buyers"], t["bank_ratio"])
+    ship = FC.shipment_forecast_weekly(FC.active_shipment_forecast(t["shipment_forecast"], terms))
+    bills = FC.bills_forecast_weekly(FC.bills_view(t["bills_under_collection"], terms))
     return ReportInputs(
-        income_forecast=fx.income_forecast(spark, sf_dir),
-        income_actual=fx.income_actual(spark, sf_dir),
-        expenses_forecast=fx.expenses_forecast(spark, sf_dir),
-        expenses_actual=fx.expenses_actual(spark, sf_dir),
-        shipments=fx.shipments(spark, sf_dir),
+        income_forecast=t["income_forecast"],
+        income_actual=t["income_actual"],
+        expenses_forecast=t["expenses_forecast"],
+        expenses_actual=t["expenses_actual"],
+        shipments=t["shipments"],
         final_proj_income=FC.projected_income(ship, bills),
         rules=TB.rules(spark), lines=TB.report_lines(spark),
         columns=TB.report_columns(spark, year),
