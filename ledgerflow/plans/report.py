@@ -5,6 +5,7 @@ lookup).
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,8 +69,11 @@ def inputs_from_tables(spark: SparkSession, t: dict[str, DataFrame], year: int =
     ledgers, shipments, and projected income = weekly shipment receipts +
     weekly open-bill receipts."""
     terms = FC.buyer_terms(t["buyers"], t["bank_ratio"])
-    ship = FC.shipment_forecast_weekly(FC.active_shipment_forecast(t["shipment_forecast"], terms))
-    bills = FC.bills_forecast_weekly(FC.bills_view(t["bills_under_collection"], terms))
+    columns = TB.report_columns(spark, year)
+    forecast, bills_in = _receipts_in_reach(terms, t["shipment_forecast"],
+                                            t["bills_under_collection"], RU.column_span(columns))
+    ship = FC.shipment_forecast_weekly(FC.active_shipment_forecast(forecast, terms))
+    bills = FC.bills_forecast_weekly(FC.bills_view(bills_in, terms))
     return ReportInputs(
         income_forecast=t["income_forecast"],
         income_actual=t["income_actual"],
@@ -78,10 +82,38 @@ def inputs_from_tables(spark: SparkSession, t: dict[str, DataFrame], year: int =
         shipments=t["shipments"],
         final_proj_income=FC.projected_income(ship, bills),
         rules=TB.rules(spark), lines=TB.report_lines(spark),
-        columns=TB.report_columns(spark, year),
+        columns=columns,
         usd_rate=TB.setting(spark, "usd_rate"))
 
 
+def _receipts_in_reach(terms: DataFrame, forecast: DataFrame, bills: DataFrame, span):
+    """Forecast lines and bills whose receipt week can fall inside ``span``.
+
+    A receipt lands in week ``week_end(r)`` with ``r <= week_end(r) <= r + 6``,
+    and ``r = ex-factory date + credit days`` (credit days between the buyers'
+    minimum and maximum) unless a revised date is set. So only ex-factory
+    dates in ``[lo - 6 - max_days, hi - min_days]`` (or a revised date in
+    ``[lo - 6, hi]``) can matter. The filter is a superset of what the report
+    keeps; the exact window is applied to the weekly sums. It reaches the
+    fact scans ahead of every join, so a one-year report does not join years
+    of history. The credit-day bounds are one small aggregate over the buyers."""
+    lo, hi = span
+    if lo is None:
+        return forecast, bills
+    rd = terms.agg(F.min("realised_day").alias("a"), F.max("realised_day").alias("b")).first()
+    if rd.a is None:
+        return forecast, bills
+    ex_lo = lo - dt.timedelta(days=6 + int(rd.b))
+    ex_hi = hi - dt.timedelta(days=int(rd.a))
+    f_day = P.to_day("exfty_date", forecast.schema["exfty_date"].dataType)
+    forecast = forecast.where(f_day.between(ex_lo, ex_hi))
+    revised = S.first_present(*[P.to_day(c, bills.schema[c].dataType) for c in ("ex3", "ex2", "ex1")])
+    b_day = P.to_day("ex_fty_date", bills.schema["ex_fty_date"].dataType)
+    bills = bills.where(revised.between(lo - dt.timedelta(days=6), hi)
+                        | (revised.isNull() & b_day.between(ex_lo, ex_hi)))
+    return forecast, bills
+
+
 def base_cells(inp: ReportInputs) -> DataFrame:
     """Q1."""
     return RU.base_cells(inp.sources(), inp.rules, inp.lines, inp.columns, inp.usd_rate)
