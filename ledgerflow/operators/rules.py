@@ -5,7 +5,8 @@ source V over rows whose trimmed match column (head or account) equals key K
 and whose date lies in the column's [date1, date2].
 
 Plan, whatever the ledger size:
-1. every ledger row is keyed twice (by head and by account) and summed per
+1. every ledger row is keyed twice (by head and by account), rows whose key
+   no rule reads are dropped (broadcast semi join), and the rest is summed per
    (source, match column, key, day) -- a partial aggregate in the scan
    stage, so the shuffle carries at most keys x days rows per task and a hot
    key costs nothing extra;
@@ -92,15 +93,26 @@ def column_span(columns: DataFrame):
 
 
 # --- compiler -----------------------------------------------------------------------
-def daily_key_sums(sources: DataFrame) -> DataFrame:
-    """Step 1: exact sums per (source, dim, trimmed key, day)."""
+def keyed_rows(sources: DataFrame) -> DataFrame:
+    """Every source row twice: keyed by its trimmed head and by its account."""
     keyed = sources.select(
         "source", "variable", "amount",
         F.explode(F.array(
             F.struct(F.lit("head").alias("dim"), S.trimmed("Descriptio").alias("key")),
             F.struct(F.lit("account").alias("dim"), S.trimmed("account").alias("key")))).alias("k"))
-    return (keyed.where(F.col("k.key").isNotNull())
-            .groupBy("source", F.col("k.dim").alias("dim"), F.col("k.key").alias("key"), "variable")
+    return keyed.where(F.col("k.key").isNotNull()).select(
+        "source", F.col("k.dim").alias("dim"), F.col("k.key").alias("key"), "variable", "amount")
+
+
+def daily_key_sums(sources: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Step 1: exact sums per (source, dim, trimmed key, day). With ``rules``,
+    keys no rule reads are dropped first (broadcast semi join on the rule
+    keys, map side), so the shuffle carries only keys the report uses."""
+    keyed = keyed_rows(sources)
+    if rules is not None:
+        used = rules.select("source", "dim", S.trimmed("key").alias("key")).distinct()
+        keyed = keyed.join(F.broadcast(used), ["source", "dim", "key"], "left_semi")
+    return (keyed.groupBy("source", "dim", "key", "variable")
             .agg(S.money_sum("amount").alias("amount")))
 
 
@@ -119,7 +131,7 @@ def base_cells(sources: DataFrame, rules: DataFrame, lines: DataFrame, columns:
                usd_rate=fixed.DEFAULT_SETTINGS["usd_rate"], digits: int = 3) -> DataFrame:
     """Q1: stored report cells -- positive sums only, rounded to ``digits``.
     ``usd_rate``: a number or a Column (the settings row as a scalar subquery)."""
-    daily = daily_key_sums(sources)
+    daily = daily_key_sums(sources, rules)
     grid = F.broadcast(cell_grid(rules, lines, columns))   # rules x columns: config sized
     hit = daily.join(grid, on=[daily.source == grid.source, daily.dim == grid.dim,
                                daily.key == grid.key,
