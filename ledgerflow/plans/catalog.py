@@ -43,17 +43,31 @@ def register(name: str, sql: Callable[[], str] | None):
     return deco
 
 
-# --- shared domain views --------------------------------------------------------
+# --- shared domain views (lazy plans, defined once per session and folder) --------
+_VIEWS: dict[tuple, DataFrame] = {}
+
+
+def _view(name: str, spark, d, build) -> DataFrame:
+    key = (name, id(spark), d)
+    df = _VIEWS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _VIEWS[key] = build()
+    return df
+
+
 def terms(spark, d):
-    return FC.buyer_terms(fx.buyers(spark, d), fx.bank_ratio(spark, d))
+    return _view("terms", spark, d,
+                 lambda: FC.buyer_terms(fx.buyers(spark, d), fx.bank_ratio(spark, d)))
 
 
 def forecast_view(spark, d):
-    return FC.active_shipment_forecast(fx.shipment_forecast(spark, d), terms(spark, d))
+    return _view("forecast", spark, d, lambda: FC.active_shipment_forecast(
+        fx.shipment_forecast(spark, d), terms(spark, d)))
 
 
 def bills_view(spark, d):
-    return FC.bills_view(fx.bills_under_collection(spark, d), terms(spark, d))
+    return _view("bills", spark, d, lambda: FC.bills_view(
+        fx.bills_under_collection(spark, d), terms(spark, d)))
 
 
 # --- forecasts (Q4-Q7) ------------------------------------------------------------
