@@ -133,8 +133,8 @@ def totals(inp: ReportInputs, cells: DataFrame | None = None, mode: str = "repai
 def openings(inp: ReportInputs, cells: DataFrame | None = None) -> DataFrame:
     """Q3 as written: openings from the cells after one base + totals pass."""
     if cells is None:
-        base = stored_cells(inp)
-        cells = materialize(base.unionByName(totals(inp, base, "literal")))
+        base = stored_cells(inp)     # written once; the totals over it are cheap to redo
+        cells = base.unionByName(totals(inp, base, "literal"))
     return B.opening_balances(cells, inp.lines, inp.columns)
 
 
@@ -150,7 +150,7 @@ def full_report(inp: ReportInputs, initial: DataFrame | None = None) -> DataFram
     (openings and closings), then the roll-up totals over both."""
     base = stored_cells(inp)
     chain = B.balance_roll_forward(base, inp.lines, inp.columns, initial)
-    cells = materialize(base.unionByName(chain))
+    cells = base.unionByName(chain)  # the chain is a window over config-sized rows
     tot = R.totals_and_closings(cells, inp.lines, inp.columns, "repaired", closings=False)
     return cells.unionByName(tot)
 
