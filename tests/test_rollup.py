@@ -76,3 +76,50 @@ def test_repeated_and_missing_members(spark):
     lit = {r.report_line for r in
            R.totals_and_closings(cells, TB.report_lines(spark), columns, "literal").collect()}
     assert "CFRL0219" not in lit            # all CCFRL ids: nothing matches
+
+
+def _model_totals(cells, mode):
+    """Level-by-level totals in plain Python: exact decimals, positive only,
+    half-even to whole units; members summed within the same column."""
+    from decimal import ROUND_HALF_EVEN, Decimal
+    rows_ = R.member_rows(mode)
+    current = {(ln, col): Decimal(str(a)) for ln, col, a in cells}
+    out = {}
+    for level in sorted({r[3] for r in rows_}):
+        new = {}
+        totals = {t for t, _, _, lv in rows_ if lv == level}
+        cols_ = {c for _, c in current}
+        for t in totals:
+            for c in cols_:
+                hit = [(m, s) for tt, m, s, lv in rows_ if tt == t and lv == level and (m, c) in current]
+                if not hit:
+                    continue
+                v = sum(s * current[(m, c)] for m, s in hit)
+                if v > 0:
+                    new[(t, c)] = float(v.quantize(Decimal(1), rounding=ROUND_HALF_EVEN))
+        out.update(new)
+        current.update({k: Decimal(str(v)) for k, v in new.items()})
+    return out
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+_MEMBERS = sorted({m for _, m, _, _ in R.member_rows("repaired")
+                   if m not in {t for t, _, _, _ in R.member_rows("repaired")}})
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(_MEMBERS), st.sampled_from(["W1", "W2"]),
+                          st.integers(1, 200000).map(lambda x: x / 1000)),
+                min_size=1, max_size=40, unique_by=lambda t: (t[0], t[1])))
+def test_totals_match_python_model(spark, cells):
+    columns = TB.local_frame(spark, [
+        ("W1", 1, "March", dt.date(1996, 3, 1), dt.date(1996, 3, 7), False, "Projected"),
+        ("W2", 3, "March", dt.date(1996, 3, 8), dt.date(1996, 3, 14), False, "Projected")],
+        TB.COLUMNS_SCHEMA)
+    ends = {"W1": dt.date(1996, 3, 7), "W2": dt.date(1996, 3, 14)}
+    df = spark.createDataFrame([(ln, c, 1 if c == "W1" else 3, ends[c], "March", "x", None, a)
+                                for ln, c, a in cells], CELLS)
+    got = {(r.report_line, r.report_col): r.amount
+           for r in R.totals_and_closings(df, TB.report_lines(spark), columns, "repaired").collect()}
+    assert got == _model_totals(cells, "repaired")
