@@ -78,7 +78,8 @@ def account_nets(cells: DataFrame) -> DataFrame:
 
 def balance_roll_forward(cells: DataFrame, lines: DataFrame, columns: DataFrame,
                          initial: DataFrame | None = None, clamp: bool = True) -> DataFrame:
-    """Opening and closing cells of every account in every weekly column.
+    """Opening and closing cells of every account in every weekly column, and
+    in every whole-month column (the month's first opening, last closing).
 
     ``initial``: optional ``(account, col_status, opening)`` starting balances
     (account = closing line id); zero when absent. ``clamp=False`` gives the
@@ -112,10 +113,26 @@ def balance_roll_forward(cells: DataFrame, lines: DataFrame, columns: DataFrame,
     order = Window.partitionBy("account", "col_status").orderBy("date1", "col_index")
     g = g.withColumn("opening", F.coalesce(F.lag("closing", 1).over(order), F.col("start")))
     g = g.join(F.broadcast(acc), "account")
+    weekly = g.select("account", "open_line", "report_col", "col_index", "date1", "date2",
+                      "month", "col_status", "opening", "closing")
+    # whole-month columns: the month opens with its first week and closes with its last
+    months = columns.where(F.col("ismonth")).select(
+        F.col("name").alias("m_col"), F.col("col_no").alias("m_index"), F.col("date1").alias("m1"),
+        F.col("date2").alias("m2"), F.col("month").alias("m_month"),
+        F.col("col_status").alias("m_status"))
+    inside = weekly.join(F.broadcast(months), (weekly.col_status == months.m_status)
+                         & (weekly.date1 >= months.m1) & (weekly.date2 <= months.m2))
+    monthly = (inside.groupBy("account", "open_line", "m_col", "m_index", "m2", "m_month")
+               .agg(F.min_by("opening", "date1").alias("opening"),
+                    F.max_by("closing", "date2").alias("closing"))
+               .select("account", "open_line", F.col("m_col").alias("report_col"),
+                       F.col("m_index").alias("col_index"), F.col("m2").alias("date2"),
+                       F.col("m_month").alias("month"), "opening", "closing"))
+    bal = weekly.drop("date1", "col_status").unionByName(monthly)
     ln = lines.select(F.col("name").alias("report_line"), "line_name", "group_no")
 
     def emit(line_col: str, value: str) -> DataFrame:
-        return (g.where(F.col(value) > 0)
+        return (bal.where(F.col(value) > 0)
                 .select(F.col(line_col).alias("report_line"), "report_col", "col_index",
                         F.col("date2").alias("ex_date"), "month",
                         S.round_cell(value, 0).alias("amount"))

@@ -346,14 +346,23 @@ chain_c AS (SELECT *, s - LEAST(0, MIN(s) OVER w) AS closing FROM chain_s
 chain AS (SELECT *, COALESCE(LAG(closing) OVER (PARTITION BY account, col_status
                                                ORDER BY date1, col_index), 0) AS opening
           FROM chain_c),
+mchain AS (SELECT c.account, c.open_line, m.name AS report_col, m.col_no AS col_index, m.date2,
+                  m.month, arg_min(c.opening, c.date1) AS opening,
+                  arg_max(c.closing, c.date2) AS closing
+           FROM chain c JOIN cols_t m ON m.ismonth AND c.col_status = m.col_status
+                AND c.date1 >= m.date1 AND c.date2 <= m.date2
+           GROUP BY c.account, c.open_line, m.name, m.col_no, m.date2, m.month),
+allbal AS (SELECT account, open_line, report_col, col_index, date2, month, opening, closing FROM chain
+           UNION ALL SELECT account, open_line, report_col, col_index, date2, month, opening, closing
+           FROM mchain),
 rolled AS (
   SELECT c.open_line AS report_line, c.report_col, c.col_index, c.date2 AS ex_date, c.month,
          l.line_name, l.group_no, CAST(round_even(c.opening, 0) AS DOUBLE) AS amount
-  FROM chain c JOIN lines_t l ON l.name = c.open_line WHERE c.opening > 0
+  FROM allbal c JOIN lines_t l ON l.name = c.open_line WHERE c.opening > 0
   UNION ALL
   SELECT c.account, c.report_col, c.col_index, c.date2, c.month, l.line_name, l.group_no,
          CAST(round_even(c.closing, 0) AS DOUBLE)
-  FROM chain c JOIN lines_t l ON l.name = c.account WHERE c.closing > 0)"""
+  FROM allbal c JOIN lines_t l ON l.name = c.account WHERE c.closing > 0)"""
 
 
 def q3_roll_forward_sql() -> str:

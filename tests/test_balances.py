@@ -73,3 +73,20 @@ def test_gap_column_and_one_column_account(spark):
     out2 = {(r.report_line, r.report_col): r.amount for r in
             B.balance_roll_forward(cells, TB.report_lines(spark), cols, initial).collect()}
     assert out2[("CFRL0123", "C0")] == 5.0 and out2[("CFRL0188", "C2")] == 5.0   # opening carried
+
+
+def test_month_column_takes_first_opening_and_last_closing(spark):
+    rows_ = [(f"C{i}", 2 * i + 1, "January", dt.date(1996, 1, 1) + dt.timedelta(days=7 * i),
+              dt.date(1996, 1, 7) + dt.timedelta(days=7 * i), False, "Projected") for i in range(3)]
+    rows_.append(("M1", 1001, "January", dt.date(1996, 1, 1), dt.date(1996, 1, 31), True, "Projected"))
+    cols = TB.local_frame(spark, rows_, TB.COLUMNS_SCHEMA)
+    cells = spark.createDataFrame([
+        ("CFRL0132", "C0", 1, dt.date(1996, 1, 7), "January", "in", None, 30.0),
+        ("CFRL0132", "C1", 3, dt.date(1996, 1, 14), "January", "in", None, 12.0),
+        ("CFRL0171", "C2", 5, dt.date(1996, 1, 21), "January", "out", None, 2.0)], CELLS)
+    initial = spark.createDataFrame([("CFRL0185", "Projected", 5.0)],
+                                    "account string, col_status string, opening double")
+    out = {(r.report_line, r.report_col): r.amount for r in
+           B.balance_roll_forward(cells, TB.report_lines(spark), cols, initial).collect()}
+    assert out[("CFRL0120", "M1")] == 5.0           # opening of the first week
+    assert out[("CFRL0185", "M1")] == 45.0          # 5 + 30 + 12 - 2, closing of the last week
