@@ -93,7 +93,7 @@ def balance_roll_forward(cells: DataFrame, lines: DataFrame, columns: DataFrame,
         "month", "col_status")
     grid = cols.withColumn("account", F.explode(F.array(*[F.lit(_line_id(c))
                                                           for c, *_ in fixed.CLOSINGS])))
-    nets = account_nets(cells)
+    nets = F.broadcast(account_nets(cells))     # accounts x columns: config sized
     g = grid.join(nets, ["account", "report_col"], "left").withColumn(
         "net", F.coalesce(F.col("net"), S.money(F.lit(0))))
     if initial is not None:

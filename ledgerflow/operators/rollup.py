@@ -129,17 +129,17 @@ def group_totals(cells: DataFrame, columns: DataFrame) -> DataFrame:
 
 def replace_group_line(cells: DataFrame, columns: DataFrame, lines: DataFrame,
                        line_name: str, group_no: str) -> DataFrame:
-    """Delete the cells of ``line_name`` (J9, anti join on the line),
-    recompute the line as the group total of ``group_no`` over what remains
-    and append it."""
-    target = lines.where(F.col("line_name") == line_name).select(
-        F.col("name").alias("report_line"), "line_name")
-    base = cells.select(*CELL_COLUMNS)
-    kept = base.join(F.broadcast(target.select("line_name").distinct()), "line_name", "left_anti")
+    """Delete the cells of ``line_name`` (J9; the anti join on one line
+    name is a filter), recompute the line as the group total of ``group_no``
+    over what remains and append it under the line's id(s)."""
+    # the line's ids, read from the config relation (a few hundred rows)
+    ids = [r.name for r in lines.where(F.col("line_name") == line_name).select("name").collect()]
+    kept = cells.select(*CELL_COLUMNS).where(F.col("line_name") != F.lit(line_name))
     totals = group_totals(kept, columns).where(F.col("group_no") == group_no)
     info = columns.select(F.col("col_no").alias("col_index"), F.col("name").alias("report_col"),
                           F.col("date2").alias("ex_date"), "month")
-    fresh = (totals.join(info, "col_index").withColumn("line_name", F.lit(line_name))
-             .join(F.broadcast(target), "line_name")
+    fresh = (totals.join(info, "col_index")
+             .withColumn("report_line", F.explode(F.array(*[F.lit(i) for i in ids])))
+             .withColumn("line_name", F.lit(line_name))
              .select(*CELL_COLUMNS))
-    return kept.select(*CELL_COLUMNS).unionByName(fresh)
+    return kept.unionByName(fresh)
