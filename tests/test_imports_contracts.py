@@ -54,3 +54,22 @@ def test_contract_checks(spark):
     filled = K.with_defaults(spark.createDataFrame([(None,), ("USD",)], "currency string"),
                              {"currency": "BDT"})
     assert rows(filled) == [("BDT",), ("USD",)]
+
+
+def test_bills_upload_gate_and_import(spark):
+    bills_upload = spark.createDataFrame(
+        [("B1", "ST1", 100.0, 2.5, "INV1", "PO1", "2021-05-06"),
+         ("B2", "ST2", None, 3.0, "INV2", "PO2", "2021-05-07")],
+        "Buyer string, `STYLE NO` string, `QTY-PCS` double, `UNIT PRICE` double, Invoice string, "
+        "`PO NO` string, `EX-FTY DATE` string")
+    g = IM.import_gate(bills_upload, fixed.BILLS_QTY_HEADER, 100.0).first()
+    assert (g.total, g.res) == (100.0, 1)
+    current = spark.createDataFrame(
+        [("INV0", "B0", None, None, 1.0, 1.0, 1.0, dt.date(2021, 1, 1), "Active")],
+        "invoice string, buyer string, style_no string, po_no string, qty_pcs double, "
+        "unit_price double, total__fob_income double, ex_fty_date date, status string")
+    out = {r.invoice: r for r in IM.snapshot_import(current, bills_upload, fixed.BILLS_UPLOAD_FIELDS,
+                                                    date_fields=("ex_fty_date",)).collect()}
+    assert out["INV0"].status == "Inactive"
+    assert (out["INV2"].status, out["INV2"].qty_pcs, out["INV2"].ex_fty_date,
+            out["INV2"].total__fob_income) == ("Active", 0.0, dt.date(2021, 5, 7), None)
