@@ -6,7 +6,7 @@ lookup).
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +36,17 @@ class ReportInputs:
     lines: DataFrame
     columns: DataFrame
     usd_rate: object = fixed.DEFAULT_SETTINGS["usd_rate"]     # number or scalar Column
+    plans: dict = field(default_factory=dict, repr=False)     # lazy plans built once
 
     def sources(self, prune: bool = True) -> DataFrame:
         """All ledgers as one long frame, limited to the columns' date span."""
-        window = RU.column_span(self.columns) if prune else None
-        return RU.report_sources(self.income_forecast, self.income_actual, self.expenses_forecast,
-                                 self.expenses_actual, self.shipments, self.final_proj_income,
-                                 window)
+        key = ("sources", prune)
+        if key not in self.plans:
+            window = RU.column_span(self.columns) if prune else None
+            self.plans[key] = RU.report_sources(
+                self.income_forecast, self.income_actual, self.expenses_forecast,
+                self.expenses_actual, self.shipments, self.final_proj_income, window)
+        return self.plans[key]
 
 
 _INPUTS: dict[tuple, ReportInputs] = {}
@@ -115,8 +119,11 @@ def _receipts_in_reach(terms: DataFrame, forecast: DataFrame, bills: DataFrame,
 
 
 def base_cells(inp: ReportInputs) -> DataFrame:
-    """Q1."""
-    return RU.base_cells(inp.sources(), inp.rules, inp.lines, inp.columns, inp.usd_rate)
+    """Q1 (the lazy plan; every action runs it afresh)."""
+    if "cells" not in inp.plans:
+        inp.plans["cells"] = RU.base_cells(inp.sources(), inp.rules, inp.lines, inp.columns,
+                                           inp.usd_rate)
+    return inp.plans["cells"]
 
 
 def stored_cells(inp: ReportInputs) -> DataFrame:
