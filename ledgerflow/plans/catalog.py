@@ -48,11 +48,13 @@ _VIEWS: dict[tuple, DataFrame] = {}
 
 
 def _view(name: str, spark, d, build) -> DataFrame:
+    """The view's plan is built once; every call gets a new DataFrame over it,
+    so no query reuses another query's executed stages."""
     key = (name, id(spark), d)
     df = _VIEWS.get(key)
     if df is None or df.sparkSession is not spark:
         df = _VIEWS[key] = build()
-    return df
+    return df.select("*")
 
 
 def terms(spark, d):

@@ -119,11 +119,13 @@ def _receipts_in_reach(terms: DataFrame, forecast: DataFrame, bills: DataFrame,
 
 
 def base_cells(inp: ReportInputs) -> DataFrame:
-    """Q1 (the lazy plan; every action runs it afresh)."""
+    """Q1. The plan is built once per inputs; each call returns a new
+    DataFrame over it, so every query executes it afresh (no shuffle output
+    of an earlier query is reused)."""
     if "cells" not in inp.plans:
         inp.plans["cells"] = RU.base_cells(inp.sources(), inp.rules, inp.lines, inp.columns,
                                            inp.usd_rate)
-    return inp.plans["cells"]
+    return inp.plans["cells"].select("*")
 
 
 def stored_cells(inp: ReportInputs) -> DataFrame:
