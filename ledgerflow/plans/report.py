@@ -159,7 +159,7 @@ def full_report(inp: ReportInputs, initial: DataFrame | None = None) -> DataFram
     (openings and closings), then the roll-up totals over both."""
     base = stored_cells(inp)
     chain = B.balance_roll_forward(base, inp.lines, inp.columns, initial)
-    cells = base.unionByName(chain)  # the chain is a window over config-sized rows
+    cells = materialize(base.unionByName(chain))   # every roll-up level reads it again
     tot = R.totals_and_closings(cells, inp.lines, inp.columns, "repaired", closings=False)
     return cells.unionByName(tot)
 
