@@ -34,34 +34,40 @@ def _value_counts(df: DataFrame, field: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("rows")))
 
 
-def _violations(bad: DataFrame, table: str, check: str, field: str) -> DataFrame:
-    counts = bad.groupBy(field).agg(F.count(F.lit(1)).alias("rows"))
-    return _label(counts, table, check, field)
-
-
 def required(df: DataFrame, table: str, fields: Iterable[str]) -> DataFrame:
-    """K1: rows with a NULL (or empty text) in a required field."""
-    out = None
+    """K1: rows with a NULL (or empty text) in a required field. All fields of
+    the table are checked in one scan."""
+    checks = []
     for f in fields:
         c = F.col(f)
         empty = c.isNull()
         if isinstance(df.schema[f].dataType, T.StringType):
             empty = empty | (F.trim(c) == "")
-        v = _violations(df.where(empty).select(f), table, "required", f)
-        out = v if out is None else out.unionByName(v)
-    return out
+        checks.append(F.when(empty, F.struct(F.lit(f).alias("field"),
+                                             c.cast("string").alias("value"))))
+    bad = (df.select(F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("v"))
+           .select("v.field", "v.value"))
+    counts = bad.groupBy("field", "value").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.select(F.lit(table).alias("table"), F.lit("required").alias("check"),
+                         "field", "value", "rows")
 
 
 def allowed_values(df: DataFrame, table: str, options: Mapping[str, Sequence[str]]) -> DataFrame:
-    """K2: values outside a field's closed option list (NULL is not checked)."""
+    """K2: values outside a field's closed option list (NULL is not checked).
+    All fields of the table are checked in one scan: each row yields its
+    (field, value) pairs, counted per distinct pair map-side, then anti-joined
+    with the option lists (config sized, broadcast)."""
     spark = df.sparkSession
-    out = None
-    for f, values in options.items():
-        opts = local_frame(spark, [(v,) for v in dict.fromkeys(values)], f"{f} string")
-        bad = _value_counts(df, f).join(F.broadcast(opts), f, "left_anti")
-        v = _label(bad, table, "option", f)
-        out = v if out is None else out.unionByName(v)
-    return out
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"))
+                      for f in options])
+    vals = (df.select(F.explode(pairs).alias("p")).select("p.field", "p.value")
+            .where(F.col("value").isNotNull()))
+    counts = vals.groupBy("field", "value").agg(F.count(F.lit(1)).alias("rows"))
+    opts = local_frame(spark, [(f, v) for f, values in options.items()
+                               for v in dict.fromkeys(values)], "field string, value string")
+    bad = counts.join(F.broadcast(opts), ["field", "value"], "left_anti")
+    return bad.select(F.lit(table).alias("table"), F.lit("option").alias("check"),
+                      "field", "value", "rows")
 
 
 def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:

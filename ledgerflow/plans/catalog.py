@@ -329,7 +329,10 @@ def k2(spark, d):
     tables = dict(_ledgers(spark, d), shipments=fx.shipments(spark, d),
                   shipment_forecast=fx.shipment_forecast(spark, d),
                   bills_under_collection=fx.bills_under_collection(spark, d))
-    return _union(K.allowed_values(tables[t], t, {f: opts}) for t, f, opts in O.k2_checks())
+    by_table: dict[str, dict[str, list[str]]] = {}
+    for t, f, opts in O.k2_checks():
+        by_table.setdefault(t, {})[f] = opts
+    return _union(K.allowed_values(tables[t], t, fields) for t, fields in by_table.items())
 
 
 @register("k4_unique_keys", O.k4_sql)
