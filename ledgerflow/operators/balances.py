@@ -130,11 +130,12 @@ def balance_roll_forward(cells: DataFrame, lines: DataFrame, columns: DataFrame,
                        F.col("m_month").alias("month"), "opening", "closing"))
     bal = weekly.drop("date1", "col_status").unionByName(monthly)
     ln = lines.select(F.col("name").alias("report_line"), "line_name", "group_no")
-
-    def emit(line_col: str, value: str) -> DataFrame:
-        return (bal.where(F.col(value) > 0)
-                .select(F.col(line_col).alias("report_line"), "report_col", "col_index",
-                        F.col("date2").alias("ex_date"), "month",
-                        S.round_cell(value, 0).alias("amount"))
-                .join(ln, "report_line").select(*CELL_COLUMNS))
-    return emit("open_line", "opening").unionByName(emit("account", "closing"))
+    # one pass: each balance row yields its opening cell and its closing cell
+    both = bal.select("report_col", "col_index", "date2", "month", F.explode(F.array(
+        F.struct(F.col("open_line").alias("line"), F.col("opening").alias("v")),
+        F.struct(F.col("account").alias("line"), F.col("closing").alias("v")))).alias("e"))
+    return (both.where(F.col("e.v") > 0)
+            .select(F.col("e.line").alias("report_line"), "report_col", "col_index",
+                    F.col("date2").alias("ex_date"), "month",
+                    S.round_cell(F.col("e.v"), 0).alias("amount"))
+            .join(F.broadcast(ln), "report_line").select(*CELL_COLUMNS))
