@@ -149,7 +149,9 @@ def openings(inp: ReportInputs, cells: DataFrame | None = None) -> DataFrame:
 
 def balances(inp: ReportInputs, cells: DataFrame | None = None,
              initial: DataFrame | None = None) -> DataFrame:
-    """Repaired Q2+Q3 for the accounts: the clamped balance chain."""
+    """Repaired Q2+Q3 for the accounts: the clamped balance chain. The cells
+    are checkpointed first: the weekly chain feeds both the weekly and the
+    month columns, so the plan reads them more than once."""
     cells = stored_cells(inp) if cells is None else cells
     return B.balance_roll_forward(cells, inp.lines, inp.columns, initial)
 
