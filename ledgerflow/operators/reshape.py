@@ -19,11 +19,16 @@ QUARTER_COLUMNS = ("Apr", "May", "Jun")
 
 
 def sheet_region(df: DataFrame, first_row: int, last_row: int,
-                 drop: Iterable[str] = QUARTER_COLUMNS, row_col: str = "row_no") -> DataFrame:
+                 drop: Iterable[str] = QUARTER_COLUMNS, row_col: str = "row_no",
+                 from_column: int = 0) -> DataFrame:
     """S4 + F10: rows ``first_row..last_row`` (inclusive, by ``row_col``),
-    without the subtotal columns in ``drop`` and without ``row_col``."""
-    keep = [c for c in df.columns if c not in set(drop) and c != row_col]
-    return df.where(F.col(row_col).between(first_row, last_row)).select(*keep)
+    without the subtotal columns in ``drop``, without ``row_col``, and
+    without the first ``from_column`` sheet columns (leading serial-number or
+    account columns, counted after ``row_col``)."""
+    sheet_cols = [c for c in df.columns if c != row_col][from_column:]
+    keep = [c for c in sheet_cols if c not in set(drop)]
+    return (df.where(F.col(row_col).between(first_row, last_row))
+            .select(*[F.col(f"`{c}`") for c in keep]))
 
 
 def normalise_headers(df: DataFrame) -> DataFrame:
@@ -47,10 +52,12 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None
 
 def load_sheet_region(df: DataFrame, first_row: int, last_row: int,
                       drop: Iterable[str] = QUARTER_COLUMNS,
-                      ids: Sequence[str] = ("Descriptio", "Unit")) -> DataFrame:
+                      ids: Sequence[str] = ("Descriptio", "Unit"),
+                      from_column: int = 0) -> DataFrame:
     """Q14: region -> 10-character headers -> long fact
     ``(Descriptio, Unit, variable DATE, value)``."""
-    region = normalise_headers(sheet_region(df, first_row, last_row, drop))
+    region = normalise_headers(sheet_region(df, first_row, last_row, drop,
+                                            from_column=from_column))
     long = wide_to_long(region, list(ids))
     return long.withColumn("variable", to_day("variable"))
 

@@ -41,3 +41,11 @@ def test_pivot_round_trip_and_duplicate_key(spark):
     dup = long.unionByName(spark.createDataFrame([("w1", "a", 9.0)], long.schema))
     with pytest.raises(Exception):
         RS.long_to_wide(dup, "variable", "Descriptio", "value", ["a", "b"]).collect()
+
+
+def test_region_skips_leading_columns(spark):
+    df = spark.createDataFrame([(1, "01", "ACC", "Rent", "BDT", 4.0, None)],
+                               "row_no int, SL string, ACC string, Description string, Unit string, "
+                               "`2021-03-06` double, Apr double")
+    long = RS.load_sheet_region(df, 1, 1, from_column=2)
+    assert [tuple(r) for r in long.collect()] == [("Rent", "BDT", dt.date(2021, 3, 6), 4.0)]
