@@ -58,12 +58,22 @@ def ledger_view(df: DataFrame, source: str, head: str | Column = "expenses_head"
 
 
 def shipment_views(shipments: DataFrame, window=None) -> DataFrame:
-    """Actual shipments as two sources: quantity and FOB value."""
+    """Actual shipments as two sources, quantity and FOB value, from one scan:
+    every shipment row yields its quantity row and its value row."""
     actual = shipments.where(F.col("shipment_type") == "Actual")
-    return (ledger_view(actual, "shipments_qty", F.lit("Shipped Qty"), None, "shipment_date",
-                        "week_date", "quentity", window)
-            .unionByName(ledger_view(actual, "shipments_fob", F.lit("Shipped FOB"), None,
-                                     "shipment_date", "week_date", "amount", window)))
+    has_week = "week_date" in actual.columns
+    if window is not None:
+        actual = actual.where(in_window("shipment_date", "week_date" if has_week else None, window))
+    variable = (F.coalesce(F.col("week_date"), F.col("shipment_date")) if has_week
+                else F.col("shipment_date"))
+    pairs = F.explode(F.array(
+        F.struct(F.lit("shipments_qty").alias("source"), F.lit("Shipped Qty").alias("Descriptio"),
+                 F.col("quentity").cast("double").alias("amount")),
+        F.struct(F.lit("shipments_fob").alias("source"), F.lit("Shipped FOB").alias("Descriptio"),
+                 F.col("amount").cast("double").alias("amount"))))
+    return (actual.select(variable.cast("date").alias("variable"), pairs.alias("p"))
+            .select("p.source", "p.Descriptio", F.lit(None).cast("string").alias("account"),
+                    "variable", "p.amount"))
 
 
 def projected_income_view(final_proj_income: DataFrame, window=None) -> DataFrame:
