@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from ledgerflow.plans import catalog as E
 from ledgerflow.sources.tables import DRIVER_TABLES
 
 SF = os.environ.get("LEDGERFLOW_TEST_SF", "/root/testdata/sf0.001")
