@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerflow.llm import dac_tokens, decontaminate, source_mix, unigram_count
-from ledgerflow.llm.common import table
+from ledgerflow.llm import dac_tokens, decontaminate, language_id, license_scan, multiset_fingerprint, source_mix, toxicity, unigram_count
+from ledgerflow.llm.common import id_crc32, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,25 +20,60 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in whole texts."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and best scores of whole texts under a unigram vocabulary."""
     return unigram_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole texts and of their edited texts."""
+    return multiset_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of whole texts inside occurrences of benchmark windows."""
     return decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of whole restored texts; labels of held-out documents are not learned."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn_from=toxicity.fifth() != 0)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (toxicity.fifth() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of whole texts; held-out documents are not learned."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.predict(docs, language_id.train(language_id.labelled(docs)))
+    return out.select("doc_id", (F.pmod(id_crc32(), F.lit(4)) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return source_mix.taken_words(table(spark, sf_dir, "documents"))
 
 
+def _shipped(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     """Name -> query, each over its whole tables."""
-    found = [op1_token_output, op5_token_counts, op7_benchmark_decontamination, op10_source_mix]
-    return {f.__name__: f for f in found}
+    found = [op1_token_output, op2_license_scan, op5_token_counts, op6_multiset_fingerprint, op7_benchmark_decontamination,
+             op8_toxicity, op9_language_id, op10_source_mix]
+    return {f.__name__: _shipped(f) for f in found}
 
 
 OP7_SQL = r"""
@@ -65,6 +102,41 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hi
 from d left join words using (r) left join items using (r)
 """
 
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op2_sql() -> str:
+    """Every block against every template, without any filter."""
+    templates = ", ".join(f"({k}, '{label}', {list(dict.fromkeys(text.split()))})" for k, (label, text) in enumerate(license_scan.TEMPLATES))
+    phrases = ", ".join(f"({phrase.split()}, '{label}')" for phrase, label in license_scan.PHRASES)
+    stride = license_scan.STRIDE
+    return rf"""
+with d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+phrases(p, label) as (values {phrases}),
+base as (
+  select r, k, label from d, phrases, unnest(range(0, len(w))) as t(k) where w[k + 1:k + len(p)] = p),
+t(id, label, words) as (values {templates}),
+blocks as (
+  select r, b, w[b * {stride} + 1:(b + 2) * {stride}] as own
+  from d, unnest(range(0, greatest(cast(ceil(len(w) / {stride}.0) as bigint) - 2, 0) + 1)) as u(b) where len(w) > 0),
+met as (
+  select r, b, id, label, words, len(list_intersect(words, own)) * 1.0e0 / len(words) as c
+  from blocks, t where len(list_intersect(words, own)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)),
+kept as (
+  select * from met m where not exists (
+    select 1 from met o where o.r = m.r and o.b = m.b and len(o.words) > len(m.words) and list_has_all(o.words, m.words))),
+per_base as (select r, count(*) as n_base, min(k) as first_word, max(k) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base group by r),
+per_met as (select r, max(c) as c from met group by r),
+names as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from base union all select r, label from kept) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+       case when n_base > 0 then 1.0e0 else coalesce(c, 0) end as score
+from d left join per_base using (r) left join per_met using (r) left join names using (r)
+"""
+
+
 OP10_SQL = r"""
 with d as (
   select row_number() over () as r, doc_id, source, md5('mix-1|' || coalesce(cast(doc_id as varchar), '')) as place,
@@ -110,4 +182,4 @@ from laid left join taken using (r)
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op7_benchmark_decontamination": OP7_SQL, "op10_source_mix": OP10_SQL}
+    return {"op2_license_scan": op2_sql(), "op7_benchmark_decontamination": OP7_SQL, "op10_source_mix": OP10_SQL}
