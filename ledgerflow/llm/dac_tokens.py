@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import pieces, stored
+from ledgerflow.llm.common import LOWER, pieces, stored
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
@@ -49,6 +49,10 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks between blanks that a worker remembers with their ids.
 CACHE_CHUNKS = 1_000_000
+END_OF_WORD = "</w>"
+WORDS_AT_ONCE = 500
+#: ASCII signs that are neither letters, digits nor blanks.
+SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 SEGMENT_SCHEMA = "range int, seq int, n_ids long, segment binary"
 
 
@@ -63,7 +67,13 @@ class Encoder:
     """Texts to ids. Blanks (ASCII white space) are dropped by this tokenizer and
     nothing it does looks across them (``splits_on_blanks`` checks the file), so a
     text's ids are those of its chunks in a row; chunks are remembered as packed
-    u32. A file that keeps white space is applied to whole texts."""
+    u32. A file that keeps white space is applied to whole texts.
+
+    A new chunk is its core and the ASCII signs after it, which the tokenizer parts in
+    the same place if the core ends in a letter or digit and there is no apostrophe
+    (contractions) and no special token. Cores
+    of ASCII letters are one word each; many are encoded at once, a blank between, and
+    told apart by the tokens that end a word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -72,24 +82,71 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_chunk = splits_on_blanks(path)
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_words(self, words: list[bytes]) -> None:
+        """Ids of words of ASCII letters, ``WORDS_AT_ONCE`` in a call."""
+        groups = [words[at:at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
+        for group, ids in zip(groups, self.encode([b" ".join(g).decode() for g in groups])):
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(group):
+                data, at = ids.tobytes(), 0
+                for word, end in zip(group, (4 * cut).tolist()):
+                    self.cores[word] = data[at:end]
+                    at = end
+            else:
+                self.cores.update((w, i.tobytes()) for w, i in zip(group, self.encode([w.decode() for w in group])))
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Ids of new chunks."""
+        if len(self.cores) > CACHE_CHUNKS // 2:
+            self.cores.clear()
+        parts = {}
+        for c in chunks:
+            low = c.translate(LOWER)
+            core = low.rstrip(SIGNS)
+            tail = low[len(core):]
+            parted = tail and b"'" not in tail and ends_in_letter(core)
+            parts[c] = (c,) if b"<|" in c else (core, tail) if parted else (low,)
+        new = {p for both in parts.values() for p in both if p not in self.cores}
+        words = [p for p in new if p.isalpha() and p.islower()]
+        self.learn_words(words)
+        rest = [p for p in new if p not in self.cores]
+        for at in range(0, len(rest), 5000):
+            some = rest[at:at + 5000]
+            self.cores.update((p, i.tobytes()) for p, i in zip(some, self.encode([p.decode() for p in some])))
+        self.known.update((c, b"".join(self.cores[p] for p in both)) for c, both in parts.items())
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Packed u32 ids of each text."""
         if not self.by_chunk:
-            found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
-            return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+            return [i.tobytes() for i in self.encode([t.decode() for t in texts])]
         split = [t.split() for t in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
         known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
-        for at in range(0, len(new), 5000):
-            part = new[at:at + 5000]
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, found))
+        new = {c for chunks in split for c in chunks if c not in known}
+        if new:
+            self.learn(list(new))
         get = known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
 
+def ends_in_letter(core: bytes) -> bool:
+    """Whether the last character is an ASCII letter or digit, or a letter that lower case
+    leaves one character."""
+    if not core or core[-1] < 128:
+        return core[-1:].isalnum()
+    last = core[-4:].decode(errors="ignore")[-1:]
+    return last.isalpha() and len(last.lower()) == 1
+
+
 def splits_on_blanks(path: str) -> bool:
     """Whether the tokenizer file drops white space before its words are made and
     has no token that holds or strips any."""
