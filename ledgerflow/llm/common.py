@@ -15,6 +15,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,3 +125,143 @@ def alnum_words(text: bytes) -> list[bytes]:
 def id_crc32(column: str = "doc_id"):
     """crc32 of an id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+# ---- hashed words of many texts at once -------------------------------------------
+
+_U = np.uint64
+_RNG = np.random.Generator(np.random.PCG64(20240229))
+#: A random number for each byte, none for blanks; the base of the polynomial, odd, and its inverse mod 2^64.
+_BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
+_BYTE[[9, 10, 11, 12, 13, 32]] = 0
+_BASE = int(_RNG.integers(1, 2**64, dtype=np.uint64)) | 1
+_ODD = _RNG.integers(1, 2**64, 64, dtype=np.uint64) | _U(1)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_powers: list[np.ndarray] = []
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that spreads each bit over all."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for ``n`` places at least."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.cumprod(np.concatenate([[_U(1)], np.full(max(n, PIECE_BYTES) - 1, _U(b))]), dtype=np.uint64)
+                      for b in (_BASE, pow(_BASE, -1, 2**64))]
+    return _powers[0], _powers[1]
+
+
+def blank_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (``blank_words``) of the texts in a row, and where
+    each text's begin, with the end. A word's hash is a polynomial over its bytes modulo
+    2^64, mixed: the difference of two running sums."""
+    data = b"\n".join(texts).translate(LOWER) + b"\n"
+    cuts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    parts, starts_of = [], []
+    at = 0
+    while at < len(data):
+        end = min(at + PIECE_BYTES, len(data))
+        while end < len(data) and not _BLANK[data[end - 1]]:  # not inside a word
+            end = data.find(b"\n", end) + 1 if end - at > 2 * PIECE_BYTES else end + 1
+        b = np.frombuffer(data, np.uint8, end - at, at)
+        word = ~_BLANK[b]
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        edge = np.concatenate([[0], edge]) if word[0] else edge  # every part ends in a blank
+        power, inverse = _powers_of(len(b))
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTE[b] * power[:len(b)], out=total[1:])
+        first, last = edge[::2], edge[1::2]
+        parts.append(mixed((total[last] - total[first]) * inverse[first]))
+        starts_of.append(first + at)
+        at = end
+    hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return hashes, np.searchsorted(np.concatenate(starts_of) if starts_of else np.zeros(0, int), cuts)
+
+
+def shingles(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
+    """Each text's set of hashed ``n``-word shingles, ascending; with fewer words the
+    whole sequence is one; without words the set is empty."""
+    hashes, at = blank_word_hashes(texts)
+    m = max(len(hashes) - n + 1, 0)
+    runs = np.full(m, _U(n))
+    for k in range(n):
+        runs += hashes[k:k + m] * _ODD[k]
+    runs = mixed(runs)
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        if b - a >= n:
+            own = np.sort(runs[a:b - n + 1])
+            keep = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=keep[1:])
+            out.append(own[keep])
+        elif b > a:
+            few = _U(b - a) + (hashes[a:b] * _ODD[:b - a]).sum(dtype=np.uint64)
+            out.append(mixed(np.array([few], np.uint64)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+# ---- ids as a bounded bitmap -------------------------------------------------------
+
+
+class IdFilter:
+    """A bitmap over hashed ids: says yes to every id put in and to few others. It has 16
+    places per id, ``MOST_BITS`` at most, so it can be broadcast at any size of the input;
+    beyond that bound it only says yes more often. Use it to leave out work, not rows of
+    a result."""
+
+    MOST_BITS = 1 << 29
+
+    def __init__(self, bits: int, parts: list[bytes]):
+        self.bits = bits
+        self.map = np.frombuffer(b"".join(parts), np.uint8)
+
+    @staticmethod
+    def place(ids: np.ndarray, bits: int) -> np.ndarray:
+        return (mixed(ids.astype(np.uint64) + _U(1)) & _U(bits - 1)).astype(np.int64)
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        at = self.place(ids, self.bits)
+        return (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    @classmethod
+    def of(cls, ids: DataFrame) -> IdFilter:
+        """From a one-column DataFrame of longs. Pieces of the bitmap are made by tasks;
+        only they come to the driver."""
+        name, n = ids.columns[0], ids.count()
+        bits = min(cls.MOST_BITS, max(1 << 16, 1 << (16 * max(n, 1) - 1).bit_length()))
+        width = min(bits, 1 << 22)
+        place = cls.place
+
+        def places(batches):
+            for b in batches:
+                at = np.unique(place(b.column(0).to_numpy(zero_copy_only=False), bits))
+                yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array(at % width)], ["piece", "at"])
+
+        def maps(batches):
+            own = {}
+            for b in batches:
+                piece, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+                for p in np.unique(piece).tolist():
+                    own.setdefault(p, np.zeros(width, bool))[at[piece == p]] = True
+                if len(own) > 8:
+                    yield cls._rows(own)
+                    own = {}
+            yield cls._rows(own)
+
+        found = ids.where(F.col(name).isNotNull()).mapInArrow(places, "piece int, at long").repartition("piece")
+        out = np.zeros((bits // width, width // 8), np.uint8)
+        for r in found.mapInArrow(maps, "piece int, map binary").toLocalIterator():
+            out[r["piece"]] |= np.frombuffer(bytes(r["map"]), np.uint8)
+        return cls(bits, [out.tobytes()])
+
+    @staticmethod
+    def _rows(own) -> pa.RecordBatch:
+        maps = [np.packbits(m, bitorder="little").tobytes() for m in own.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array(maps, pa.binary())], ["piece", "map"])
