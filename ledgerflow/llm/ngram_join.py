@@ -242,7 +242,7 @@ def meetings(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("leader").agg(F.count("*").alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / GROUP_DOCS).cast("int")
     rows = members.join(sizes, "leader").select("leader", "doc_id", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)  # its own block is one of them
     rows = rows.select("leader", "doc_id", "block", F.explode(others).alias("other"))
     return rows.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id")
 
