@@ -380,9 +380,9 @@ def group_links(ids: list[int], blocks: list[int], bodies: list[bytes], apart: b
     return out
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b): links that connect all that is connected."""
-    members = stored(memberships(sets), "ngram-members")
+def links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that connect all that is connected, from stored memberships
+    (leader, doc_id) and sets (doc_id, body)."""
     wanted = IdFilter.of(members.select("doc_id").distinct())
     rows = meetings(members).join(only(sets.select("doc_id", "body"), wanted), "doc_id")
     dealt = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
@@ -426,7 +426,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     first = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "ngram-firsts")
     same = sets.select("doc_id", "digest").join(first, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     reps = only(sets, IdFilter.of(first.select("rep")))
-    found = components(same.unionAll(links(reps)), "ngram-links")
+    found = components(same.unionAll(links(stored(memberships(reps), "ngram-members"), reps)), "ngram-links")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import dac_tokens, decontaminate, language_id, license_scan, multiset_fingerprint, ngram_join, source_mix, toxicity, unigram_count
+from ledgerflow.llm import dac_tokens, decontaminate, language_id, license_scan, multiset_fingerprint, ngram_join, paragraph_dedup, source_mix, toxicity, unigram_count
 from ledgerflow.llm.common import id_crc32, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.cluster(table(spark, sf_dir, "documents"))
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents, per document."""
+    return paragraph_dedup.cluster(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and best scores of whole texts under a unigram vocabulary."""
     return unigram_count.count_tokens(table(spark, sf_dir, "documents"))
@@ -77,7 +82,7 @@ def _shipped(query: Query) -> Query:
 
 def queries() -> dict[str, Query]:
     """Name -> query, each over its whole tables."""
-    found = [op1_token_output, op2_license_scan, op3_ngram_join, op5_token_counts, op6_multiset_fingerprint, op7_benchmark_decontamination,
+    found = [op1_token_output, op2_license_scan, op3_ngram_join, op4_paragraph_dedup, op5_token_counts, op6_multiset_fingerprint, op7_benchmark_decontamination,
              op8_toxicity, op9_language_id, op10_source_mix]
     return {f.__name__: _shipped(f) for f in found}
 
