@@ -87,8 +87,10 @@ def stretches(per_source: DataFrame) -> DataFrame:
 
 def schedule(plan: DataFrame) -> DataFrame:
     """The mix: slot, source_no, epoch, block, in any order of rows."""
+    # few rows that become many: a given number of partitions is not merged into fewer
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = plan.agg(F.max("slots").alias("slots")).where("slots > 0").select(
-        "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {RUN})")).alias("run")).repartition("run")
+        "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {RUN})")).alias("run")).repartition(tasks, "run")
     slots = runs.select("run", F.explode(F.expr(f"sequence(run * {RUN}, least((run + 1) * {RUN}, slots) - 1)")).alias("slot"))
     slots = slots.withColumn("point", F.expr(f"((slot % {POINTS}) * {MULTIPLIER}) % {POINTS}"))
     slots = slots.withColumn("cell", F.expr(f"point div {CELL_POINTS}"))
@@ -147,7 +149,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     text cut to the words taken (words joined by blanks where it is cut), all columns of
     ``docs``. ``n_chars`` follows the text."""
     columns = docs.columns
-    sized = laid_out(docs)
+    whole = docs.withColumn("__row", F.struct(*columns)).select("__row", "doc_id", "source", "text")
+    sized = laid_out(whole).select("__row", "doc_id", "__source", "__size", "__place", "__tie")
     few = stored(sized.select("__source", "__size"), "mix-sizes")
     plan = stored(stretches(targets(few)), "mix-plan")
     rows = placed(sized, plan).where("__size > 0")
@@ -155,8 +158,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         schedule(plan), ["source_no", "block"]).groupBy("source_no", "__begin", "epoch").agg(F.sum("words").alias("__taken"))
     taken = taken.select(F.col("source_no").alias("__of"), F.col("__begin").alias("__at"), "__taken")
     out = rows.join(taken, (F.col("source_no") == F.col("__of")) & (F.col("__begin") == F.col("__at")))
-    first_words = F.expr(r"concat_ws(' ', slice(filter(split(cast(text as string), '[\\x20\\x09-\\x0D]+'), w -> w != ''), 1, cast(__taken as int)))")
-    out = out.withColumn("text", F.when(F.col("__taken") >= F.col("__size"), F.col("text")).otherwise(first_words))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    text = F.col("__row")["text"].cast("string")
+    first_words = F.concat_ws(" ", F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("__taken").cast("int")))
+    out = out.withColumn("__text", F.when(F.col("__taken") >= F.col("__size"), text).otherwise(first_words))
+    new = {"text": F.col("__text"), "n_chars": F.char_length("__text")}
+    return out.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("__row")[c].alias(c) for c in columns))
