@@ -45,7 +45,6 @@ BUCKET_DIGITS = 3
 SEED = "mix-1"
 WORD_COUNT = r"regexp_count(coalesce(cast({0} as string), ''), '[^\\x20\\x09-\\x0D]+')"
 ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
-_BY_NAME = Window.orderBy(F.col("__source").asc_nulls_last())
 
 
 def laid_out(docs: DataFrame) -> DataFrame:
@@ -56,12 +55,17 @@ def laid_out(docs: DataFrame) -> DataFrame:
         "__place": F.md5(seeded), "__tie": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
+def _by_name():
+    """Sources in code point order, null last: one row for each."""
+    return Window.orderBy(F.col("__source").asc_nulls_last())
+
+
 def targets(sized: DataFrame) -> DataFrame:
     """One row per source: __source, source_size, weight, target. Sources in the order
     of stop / weight are stopped as long as the level of those left is above; the
     windows hold one row per source."""
     per = sized.groupBy("__source").agg(F.sum("__size").alias("source_size"))
-    turn = (F.row_number().over(_BY_NAME) - 1) % len(WEIGHTS) + 1
+    turn = (F.row_number().over(_by_name()) - 1) % len(WEIGHTS) + 1
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), turn.cast("int")))
     stop = F.col("source_size") * MAX_EPOCHS
     fill = Window.orderBy(stop / F.col("weight"), F.col("__source").asc_nulls_last())
@@ -77,11 +81,11 @@ def targets(sized: DataFrame) -> DataFrame:
 def stretches(per_source: DataFrame) -> DataFrame:
     """Targets with the source's stretch [lo, hi) of the points, its blocks, and the
     slots of the whole mix."""
-    upto = F.sum("target").over(_BY_NAME.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("target").over(_BY_NAME.rowsBetween(*ALL))
+    upto = F.sum("target").over(_by_name().rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("target").over(_by_name().rowsBetween(*ALL))
     hi = F.when(total > 0, F.floor(upto / total * POINTS + 0.5)).otherwise(0).cast("long")
-    out = per_source.withColumns({"hi": hi, "source_no": F.row_number().over(_BY_NAME), "slots": F.ceil(total / BLOCK).cast("long")})
-    return out.withColumns({"lo": F.coalesce(F.lag("hi").over(_BY_NAME), F.lit(0).cast("long")),
+    out = per_source.withColumns({"hi": hi, "source_no": F.row_number().over(_by_name()), "slots": F.ceil(total / BLOCK).cast("long")})
+    return out.withColumns({"lo": F.coalesce(F.lag("hi").over(_by_name()), F.lit(0).cast("long")),
                             "blocks": F.expr(f"(source_size + {BLOCK - 1}) div {BLOCK}")})
 
 
