@@ -3,6 +3,7 @@ import itertools
 import random
 import re
 
+from llm_cases import nothing, odd  # noqa: F401  fixtures
 from ledgerflow.llm import decontaminate, license_scan, ngram_join, paragraph_dedup
 from ledgerflow.llm.common import alnum_words, blank_words
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 
+from llm_cases import nothing, odd, sf  # noqa: F401  fixtures
 from ledgerflow.llm import language_id, source_mix, toxicity
 from ledgerflow.llm import multiset_fingerprint as fp
 from ledgerflow.llm import queries as Q

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from llm_cases import duck, nothing, odd, sf  # noqa: F401  fixtures
 import __spark_entry__ as E
 import corpus_pipeline
 from ledgerflow.llm import queries as Q

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer, models
 
+from llm_cases import nothing, odd, sf  # noqa: F401  fixtures
 from ledgerflow.llm import dac_tokens as D
 from ledgerflow.llm import unigram_count as U
 
