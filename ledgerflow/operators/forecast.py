@@ -27,10 +27,16 @@ ACCOUNT_NAMES = [d for _, d in fixed.ACCOUNTS]
 
 
 # Q16 / P2 ----------------------------------------------------------------------
-def refresh_forecast_fields(sf: DataFrame) -> DataFrame:
-    """Derive the working fields of a forecast line from the imported ones."""
+def refresh_forecast_fields(sf: DataFrame, mode: str = "repaired") -> DataFrame:
+    """Derive the working fields of a forecast line from the imported ones.
+    An import fills ``fob_price`` and leaves ``fobpc`` empty; ``literal``
+    overwrites the price with ``fobpc`` all the same, ``repaired`` keeps the
+    imported price and quantity where the working ones are missing."""
     qty = S.number_of(sf, "po_qty")
     rate = S.number_of(sf, "fobpc")
+    if mode == "repaired":
+        qty = F.coalesce(qty, S.number_of(sf, "order_qty"))
+        rate = F.coalesce(rate, S.number_of(sf, "fob_price"))
     return sf.withColumns({
         "ex_date": P.to_day("exfty_date", sf.schema["exfty_date"].dataType),
         "fob_price": rate, "rate": rate,

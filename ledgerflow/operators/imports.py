@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import periods as P
@@ -67,12 +68,27 @@ def snapshot_import(current: DataFrame, upload: DataFrame,
             c = F.col(f.name)
             if f.name in date_fields:
                 c = P.to_day(f.name, new.schema[f.name].dataType)
+            elif isinstance(f.dataType, T.NumericType):
+                c = S.number_of(new, f.name)      # "$10" is 10, text that is no number NULL
             cols.append(c.cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     return old.unionByName(new.select(*cols))
 
 
+def unreadable_numbers(upload: DataFrame, mapping: Sequence[tuple[str, str]],
+                       schema: T.StructType) -> DataFrame:
+    """Cells of an upload that a number field cannot take, as ``(field, value,
+    rows)``: what ``snapshot_import`` stores as NULL. All fields in one scan."""
+    types = {f.name: f.dataType for f in schema.fields}
+    new = map_upload(upload, mapping, fill=False)
+    bad = [F.when(F.col(f).isNotNull() & S.number_of(new, f).isNull(),
+                  F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")))
+           for f in new.columns if isinstance(types.get(f), T.NumericType)]
+    cells = new.select(F.explode(F.filter(F.array(*bad), lambda x: x.isNotNull())).alias("c"))
+    return cells.groupBy("c.field", "c.value").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def as_upload(table: DataFrame, mapping: Sequence[tuple[str, str]]) -> DataFrame:
     """The upload a table's rows would come from (inverse of ``map_upload``):
     each header once, from the first field it feeds."""

@@ -1,13 +1,11 @@
-"""Fact-to-dimension (N:1) joins that hold up under a hot key.
-
-``dimension_join`` broadcasts the dimension only after checking its size: a
-bounded ``limit(n + 1).count()`` proves it has at most ``max_broadcast_rows``
-rows. Beyond that bound it falls back to a salted shuffle join: each fact row
-gets a salt in ``[0, buckets)`` from a hash of its own values (deterministic,
-so a recomputed task after a lost executor produces the same rows), and the
-dimension is replicated once per salt. A key that holds a third of the fact
-rows is then spread over ``buckets`` tasks instead of one; the cost is the
-dimension shuffled ``buckets`` times.
+"""Fact-to-dimension (N:1) joins.
+
+The join carries no hint: Spark broadcasts the dimension when its statistics,
+or at run time its shuffled size, are under the session's threshold, and splits
+a hot key's partition otherwise (adaptive skew join). ``buckets`` asks for a
+salted join instead, for sessions without adaptive execution: fact rows get a
+salt in turn -- by row, so equal rows of a hot key are spread, too -- and the
+dimension is repeated once for each salt.
 """
 
 from __future__ import annotations
@@ -17,31 +15,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 200_000        # ~20 MB of buyer terms
-SALT_BUCKETS = 16
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. ``take`` scans
-    partitions incrementally and stops after ``max_rows + 1`` one-column rows,
-    so the check never reads a large dimension in full nor funnels it
-    through one task."""
-    return len(df.select(F.lit(1).alias("_one")).take(max_rows + 1)) <= max_rows
-
 
 def dimension_join(fact: DataFrame, dim: DataFrame, fact_keys: Sequence[str],
-                   dim_keys: Sequence[str], how: str = "inner",
-                   max_broadcast_rows: int | None = None,
-                   buckets: int | None = None) -> DataFrame:
+                   dim_keys: Sequence[str], how: str = "inner", buckets: int = 0) -> DataFrame:
     """``fact`` joined to ``dim`` on ``fact_keys == dim_keys`` (dim keys unique).
     Output: all fact columns and all dim columns (names must not clash)."""
-    max_broadcast_rows = MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
-    buckets = SALT_BUCKETS if buckets is None else buckets
     cond = [fact[f] == dim[d] for f, d in zip(fact_keys, dim_keys)]
-    if fits(dim, max_broadcast_rows):
-        return fact.join(F.broadcast(dim), cond, how)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns]), F.lit(buckets))
-    f = fact.withColumn("_salt", salt.cast("int"))
+    if buckets <= 1:
+        return fact.join(dim, cond, how)
+    f = fact.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int"))
     d = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     cond = [f[a] == d[b] for a, b in zip(fact_keys, dim_keys)] + [f["_salt"] == d["_salt"]]
     return f.join(d, cond, how).drop(f["_salt"]).drop(d["_salt"])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,33 +44,17 @@ def register(name: str, sql: Callable[[], str] | None):
     return deco
 
 
-# --- shared domain views (lazy plans, defined once per session and folder) --------
-_VIEWS: dict[tuple, DataFrame] = {}
-
-
-def _view(name: str, spark, d, build) -> DataFrame:
-    """The view's plan is built once; every call gets a new DataFrame over it,
-    so no query reuses another query's executed stages."""
-    key = (name, id(spark), d)
-    df = _VIEWS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _VIEWS[key] = build()
-    return df.select("*")
-
-
+# --- shared domain views ------------------------------------------------------------
 def terms(spark, d):
-    return _view("terms", spark, d,
-                 lambda: FC.buyer_terms(fx.buyers(spark, d), fx.bank_ratio(spark, d)))
+    return FC.buyer_terms(fx.buyers(spark, d), fx.bank_ratio(spark, d))
 
 
 def forecast_view(spark, d):
-    return _view("forecast", spark, d, lambda: FC.active_shipment_forecast(
-        fx.shipment_forecast(spark, d), terms(spark, d)))
+    return FC.active_shipment_forecast(fx.shipment_forecast(spark, d), terms(spark, d))
 
 
 def bills_view(spark, d):
-    return _view("bills", spark, d, lambda: FC.bills_view(
-        fx.bills_under_collection(spark, d), terms(spark, d)))
+    return FC.bills_view(fx.bills_under_collection(spark, d), terms(spark, d))
 
 
 # --- forecasts (Q4-Q7) ------------------------------------------------------------
@@ -191,8 +176,8 @@ def q10(spark, d):
 
 @register("q11_buyer_list", O.q11_sql)
 def q11(spark, d):
-    """Buyer list with a total row."""
-    return RP.buyer_list(fx.buyers(spark, d))
+    """Buyer list: name, buyer name and bank, with a total row."""
+    return RP.buyer_list(fx.buyer_records(spark, d))
 
 
 @register("q17_buyer_lookup", lambda: O.q17_sql(LOOKUP_BUYER))
@@ -270,6 +255,30 @@ def q13(spark, d):
     return IM.quantity_check(forecast_view(spark, d), "quantity")
 
 
+def changed_upload(spark, d):
+    """A forecast upload made from the table: prices 5 % up as text with a currency sign,
+    quantities doubled."""
+    up = IM.as_upload(fx.shipment_forecast(spark, d), fixed.FORECAST_UPLOAD_FIELDS)
+    price, qty = (next(h for h, f in fixed.FORECAST_UPLOAD_FIELDS if f == name) for name in ("fob_price", "order_qty"))
+    text = F.concat(F.lit("$"), F.bround(F.col(price).cast("decimal(20,6)") * F.lit(Decimal("1.05")), 2).cast("string"))
+    return up.withColumn(price, text).withColumn(qty, F.col(qty) * 2)
+
+
+@register("w1_import_then_forecast", O.import_forecast_sql)
+def w1_forecast(spark, d):
+    """Weekly receipts after the import of an upload with changed prices and quantities."""
+    table = IM.snapshot_import(fx.shipment_forecast(spark, d), changed_upload(spark, d))
+    return FC.shipment_forecast_weekly(FC.active_shipment_forecast(table, terms(spark, d)))
+
+
+@register("w1_bills_import", O.bills_import_sql)
+def w1_bills(spark, d):
+    """Bills table after the import of a bills upload."""
+    bills = fx.bills_under_collection(spark, d)
+    return IM.snapshot_import(bills, IM.as_upload(bills, fixed.BILLS_UPLOAD_FIELDS),
+                              fixed.BILLS_UPLOAD_FIELDS, date_fields=("ex_fty_date",))
+
+
 @register("w1_snapshot_import", O.w1_sql)
 def w1(spark, d):
     """Table state after importing an upload: old rows Inactive, upload Active."""
@@ -356,9 +365,8 @@ def k5(spark, d):
 
 @register("k6_id_series", lambda: O.k6_sql("BUC%08d"))
 def k6(spark, d):
-    """Gap-free formatted ids for bills in (ex-factory date, invoice) order."""
-    bills = fx.bills_under_collection(spark, d).select("invoice", "ex_fty_date")
-    return K.id_series(bills, ["ex_fty_date", "invoice"], "BUC%08d")
+    """Gap-free formatted ids for whole bills in (ex-factory date, invoice) order."""
+    return K.id_series(fx.bills_under_collection(spark, d), ["ex_fty_date", "invoice"], "BUC%08d")
 
 
 @register("w2_full_report", O.w2_sql)

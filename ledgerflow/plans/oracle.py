@@ -426,8 +426,9 @@ def q10_sql() -> str:
 
 
 def q11_sql() -> str:
-    return with_fixtures("""SELECT buyer_name, bank, 1 AS buyers FROM buyers
-UNION ALL SELECT 'Total', NULL, CAST(count(*) AS INTEGER) FROM buyers""")
+    return """SELECT CAST(c_custkey AS VARCHAR) AS name, c_name AS buyer_name, n_name AS bank
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'Total', NULL, NULL"""
 
 
 def q17_sql(name: str) -> str:
@@ -481,6 +482,31 @@ SELECT buyer, style, po_no, COALESCE(color, '0'), COALESCE(team, '0'), COALESCE(
   COALESCE(shipped_qty, 0), exfty_date, 'Active' FROM shipment_forecast""")
 
 
+def import_forecast_sql() -> str:
+    """Receipts of the rows an upload adds (all older rows are Inactive then)."""
+    return with_fixtures(f"""n AS (SELECT buyer, exfty_date, order_qty * 2 AS quantity,
+  CAST(round_even(CAST(fob_price AS DECIMAL(20,6)) * 1.05, 2) AS DOUBLE) AS rate FROM shipment_forecast),
+v AS (SELECT n.rate, n.quantity, n.exfty_date + t.realised_day AS r_day, {', '.join('t.' + r for r in RATIOS)}
+      FROM n JOIN v_buyer t ON n.buyer = t.buyer_name),
+ship_rows AS (SELECT {net_shipment('rate', 'quantity')} AS amount, r_day, {', '.join(RATIOS)} FROM v),
+{weekly_long('ship_rows', 'amount', 'r_day')}
+SELECT * FROM ship_rows_l""")
+
+
+_BILL_NULLS = """CAST(NULL AS VARCHAR) AS style_no, invoice AS po_no, CAST(NULL AS DOUBLE) AS qty_pcs,
+  CAST(NULL AS DOUBLE) AS unit_price"""
+
+
+def bills_import_sql() -> str:
+    return with_fixtures(f"""b AS (SELECT *, {_BILL_NULLS} FROM bills)
+SELECT invoice, buyer, style_no, po_no, qty_pcs, unit_price, total__fob_income, ex_fty_date, ex1, ex2, ex3,
+  'Inactive' AS status FROM b
+UNION ALL
+SELECT COALESCE(invoice, '0'), COALESCE(buyer, '0'), COALESCE(style_no, '0'), COALESCE(po_no, '0'),
+  COALESCE(qty_pcs, 0), COALESCE(unit_price, 0), CAST(NULL AS DOUBLE), ex_fty_date, CAST(NULL AS DATE),
+  CAST(NULL AS DATE), CAST(NULL AS DATE), 'Active' FROM b""")
+
+
 def _sheet_ctes() -> str:
     return """ev AS (SELECT event_type, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, value FROM events),
 types AS (SELECT event_type, CAST(dense_rank() OVER (ORDER BY event_type) AS INTEGER) AS row_no
@@ -627,5 +653,5 @@ SELECT {CELL_COLS} FROM chain_cells UNION ALL SELECT {CELL_COLS} FROM totals""")
 
 
 def k6_sql(fmt_sql: str) -> str:
-    return with_fixtures(f"""SELECT invoice, ex_fty_date,
-  printf({q(fmt_sql)}, row_number() OVER (ORDER BY ex_fty_date, invoice)) AS name FROM bills""")
+    return with_fixtures(f"""SELECT invoice, buyer, {_BILL_NULLS}, total__fob_income, ex_fty_date, ex1, ex2, ex3,
+  status, printf({q(fmt_sql)}, row_number() OVER (ORDER BY ex_fty_date, invoice)) AS name FROM bills""")

@@ -40,21 +40,28 @@ def build_session(app: str = "ledgerflow", cpus: int | str = "*",
     return spark
 
 
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     The session's ``spark.checkpoint.dir`` wins. Only when it is unset (local
-    tests) a fresh scratch folder is created and registered, so nothing ever
-    relies on a machine-local path on a real cluster.
+    tests) a fresh scratch folder is created and registered; any other master
+    without the setting is an error, as a machine-local path serves one machine.
     """
     current = spark.conf.get(CHECKPOINT_KEY, None)
     if not current:
         current = spark.sparkContext.getCheckpointDir() if hasattr(
             spark.sparkContext, "getCheckpointDir") else None
+    if not current and not _one_machine(spark.sparkContext.master):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="ledgerflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(CHECKPOINT_KEY, current)
-    spark.sparkContext.setCheckpointDir(current)
+    if not (spark.sparkContext.getCheckpointDir() or "").startswith(("file:" + current, current)):
+        spark.sparkContext.setCheckpointDir(current)      # makes a folder of its own, once
     return current
 
 

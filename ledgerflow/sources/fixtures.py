@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import fixed
-from .tables import literal_array, read_table, spread
+from .tables import literal_array, read_table
 
 
 def _date(c: str) -> Column:
@@ -34,6 +34,14 @@ def buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("n_name").alias("bank")))
 
 
+def buyer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buyers with the record's own name, as the buyer list shows them."""
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.col("c_custkey").cast("string").alias("name"), F.col("c_name").alias("buyer_name"), F.col("n_name").alias("bank"))
+
+
 def bank_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     return read_table(spark, sf_dir, "nation").select(
@@ -48,7 +56,6 @@ def bank_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shipment_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
-    li = spread(li, ["l_orderkey", "l_partkey", "l_shipdate"])   # three joins follow per row
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     price = F.col("l_extendedprice") / F.col("l_quantity")

@@ -46,33 +46,10 @@ def local_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructTy
     return spark.sql(f"SELECT {cols} FROM VALUES {body} AS t({', '.join(f'`{n}`' for n in names)})")
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table of the data folder. The relation (file listing,
-    footer schema) is resolved once per session and path, as a catalog
-    table would be; every use still scans lazily with its own pruning."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _TABLES[key] = df
-    return df
-
-
-def spread(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Give a coarse scan (fewer splits than cores, e.g. a file written as a
-    single row group) one partition per core before a heavy per-row
-    pipeline, hashing the row's own ``columns`` (even, deterministic, no hot
-    key). Filters and pruning still reach the reader below the exchange.
-    When the scan already has at least as many splits as cores -- any large
-    table -- nothing is added."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, F.xxhash64(*[F.col(c) for c in columns]))
+    """One Parquet table of the data folder, listed anew on every call, so
+    rows appended since the last one are there."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # --- configuration frames (bounded by construction: a few hundred rows) ------
@@ -163,11 +140,6 @@ def rules(spark: SparkSession) -> DataFrame:
     return local_frame(spark, rows, schema)
 
 
-def options_frame(spark: SparkSession, field: str, values: list[str]) -> DataFrame:
-    return local_frame(spark, [(field, v) for v in dict.fromkeys(values)],
-                       "field string, value string")
-
-
 def literal_array(values: list[str]):
     """ARRAY literal of strings as one SQL expression (one driver round trip)."""
     return F.expr("array(" + ", ".join(_sql_literal(v) for v in values) + ")")

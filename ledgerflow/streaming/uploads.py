@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -37,7 +38,9 @@ def latest_version_before(spark: SparkSession, base: str, batch_id: int,
     rebuilds from the same input and rewrites the same version."""
     try:
         files = spark.read.parquet(base).inputFiles()
-    except Exception:  # noqa: BLE001 - no version written yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise                              # a storage fault is not an empty history
         return fallback
     found = {int(m.group(1)) for f in files for m in [re.search(r"version=(\d+)", f)] if m}
     earlier = [v for v in found if v < batch_id]

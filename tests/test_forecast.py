@@ -86,6 +86,6 @@ def test_dimension_join_salted_path_matches_broadcast(spark):
                                  "buyer string, n int")
     dim = spark.createDataFrame([("hot", 30), ("cold", 45)], "buyer_name string, days int")
     a = dimension_join(fact, dim, ["buyer"], ["buyer_name"])
-    b = dimension_join(fact, dim, ["buyer"], ["buyer_name"], max_broadcast_rows=0, buckets=8)
+    b = dimension_join(fact, dim, ["buyer"], ["buyer_name"], buckets=8)
     assert b.columns == a.columns
     assert rows(a) == rows(b) and len(rows(b)) == 201

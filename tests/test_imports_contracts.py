@@ -1,7 +1,11 @@
 import datetime as dt
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from ledgerflow import fixed
 from ledgerflow.operators import contracts as K
+from ledgerflow.operators import forecast as FC
 from ledgerflow.operators import imports as IM
 from conftest import rows
 
@@ -73,3 +77,30 @@ def test_bills_upload_gate_and_import(spark):
     assert out["INV0"].status == "Inactive"
     assert (out["INV2"].status, out["INV2"].qty_pcs, out["INV2"].ex_fty_date,
             out["INV2"].total__fob_income) == ("Active", 0.0, dt.date(2021, 5, 7), None)
+
+
+def test_id_series_on_a_wide_table(spark):
+    """Payload columns, null keys and many partitions: ids are 1..n in key order."""
+    n = 400_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.when(F.col("id") % 50_000 != 0, F.col("id") % 977).alias("g"),
+                               F.repeat(F.lit("x"), 40).alias("payload"), F.rand(3).alias("other"))
+    out = K.id_series(df, ["g", "k"], "N%08d")
+    want = out.withColumn("w", F.format_string("N%08d", F.row_number().over(Window.orderBy(F.col("g").asc_nulls_first(), "k"))))
+    assert want.where("name <> w").count() == 0
+    assert out.select("name").distinct().count() == n
+
+
+def test_imported_text_numbers_and_unreadable_cells(spark):
+    cur = spark.createDataFrame([("a", 1.0, 2.0, "Active")], "buyer string, order_qty double, fob_price double, status string")
+    up = spark.createDataFrame([("b", "$10", "1"), ("c", "ten", None)], "Buyer string, `FOB/PC` string, `PO Qty` string")
+    mapping = [("Buyer", "buyer"), ("FOB/PC", "fob_price"), ("PO Qty", "order_qty")]
+    got = {r["buyer"]: (r["fob_price"], r["order_qty"]) for r in IM.snapshot_import(cur, up, mapping).where("status = 'Active'").collect()}
+    assert got == {"b": (10.0, 1.0), "c": (None, 0.0)}
+    assert [tuple(r) for r in IM.unreadable_numbers(up, mapping, cur.schema).collect()] == [("fob_price", "ten", 1)]
+
+
+def test_imported_rows_keep_their_price_in_the_forecast(spark):
+    row = spark.createDataFrame([(None, 5.0, 8.0, 8.0, None, "1996-01-01")],
+                                "fobpc double, fob_price double, po_qty double, order_qty double, oc string, exfty_date string")
+    assert FC.refresh_forecast_fields(row).first()["total"] == 40.0
+    assert FC.refresh_forecast_fields(row, "literal").first()["total"] is None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerflow import fixed
 from ledgerflow.operators import reshape as RS
 from ledgerflow.sources import sheets, sinks
+from ledgerflow.sources import tables as TB
 from ledgerflow.streaming import uploads
 
 UPLOAD = ("Buyer string, Style string, `PO Qty` double, `FOB/PC` double, Team string, OC string, "
@@ -66,3 +67,48 @@ def test_weekly_stream(spark):
     assert len(got) == 1 and got[0]["Sales Proceeds - Margin A/C"] == 1000.0
     assert got[0].weekend == dt.date(2021, 1, 7)
     assert fixed.ACCOUNTS[0][1] == "Sales Proceeds - Margin A/C"
+
+
+def test_replace_refuses_its_own_source_and_reads_see_appends(spark):
+    import pytest
+    base = tempfile.mkdtemp(prefix="lf-io-", dir="/tmp")
+    sinks.replace_table(spark.range(10), f"{base}/t.parquet")
+    before = spark.read.parquet(f"{base}/t.parquet")
+    with pytest.raises(ValueError):
+        sinks.replace_table(before.where("id > 3"), f"{base}/t.parquet")
+    assert spark.read.parquet(f"{base}/t.parquet").count() == 10
+    assert TB.read_table(spark, base, "t").count() == 10
+    sinks.append_rows(spark.range(5), f"{base}/t.parquet")
+    assert TB.read_table(spark, base, "t").count() == 15
+
+
+def test_a_read_fault_is_not_an_empty_history(spark):
+    import pytest
+    base = tempfile.mkdtemp(prefix="lf-io-", dir="/tmp")
+    assert uploads.latest_version_before(spark, f"{base}/none", 3, "first") == "first"
+    os.makedirs(f"{base}/bad/version=00000001")
+    open(f"{base}/bad/version=00000001/part-0.parquet", "w").write("no parquet")
+    with pytest.raises(Exception):
+        uploads.latest_version_before(spark, f"{base}/bad", 3, "first")
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    import pytest
+
+    from ledgerflow import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session())
