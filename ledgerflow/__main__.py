@@ -128,7 +128,7 @@ def main(argv=None, spark=None) -> None:
     ap.add_argument("command", choices=sorted(COMMANDS))
     ap.add_argument("--data")
     ap.add_argument("--out")
-    ap.add_argument("--year", type=int, default=1996)
+    ap.add_argument("--year", type=int, help="columns of one year; all years of the data without it")
     ap.add_argument("--mode", default="repaired", choices=["repaired", "literal"])
     ap.add_argument("--export", action="store_true")
     ap.add_argument("--upload")

@@ -129,17 +129,23 @@ def group_totals(cells: DataFrame, columns: DataFrame) -> DataFrame:
 
 def replace_group_line(cells: DataFrame, columns: DataFrame, lines: DataFrame,
                        line_name: str, group_no: str) -> DataFrame:
-    """Delete the cells of ``line_name`` (J9; the anti join on one line
-    name is a filter), recompute the line as the group total of ``group_no``
-    over what remains and append it under the line's id(s)."""
-    # the line's ids, read from the config relation (a few hundred rows)
-    ids = [r.name for r in lines.where(F.col("line_name") == line_name).select("name").collect()]
-    kept = cells.select(*CELL_COLUMNS).where(F.col("line_name") != F.lit(line_name))
-    totals = group_totals(kept, columns).where(F.col("group_no") == group_no)
+    """Per (line, column), delete the stored cell of ``line_name`` where the
+    group has a total in that column (J9, an anti join on both) and append the
+    total of ``group_no`` over the group's other cells under the line's id(s).
+    Cells of the line in columns without a total stay."""
+    cells = cells.select(*CELL_COLUMNS)
+    others = cells.where(~F.col("line_name").eqNullSafe(F.lit(line_name)))
+    totals = group_totals(others, columns).where(F.col("group_no") == group_no)
     info = columns.select(F.col("col_no").alias("col_index"), F.col("name").alias("report_col"),
                           F.col("date2").alias("ex_date"), "month")
-    fresh = (totals.join(info, "col_index")
-             .withColumn("report_line", F.explode(F.array(*[F.lit(i) for i in ids])))
-             .withColumn("line_name", F.lit(line_name))
-             .select(*CELL_COLUMNS))
-    return kept.unionByName(fresh)
+    named = lines.where(F.col("line_name") == line_name).select(F.col("name").alias("report_line"), "line_name")
+    fresh = _under(totals.join(info, "col_index"), named)
+    kept = cells.join(fresh.select("report_line", "report_col"), ["report_line", "report_col"], "left_anti")
+    return kept.select(*CELL_COLUMNS).unionByName(fresh)
+
+
+def _under(totals: DataFrame, named: DataFrame) -> DataFrame:
+    """Each total under each of the line's ids (a handful, as a scalar subquery)."""
+    ids = named.agg(F.collect_list(F.struct("report_line", "line_name")).alias("l")).scalar()
+    rows = totals.withColumn("l", F.explode(ids))
+    return rows.select("*", "l.report_line", "l.line_name").select(*CELL_COLUMNS)

@@ -5,15 +5,13 @@ source V over rows whose trimmed match column (head or account) equals key K
 and whose date lies in the column's [date1, date2].
 
 Plan, whatever the ledger size:
-1. every ledger row is keyed twice (by head and by account), rows whose key
-   no rule reads are dropped (broadcast semi join), and the rest is summed per
-   (source, match column, key, day) -- a partial aggregate in the scan
-   stage, so the shuffle carries at most keys x days rows per task and a hot
-   key costs nothing extra;
-2. rules x lines x columns form the cell grid (config sized: rules x columns
-   of their status, a few thousand rows), broadcast;
-3. the daily sums join the grid on (source, match column, key) with the date
-   range as a residual condition (BroadcastHashJoin), and sum per cell.
+1. ledger rows are summed per (source, head, account, day) -- a partial
+   aggregate in the scan stage, so the shuffle carries at most keys x days
+   rows per task and a hot key costs nothing extra; the sums are then keyed
+   by head and by account, and keys no rule reads are dropped;
+2. the daily key sums join rules x lines on (source, match column, key);
+3. and the report columns on (status, day), each column standing for its
+   days, so the date range is an equi join; one more sum gives the cells.
 """
 
 from __future__ import annotations
@@ -96,45 +94,45 @@ def report_sources(income_forecast: DataFrame, income_actual: DataFrame,
 
 
 def column_span(columns: DataFrame):
-    """(first date1, last date2) of the report columns -- read from the
-    config relation on the driver (a few hundred rows)."""
-    r = columns.agg(F.min("date1").alias("lo"), F.max("date2").alias("hi")).first()
-    return (r.lo, r.hi)
+    """(first date1, last date2) of the report columns, as scalar subqueries."""
+    span = columns.agg(F.min("date1").alias("lo"), F.max("date2").alias("hi"))
+    return span.select("lo").scalar(), span.select("hi").scalar()
 
 
 # --- compiler -----------------------------------------------------------------------
-def keyed_rows(sources: DataFrame) -> DataFrame:
-    """Every source row twice: keyed by its trimmed head and by its account."""
-    keyed = sources.select(
-        "source", "variable", "amount",
-        F.explode(F.array(
-            F.struct(F.lit("head").alias("dim"), S.trimmed("Descriptio").alias("key")),
-            F.struct(F.lit("account").alias("dim"), S.trimmed("account").alias("key")))).alias("k"))
-    return keyed.where(F.col("k.key").isNotNull()).select(
-        "source", F.col("k.dim").alias("dim"), F.col("k.key").alias("key"), "variable", "amount")
-
-
-def daily_key_sums(sources: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Step 1: exact sums per (source, dim, trimmed key, day). With ``rules``,
-    keys no rule reads are dropped first (broadcast semi join on the rule
-    keys, map side), so the shuffle carries only keys the report uses."""
-    keyed = keyed_rows(sources)
-    if rules is not None:
-        used = rules.select("source", "dim", S.trimmed("key").alias("key")).distinct()
-        keyed = keyed.join(F.broadcast(used), ["source", "dim", "key"], "left_semi")
-    return (keyed.groupBy("source", "dim", "key", "variable")
+def keyed(rows: DataFrame, *kept: str) -> DataFrame:
+    """Each row by its trimmed head and by its trimmed account."""
+    pairs = F.explode(F.array(F.struct(F.lit("head").alias("dim"), F.col("head").alias("key")),
+                              F.struct(F.lit("account").alias("dim"), F.col("account").alias("key"))))
+    out = rows.select("source", pairs.alias("k"), *kept).where(F.col("k.key").isNotNull())
+    return out.select("source", F.col("k.dim").alias("dim"), F.col("k.key").alias("key"), *kept)
+
+
+def daily_key_sums(sources: DataFrame, rules: DataFrame) -> DataFrame:
+    """Step 1: exact sums per (source, dim, trimmed key, day) of the keys that rules
+    read. Ledger rows are summed by (source, head, account, day) first -- a partial
+    aggregate in the scan stage -- and only the sums are told apart by key."""
+    sums = (sources.groupBy("source", S.trimmed("Descriptio").alias("head"), S.trimmed("account").alias("account"), "variable")
             .agg(S.money_sum("amount").alias("amount")))
+    used = rules.select("source", "dim", S.trimmed("key").alias("key")).distinct()
+    return (keyed(sums, "variable", "amount").join(used, ["source", "dim", "key"], "left_semi")
+            .groupBy("source", "dim", "key", "variable").agg(F.sum("amount").cast(S.MONEY).alias("amount")))
 
 
-def cell_grid(rules: DataFrame, lines: DataFrame, columns: DataFrame) -> DataFrame:
-    """Step 2: one row per (rule, report line, column of the rule's status)."""
+def rule_lines(rules: DataFrame, lines: DataFrame) -> DataFrame:
+    """Step 2: one row per (rule, report line of its name)."""
     r = rules.select("col_status", S.trimmed("line_name").alias("rule_line"), "source", "dim",
                      S.trimmed("key").alias("key"), "scale")
     ln = lines.select(F.col("name").alias("report_line"), "line_name", "group_no",
                       S.trimmed("line_name").alias("rule_line"))
-    c = columns.select(F.col("name").alias("report_col"), F.col("col_no").alias("col_index"),
-                       "month", "date1", "date2", "col_status")
-    return r.join(ln, "rule_line").join(c, "col_status").drop("rule_line")
+    return r.join(ln, "rule_line").drop("rule_line")
+
+
+def column_days(columns: DataFrame) -> DataFrame:
+    """Step 3: each report column for each of its days."""
+    return columns.select(
+        F.col("name").alias("report_col"), F.col("col_no").alias("col_index"), "month", "date2", "col_status",
+        F.explode(F.sequence("date1", "date2")).alias("variable"))
 
 
 def base_cells(sources: DataFrame, rules: DataFrame, lines: DataFrame, columns: DataFrame,
@@ -142,10 +140,7 @@ def base_cells(sources: DataFrame, rules: DataFrame, lines: DataFrame, columns:
     """Q1: stored report cells -- positive sums only, rounded to ``digits``.
     ``usd_rate``: a number or a Column (the settings row as a scalar subquery)."""
     daily = daily_key_sums(sources, rules)
-    grid = F.broadcast(cell_grid(rules, lines, columns))   # rules x columns: config sized
-    hit = daily.join(grid, on=[daily.source == grid.source, daily.dim == grid.dim,
-                               daily.key == grid.key,
-                               daily.variable.between(grid.date1, grid.date2)])
+    hit = daily.join(rule_lines(rules, lines), ["source", "dim", "key"]).join(column_days(columns), ["col_status", "variable"])
     keys = ["report_line", "report_col", "col_index", "date2", "month", "line_name", "group_no",
             "scale"]
     summed = hit.groupBy(*keys).agg(F.sum("amount").alias("s"))
@@ -162,9 +157,9 @@ def base_cells(sources: DataFrame, rules: DataFrame, lines: DataFrame, columns:
 def unmatched_rules(rules: DataFrame, sources: DataFrame) -> DataFrame:
     """Rules whose (source, match column, key) never occurs in the data: their
     cells can only ever be zero (a misspelt key, or a key from another list)."""
-    seen = daily_key_sums(sources).select("source", "dim", "key").distinct()
+    heads = sources.select("source", S.trimmed("Descriptio").alias("head"), S.trimmed("account").alias("account")).distinct()
     r = rules.select("col_status", "line_name", "source", "dim", S.trimmed("key").alias("key"))
-    return r.join(seen, ["source", "dim", "key"], "left_anti")
+    return r.join(keyed(heads).distinct(), ["source", "dim", "key"], "left_anti")
 
 
 def rules_outside_options(rules: DataFrame, options: DataFrame) -> DataFrame:

@@ -130,9 +130,11 @@ def a8(spark, d):
 
 @register("w3_replace_group_line", lambda: O.w3_sql(W3_LINE, W3_GROUP))
 def w3(spark, d):
-    """Delete a line's cells (anti join) and re-append it as its group's total."""
-    inp = RP.inputs_from_dir(spark, d)
-    return R.replace_group_line(RP.stored_cells(inp), inp.columns, inp.lines, W3_LINE, W3_GROUP)
+    """Over base cells and totals: delete a total line's cells by line and column (anti
+    join) and re-append them as the group's total."""
+    inp, base = RP.stored(RP.inputs_from_dir(spark, d))
+    cells = base.unionByName(RP.totals(inp, base))
+    return R.replace_group_line(cells, inp.columns, inp.lines, W3_LINE, W3_GROUP)
 
 
 @register("lint_unmatched_rules", O.lint_sql)

@@ -2,14 +2,14 @@
 
 Written independently of the Spark code: plain SQL over the driver's tables,
 with the domain views of FIXTURES.md §2 as CTEs. Only the fixed lists (rules,
-lines, option lists) are shared, rendered as VALUES / list literals.
+lines, member lists as written, option lists) are shared, rendered as VALUES /
+list literals; columns, membership, levels and repairs are spelt out here.
 Money sums use the same exact DECIMAL(38,6) accumulation as the Spark side.
 """
 
 from __future__ import annotations
 
 from .. import fixed
-from ..sources.tables import report_column_rows, report_line_rows
 
 ACCOUNT_NAMES = [d for _, d in fixed.ACCOUNTS]
 RATIOS = fixed.RATIO_FIELDS
@@ -112,7 +112,7 @@ FIXTURES = {
 def with_fixtures(body: str, names: list[str] | None = None) -> str:
     names = list(FIXTURES) if names is None else names
     ctes = ",\n".join(f"{n} AS (\n{FIXTURES[n]}\n)" for n in names)
-    return f"WITH {ctes},\n{body}"
+    return f"WITH RECURSIVE {ctes},\n{body}"
 
 
 def weekly_long(rows_cte: str, amount: str, day: str) -> str:
@@ -196,6 +196,25 @@ def values(rows: list[tuple], names: list[str]) -> str:
     return f"SELECT * FROM (VALUES\n    {body}) AS t({', '.join(names)})"
 
 
+def line_rows() -> list[tuple]:
+    return [(f"CFRL{n:04d}", report, group, line, unit, n) for n, report, group, line, unit in fixed.REPORT_LINES]
+
+
+#: Report columns: a week begins on each 1st, 8th, 15th, 22nd and 29th of the data's years.
+COLS_SQL = f"""SELECT printf('CFC%05d', col_no) AS name, col_no,
+       ({lst(fixed.MONTHS)})[month(date1)] AS month, date1, date2, ismonth, col_status
+FROM (SELECT *, CAST(2 * row_number() OVER (PARTITION BY ismonth, col_status ORDER BY date1)
+                     - CASE WHEN col_status = 'Projected' THEN 1 ELSE 0 END
+                     + CASE WHEN ismonth THEN 50000 ELSE 0 END AS INTEGER) AS col_no
+      FROM (SELECT d AS date1, CASE WHEN day(d) = 29 THEN last_day(d) ELSE d + 6 END AS date2, FALSE AS ismonth
+            FROM col_days WHERE day(d) IN (1, 8, 15, 22, 29)
+            UNION ALL SELECT d, last_day(d), TRUE FROM col_days WHERE day(d) = 1),
+           (VALUES ('Projected'), ('Actual')) AS st(col_status))"""
+COL_DAYS_SQL = """SELECT CAST(unnest(generate_series(make_date(y0, 1, 1), make_date(y1 + 1, 12, 31), INTERVAL 1 DAY)) AS DATE) AS d
+FROM (SELECT CAST(year(min(d)) AS INTEGER) AS y0, CAST(year(max(d)) AS INTEGER) AS y1
+      FROM (SELECT CAST(l_shipdate AS DATE) AS d FROM lineitem UNION ALL SELECT CAST(o_orderdate AS DATE) FROM orders))"""
+
+
 def rule_rows() -> list[tuple]:
     scaled = set(fixed.USD_PER_THOUSAND_RULES)
     return [(s, line, src, dim, key if key is not None else line,
@@ -226,8 +245,9 @@ def report_ctes(usd_rate: float = fixed.DEFAULT_SETTINGS["usd_rate"]) -> str:
 {bill_rows(NOT_REALISED)},
 {weekly_long('bill_rows', 'amount', 'r_day')},
 rules_t AS ({values(rule_rows(), ['col_status', 'line_name', 'source', 'dim', 'key', 'scale'])}),
-lines_t AS ({values(report_line_rows(), ['name', 'report_name', 'group_no', 'line_name', 'unit', 'line_number'])}),
-cols_t AS ({values(report_column_rows(), ['name', 'col_no', 'month', 'date1', 'date2', 'ismonth', 'col_status'])}),
+lines_t AS ({values(line_rows(), ['name', 'report_name', 'group_no', 'line_name', 'unit', 'line_number'])}),
+col_days AS ({COL_DAYS_SQL}),
+cols_t AS ({COLS_SQL}),
 facts AS ({facts}),
 keyed AS (SELECT source, 'head' AS dim, trim(Descriptio) AS key, variable, amount FROM facts
           WHERE Descriptio IS NOT NULL
@@ -275,16 +295,39 @@ JOIN cols_t k ON a.report_col = k.name JOIN lines_t l ON a.total_line = l.name
 WHERE a.v > 0"""
 
 
+#: More levels than any list of totals needs: a level without lines adds nothing.
+LEVELS = 5
+
+
+def member_ctes(mode: str, closings: bool) -> str:
+    """CTE ``members_t`` (total_line, member_line, sign, level): lists by their place
+    among the lists of their name, lines by theirs among the lines of their name."""
+    written = [(k, name, j, m) for k, (name, ms) in enumerate(fixed.TOTALS_AS_WRITTEN) for j, m in enumerate(ms)]
+    lists = [(k, name) for k, (name, _) in enumerate(fixed.TOTALS_AS_WRITTEN)]
+    closed = [(f"CFRL{c:04d}", f"CFRL{m:04d}", sign) for c, o, plus, minus in fixed.CLOSINGS
+              for ms, sign in (([o, *plus], 1), (minus, -1)) for m in ms]
+    match = ("l.line_name = t.name AND t.k = (SELECT max(k) FROM lists_t z WHERE z.name = t.name)" if mode == "literal"
+             else "l.line_name = t.name AND l.nth = t.nth")
+    member = "w.member" if mode == "literal" else "CASE WHEN starts_with(w.member, 'CCFRL') THEN substr(w.member, 2) ELSE w.member END"
+    extra = f"UNION ALL SELECT * FROM ({values(closed, ['total_line', 'member_line', 'sign'])})" if closings else ""
+    return f"""written_t AS ({values(written, ['k', 'name', 'j', 'member'])}),
+lists_t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k) AS nth FROM ({values(lists, ['k', 'name'])})),
+named_t AS (SELECT name, line_name, row_number() OVER (PARTITION BY line_name ORDER BY line_number) AS nth FROM lines_t),
+pairs_t AS (SELECT l.name AS total_line, {member} AS member_line, 1 AS sign
+            FROM lists_t t JOIN named_t l ON {match} JOIN written_t w ON w.k = t.k {extra}),
+above_t AS (SELECT DISTINCT total_line, 1 AS level FROM pairs_t
+            UNION SELECT p.total_line, a.level + 1 FROM pairs_t p JOIN above_t a ON p.member_line = a.total_line
+            WHERE a.level < {LEVELS}),
+members_t AS (SELECT p.*, (SELECT max(a.level) FROM above_t a WHERE a.total_line = p.total_line) AS level FROM pairs_t p)"""
+
+
 def totals_ctes(mode: str, cells: str = "cells", closings: bool = True) -> str:
-    from ..operators.rollup import member_rows
-    rows = member_rows(mode, closings)
-    levels = sorted({r[3] for r in rows})
-    parts = [f"members_t AS ({values(rows, ['total_line', 'member_line', 'sign', 'level'])})"]
+    parts = [member_ctes(mode, closings)]
     current = cells
     outs = []
-    for lv in levels:
-        parts.append(f"lvl{lv} AS ({_roll_sql(current, lv, mode)})")
-        parts.append(f"cur{lv} AS (SELECT {CELL_COLS} FROM {current} UNION ALL "
+    for lv in range(1, LEVELS + 1):
+        parts.append(f"lvl{lv} AS MATERIALIZED ({_roll_sql(current, lv, mode)})")
+        parts.append(f"cur{lv} AS MATERIALIZED (SELECT {CELL_COLS} FROM {current} UNION ALL "
                      f"SELECT {CELL_COLS} FROM lvl{lv})")
         current = f"cur{lv}"
         outs.append(f"SELECT {CELL_COLS} FROM lvl{lv}")
@@ -297,8 +340,8 @@ def q2_sql(mode: str = "repaired") -> str:
 
 
 def openings_ctes(cells: str) -> str:
-    from ..operators.balances import opening_map_rows
-    return f"""omap AS ({values(opening_map_rows(), ['open_line', 'close_line'])}),
+    pairs = [(f"CFRL{o:04d}", f"CFRL{c:04d}") for c, o, _, _ in fixed.CLOSINGS]
+    return f"""omap AS ({values(pairs, ['open_line', 'close_line'])}),
 openings AS (
   SELECT o.open_line AS report_line, k.name AS report_col, k.col_no AS col_index,
          k.date2 AS ex_date, k.month, l.line_name, CAST(NULL AS VARCHAR) AS group_no,
@@ -379,15 +422,18 @@ GROUP BY x.group_no, x.col_index""")
 
 def w3_sql(line_name: str, group_no: str) -> str:
     return with_fixtures(f"""{report_ctes()},
-kept AS (SELECT * FROM cells WHERE line_name <> {q(line_name)}),
+{totals_ctes('repaired')},
+stored AS (SELECT {CELL_COLS} FROM cells UNION ALL SELECT {CELL_COLS} FROM totals),
 gt AS (SELECT x.group_no, x.col_index, CAST(SUM(CAST(x.amount AS DECIMAL(38,6))) AS DOUBLE) AS amount
-       FROM kept x JOIN cols_t k ON x.col_index = k.col_no
-       WHERE x.ex_date BETWEEN k.date1 AND k.date2 AND x.group_no = {q(group_no)}
-       GROUP BY x.group_no, x.col_index)
-SELECT {CELL_COLS} FROM kept
-UNION ALL
-SELECT l.name, k.name, gt.col_index, k.date2, k.month, l.line_name, gt.group_no, gt.amount
-FROM gt JOIN cols_t k ON gt.col_index = k.col_no JOIN lines_t l ON l.line_name = {q(line_name)}""")
+       FROM stored x JOIN cols_t k ON x.col_index = k.col_no
+       WHERE x.ex_date BETWEEN k.date1 AND k.date2 AND x.group_no = {q(group_no)} AND x.line_name <> {q(line_name)}
+       GROUP BY x.group_no, x.col_index),
+fresh AS (SELECT l.name AS report_line, k.name AS report_col, gt.col_index, k.date2 AS ex_date, k.month, l.line_name,
+                 gt.group_no, gt.amount
+          FROM gt JOIN cols_t k ON gt.col_index = k.col_no JOIN lines_t l ON l.line_name = {q(line_name)})
+SELECT {CELL_COLS} FROM stored s
+WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.report_line = s.report_line AND f.report_col = s.report_col)
+UNION ALL SELECT {CELL_COLS} FROM fresh""")
 
 
 def lint_sql() -> str:

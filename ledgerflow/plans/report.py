@@ -5,8 +5,7 @@ lookup).
 
 from __future__ import annotations
 
-import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,111 +24,98 @@ from ..session import materialize
 
 @dataclass
 class ReportInputs:
-    """Every table the report reads, as DataFrames."""
-    income_forecast: DataFrame
-    income_actual: DataFrame
-    expenses_forecast: DataFrame
-    expenses_actual: DataFrame
-    shipments: DataFrame
-    final_proj_income: DataFrame
+    """Every table the report reads, as DataFrames. ``pruned`` cuts the ledgers and
+    receipts to the columns' span, for columns that cover a part of the data."""
+    terms: DataFrame
+    tables: dict[str, DataFrame]
     rules: DataFrame
     lines: DataFrame
     columns: DataFrame
     usd_rate: object = fixed.DEFAULT_SETTINGS["usd_rate"]     # number or scalar Column
-    plans: dict = field(default_factory=dict, repr=False)     # lazy plans built once
-
-    def sources(self, prune: bool = True) -> DataFrame:
-        """All ledgers as one long frame, limited to the columns' date span."""
-        key = ("sources", prune)
-        if key not in self.plans:
-            window = RU.column_span(self.columns) if prune else None
-            self.plans[key] = RU.report_sources(
-                self.income_forecast, self.income_actual, self.expenses_forecast,
-                self.expenses_actual, self.shipments, self.final_proj_income, window)
-        return self.plans[key]
-
-
-def inputs_from_dir(spark: SparkSession, sf_dir: str, year: int = 1996) -> ReportInputs:
-    """Report inputs of a data folder: its own planning tables, or the driver
-    tables through the domain views of sources.fixtures."""
-    return inputs_from_tables(spark, domain.load(spark, sf_dir), year)
-
-
-def inputs_from_tables(spark: SparkSession, t: dict[str, DataFrame], year: int = 1996) -> ReportInputs:
-    """Report inputs from the domain tables (``sources.domain.load``): the
-    ledgers, shipments, and projected income = weekly shipment receipts +
-    weekly open-bill receipts."""
-    terms = FC.buyer_terms(t["buyers"], t["bank_ratio"])
-    columns = TB.report_columns(spark, year)
-    forecast, bills_in = _receipts_in_reach(terms, t["shipment_forecast"],
-                                            t["bills_under_collection"], RU.column_span(columns))
-    ship = FC.shipment_forecast_weekly(FC.active_shipment_forecast(forecast, terms))
-    bills = FC.bills_forecast_weekly(FC.bills_view(bills_in, terms))
+    pruned: bool = False
+
+    def projected_income(self, prune: bool) -> DataFrame:
+        """Weekly shipment receipts and weekly open-bill receipts."""
+        forecast, bills = self.tables["shipment_forecast"], self.tables["bills_under_collection"]
+        if prune:
+            forecast, bills = _receipts_in_reach(self.terms, forecast, bills, RU.column_span(self.columns))
+        return FC.projected_income(
+            FC.shipment_forecast_weekly(FC.active_shipment_forecast(forecast, self.terms)),
+            FC.bills_forecast_weekly(FC.bills_view(bills, self.terms)))
+
+    def sources(self, prune: bool | None = None) -> DataFrame:
+        """All ledgers as one long frame."""
+        prune = self.pruned if prune is None else prune
+        t = self.tables
+        return RU.report_sources(
+            t["income_forecast"], t["income_actual"], t["expenses_forecast"], t["expenses_actual"],
+            t["shipments"], self.projected_income(prune), RU.column_span(self.columns) if prune else None)
+
+
+def inputs_from_dir(spark: SparkSession, sf_dir: str, year: int | None = None) -> ReportInputs:
+    """Report inputs of a data folder: its own planning and configuration tables,
+    or the driver tables through the domain views of sources.fixtures."""
+    return inputs_from_tables(spark, domain.load(spark, sf_dir), domain.load_config(spark, sf_dir), year)
+
+
+def inputs_from_tables(spark: SparkSession, t: dict[str, DataFrame], config: dict[str, DataFrame],
+                       year: int | None = None) -> ReportInputs:
+    """Report inputs from the domain tables (``sources.domain.load``) and the
+    configuration (``load_config``). ``year`` keeps that year's columns only."""
+    columns = config["report_columns"]
+    if year is not None:
+        columns = columns.where(F.year("date1") == year)
     return ReportInputs(
-        income_forecast=t["income_forecast"],
-        income_actual=t["income_actual"],
-        expenses_forecast=t["expenses_forecast"],
-        expenses_actual=t["expenses_actual"],
-        shipments=t["shipments"],
-        final_proj_income=FC.projected_income(ship, bills),
-        rules=TB.rules(spark), lines=TB.report_lines(spark),
-        columns=columns,
-        usd_rate=TB.setting(spark, "usd_rate"))
+        terms=FC.buyer_terms(t["buyers"], t["bank_ratio"]), tables=t, rules=config["rules"], lines=config["report_lines"],
+        columns=columns, usd_rate=TB.setting(spark, "usd_rate", config["settings"]), pruned=year is not None)
 
 
 def _receipts_in_reach(terms: DataFrame, forecast: DataFrame, bills: DataFrame, span):
     """Forecast lines and bills whose receipt week can fall inside ``span``.
 
     A receipt lands in week ``week_end(r)`` with ``r <= week_end(r) <= r + 6``,
-    and ``r = ex-factory date + credit days`` (credit days between the buyers'
-    minimum and maximum) unless a revised date is set. So only ex-factory
-    dates in ``[lo - 6 - max_days, hi - min_days]`` (or a revised date in
-    ``[lo - 6, hi]``) can matter. The filter is a superset of what the report
-    keeps; the exact window is applied to the weekly sums. It reaches the
-    fact scans ahead of every join, so a one-year report does not join years
-    of history. The credit-day bounds are one small aggregate over the buyers."""
+    and ``r = ex-factory date + credit days`` (between the buyers' minimum and
+    maximum) unless a revised date is set. So only ex-factory dates in
+    ``[lo - 6 - max_days, hi - min_days]`` (or a revised date in ``[lo - 6, hi]``)
+    can matter. The filter is a superset of what the report keeps; the exact
+    window is applied to the weekly sums. The bounds are scalar subqueries over
+    the columns and the buyers, so nothing runs while the plan is built."""
     lo, hi = span
-    if lo is None:
-        return forecast, bills
-    rd = terms.agg(F.min("realised_day").alias("a"), F.max("realised_day").alias("b")).first()
-    if rd.a is None:
-        return forecast, bills
-    ex_lo = lo - dt.timedelta(days=6 + int(rd.b))
-    ex_hi = hi - dt.timedelta(days=int(rd.a))
+    days = terms.agg(F.min("realised_day").alias("a"), F.max("realised_day").alias("b"))
+    ex_lo = F.date_sub(lo, F.lit(6) + F.coalesce(days.select("b").scalar(), F.lit(0)).cast("int"))
+    ex_hi = F.date_sub(hi, F.coalesce(days.select("a").scalar(), F.lit(0)).cast("int"))
     f_day = P.to_day("exfty_date", forecast.schema["exfty_date"].dataType)
     forecast = forecast.where(f_day.between(ex_lo, ex_hi))
     revised = S.first_present(*[P.to_day(c, bills.schema[c].dataType) for c in ("ex3", "ex2", "ex1")])
     b_day = P.to_day("ex_fty_date", bills.schema["ex_fty_date"].dataType)
-    bills = bills.where(revised.between(lo - dt.timedelta(days=6), hi)
+    bills = bills.where(revised.between(F.date_sub(lo, 6), hi)
                         | (revised.isNull() & b_day.between(ex_lo, ex_hi)))
     return forecast, bills
 
 
 def base_cells(inp: ReportInputs) -> DataFrame:
-    """Q1. The plan is built once per inputs; each call returns a new
-    DataFrame over it, so every query executes it afresh (no shuffle output
-    of an earlier query is reused)."""
-    if "cells" not in inp.plans:
-        inp.plans["cells"] = RU.base_cells(inp.sources(), inp.rules, inp.lines, inp.columns,
-                                           inp.usd_rate)
-    return inp.plans["cells"].select("*")
+    """Q1, lazy."""
+    return RU.base_cells(inp.sources(), inp.rules, inp.lines, inp.columns, inp.usd_rate)
 
 
-def stored_cells(inp: ReportInputs) -> DataFrame:
-    """Q1 written once (checkpoint) for the passes that read it again."""
-    return materialize(base_cells(inp))
+def stored(inp: ReportInputs) -> tuple[ReportInputs, DataFrame]:
+    """The step between Q1 and the passes that read its cells several times: the base
+    cells and the columns are written (checkpointed) once."""
+    inp = replace(inp, columns=materialize(inp.columns))
+    return inp, materialize(base_cells(inp))
 
 
 def totals(inp: ReportInputs, cells: DataFrame | None = None, mode: str = "repaired") -> DataFrame:
     """Q2: totals and closings over the base cells."""
-    cells = stored_cells(inp) if cells is None else cells
+    if cells is None:
+        inp, cells = stored(inp)
     return R.totals_and_closings(cells, inp.lines, inp.columns, mode)
 
 
 def openings(inp: ReportInputs, cells: DataFrame | None = None) -> DataFrame:
     """Q3 as written: openings from the cells after one base + totals pass."""
     if cells is None:
-        base = stored_cells(inp)     # written once; the totals over it are cheap to redo
+        inp, base = stored(inp)      # written once; the totals over it are cheap to redo
         cells = base.unionByName(totals(inp, base, "literal"))
     return B.opening_balances(cells, inp.lines, inp.columns)
 
@@ -139,14 +125,15 @@ def balances(inp: ReportInputs, cells: DataFrame | None = None,
     """Repaired Q2+Q3 for the accounts: the clamped balance chain. The cells
     are checkpointed first: the weekly chain feeds both the weekly and the
     month columns, so the plan reads them more than once."""
-    cells = stored_cells(inp) if cells is None else cells
+    if cells is None:
+        inp, cells = stored(inp)
     return B.balance_roll_forward(cells, inp.lines, inp.columns, initial)
 
 
 def full_report(inp: ReportInputs, initial: DataFrame | None = None) -> DataFrame:
     """The whole report rebuilt -- base cells, the clamped balance chain
     (openings and closings), then the roll-up totals over both."""
-    base = stored_cells(inp)
+    inp, base = stored(inp)
     chain = B.balance_roll_forward(base, inp.lines, inp.columns, initial)
     cells = materialize(base.unionByName(chain))   # every roll-up level reads it again
     tot = R.totals_and_closings(cells, inp.lines, inp.columns, "repaired", closings=False)
@@ -159,19 +146,16 @@ def revised_date_impact(bills: DataFrame, cells: DataFrame,
                         window_days: int = fixed.OPENING_SHIFT_DAYS) -> DataFrame:
     """Q8: for every bill with a revised realisation date, the report cells of
     ``line_name`` whose date lies in the 7 days ending with the end of the
-    revised date's week. The range join is turned into an equi join on the
-    date: each bill expands to its 7 candidate days (a fixed fan-out),
-    and the cell side -- one line of the report -- is broadcast."""
-    b = bills.where(S.first_present("ex1").isNotNull() | S.first_present("ex2").isNotNull()
-                    | S.first_present("ex3").isNotNull())
+    revised date's week. The range join is turned into an equi join: each cell
+    -- one line of the report -- stands for the 7 week ends that reach it, and a
+    bill, of which there may be many, joins once by its week end."""
     revised = S.first_present(*[P.to_day(c, bills.schema[c].dataType) for c in ("ex3", "ex2", "ex1")])
-    b = b.select("invoice", revised.alias("revised_date")).withColumn(
-        "week_end", P.week_end("revised_date"))
-    b = b.withColumn("ex_date", F.explode(F.sequence(F.date_sub("week_end", window_days - 1),
-                                                     F.col("week_end"))))
+    b = bills.select("invoice", revised.alias("revised_date")).where(F.col("revised_date").isNotNull())
+    b = b.withColumn("week_end", P.week_end("revised_date"))
     c = cells.where(F.col("line_name") == line_name).select(
-        "report_line", "report_col", "col_index", "ex_date", "line_name", "amount")
-    return b.join(F.broadcast(c), "ex_date").select(
+        "report_line", "report_col", "col_index", "ex_date", "line_name", "amount",
+        F.explode(F.sequence("ex_date", F.date_add("ex_date", window_days - 1))).alias("week_end"))
+    return b.join(c, "week_end").select(
         "invoice", "revised_date", "week_end", "report_line", "report_col", "col_index",
         "ex_date", "line_name", "amount")
 

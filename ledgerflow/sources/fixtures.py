@@ -153,6 +153,13 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("date").alias("week_date"))
 
 
+def column_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(first, last): the years of the booking dates, and one more for the receipts."""
+    days = read_table(spark, sf_dir, "lineitem").select(_date("l_shipdate").alias("d")).unionAll(
+        read_table(spark, sf_dir, "orders").select(_date("o_orderdate").alias("d")))
+    return days.agg(F.year(F.min("d")).alias("first"), (F.year(F.max("d")) + 1).alias("last"))
+
+
 def wide_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wide planning sheet: one row per event type (``row_no`` by type), one
     column per day holding that day's ``sum(value)``, plus the three quarter

@@ -6,10 +6,10 @@ filters into the Parquet reader, so callers select only what they use.
 
 from __future__ import annotations
 
-import calendar
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,29 +90,47 @@ def report_lines(spark: SparkSession) -> DataFrame:
     return local_frame(spark, report_line_rows(), LINES_SCHEMA)
 
 
-def report_column_rows(year: int = 1996) -> list[tuple]:
-    """Report columns of one year: per month five week-of-month ranges (1-7,
-    8-14, 15-21, 22-28, 29-end) for Projected (odd col_no) and Actual (even
-    col_no), so ``col_no - 2`` is the previous week of the same status; plus
-    one whole-month column per month and status numbered from 1001."""
-    rows = []
-    for m in range(1, 13):
-        last = calendar.monthrange(year, m)[1]
-        for w in range(1, 6):
-            d1 = dt.date(year, m, 7 * (w - 1) + 1)
-            d2 = dt.date(year, m, 7 * w) if w < 5 else dt.date(year, m, last)
-            k = (m - 1) * 5 + w
-            for status, col_no in (("Projected", 2 * k - 1), ("Actual", 2 * k)):
-                rows.append((fixed.COLUMN_ID_FORMAT % col_no, col_no, fixed.MONTHS[m - 1],
-                             d1, d2, False, status))
-        for status, col_no in (("Projected", 1000 + 2 * m - 1), ("Actual", 1000 + 2 * m)):
-            rows.append((fixed.COLUMN_ID_FORMAT % col_no, col_no, fixed.MONTHS[m - 1],
-                         dt.date(year, m, 1), dt.date(year, m, last), True, status))
-    return rows
-
-
-def report_columns(spark: SparkSession, year: int = 1996) -> DataFrame:
-    return local_frame(spark, report_column_rows(year), COLUMNS_SCHEMA)
+#: Whole-month columns are numbered from here, so weekly numbers may grow with the years.
+MONTH_COLUMNS_FROM = 50_000
+
+
+def report_columns_between(years: DataFrame) -> DataFrame:
+    """Report columns of all years from ``first`` to ``last`` (one row). Per month
+    five week-of-month ranges (1-7, 8-14, 15-21, 22-28, 29-end; a February of 28
+    days has four) for Projected (odd col_no) and Actual (even col_no), numbered
+    through, so ``col_no - 2`` is the previous week of the same status; plus one
+    whole-month column per month and status, from ``MONTH_COLUMNS_FROM`` on."""
+    months = years.select(F.explode(F.sequence("first", "last")).alias("year")).select(
+        "year", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m"))
+    start = F.make_date("year", "m", F.lit(1))
+    months = months.select(start.alias("start"), F.element_at(literal_array(fixed.MONTHS), F.col("m")).alias("month"))
+    weeks = months.select("month", F.explode(F.array(*[F.date_add("start", 7 * w) for w in range(5)])).alias("date1"), "start")
+    weeks = weeks.where(F.trunc("date1", "month") == F.col("start")).select(
+        "month", "date1", F.least(F.date_add("date1", 6), F.last_day("date1")).alias("date2"), F.lit(False).alias("ismonth"))
+    whole = months.select("month", F.col("start").alias("date1"), F.last_day("start").alias("date2"), F.lit(True).alias("ismonth"))
+    order = Window.partitionBy("ismonth").orderBy("date1")     # a few hundred rows a decade
+    rows = weeks.unionAll(whole).withColumn("k", F.row_number().over(order))
+    both = F.explode(F.array(F.struct(F.lit("Projected").alias("col_status"), F.lit(1).alias("back")),
+                             F.struct(F.lit("Actual").alias("col_status"), F.lit(0).alias("back")))).alias("s")
+    rows = rows.select("*", both).withColumn(
+        "col_no", (2 * F.col("k") - F.col("s.back") + F.when(F.col("ismonth"), MONTH_COLUMNS_FROM).otherwise(0)).cast("int"))
+    return rows.select(F.format_string(fixed.COLUMN_ID_FORMAT, "col_no").alias("name"), "col_no", "month", "date1", "date2",
+                       "ismonth", F.col("s.col_status").alias("col_status"))
+
+
+def report_columns(spark: SparkSession, year: int, last: int | None = None) -> DataFrame:
+    """Report columns of ``year`` (to ``last``)."""
+    return report_columns_between(local_frame(spark, [(year, last or year)], "first int, last int"))
+
+
+def optional_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame | None:
+    """A table of the folder, or None where it has none. Any other fault is raised."""
+    try:
+        return read_table(spark, data_dir, name)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def settings(spark: SparkSession, usd_rate: float | None = None, cf_date: str | None = None,
