@@ -121,6 +121,23 @@ BILLS_UPLOAD_FIELDS = [
 FORECAST_QTY_HEADER = "PO Qty"
 BILLS_QTY_HEADER = "QTY-PCS"
 
+# --- regions of the planning workbook: table, sheet, header row, first and last data row
+# (last excluded, counted from the row after the header), quarter columns dropped,
+# first column kept, first value column among those kept. Fixed values.
+SHEET_REGIONS = [
+    ("actual_expenses", "Act Expenses", 67, 0, 12, False, 2, 3),
+    ("actual_expense_SUMMARY_ERQ_MARGIN", "Act Expenses", 95, 0, 25, True, 2, 3),
+    ("Expense_Summary_CD_SOD", "Proj. Expenses income", 64, 0, 25, True, 2, 3),
+    ("Expense_Summary_ERQ_MARGIN", "Proj. Expenses income", 93, 0, 11, True, 2, 3),
+    ("budget_exp", "Proj. Expenses income", 108, 1, 20, True, 2, 3),
+    ("bank_balance", "Bank Balance & Others", 2, 2, 6, True, 0, 4),
+    ("cash_inflow_projection_from_export", "Bank Balance & Others", 2, 12, 22, True, 0, 4),
+    ("actual_export", "Bank Balance & Others", 2, 85, 88, True, 0, 4),
+    ("cash_inflow_from_other_sources", "Bank Balance & Others", 98, 1, 19, False, 0, 4),
+]
+# headers as the workbook has them, and the names the loaders give them
+SHEET_HEADER_NAMES = {"Summary": "Description", "Unnamed: 2": "Description", "Unnamed: 3": "Unit"}
+
 # --- report base-cell rules, in ladder order ---------------------------------
 # (column status, report line, source view, match column, key or None = line name)
 # Sources: income_forecast, income_actual, expenses_forecast, expenses_actual,

@@ -12,8 +12,9 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions.periods import to_day
-from ..functions.scalars import header_key
+from ..functions.scalars import header_key, to_double
 
 QUARTER_COLUMNS = ("Apr", "May", "Jun")
 
@@ -75,3 +76,34 @@ def long_to_wide(df: DataFrame, index: str, columns: str, values: str,
         out.append(F.when(n > 1, F.raise_error(F.lit(f"duplicate pivot key for column {name}")))
                    .otherwise(v).alias(f"{name}{suffix}"))
     return wide.select(*out)
+
+
+# --- regions of a raw sheet export ---------------------------------------------------
+def region_of(name: str) -> tuple:
+    return next(r for r in fixed.SHEET_REGIONS if r[0] == name)
+
+
+def load_region(raw: DataFrame, header: Sequence[str], region: tuple, row_col: str = "row_no") -> DataFrame:
+    """Q14 for one of ``fixed.SHEET_REGIONS``. ``raw`` is the sheet as exported: ``row_no``
+    (from 0) and one text column per sheet column; ``header`` is the text of its
+    header row (``header_of``). Blank headers are named by their place, the known
+    ones renamed, quarter subtotals dropped, leading columns left out, and the
+    value columns -- from the region's first on -- melted under 10-character
+    headers: ``(Descriptio, Unit, variable, value)``. Text that is no number is NULL."""
+    _, _, at, first, last, no_quarters, from_column, first_value = region
+    sheet = [c for c in raw.columns if c != row_col]
+    names = [h if h else f"Unnamed: {k}" for k, h in enumerate(header)]
+    names = [fixed.SHEET_HEADER_NAMES.get(n, n) for n in names]
+    kept = [(c, header_key(n)) for c, n in zip(sheet, names) if not (no_quarters and n in QUARTER_COLUMNS)][from_column:]
+    rows = raw.where(F.col(row_col).between(at + 1 + first, at + last))
+    ids = [next(c for c, n in kept if n == i) for i in ("Descriptio", "Unit")]
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("variable"), to_double(c, raw.schema[c].dataType).alias("value"))
+                                for c, n in kept[first_value:]])).alias("cell")
+    return rows.select(F.col(f"`{ids[0]}`").alias("Descriptio"), F.col(f"`{ids[1]}`").alias("Unit"), cells).select(
+        "Descriptio", "Unit", "cell.variable", "cell.value")
+
+
+def header_of(raw: DataFrame, region: tuple, row_col: str = "row_no") -> list[str]:
+    """Text of the region's header row: one row, read as a schema is."""
+    row = raw.where(F.col(row_col) == region[2]).drop(row_col).first()
+    return [v or "" for v in row] if row else []

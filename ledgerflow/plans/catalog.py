@@ -6,6 +6,7 @@ Every query reads the data folder's tables (through the domain views of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
@@ -24,7 +25,9 @@ from ..operators import imports as IM
 from ..operators import reshape as RS
 from ..operators import rollup as R
 from ..operators import rules as RU
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
+from ..sources import sheets, sinks
 from ..sources import tables as TB
 
 
@@ -302,6 +305,32 @@ def q14(spark, d):
     return RS.load_sheet_region(fx.wide_sheet(spark, d), *SHEET_REGION)
 
 
+def _regions(spark, d, sheet):
+    parts = []
+    for region in (r for r in fixed.SHEET_REGIONS if r[1] == sheet):
+        raw = fx.sheet_export(spark, d, sheet, region[2])
+        parts.append(RS.load_region(raw, RS.header_of(raw, region), region).withColumn("table", F.lit(region[0])))
+    return _union(parts)
+
+
+@register("q14_actual_expenses", lambda: O.regions_sql("Act Expenses"))
+def q14_actual(spark, d):
+    """The two actual-expense regions of a raw sheet export, total column left out."""
+    return _regions(spark, d, "Act Expenses")
+
+
+@register("q14_projected_expenses", lambda: O.regions_sql("Proj. Expenses income"))
+def q14_projected(spark, d):
+    """The three projected-expense regions, one of them with blank headers."""
+    return _regions(spark, d, "Proj. Expenses income")
+
+
+@register("q14_bank_and_others", lambda: O.regions_sql("Bank Balance & Others"))
+def q14_bank(spark, d):
+    """The four bank and other regions, from the sheet's first column on."""
+    return _regions(spark, d, "Bank Balance & Others")
+
+
 @register("r3_long_to_wide", O.r3_sql)
 def r3(spark, d):
     """Weekly long receipts -> one column per account (strict pivot)."""
@@ -348,7 +377,7 @@ def k2(spark, d):
 
 @register("k4_unique_keys", O.k4_sql)
 def k4(spark, d):
-    """Repeated invoice numbers and PO numbers."""
+    """Repeated invoice numbers, and PO numbers that several forecast lines share."""
     return K.unique(fx.bills_under_collection(spark, d), "bills_under_collection", "invoice") \
         .unionByName(K.unique(fx.shipment_forecast(spark, d), "shipment_forecast", "po_no"))
 
@@ -365,6 +394,106 @@ def k5(spark, d):
                       buyers, "buyer_name")])
 
 
+@register("k4_unique_column_numbers", O.k4_columns_sql)
+def k4_columns(spark, d):
+    """Column numbers that occur twice once the January columns are entered again."""
+    columns = RP.inputs_from_dir(spark, d).columns
+    return K.unique(columns.unionByName(columns.where("month = 'January'")), "report_columns", "col_no")
+
+
+@register("k5_report_keys", O.k5_report_sql)
+def k5_report(spark, d):
+    """Report cells whose column is no weekly column, or whose line is not in the ladder's
+    first report."""
+    inp, cells = RP.stored(RP.inputs_from_dir(spark, d))
+    return K.foreign_key(cells, "cashflow_report", "report_col", inp.columns.where("not ismonth"), "name").unionByName(
+        K.foreign_key(cells, "cashflow_report", "report_line", inp.lines.where("line_number <= 150"), "name"))
+
+
+@register("k3_defaults", O.k3_sql)
+def k3(spark, d):
+    """Bills with the declared defaults filled in."""
+    bills = fx.bills_under_collection(spark, d).select("invoice", "status", "qty_pcs")
+    return K.with_defaults(bills, {"status": "Active", "qty_pcs": 0.0})
+
+
+@register("q12_import_gate_branches", O.q12_branches_sql)
+def q12_branches(spark, d):
+    """The gate of one upload against a target it reaches, one it misses, and of an empty one."""
+    upload = IM.as_upload(fx.shipment_forecast(spark, d), fixed.FORECAST_UPLOAD_FIELDS)
+    total = upload.agg(F.sum(F.col(f"`{fixed.FORECAST_QTY_HEADER}`")).alias("t")).scalar()
+    gates = [("reached", upload, total), ("missed", upload, total + 1), ("empty", upload.limit(0), total)]
+    return _union(IM.import_gate(u, fixed.FORECAST_QTY_HEADER, t).withColumn("case", F.lit(c)) for c, u, t in gates)
+
+
+@register("q13_quantity_check_branches", O.q13_branches_sql)
+def q13_branches(spark, d):
+    """The quantity check against a target that is reached and one that is missed."""
+    view = forecast_view(spark, d).select("quantity")
+    total = view.agg(F.sum("quantity").alias("t")).scalar()
+    return _union(IM.quantity_check(view, "quantity", t).withColumn("case", F.lit(c)) for c, t in (("reached", total), ("missed", total + 1)))
+
+
+@register("p6_p7_text_amounts", O.text_amounts_sql)
+def text_amounts(spark, d):
+    """Bill amounts as text with a currency sign, some of them no number, read as numbers."""
+    amount = F.col("total__fob_income").cast("decimal(20,2)").cast("string")
+    text = F.when(F.pmod(F.col("invoice").cast("long"), F.lit(5)) == 0, F.concat(amount, F.lit(" approx"))).otherwise(F.concat(F.lit("$"), amount))
+    rows = fx.bills_under_collection(spark, d).select("invoice", text.alias("amount_text"))
+    return rows.select("invoice", S.strip_currency("amount_text").alias("bare"), S.number_of(rows, "amount_text").alias("amount"))
+
+
+@register("p27_p28_dates_and_halves", O.dates_halves_sql)
+def dates_halves(spark, d):
+    """Whether month and day swap or day + 3 still make a calendar date; half valuation."""
+    rows = fx.shipments(spark, d).select("amount", *(f("shipment_date").alias(n) for f, n in ((F.year, "y"), (F.month, "m"), (F.dayofmonth, "d"))))
+    checks = rows.select("y", "m", "d", P.is_valid_date("y", "d", "m").alias("swapped"),
+                         P.is_valid_date("y", "m", F.col("d") + 3).alias("three_later"), S.half("amount").alias("half"))
+    return checks.groupBy("y", "m", "d", "swapped", "three_later").agg(S.money_sum("half").cast("double").alias("half"))
+
+
+@register("q15_shipment_weekly_early_handover", O.q15_handover_sql)
+def q15_handover(spark, d):
+    """The early split of a view that names the handover: rows handed over as BUC are left
+    out (F2), and so are rows without one."""
+    view = forecast_view(spark, d)
+    mark = F.when(F.pmod("quantity", F.lit(3)) == 0, "BUC").when(F.pmod("quantity", F.lit(3)) == 1, "Factory")
+    return FC.early_weekly_split(view.withColumn("considerable_handover", mark), "amount", "r_day")
+
+
+def _scratch(spark):
+    return f"{checkpoint_dir(spark).rstrip('/')}/sinks-{uuid.uuid4().hex}"
+
+
+@register("s5_s9_export_and_upload", O.export_upload_sql)
+def export_upload(spark, d):
+    """A delimited export (S9) of the bills upload, read back as an upload (S5) and mapped."""
+    upload = IM.as_upload(fx.bills_under_collection(spark, d), fixed.BILLS_UPLOAD_FIELDS)
+    at = sinks.export_sheet(upload, _scratch(spark))
+    return IM.map_upload(sheets.read_upload(spark, at, upload.schema), fixed.BILLS_UPLOAD_FIELDS).select("invoice", "buyer", "ex_fty_date")
+
+
+@register("s6_s7_s8_replace_and_append", O.sinks_sql)
+def replace_append(spark, d):
+    """Replace (S6, S8) a table, append (S7) to it, and replace it by a frame over itself."""
+    t = fx.shipments(spark, d).select("shipment_date", "quentity")
+    at = sinks.replace_table(t, _scratch(spark))
+    sinks.replace_table(t.where("quentity > 10"), at)
+    sinks.append_rows(t.where("quentity <= 5"), at)
+    sinks.replace_from_itself(spark.read.parquet(at).groupBy("shipment_date").agg(
+        F.count("*").alias("n"), S.money_sum("quentity").cast("double").alias("quentity")), at)
+    return spark.read.parquet(at)
+
+
+@register("s4_sheet_file_region", lambda: O.regions_sql("Act Expenses", "actual_expenses"))
+def sheet_file(spark, d):
+    """A region read from a delimited sheet export."""
+    region = RS.region_of("actual_expenses")
+    raw = fx.sheet_export(spark, d, region[1], region[2])
+    back = sheets.read_sheet(spark, sinks.export_sheet(raw, _scratch(spark)), raw.schema)
+    return RS.load_region(back, RS.header_of(back, region), region).withColumn("table", F.lit(region[0]))
+
+
 @register("k6_id_series", lambda: O.k6_sql("BUC%08d"))
 def k6(spark, d):
     """Gap-free formatted ids for whole bills in (ex-factory date, invoice) order."""

@@ -579,6 +579,79 @@ FROM types t CROSS JOIN days d LEFT JOIN sums s ON s.event_type = t.event_type A
 WHERE t.row_no BETWEEN {first} AND {last}""")
 
 
+def regions_sql(sheet: str, only: str | None = None) -> str:
+    """Regions of the sheet: rows by place under the header, months (and, where they are
+    not dropped, the empty quarter columns) as values."""
+    parts = []
+    for table, name, _, first, last, dropped, _, _ in fixed.SHEET_REGIONS:
+        if name != sheet or only not in (None, table):
+            continue
+        heads = ["2024-%02d-01" % m for m in range(1, 13)] + ([] if dropped else ["Apr", "May", "Jun"])
+        parts.append(f"""SELECT {q(table)} AS "table", p.event_type || '/' || p.g AS Descriptio, 'USD' AS Unit, h.variable, s.v AS value
+FROM place p CROSS JOIN (SELECT unnest({lst(heads)}) AS variable) h
+LEFT JOIN sums s ON s.event_type = p.event_type AND s.g = p.g AND s.variable = h.variable
+WHERE p.k > {first} AND p.k <= {last}""")
+    return f"""WITH ev AS (SELECT event_type, CAST(user_id % 25 AS INTEGER) AS g, CAST(ts AS DATE) AS d, value FROM events),
+place AS (SELECT event_type, g, row_number() OVER (ORDER BY g, event_type) AS k FROM (SELECT DISTINCT event_type, g FROM ev)),
+sums AS (SELECT event_type, g, printf('2024-%02d-01', CAST(month(d) AS INTEGER)) AS variable,
+                CAST(SUM(CAST(value AS DECIMAL(38,6))) AS DOUBLE) AS v FROM ev GROUP BY 1, 2, 3)
+""" + "\nUNION ALL ".join(parts)
+
+
+def k4_columns_sql() -> str:
+    return with_fixtures(f"""{report_ctes()}
+{_viol('report_columns', 'unique', 'col_no', "SELECT col_no AS value, 2 AS rows FROM cols_t WHERE month = 'January'")}""".replace(
+        "2 AS rows", "CAST(2 AS BIGINT) AS rows"))
+
+
+def k5_report_sql() -> str:
+    return with_fixtures(f"""{report_ctes()}
+{_viol('cashflow_report', 'foreign_key', 'report_col', "SELECT report_col AS value, count(*) AS rows FROM cells WHERE report_col IN (SELECT name FROM cols_t WHERE ismonth) GROUP BY 1")}
+UNION ALL {_viol('cashflow_report', 'foreign_key', 'report_line', "SELECT report_line AS value, count(*) AS rows FROM cells WHERE report_line IN (SELECT name FROM lines_t WHERE line_number > 150) GROUP BY 1")}""")
+
+
+def k3_sql() -> str:
+    return with_fixtures("SELECT invoice, COALESCE(status, 'Active') AS status, CAST(0 AS DOUBLE) AS qty_pcs FROM bills")
+
+
+def q12_branches_sql() -> str:
+    return with_fixtures(f"""g AS (SELECT SUM(order_qty) AS total FROM shipment_forecast)
+SELECT 'reached' AS "case", total, 1 AS res, {q(fixed.GATE_MESSAGE_OK)} AS msg FROM g
+UNION ALL SELECT 'missed', total, 0, {q(fixed.GATE_MESSAGE_SHORT)} FROM g
+UNION ALL SELECT 'empty', 0, 0, {q(fixed.GATE_MESSAGE_SHORT)} FROM g""")
+
+
+def q13_branches_sql() -> str:
+    return f"SELECT 'reached' AS \"case\", '' AS chkfile UNION ALL SELECT 'missed', {q(fixed.CHECK_MESSAGE)}"
+
+
+def text_amounts_sql() -> str:
+    return with_fixtures("""t AS (SELECT invoice, CAST(CAST(total__fob_income AS DECIMAL(20,2)) AS VARCHAR) AS a FROM bills)
+SELECT invoice, a || CASE WHEN CAST(invoice AS BIGINT) % 5 = 0 THEN ' approx' ELSE '' END AS bare,
+  CASE WHEN CAST(invoice AS BIGINT) % 5 <> 0 THEN CAST(a AS DOUBLE) END AS amount FROM t""")
+
+
+def dates_halves_sql() -> str:
+    return with_fixtures("""s AS (SELECT CAST(year(shipment_date) AS INTEGER) AS y, CAST(month(shipment_date) AS INTEGER) AS m,
+       CAST(day(shipment_date) AS INTEGER) AS d, shipment_date, amount FROM shipments)
+SELECT y, m, d, d <= 12 AS swapped, d + 3 <= day(last_day(shipment_date)) AS three_later,
+       CAST(SUM(CAST(amount * 0.5 AS DECIMAL(38,6))) AS DOUBLE) AS half
+FROM s GROUP BY y, m, d, 4, 5""")
+
+
+def q15_handover_sql() -> str:
+    return q15_ship_sql().replace("FROM v_shipment_forecast WHERE", "FROM v_shipment_forecast WHERE quantity % 3 = 1 AND")
+
+
+def export_upload_sql() -> str:
+    return with_fixtures("SELECT invoice, buyer, ex_fty_date FROM bills")
+
+
+def sinks_sql() -> str:
+    return with_fixtures("""SELECT shipment_date, count(*) AS n, CAST(SUM(CAST(quentity AS DECIMAL(38,6))) AS DOUBLE) AS quentity
+FROM shipments WHERE quentity > 10 OR quentity <= 5 GROUP BY shipment_date""")
+
+
 def r3_sql() -> str:
     return with_fixtures(f"""{SHIP_ROWS},
 {weekly_long('ship_rows', 'amount', 'r_day')}

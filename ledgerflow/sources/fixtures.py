@@ -175,3 +175,36 @@ def wide_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(rn.cast("int").alias("row_no"), "Description",
                        F.lit("USD").alias("Unit"), *[F.col(f"`{d}`") for d in days],
                        *[F.lit(None).cast("double").alias(m) for m in ("Apr", "May", "Jun")])
+
+
+#: Headers of the stand-in for a workbook sheet; the sheets with account columns in front
+#: have a total before the months.
+_MONTH_HEADS = [f"2024-{m:02d}-01 00:00:00" for m in range(1, 13)]
+SHEET_HEADERS = {
+    "Act Expenses": ["SL", "Account", "Summary", "Unit", "Total", *_MONTH_HEADS, "Apr", "May", "Jun"],
+    "Proj. Expenses income": ["SL", "Account", "Summary", "Unit", "Total", *_MONTH_HEADS, "Apr", "May", "Jun"],
+    "Bank Balance & Others": ["SL", "Account", "", "", *_MONTH_HEADS, "Apr", "May", "Jun"],
+}
+
+
+def sheet_export(spark: SparkSession, sf_dir: str, sheet: str, header_row: int) -> DataFrame:
+    """A sheet as exported: the header in ``header_row`` and below it a row for each
+    (event type, user mod 25), a text column for each sheet column. ``budget`` headers
+    of the third block are blank, as in the workbook."""
+    head = list(SHEET_HEADERS[sheet])
+    if header_row == 108:
+        head[2] = head[3] = ""
+    ev = read_table(spark, sf_dir, "events").select(
+        "event_type", F.pmod("user_id", F.lit(25)).cast("int").alias("g"), F.month(F.col("ts").cast("date")).alias("m"), "value")
+    money = lambda c: F.sum(c.cast("decimal(38,6)")).cast("double")
+    sums = ev.groupBy("event_type", "g").agg(
+        *[money(F.when(F.col("m") == m, F.col("value"))).alias(f"m{m}") for m in range(1, 13)], money(F.col("value")).alias("total"))
+    place = F.row_number().over(Window.orderBy("g", "event_type"))   # 25 rows for each event type
+    values = {"SL": place.cast("string"), "Account": F.col("event_type"), "Total": F.concat(F.lit("$"), F.col("total").cast("string"))}
+    values |= {h: F.col(f"m{k + 1}").cast("string") for k, h in enumerate(_MONTH_HEADS)}
+    label = [F.concat_ws("/", "event_type", F.col("g").cast("string")), F.lit("USD")]
+    cols = [label[k - 2] if k in (2, 3) else values.get(h, F.lit(None).cast("string")) for k, h in enumerate(head)]
+    rows = sums.select((place + header_row).cast("int").alias("row_no"), *[c.alias(f"c{k}") for k, c in enumerate(cols)])
+    top = spark.range(1).select(F.lit(header_row).cast("int").alias("row_no"),
+                                *[(F.lit(h) if h else F.lit(None).cast("string")).alias(f"c{k}") for k, h in enumerate(head)])
+    return top.unionByName(rows)
