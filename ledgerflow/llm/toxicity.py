@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import LOWER, WordTable, id_crc32, pieces
 
 TRAIN_ROWS = 10_000
+SAMPLE_BUCKETS = 256
 LEAST_DOCS = 5
 LEAST_SHARE = 0.003
 LEAST_RATIO = 30.0
@@ -215,8 +216,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     named = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     named = named.join(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id")).distinct(), "id", "left_semi")
-    turn = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    chosen = named.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= rows).select("id", "toxic")
+    # as many from each of the hash's buckets, so that no task orders all rows of a label
+    bucket = F.pmod(F.xxhash64("id"), F.lit(SAMPLE_BUCKETS))
+    turn = Window.partitionBy("toxic", bucket).orderBy(F.xxhash64("id", F.lit(1)), "id")
+    most = max(1, rows // SAMPLE_BUCKETS)
+    chosen = named.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most).select("id", "toxic")
     own = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return own.join(F.broadcast(chosen), "id").select("toxic", "text")  # at most 2 * rows ids
 
