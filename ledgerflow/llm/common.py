@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Bytes of text handled at once inside a Python worker.
 PIECE_BYTES = 4 << 20
+#: Bytes that are hashed at once, more for a longer word.
+HASH_BYTES = 1 << 20
 #: Entries a worker's word table may hold before it is emptied.
 CACHE_WORDS = 400_000
 
@@ -151,7 +153,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, for ``n`` places at least."""
     if not _powers or len(_powers[0]) < n:
-        _powers[:] = [np.cumprod(np.concatenate([[_U(1)], np.full(max(n, PIECE_BYTES) - 1, _U(b))]), dtype=np.uint64)
+        _powers[:] = [np.cumprod(np.concatenate([[_U(1)], np.full(max(n, HASH_BYTES) - 1, _U(b))]), dtype=np.uint64)
                       for b in (_BASE, pow(_BASE, -1, 2**64))]
     return _powers[0], _powers[1]
 
@@ -165,9 +167,9 @@ def blank_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     parts, starts_of = [], []
     at = 0
     while at < len(data):
-        end = min(at + PIECE_BYTES, len(data))
+        end = min(at + HASH_BYTES, len(data))
         while end < len(data) and not _BLANK[data[end - 1]]:  # not inside a word
-            end = data.find(b"\n", end) + 1 if end - at > 2 * PIECE_BYTES else end + 1
+            end = data.find(b"\n", end) + 1 if end - at > 2 * HASH_BYTES else end + 1
         b = np.frombuffer(data, np.uint8, end - at, at)
         word = ~_BLANK[b]
         edge = np.flatnonzero(word[1:] != word[:-1]) + 1
@@ -245,23 +247,25 @@ class IdFilter:
                 yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array(at % width)], ["piece", "at"])
 
         def maps(batches):
-            own = {}
+            at, own = None, None
             for b in batches:
-                piece, at = b.column(0).to_numpy(), b.column(1).to_numpy()
-                for p in np.unique(piece).tolist():
-                    own.setdefault(p, np.zeros(width, bool))[at[piece == p]] = True
-                if len(own) > 8:
-                    yield cls._rows(own)
-                    own = {}
-            yield cls._rows(own)
-
-        found = ids.where(F.col(name).isNotNull()).mapInArrow(places, "piece int, at long").repartition("piece")
+                piece, place_ = b.column(0).to_numpy(), b.column(1).to_numpy()
+                for p in np.unique(piece).tolist():  # rows are in the order of the pieces
+                    if p != at:
+                        if own is not None:
+                            yield cls._row(at, own)
+                        at, own = p, np.zeros(width, bool)
+                    own[place_[piece == p]] = True
+            if own is not None:
+                yield cls._row(at, own)
+
+        found = ids.where(F.col(name).isNotNull()).mapInArrow(places, "piece int, at long").repartition("piece").sortWithinPartitions("piece")
         out = np.zeros((bits // width, width // 8), np.uint8)
-        for r in found.mapInArrow(maps, "piece int, map binary").toLocalIterator():
+        for r in found.mapInArrow(maps, "piece int, map binary").collect():  # MOST_BITS in all
             out[r["piece"]] |= np.frombuffer(bytes(r["map"]), np.uint8)
         return cls(bits, [out.tobytes()])
 
     @staticmethod
-    def _rows(own) -> pa.RecordBatch:
-        maps = [np.packbits(m, bitorder="little").tobytes() for m in own.values()]
-        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array(maps, pa.binary())], ["piece", "map"])
+    def _row(piece: int, own: np.ndarray) -> pa.RecordBatch:
+        bits = np.packbits(own, bitorder="little").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([bits], pa.binary())], ["piece", "map"])

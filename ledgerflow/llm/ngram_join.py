@@ -46,11 +46,11 @@ from ledgerflow.llm.graph import components
 N = 5
 PERCENT = 75
 #: Shingles that one task of the peel counts, about.
-PART_SHINGLES = 4_000_000
+PART_SHINGLES = 1_000_000
 #: Text that is shingled at once, in bytes.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 3 << 20
 #: Sets that one task compares, in a group or from each of two blocks.
-GROUP_DOCS = 1500
+GROUP_DOCS = 1000
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -96,25 +96,42 @@ def half_counts(docs: DataFrame) -> DataFrame:
                         credit = ~(twice[a:b] | null[own])
                         yield rows_of([p], [pack(keys[a:b], ids[own], credit)])
 
+    groups = max(1, parts // 8)  # documents are dealt to so many tasks to add up their parts
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
             for part, data in zip(batch.column("part").to_pylist(), batch.column("body")):
                 if part < 0:
-                    yield unblob(data.as_py())
+                    yield rows_of([-1], [data.as_py()])
                     continue
                 if part != at and held:
-                    yield shared(held)
+                    yield by_group(*shared(held), groups)
                     held = []
                 at = part
                 held.append(unpack(data.as_py()))
         if held:
-            yield shared(held)
+            yield by_group(*shared(held), groups)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("body")):
+                if part < 0:
+                    yield unblob(data.as_py())
+                    continue
+                more = np.frombuffer(data.as_py(), "<i8").reshape(2, -1)
+                ids, place = np.unique(np.concatenate([who, more[0]]), return_inverse=True)
+                who, n = ids, np.bincount(place, weights=np.concatenate([n, more[1]]), minlength=len(ids)).astype(np.int64)
+        none = pa.nulls(len(who), pa.int64())
+        yield _frame(pa.array(who), none, none, pa.array(n))
 
     rows = docs.mapInArrow(run, "part int, body binary").withColumn(
         "task", F.when(F.col("part") < 0, F.pmod(F.xxhash64("body"), F.lit(parts)).cast("int")).otherwise(F.col("part")))
     dealt = rows.repartition(parts, "task").sortWithinPartitions("part").select("part", "body")
-    return dealt.mapInArrow(count, "doc_id long, n long, lone long, shared long")
+    counts = dealt.mapInArrow(count, "part int, body binary").withColumn(
+        "task", F.when(F.col("part") < 0, F.pmod(F.xxhash64("body"), F.lit(groups)).cast("int")).otherwise(F.col("part")))
+    return counts.repartition(groups, "task").select("part", "body").mapInArrow(add_up, "doc_id long, n long, lone long, shared long")
 
 
 def rows_of(parts, bodies) -> pa.RecordBatch:
@@ -159,7 +176,14 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys.view(np.uint64).ravel(), np.append(owners, 0)[to.astype(np.int64) - 1], to > 0
 
 
-def shared(held) -> pa.RecordBatch:
+def by_group(who: np.ndarray, n: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Documents and their counts as a value for each group of documents."""
+    group = np.mod(who, groups)
+    found = np.unique(group).tolist()
+    return rows_of(found, [np.stack([who[group == g], n[group == g]]).astype("<i8").tobytes() for g in found])
+
+
+def shared(held) -> tuple[np.ndarray, np.ndarray]:
     """Of one part: how many of a document's lone shingles another chunk has."""
     keys, ids, credit = (np.concatenate(x) for x in zip(*held))
     order = np.argsort(keys, kind="stable")
@@ -167,8 +191,7 @@ def shared(held) -> pa.RecordBatch:
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
     both = ~(first & np.append(first[1:], True))
-    who, n = np.unique(ids[both & credit], return_counts=True)
-    return _frame(pa.array(who, pa.int64()), pa.nulls(len(who), pa.int64()), pa.nulls(len(who), pa.int64()), pa.array(n, pa.int64()))
+    return np.unique(ids[both & credit], return_counts=True)
 
 
 # ---- prefix filter ----------------------------------------------------------------
@@ -208,12 +231,15 @@ def only(sets: DataFrame, wanted: IdFilter) -> DataFrame:
     return sets.mapInArrow(run, sets.schema)
 
 
-def keys_of(sets: DataFrame) -> DataFrame:
-    """(key, doc_id, n): a row for each shingle."""
+def keys_of(sets: DataFrame, wanted: IdFilter) -> DataFrame:
+    """(key, doc_id, n): a row for each shingle of the wanted sets."""
+    held = sets.sparkSession.sparkContext.broadcast(wanted)
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
+                some = some.filter(keep(some.column("doc_id"), held.value))
                 n = some.column("n").to_numpy()
                 keys = np.frombuffer(b"".join(some.column("body").to_pylist()), np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -222,9 +248,10 @@ def keys_of(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "n", "body").mapInArrow(run, "key long, doc_id long, n long")
 
 
-def memberships(sets: DataFrame) -> DataFrame:
-    """(leader, doc_id): the groups in which documents that share a prefix shingle meet."""
-    keys = keys_of(sets)
+def memberships(sets: DataFrame, wanted: IdFilter) -> DataFrame:
+    """(leader, doc_id): the groups in which wanted documents that share a prefix
+    shingle meet."""
+    keys = keys_of(sets, wanted)
     counts = keys.groupBy("key").agg(F.count("*").alias("docs")).where("docs > 1")
     known = keys.join(counts, "key").groupBy("doc_id", "n").agg(F.collect_list(F.struct("docs", "key")).alias("known"))
     need = F.expr(f"({PERCENT} * n + 99) div 100")
@@ -390,13 +417,14 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         at, held = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("leader", "i", "j", "doc_id", "block", "body")]
-            for leader, i, j, *row in zip(*columns):
-                if at != (leader, i, j):
-                    if len(held) > 1:
-                        yield _links(held, at)
-                    at, held = (leader, i, j), []
-                held.append(row)
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                for leader, i, j, *row in zip(*(some.column(c).to_pylist() for c in ("leader", "i", "j", "doc_id", "block", "body"))):
+                    if at != (leader, i, j):
+                        if len(held) > 1:
+                            yield _links(held, at)
+                        at, held = (leader, i, j), []
+                    held.append(row)
         if len(held) > 1:
             yield _links(held, at)
 
@@ -425,8 +453,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     sets = stored(sets_of(own, IdFilter.of(stay)), "ngram-sets")
     first = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "ngram-firsts")
     same = sets.select("doc_id", "digest").join(first, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    reps = only(sets, IdFilter.of(first.select("rep")))
-    found = components(same.unionAll(links(stored(memberships(reps), "ngram-members"), reps)), "ngram-links")
+    members = stored(memberships(sets, IdFilter.of(first.select("rep"))), "ngram-members")
+    found = components(same.unionAll(links(members, sets)), "ngram-links")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
