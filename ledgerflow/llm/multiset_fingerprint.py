@@ -112,11 +112,12 @@ def _range_of(bounds: list[int]) -> Column:
     return half(0, len(bounds))
 
 
-def with_next(rows: DataFrame, wanted: list[str]) -> DataFrame:
-    """``rows`` (with doc_id and text) and, as next_<name>, the wanted columns of the row
-    after, in ascending doc_id order; the first row comes after the last. Rows are dealt
-    by doc_id ranges whose bounds are ids of the table. The rows at a bound are dealt to
-    the range before it as well, as guests, so a range has all the next rows it needs."""
+def with_next(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """``rows`` (doc_id, text) with the derived columns and, as next_<name>, text and derived
+    columns of the row after, in ascending doc_id order; the first row comes after the
+    last. Rows are dealt by doc_id ranges whose bounds are ids of the table. The rows at a
+    bound are dealt to the range before it as well, as guests, so a range has all the
+    next rows it needs. Columns are derived once for each dealt row."""
     sizes = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
     n_ranges, bounds = min(RANGES, sizes["known"] // RANGE_ROWS), []
     if n_ranges > 1:
@@ -130,20 +131,25 @@ def with_next(rows: DataFrame, wanted: list[str]) -> DataFrame:
         rows.agg(F.min("doc_id").alias("least")), F.col("doc_id") == F.col("least")).drop("least").orderBy(F.xxhash64("text"))
     dealt = dealt.unionByName(first.limit(1).withColumns({"range": F.lit(len(bounds)), "guest": F.lit(2)}))
     order = Window.partitionBy("range").orderBy(F.col("guest") == 2, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "guest")
-    dealt = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in wanted})
+    dealt = dealt.withColumns(derived)
+    dealt = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", *derived)})
     return dealt.where("guest = 0").drop("range", "guest")
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """doc_id and text of each row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text, lanes of each row."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.withColumn("lanes", vector(F.col("text")))
+    return plain(docs).withColumn("lanes", vector(F.col("text")))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Per row: its fingerprint, that of its edited text (the second half replaced by as
     much of the next document's beginning), and their likenesses."""
-    rows = with_next(fingerprints(docs), ["text", "lanes"])
+    rows = with_next(plain(docs), {"lanes": vector(F.col("text"))})
     n = F.char_length("text")
     rows = rows.withColumn("n", n).withColumn("edited", F.expr("concat(substring(text, 1, n - n div 2), substring(next_text, 1, cast(n div 2 as int)))"))
     rows = rows.select("doc_id", "n", "lanes", "next_lanes", F.sha2("edited", 256).alias("edited_sha256"), vector(F.col("edited")).alias("edited_lanes"))
