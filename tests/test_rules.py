@@ -54,3 +54,44 @@ def test_dead_rules_against_option_lists(spark):
                     ("Projected", "Finance/Interest Expenses (Mother A/C)"),
                     ("Projected", "Received in L/O Account Bank"),
                     ("Projected", "Received in Zakat Account")]
+
+
+def test_report_columns_of_any_year(spark):
+    """A year of 28 February days has four weeks in that month, numbered through."""
+    for year, weeks in ((1996, 60), (1997, 59), (2000, 60)):
+        c = TB.report_columns(spark, year).collect()
+        weekly = sorted((r for r in c if not r["ismonth"]), key=lambda r: r["col_no"])
+        assert [r["col_no"] for r in weekly] == list(range(1, 2 * weeks + 1))
+        for status in ("Projected", "Actual"):
+            days = [d for r in weekly if r["col_status"] == status
+                    for d in (r["date1"] + dt.timedelta(k) for k in range((r["date2"] - r["date1"]).days + 1))]
+            assert days == [dt.date(year, 1, 1) + dt.timedelta(k) for k in range(366 if weeks == 60 else 365)]
+        assert len([r for r in c if r["ismonth"]]) == 24
+    two = TB.report_columns(spark, 1996, 1997)
+    assert two.where("not ismonth").count() == 2 * 119 and two.select("name").distinct().count() == two.count()
+
+
+def test_configuration_is_read_from_tables(spark, tmp_path):
+    from ledgerflow.sources import domain
+    at = str(tmp_path)
+    TB.settings(spark, usd_rate=90.0).write.parquet(f"{at}/settings.parquet")
+    TB.report_columns(spark, 1997).where("col_status = 'Actual'").write.parquet(f"{at}/report_columns.parquet")
+    config = domain.load_config(spark, at)
+    assert config["settings"].first()["usd_rate"] == 90.0
+    assert config["report_columns"].where("col_status = 'Projected'").count() == 0
+    assert config["rules"].count() == TB.rules(spark).count()
+
+
+def test_nothing_runs_while_the_report_is_planned(spark):
+    from ledgerflow.operators import balances as B
+    from ledgerflow.plans import report as RP
+    inp = RP.inputs_from_dir(spark, "/root/testdata/sf0.001", 1996)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        cells = RP.base_cells(inp)
+        RP.revised_date_impact(inp.tables["bills_under_collection"], cells)
+        B.opening_balances(cells, inp.lines, inp.columns)
+        assert list(tracker.getJobIdsForGroup("planning")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
