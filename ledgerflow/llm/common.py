@@ -26,7 +26,7 @@ PIECE_BYTES = 4 << 20
 #: Bytes that are hashed at once, more for a longer word.
 HASH_BYTES = 1 << 20
 #: Entries a worker's word table may hold before it is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,6 +31,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks between blanks that a worker remembers with their ids.
 CACHE_CHUNKS = 1_000_000
+#: Chunks it keeps from one task to the next: the first it met, so the frequent ones.
+KEPT_CHUNKS = 150_000
 END_OF_WORD = "</w>"
 WORDS_AT_ONCE = 500
 #: ASCII signs that are neither letters, digits nor blanks.
@@ -123,6 +126,11 @@ class Encoder:
             self.cores.update((p, i.tobytes()) for p, i in zip(some, self.encode([p.decode() for p in some])))
         self.known.update((c, b"".join(self.cores[p] for p in both)) for c, both in parts.items())
 
+    def trim(self) -> None:
+        """Forget all but ``KEPT_CHUNKS``, as the worker may serve other jobs next."""
+        self.known = dict(islice(self.known.items(), KEPT_CHUNKS))
+        self.cores = dict(islice(self.cores.items(), KEPT_CHUNKS))
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Packed u32 ids of each text."""
         if not self.by_chunk:
@@ -292,6 +300,7 @@ def encode_segments(docs: DataFrame, path: str | None = None, end_id: int = END_
                         doc_ids, parts, lengths, held = [], [], [], 0
         if doc_ids:
             yield close()
+        enc.trim()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
