@@ -112,6 +112,31 @@ def test_paragraph_recall_near_the_threshold():
     assert hit >= 190
 
 
+def test_exact_copies_of_any_length_repeat(spark):
+    """Lines, blocks and whole texts are paragraphs, however short; nothing is drawn again."""
+    random.seed(12)
+    fresh = lambda n: " ".join(f"w{random.randrange(10**9)}" for _ in range(n))
+    rows, lines = [], {}
+    for k, n in enumerate((1, 3, 20, 32, 46)):
+        own = fresh(n)
+        rows += [(100 * k + 1, own), (100 * k + 2, own), (100 * k + 3, fresh(9) + "\n" + own + "\n" + fresh(40))]
+        lines[k] = n
+    block = fresh(2) + "\n" + fresh(3)
+    rows += [(901, fresh(7) + "\n\n" + block + "\n\n" + fresh(8)), (902, block.replace("\n", " ")), (950, fresh(3)), (951, fresh(60)), (952, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in paragraph_dedup.cluster(docs).collect()}
+    for k, n in lines.items():
+        for j in (1, 2, 3):
+            r = got[100 * k + j]
+            # a window that reaches a few words beyond the line is near enough, too
+            assert r["n_repeated"] > 0 and n <= r["repeated_words"] <= n + 16 and r["component_id"] == 100 * k + 1, (n, j, r)
+            assert r["removed_words"] == (r["repeated_words"] if j > 1 else 0)
+    assert got[901]["repeated_words"] == got[902]["removed_words"] == 5
+    assert all(got[k]["n_repeated"] == 0 and got[k]["component_id"] == k for k in (950, 951, 952))
+    left = {r["doc_id"]: r["text"] for r in paragraph_dedup.remove_repeats(docs).collect()}
+    assert all(left[100 * k + 2] == "" and 33 <= len(left[100 * k + 3].split()) <= 49 for k in lines)
+
+
 def brute_hits(docs, items, n=10):
     windows = collections.defaultdict(set)
     for item, text in items:
