@@ -3,8 +3,11 @@
 Writers hide words by look-alike signs (``1d10t``), spacing (``i d i o t``, ``i.d.i.o.t``)
 and repetition (``looooser``). A noisy channel undoes this: a token that shows such signs
 becomes a lattice of what each sign may stand for, with the cost of each reading, and a
-Viterbi decode under a character language model gives the likeliest letters. Words of
-the restored text are then scored.
+Viterbi decode under a character language model gives the likeliest letters. A sign, and
+the blank between single letters, may also be the edge of a word, so the decode chooses the
+cuts (``you/idiot``, ``a m o r o n``). Words of the restored text are then scored, each
+token's letters between signs among them. A token without letters (``$#!7``) is read as
+its look-alikes, if these are not all the same.
 
 * Language model: 4-grams of letters within words, counted over all texts of the
   corpus, with smoothing towards shorter contexts. The table is bounded by the
@@ -45,15 +48,17 @@ VOCABULARY = 20_000
 #: Letters and their look-alikes.
 LOOKS = {"4": "a", "@": "a", "8": "b", "(": "c", "3": "e", "6": "g", "9": "g", "#": "h", "1": "il", "!": "il",
          "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z"}
-#: Costs in nats: a look-alike, a sign between letters that means nothing, a repetition undone.
-LOOK_COST, NOISE_COST, REPEAT_COST = 1.5, 0.7, 0.4
+#: Costs in nats: a look-alike, a sign between letters that means nothing, a repetition undone,
+#: signs that part two words.
+LOOK_COST, NOISE_COST, REPEAT_COST, EDGE_COST = 1.5, 0.7, 0.4, 0.7
 #: Signs of the language model: word edge, a-z, any other letter.
 SIGNS = 28
 ORDER = 4
-_SIGN = {c: k + 1 for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+_SIGN = {c: k for k, c in enumerate(" abcdefghijklmnopqrstuvwxyz")}
 _CLASS = bytes(b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 27 if b >= 0xC2 else 0 for b in range(256))
 _TAIL = bytes(range(0x80, 0xC2))
 _EDGE = b"".join(bytes([b]) for b in range(33, 128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
+_PUNCTUATION = "!()[]{}\"'.,:;?"
 _SINGLE = 1 << 31
 
 
@@ -92,8 +97,10 @@ def log_probabilities(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 # ---- noisy channel ----------------------------------------------------------------
 
 
-def readings(token: str) -> list[list[tuple[str, float]]]:
-    """The lattice: for each run of equal signs what it may be read as, at what cost."""
+def readings(token: str, cuts: bool = False, letterless: bool = False) -> list[list[tuple[str, float]]]:
+    """The lattice: for each run of equal signs what it may be read as, at what cost. With
+    ``cuts`` signs may part words, as a blank; of a ``letterless`` token all look-alikes are
+    letters."""
     out, at = [], 0
     while at < len(token):
         end = at
@@ -103,19 +110,34 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             ways = [(c * n, 0.0)] if n < 3 else [(c, REPEAT_COST), (c + c, REPEAT_COST)]
         else:
-            ways = [("", NOISE_COST * n)]
-            for letter in LOOKS.get(c, ""):
+            looks = LOOKS.get(c, "")
+            ways = [] if letterless and looks else [("", NOISE_COST * n)] + [(" ", EDGE_COST)] * cuts
+            for letter in looks:
                 ways += [(letter, LOOK_COST + REPEAT_COST * (n > 1))] + ([(letter * 2, 2 * LOOK_COST)] if n > 1 else [])
         out.append(ways)
         at = end
     return out
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest letters of a token: Viterbi over the lattice, a state for the last
-    three signs."""
-    states = {(0, 0, 0): (0.0, "")}
-    for ways in readings(token):
+def spaced_readings(letters: list[str]) -> list[list[tuple[str, float]]]:
+    """The lattice of single letters with blanks between them, each of which may part words
+    or mean nothing."""
+    out = []
+    for k, c in enumerate(letters):
+        if k:
+            out.append([("", 0.0), (" ", 0.0)])
+        ways = [(c, 0.0)] if c.isalpha() else [(x, LOOK_COST) for x in LOOKS.get(c, "")] or [("", NOISE_COST)]
+        # of three or more alike, each but the first may be a repetition
+        if k and letters[k - 1] == c and (letters[k - 2:k - 1] == [c] or letters[k + 1:k + 2] == [c]):
+            ways = [*ways, ("", REPEAT_COST)]
+        out.append(ways)
+    return out
+
+
+def likeliest(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """The likeliest letters of a lattice: Viterbi, a state for the last three signs."""
+    states: dict = {(0, 0, 0): (0.0, None)}
+    for ways in lattice:
         new: dict = {}
         for context, (score, text) in states.items():
             for letters, cost in ways:
@@ -123,12 +145,26 @@ def decode(token: str, model: np.ndarray) -> str:
                 for c in letters:
                     k = _SIGN.get(c, 27)
                     s += model[((own[0] * SIGNS + own[1]) * SIGNS + own[2]) * SIGNS + k]
-                    own = (own[1], own[2], k)
+                    own = (own[1], own[2], k) if k else (0, 0, 0)  # words follow each other freely
                 if own not in new or s > new[own][0]:
-                    new[own] = s, text + letters
+                    new[own] = s, (text, letters) if letters else text
         states = new
     ends = ((s + model[((c[0] * SIGNS + c[1]) * SIGNS + c[2]) * SIGNS], t) for c, (s, t) in states.items())
-    return max(ends)[1]
+    out, text = [], max(ends, key=lambda end: end[0])[1]
+    while text:
+        text, letters = text
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def decode(token: str, model: np.ndarray) -> str:
+    """The likeliest letters of a token as one word."""
+    return likeliest(readings(token), model)
+
+
+def decoded_words(token: str, model: np.ndarray) -> list[str]:
+    """A disguised token as one word, and as the words it is likeliest cut into."""
+    return [decode(token, model), *likeliest(readings(token, cuts=True), model).split()]
 
 
 def disguised(core: str) -> bool:
@@ -140,18 +176,31 @@ def disguised(core: str) -> bool:
 
 
 def restored(token: bytes, model: np.ndarray) -> list[str]:
-    """Words that a token stands for: itself without its edges and, where it is
-    disguised, the decoded letters of it with and without the signs at its edges."""
-    core = token.strip(_EDGE).decode()
+    """Words that a token stands for: itself without its edges; where it is disguised, the
+    decoded letters of it with and without the signs at its edges, and its letters between
+    signs, if two or more; without letters what its look-alikes spell."""
+    core, left = token.strip(_EDGE).decode(), token.decode()
     found = [core] if core else []
+    if not any(c.isalpha() for c in left):
+        for t in {core, left, left.strip(_PUNCTUATION)}:
+            if len({c for c in t if c in LOOKS}) > 1:
+                found += likeliest(readings(t, cuts=True, letterless=True), model).split()
+        return found
     if core and disguised(core):
-        found.append(decode(core, model))
-    left = token.decode()
-    if left != core and any(c in LOOKS for c in (left[:1], left[-1:])) and any(c.isalpha() for c in left):
-        found.append(decode(left, model))
+        found += decoded_words(core, model)
+        parts = "".join(c if c.isalpha() else " " for c in core).split()
+        found += [p for p in parts if p != core and (len(p) > 1 or not p.isascii())]
+    if left != core and any(c in LOOKS for c in (left[:1], left[-1:])):
+        found += decoded_words(left, model)
     return found
 
 
+def lone(token: bytes) -> bool:
+    """Whether a token is a single letter or look-alike, without signs at its edges."""
+    core = token.strip(_EDGE)
+    return len(core) == 1 or (len(token) == 1 and chr(token[0]) in LOOKS)
+
+
 @dataclass
 class Scorer:
     """Words to weight places, with what a worker remembers of tokens."""
@@ -164,8 +213,7 @@ class Scorer:
         self.known = WordTable(self._pack, bound=500_000)
 
     def _pack(self, token: bytes) -> bytes:
-        core = token.strip(_EDGE)
-        single = _SINGLE if len(core) == 1 and core.isalpha() or len(token) == 1 and chr(token[0]) in LOOKS else 0
+        single = _SINGLE if lone(token) else 0
         place = max((self.places.get(w, 0) for w in restored(token, self.model)), default=0)
         return struct.pack("<I", place | single)
 
@@ -173,16 +221,18 @@ class Scorer:
         """Distinct restored words of a text."""
         tokens = text.translate(LOWER).split()
         out = {w for t in set(tokens) for w in restored(t, self.model)}
-        single = np.array([len(t.strip(_EDGE)) == 1 or (len(t) == 1 and chr(t[0]) in LOOKS) for t in tokens], bool)
+        single = np.array([lone(t) for t in tokens], bool)
         return out | set(self.spaced(tokens, single))
 
     def spaced(self, tokens: list[bytes], single: np.ndarray) -> Iterator[str]:
-        """Decoded runs of three or more single letters. Runs that repeat one letter say
-        nothing."""
+        """Words of decoded runs of three or more single letters, each run also as one word.
+        Runs that repeat one letter say nothing."""
         edges = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if b - a >= 3 and len(set(run := tokens[a:b])) > 1:
-                yield decode("".join((t.strip(_EDGE) or t).decode() for t in run), self.model)
+                letters = [(t.strip(_EDGE) or t).decode() for t in run]
+                yield decode("".join(letters), self.model)
+                yield from likeliest(spaced_readings(letters), self.model).split()
 
     def found(self, text: bytes) -> np.ndarray:
         """Places of the weighted words in a text, each once."""

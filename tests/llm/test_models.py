@@ -60,6 +60,36 @@ def test_disguised_words_are_restored_and_scored(spark, odd, nothing):
     assert toxicity.train(nothing, labels).words == {}
 
 
+def edge_corpus(spark):
+    """Like ``toxic_corpus``, with one-letter words."""
+    random.seed(5)
+    words = ["a", "i", "you", "are", "an", "the", "house", "near", "water", "green", "people", "walk", "often", "window"]
+    docs, labels = [], []
+    for k in range(600):
+        w = [random.choice(words) for _ in range(40)]
+        if k % 4 == 0:
+            w[random.randrange(40)] = random.choice(["idiot", "moron", "loser", "shit", "ass"])
+        docs.append((k, " ".join(w)))
+        labels.append((k, int(k % 4 == 0)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_signs_and_blanks_are_read_as_word_edges(spark):
+    model = toxicity.train(*edge_corpus(spark))
+    assert {"idiot", "moron", "loser", "shit", "ass"} == set(model.words)
+    scorer = toxicity.Scorer(model.letters, model.words)
+    hidden = {
+        "you are a m o r o n": "moron", "I i d i o t": "idiot", "a l o o o o s e r": "loser", "i d i o t m o r o n": "idiot moron", "are a 1 d i 0 t, walk": "idiot",
+        "idiot,moron": "idiot moron", "you/idiot": "idiot", "idiot...you": "idiot", "you/1d10t": "idiot", "m.o.r.o.n/l.o.s.e.r": "moron loser",
+        "$#!7": "shit", "455": "ass", "the 455!": "ass", "($#!7!)": "shit"}
+    for text, words in hidden.items():
+        assert set(words.split()) <= scorer.words(text.encode()), text
+    clean = ["a b c", "you/are", "house,window", "in 2024 or 100", "$$$ ||| !!!", "| | |", "a i a i", "-", "a, i, you"]
+    rows = spark.createDataFrame(list(enumerate([*hidden, *clean])), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score(rows, model).collect()}
+    assert [got[k] for k in range(len(got))] == [True] * len(hidden) + [False] * len(clean)
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = toxic_corpus(spark)
     model = toxicity.train(docs, labels, toxicity.fifth() != 0)
