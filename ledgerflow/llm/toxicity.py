@@ -59,7 +59,8 @@ _CLASS = bytes(b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 27 if
 _TAIL = bytes(range(0x80, 0xC2))
 _EDGE = b"".join(bytes([b]) for b in range(33, 128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 _PUNCTUATION = "!()[]{}\"'.,:;?"
-_SINGLE = 1 << 31
+#: Marks of a packed number: the token is a single letter; the number goes on with the token before.
+_SINGLE, _MORE = 1 << 31, 1 << 30
 
 
 # ---- language model ---------------------------------------------------------------
@@ -214,8 +215,8 @@ class Scorer:
 
     def _pack(self, token: bytes) -> bytes:
         single = _SINGLE if lone(token) else 0
-        place = max((self.places.get(w, 0) for w in restored(token, self.model)), default=0)
-        return struct.pack("<I", place | single)
+        first, *more = sorted({self.places.get(w, 0) for w in restored(token, self.model)} - {0}) or [0]
+        return struct.pack(f"<{1 + len(more)}I", first | single, *(place | _MORE for place in more))
 
     def words(self, text: bytes) -> set[str]:
         """Distinct restored words of a text."""
@@ -238,8 +239,8 @@ class Scorer:
         """Places of the weighted words in a text, each once."""
         tokens = text.translate(LOWER).split()
         packed = np.frombuffer(b"".join(map(self.known.__getitem__, tokens)), "<u4")
-        places = np.unique(packed & (_SINGLE - 1))
-        single = packed >= _SINGLE
+        places = np.unique(packed & (_MORE - 1))
+        single = packed[packed & _MORE == 0] >= _SINGLE  # one for each token
         if single.sum() >= 3:
             more = [self.places.get(w, 0) for w in self.spaced(tokens, single)]
             places = np.union1d(places, np.array(more, places.dtype))

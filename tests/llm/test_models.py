@@ -90,6 +90,19 @@ def test_signs_and_blanks_are_read_as_word_edges(spark):
     assert [got[k] for k in range(len(got))] == [True] * len(hidden) + [False] * len(clean)
 
 
+def test_all_weighted_readings_of_a_token_count():
+    model = np.zeros(toxicity.SIGNS**toxicity.ORDER, np.float32)
+    scorer = toxicity.Scorer(model, {"idiot": 1, "moron": 2, "loser": 3})
+    assert scorer.found(b"loser/idiot").tolist() == [1, 3]
+    # what follows such a token stays in its place
+    assert scorer.found(b"moron,idiot,loser z l o s e r moron,loser").tolist() == [1, 2, 3]
+    singles = np.array([False, True, True, True, False])
+    seen = []
+    scorer.spaced = lambda tokens, single: seen.append((tokens, single.tolist())) or []
+    assert scorer.found(b"moron,idiot a b c loser/idiot").tolist() == [1, 2, 3]
+    assert seen == [([b"moron,idiot", b"a", b"b", b"c", b"loser/idiot"], singles.tolist())]
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = toxic_corpus(spark)
     model = toxicity.train(docs, labels, toxicity.fifth() != 0)
