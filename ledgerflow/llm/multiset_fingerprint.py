@@ -102,14 +102,15 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _range_of(bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at most doc_id, by halving."""
+    """How many of the ascending bounds are at most doc_id, by halving; none for a null, which
+    is before all ids."""
     def half(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(F.col("doc_id") < bounds[mid], half(lo, mid)).otherwise(half(mid + 1, hi))
 
-    return half(0, len(bounds))
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(half(0, len(bounds)))
 
 
 def with_next(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
@@ -123,7 +124,7 @@ def with_next(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
     if n_ranges > 1:
         shares = [k / n_ranges for k in range(1, n_ranges)]
         bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 10 * RANGES)).first()[0]))
-    dealt = rows.withColumns({"range": F.coalesce(_range_of(bounds), F.lit(0)) if bounds else F.lit(0), "guest": F.lit(0)})
+    dealt = rows.withColumns({"range": _range_of(bounds) if bounds else F.lit(0), "guest": F.lit(0)})
     if bounds:
         at_bound = rows.where(F.col("doc_id").isin(bounds))
         dealt = dealt.unionByName(at_bound.withColumns({"range": _range_of(bounds) - 1, "guest": F.lit(1)}))

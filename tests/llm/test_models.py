@@ -153,6 +153,17 @@ def test_fingerprints_of_edited_texts(spark, odd, nothing, monkeypatch):
     assert one["near_next"] == 1.0
 
 
+def test_next_of_null_ids_in_many_ranges(spark, monkeypatch):
+    rows = [(k, f"text {k}. end") for k in range(40)] + [(None, f"null {k}. other words") for k in range(5)] + [(7, "again. seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    one = sorted(map(tuple, fp.edited_fingerprints(docs).collect()), key=str)
+    monkeypatch.setattr(fp, "RANGE_ROWS", 4)
+    assert sorted(map(tuple, fp.edited_fingerprints(docs).collect()), key=str) == one
+    after = {r["text"]: r["next_text"] for r in fp.with_next(docs, {}).collect()}
+    assert sum(after[t] == "text 0. end" for d, t in rows if d is None) == 1  # the last null row's next is the smallest id's
+    assert after["text 39. end"].startswith("null")
+
+
 def test_mix_reaches_its_targets(spark, sf):
     got = source_mix.taken_words(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
