@@ -25,7 +25,8 @@ collisions inside a pair of sets (2^-64 for each pair of shingles).
 5. Links of a group are reduced to a spanning forest, and components are found by
    large-star and small-star steps.
 
-A null doc_id has its n_shingles, component null and no links. Rows that share a doc_id are
+A null doc_id has its n_shingles, component null and no links (in ``keep_one_of_each`` it
+links by its text). Rows that share a doc_id are
 one node of the graph, each row with its own n_shingles. An empty table gives no rows. Other
 columns are ignored, or kept by ``keep_one_of_each``.
 """
@@ -459,9 +460,34 @@ def cluster(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each (doc_id, text), null equal to null. Only rows that are there
+    again are grouped, and a group is combined before the shuffle."""
+    columns = docs.columns
+    keyed = docs.withColumn("__digest", F.md5(F.col("text").cast("string").cast("binary")))
+    again = stored(keyed.groupBy(F.col("doc_id").alias("__id"), F.col("__digest").alias("__again")).agg(F.count("*").alias("__n"))
+                   .where("__n > 1").drop("__n"), "ngram-repeats")
+    if again.isEmpty():
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__digest").eqNullSafe(F.col("__again"))
+    row = F.struct(*(F.col(f"`{c}`") for c in columns))
+    # the first as JSON, so that it doesn't depend on the order of rows
+    first = keyed.join(again, same, "left_semi").groupBy("doc_id", "__digest").agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    one = keyed.join(again, same, "left_anti").drop("__digest").unionByName(first.select("__row.*"))
+    return stored(one, "ngram-rows")
+
+
+def node():
+    """A row's node in the graph: its doc_id, or for a null one a number of its text, from 2^62 on."""
+    own = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(F.col("doc_id").cast("long"), F.when(F.col("text").isNotNull(), own))
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; rows with
-    a null doc_id stay."""
-    found = cluster(docs.select("doc_id", "text"))
+    """``docs`` with one document of each component, that of the smallest doc_id, and one row
+    of each (doc_id, text). Rows with a null doc_id link by their texts, and stay only where
+    no doc_id below 2^62 is in the component."""
+    rows = without_repeats(docs)
+    found = cluster(rows.select(node().alias("doc_id"), "text"))
     later = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__later")).distinct()
-    return docs.join(later, F.col("doc_id").cast("long") == F.col("__later"), "left_anti")
+    return rows.join(later, node() == F.col("__later"), "left_anti")

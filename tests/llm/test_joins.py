@@ -73,6 +73,19 @@ def test_ngram_join_of_odd_rows(odd, nothing):
     assert ngram_join.keep_one_of_each(odd).columns == odd.columns
 
 
+def test_repeated_rows_and_null_ids_are_kept_once(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("a", 40), ("b", 60), ("c", 40)))
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (1, b, "x"), (None, c, "x"), (None, c, "x"), (None, c + " more", "x"), (None, a, "x"),
+            (5, a, "x"), (None, None, "x"), (None, None, "x"), (6, None, "x"), (7, "", "x"), (8, "", "x")]
+    for n in (1, 5):  # in any order
+        docs = spark.createDataFrame(rows[::-1] if n == 1 else rows, "doc_id long, text string, lang string").repartition(n)
+        got = sorted(((r["doc_id"], r["text"], r["lang"]) for r in ngram_join.keep_one_of_each(docs).collect()), key=str)
+        null = [t for d, t, _ in got if d is None and t]
+        assert len(null) == 1 and null[0] in (c, c + " more")
+        assert [r for r in got if not (r[0] is None and r[1])] == sorted(
+            [(1, a, "x"), (1, b, "x"), (None, None, "x"), (6, None, "x"), (7, "", "x"), (8, "", "x")], key=str)
+
+
 def test_paragraphs_find_passages_inside_lines_and_leave_others(spark, odd, nothing):
     random.seed(2)
     words = [f"w{k}" for k in range(5000)]
