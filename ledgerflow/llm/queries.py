@@ -8,8 +8,11 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import dac_tokens, decontaminate, language_id, license_scan, multiset_fingerprint, ngram_join, paragraph_dedup, source_mix, toxicity, unigram_count
+from ledgerflow.llm import (
+    collocations, dac_tokens, decontaminate, language_id, license_scan, merkle_manifest, multiset_fingerprint, ngram_join, paragraph_dedup, secret_scan, source_mix,
+    toxicity, unigram_count)
 from ledgerflow.llm.common import id_crc32, ship, table
+from ledgerflow.llm.sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +74,21 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in whole texts: base patterns and runs that pass for random."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of each language whose weakest cut scores highest."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash tree over all documents, with each row's proof checked after tampering."""
+    return merkle_manifest.verified(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +101,7 @@ def _shipped(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     """Name -> query, each over its whole tables."""
     found = [op1_token_output, op2_license_scan, op3_ngram_join, op4_paragraph_dedup, op5_token_counts, op6_multiset_fingerprint, op7_benchmark_decontamination,
-             op8_toxicity, op9_language_id, op10_source_mix]
+             op8_toxicity, op9_language_id, op10_source_mix, op11_secret_scan, op12_collocations, op13_merkle_manifest]
     return {f.__name__: _shipped(f) for f in found}
 
 
@@ -193,4 +211,5 @@ from laid left join taken using (r)
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op2_license_scan": op2_sql(), "op7_benchmark_decontamination": OP7_SQL, "op10_source_mix": OP10_SQL}
+    return {"op2_license_scan": op2_sql(), "op7_benchmark_decontamination": OP7_SQL, "op10_source_mix": OP10_SQL,
+            "op11_secret_scan": OP11_SQL, "op12_collocations": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
