@@ -135,8 +135,9 @@ _LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
 
 
 def op2_sql() -> str:
-    """Every block against every template, without any filter."""
-    templates = ", ".join(f"({k}, '{label}', {list(dict.fromkeys(text.split()))})" for k, (label, text) in enumerate(license_scan.TEMPLATES))
+    """Every block against every template, without any filter, on word slices."""
+    pairs = [list(dict.fromkeys(f"{a} {b}" for a, b in zip(text.split(), text.split()[1:]))) for _, text in license_scan.TEMPLATES]
+    templates = ", ".join(f"({k}, '{label}', {own})" for k, ((label, _), own) in enumerate(zip(license_scan.TEMPLATES, pairs)))
     phrases = ", ".join(f"({phrase.split()}, '{label}')" for phrase, label in license_scan.PHRASES)
     stride = license_scan.STRIDE
     return rf"""
@@ -146,16 +147,18 @@ with d as (
 phrases(p, label) as (values {phrases}),
 base as (
   select r, k, label from d, phrases, unnest(range(0, len(w))) as t(k) where w[k + 1:k + len(p)] = p),
-t(id, label, words) as (values {templates}),
+t(id, label, pairs) as (values {templates}),
 blocks as (
   select r, b, w[b * {stride} + 1:(b + 2) * {stride}] as own
-  from d, unnest(range(0, greatest(cast(ceil(len(w) / {stride}.0) as bigint) - 2, 0) + 1)) as u(b) where len(w) > 0),
+  from d, unnest(range(0, greatest(cast(ceil(len(w) / {stride}.0) as bigint) - 2, 0) + 1)) as u(b) where len(w) > 1),
+paired as (select r, b, list_distinct(list_transform(range(1, len(own)), lambda k: own[k] || ' ' || own[k + 1])) as own from blocks),
 met as (
-  select r, b, id, label, words, len(list_intersect(words, own)) * 1.0e0 / len(words) as c
-  from blocks, t where len(list_intersect(words, own)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)),
+  select r, b, id, label, pairs, len(list_intersect(pairs, own)) * 1.0e0 / len(pairs) as c
+  from paired, t where len(list_intersect(pairs, own)) >= ceil({license_scan.THRESHOLD} * len(pairs) - 1e-9)),
 kept as (
   select * from met m where not exists (
-    select 1 from met o where o.r = m.r and o.b = m.b and len(o.words) > len(m.words) and list_has_all(o.words, m.words))),
+    select 1 from met o where o.r = m.r and o.b = m.b and o.id <> m.id and list_has_any(o.pairs, m.pairs)
+    and (o.c > m.c or (o.c = m.c and m.c < 1 and len(o.pairs) > len(m.pairs))))),
 per_base as (select r, count(*) as n_base, min(k) as first_word, max(k) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base group by r),
 per_met as (select r, max(c) as c from met group by r),
 names as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from base union all select r, label from kept) group by r)

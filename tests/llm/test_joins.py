@@ -244,6 +244,35 @@ def test_license_scan_finds_phrases_and_templates(spark, odd, nothing):
     assert license_scan.scan(nothing).count() == 0
 
 
+#: Texts and the labels a reader gives them.
+NOTICES = [
+    ("Licensed under CC BY 4.0", "cc-by"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("licensed under CC-BY-SA 4.0", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("Released under the Apache License", "apache"), ("released under the GPL license", ""), ("Released under the MIT license", "mit"),
+    ("He reserved all the rights of the house", ""), ("All rights reserved", "all-rights-reserved"), ("rights reserved, all of them", ""),
+    ("mit der Apache License, released under the terms, mit license", "apache,mit"), ("er kam mit uns, released under the old license", ""),
+    ("Licensed under CC BY 4.0, pictures licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"),
+    ("This work is licensed under the GNU General Public License, version 3", "gpl"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser Public License", "gpl"),
+    ("This is free and unencumbered software released into the public domain", "unlicense"), ("This work has been released into the public domain", "public-domain"),
+    ("permission is granted, free of charge, to any person", ""), ("subject to the terms of the Mozilla Public License, v. 2.0", ""),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl"),
+    ("without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+     "and to permit persons to whom the Software is furnished to do so, subject to the following conditions", "mit"),
+    ("by 0 cc the under 4 licensed", ""), ("under the mit", ""), ("the use of source and binary forms", ""),
+]
+
+
+def test_notices_have_the_labels_a_reader_gives_them(spark):
+    pad = "word " * 90
+    docs = spark.createDataFrame([(k, f"{a}{t} {b}") for k, (t, _) in enumerate(NOTICES) for a, b in (("", ""), (pad, pad), (pad[:-25], ""))], "doc_id long, text string")
+    out = license_scan.scan(docs).collect()
+    assert len(out) == 3 * len(NOTICES)
+    assert [(NOTICES[r["doc_id"]][0], r["labels"]) for r in out if r["labels"] != NOTICES[r["doc_id"]][1]] == []
+
+
 def test_license_join_is_brute_force_s(spark):
     random.seed(8)
     words = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()}) + ["x", "y", "z"]
@@ -252,14 +281,17 @@ def test_license_join_is_brute_force_s(spark):
         w = [random.choice(words) for _ in range(random.randint(0, 120))]
         t = random.choice(license_scan.TEMPLATES)[1].split()
         at = random.randint(0, len(w))
-        w[at:at] = [x for x in t if random.random() < 0.85]
+        w[at:at] = [x for x in t if random.random() < 0.95]
         docs.append((k, " ".join(w)))
-    met = license_scan.block_matches(spark.createDataFrame(docs, "id long, text string").select("id", license_scan.words_of("text").alias("words")))
-    got = {(r["id"], r["block"], r["template"]) for r in met.collect()}
+    rows = license_scan.marked(spark.createDataFrame(docs, "doc_id long, text string"))
+    met = license_scan.block_matches(rows).join(rows.select("uid", "doc_id"), "uid")
+    got = {(r["doc_id"], r["block"], r["template"]) for r in met.collect()}
     want = set()
+    stride = license_scan.STRIDE
     for k, text in docs:
         w = re.findall(r"\w+", text)
-        for b in range(max(-(-len(w) // 32) - 2, 0) + 1):
-            own = set(w[32 * b:32 * b + 64])
-            want |= {(k, b, j) for j, _, t, need in license_scan.template_rows(license_scan.TEMPLATES) if w and len(own & set(t)) >= need}
+        for b in range(max(-(-len(w) // stride) - 2, 0) + 1):
+            block = w[stride * b:stride * (b + 2)]
+            own = {" ".join(p) for p in zip(block, block[1:])}
+            want |= {(k, b, j) for j, _, t, need in license_scan.template_rows(license_scan.TEMPLATES) if len(own & set(t)) >= need}
     assert got == want and len(want) > 20
