@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from .. import fixed
 from ..functions import scalars as S
+from . import intervals as I
 from .rules import CELL_COLUMNS
 from ..sources.tables import local_frame
 
@@ -48,8 +49,8 @@ def opening_balances(cells: DataFrame, lines: DataFrame, columns: DataFrame,
     prev = cells.select(F.col("report_line").alias("close_line"),
                         F.col("col_index").alias("prev_index"),
                         F.col("ex_date").alias("prev_ex_date"), F.col("amount"))
-    prev = prev.join(F.broadcast(omap), "close_line")
-    j = prev.join(F.broadcast(cols), prev.prev_index == cols.col_index - 2)
+    prev = prev.join(omap, "close_line")
+    j = prev.join(cols, prev.prev_index == cols.col_index - 2)
     lo, hi = F.date_sub("date1", shift_days), F.date_sub("date2", shift_days)
     j = j.where((F.col("prev_ex_date") > lo) & (F.col("prev_ex_date") <= hi))   # text-style window
     agg = (j.groupBy("open_line", "report_col", "col_index", "date2", "month")
@@ -71,20 +72,18 @@ def account_nets(cells: DataFrame) -> DataFrame:
         rows += [(_line_id(closing), _line_id(m), 1) for m in plus]
         rows += [(_line_id(closing), _line_id(m), -1) for m in minus]
     mem = local_frame(spark, rows, "account string, member_line string, sign int")
-    j = cells.join(F.broadcast(mem), cells.report_line == mem.member_line)
+    j = cells.join(mem, cells.report_line == mem.member_line)
     return (j.groupBy("account", "report_col")
             .agg(F.sum(S.money(F.col("amount")) * F.col("sign")).alias("net")))
 
 
-def balance_roll_forward(cells: DataFrame, lines: DataFrame, columns: DataFrame,
-                         initial: DataFrame | None = None, clamp: bool = True) -> DataFrame:
-    """Opening and closing cells of every account in every weekly column, and
-    in every whole-month column (the month's first opening, last closing).
+def chain(cells: DataFrame, columns: DataFrame, initial: DataFrame | None = None, clamp: bool = True) -> DataFrame:
+    """The exact opening and closing of every account in every weekly column:
+    (account, open_line, report_col, col_index, date1, date2, month, col_status, opening, closing).
 
     ``initial``: optional ``(account, col_status, opening)`` starting balances
     (account = closing line id); zero when absent. ``clamp=False`` gives the
-    plain running balance. Emits positive balances rounded to whole units,
-    as report cells of the opening and closing lines."""
+    plain running balance."""
     spark = cells.sparkSession
     acc = local_frame(spark, [(_line_id(c), _line_id(o)) for c, o, _p, _m in fixed.CLOSINGS],
                                 "account string, open_line string")
@@ -93,12 +92,10 @@ def balance_roll_forward(cells: DataFrame, lines: DataFrame, columns: DataFrame,
         "month", "col_status")
     grid = cols.withColumn("account", F.explode(F.array(*[F.lit(_line_id(c))
                                                           for c, *_ in fixed.CLOSINGS])))
-    nets = F.broadcast(account_nets(cells))     # accounts x columns: config sized
-    g = grid.join(nets, ["account", "report_col"], "left").withColumn(
+    g = grid.join(account_nets(cells), ["account", "report_col"], "left").withColumn(
         "net", F.coalesce(F.col("net"), S.money(F.lit(0))))
     if initial is not None:
-        g = g.join(F.broadcast(initial.select("account", "col_status",
-                                              S.money(F.col("opening")).alias("start"))),
+        g = g.join(initial.select("account", "col_status", S.money(F.col("opening")).alias("start")),
                    ["account", "col_status"], "left")
     else:
         g = g.withColumn("start", F.lit(None).cast(S.MONEY))
@@ -112,16 +109,18 @@ def balance_roll_forward(cells: DataFrame, lines: DataFrame, columns: DataFrame,
         g = g.withColumn("closing", F.col("s"))
     order = Window.partitionBy("account", "col_status").orderBy("date1", "col_index")
     g = g.withColumn("opening", F.coalesce(F.lag("closing", 1).over(order), F.col("start")))
-    g = g.join(F.broadcast(acc), "account")
-    weekly = g.select("account", "open_line", "report_col", "col_index", "date1", "date2",
-                      "month", "col_status", "opening", "closing")
-    # whole-month columns: the month opens with its first week and closes with its last
+    return g.join(acc, "account").select("account", "open_line", "report_col", "col_index", "date1", "date2",
+                                         "month", "col_status", "opening", "closing")
+
+
+def chain_cells(weekly: DataFrame, lines: DataFrame, columns: DataFrame) -> DataFrame:
+    """Report cells of a ``chain``: its weekly columns, and every whole-month column, which opens
+    with its first week and closes with its last. Positive balances, rounded to
+    whole units, as cells of the opening and closing lines."""
     months = columns.where(F.col("ismonth")).select(
         F.col("name").alias("m_col"), F.col("col_no").alias("m_index"), F.col("date1").alias("m1"),
-        F.col("date2").alias("m2"), F.col("month").alias("m_month"),
-        F.col("col_status").alias("m_status"))
-    inside = weekly.join(F.broadcast(months), (weekly.col_status == months.m_status)
-                         & (weekly.date1 >= months.m1) & (weekly.date2 <= months.m2))
+        F.col("date2").alias("m2"), F.col("month").alias("m_month"), "col_status")
+    inside = I.day_join(weekly, "date1", months, "m1", "m2", ["col_status"]).where("date2 <= m2")
     monthly = (inside.groupBy("account", "open_line", "m_col", "m_index", "m2", "m_month")
                .agg(F.min_by("opening", "date1").alias("opening"),
                     F.max_by("closing", "date2").alias("closing"))
@@ -138,4 +137,11 @@ def balance_roll_forward(cells: DataFrame, lines: DataFrame, columns: DataFrame,
             .select(F.col("e.line").alias("report_line"), "report_col", "col_index",
                     F.col("date2").alias("ex_date"), "month",
                     S.round_cell(F.col("e.v"), 0).alias("amount"))
-            .join(F.broadcast(ln), "report_line").select(*CELL_COLUMNS))
+            .join(ln, "report_line").select(*CELL_COLUMNS))
+
+
+def balance_roll_forward(cells: DataFrame, lines: DataFrame, columns: DataFrame,
+                         initial: DataFrame | None = None, clamp: bool = True) -> DataFrame:
+    """Opening and closing cells of every account in every weekly and whole-month column
+    (``chain``, ``chain_cells``)."""
+    return chain_cells(chain(cells, columns, initial, clamp), lines, columns)

@@ -15,8 +15,9 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
 from ..sources.tables import local_frame
+from .ranking import with_place
 
 VIOLATION_SCHEMA = "table string, check string, field string, value string, rows bigint"
 
@@ -89,34 +90,12 @@ def foreign_key(df: DataFrame, table: str, field: str, parent: DataFrame,
     return _label(bad, table, "foreign_key", field)
 
 
-ID_BUCKETS, ID_SAMPLE = 256, 64
-
-
 def id_series(df: DataFrame, order_by: Sequence[str], fmt: str, id_col: str = "name",
               start: int = 1) -> DataFrame:
     """K6: a gap-free formatted id series (``fmt % n``, n from ``start``) in
-    ``order_by`` order, without a window over the whole table. Key ranges are
-    cut at a bounded sample of keys (``ID_BUCKETS * ID_SAMPLE``, the smallest by
-    a hash of the key), so a row's range follows from its key alone, however
-    the plan is run: the row counts per range and the rows themselves agree by
-    construction. Each range is numbered by itself and starts after the rows of
-    the ranges before it, of which there is one row each. ``order_by`` should be
-    unique, or ids among ties are arbitrary. Null keys come first."""
-    keys = [F.col(f"`{c}`") for c in order_by]
-    key = F.struct(*[f(c) for c in keys for f in (lambda c: c.isNotNull().alias("known"), lambda c: c.alias("key"))])
-    sample = (df.select(key.alias("_k"), F.xxhash64(*keys).alias("_h"))
-              .orderBy("_h", "_k").limit(ID_BUCKETS * ID_SAMPLE))
-    cuts = sample.agg(F.sort_array(F.collect_list("_k")).alias("_k")).select(
-        F.expr(f"transform(filter(sequence(1, {ID_BUCKETS} - 1), i -> size(_k) > 0), "
-               f"i -> _k[cast(i * size(_k) div {ID_BUCKETS} as int)])")).scalar()
-    # how many cuts are smaller: the key's place among them (no lambda may hold a subquery)
-    bucket = F.array_position(F.sort_array(F.array_append(cuts, key)), key) - 1
-    counts = df.select(bucket.alias("_b")).groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    tagged = df.withColumn("_b", bucket)
-    pos = F.row_number().over(Window.partitionBy("_b").orderBy(*[c.asc_nulls_first() for c in keys]))
-    # one row per range: ID_BUCKETS at most
-    return (tagged.withColumn("_pos", pos).join(F.broadcast(offsets), "_b")
-            .withColumn(id_col, F.format_string(fmt, F.col("_off") + F.col("_pos") + F.lit(start - 1)))
-            .drop("_b", "_pos", "_off"))
+    ``order_by`` order, null keys first, without a window over the whole table: each row's
+    place follows from ranges of the order (``ranking``). Rows that tie in all of
+    ``order_by`` are numbered in the order of a hash of the row. The ranges are
+    written when this is called."""
+    placed = with_place(df, order_by, "_place")
+    return placed.withColumn(id_col, F.format_string(fmt, F.col("_place") + F.lit(start))).drop("_place")

@@ -59,9 +59,15 @@ def snapshot_import(current: DataFrame, upload: DataFrame,
     every uploaded row appended as Active. Columns the upload does not carry
     are NULL; the result has the current table's schema."""
     old = current.withColumn(status_col, F.lit("Inactive"))
+    return old.unionByName(imported_rows(current.schema, upload, mapping, status_col, date_fields))
+
+
+def imported_rows(schema: T.StructType, upload: DataFrame, mapping: Sequence[tuple[str, str]],
+                  status_col: str = "status", date_fields: Sequence[str] = ("exfty_date",)) -> DataFrame:
+    """An upload's rows in the schema of the table they go to, Active."""
     new = map_upload(upload, mapping)
     cols = []
-    for f in current.schema.fields:
+    for f in schema.fields:
         if f.name == status_col:
             cols.append(F.lit("Active").alias(f.name))
         elif f.name in new.columns:
@@ -73,7 +79,7 @@ def snapshot_import(current: DataFrame, upload: DataFrame,
             cols.append(c.cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return old.unionByName(new.select(*cols))
+    return new.select(*cols)
 
 
 def unreadable_numbers(upload: DataFrame, mapping: Sequence[tuple[str, str]],

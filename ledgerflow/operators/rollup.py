@@ -12,8 +12,13 @@ line with that name, and the column window is compared as text (so a one-day
 column excludes its own cells). ``mode='repaired'`` (default) fixes the ids,
 gives each same-named total line its own list and compares dates inclusively.
 
-All inputs here are report cells (lines x columns), small by construction;
-member maps are broadcast.
+Membership is a table (total_line, member_line, sign), ``roll_up_members`` of the data folder;
+without one the built-in lists serve, whose levels are known. ``with_levels`` finds the level of each
+total of a table by peeling: totals of which no member is a total are the first
+level, those whose total members are all placed the next. Totals that hold each
+other are an error.
+
+All inputs here are report cells (lines x columns), small by construction.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import scalars as S
 from .rules import CELL_COLUMNS
+from ..session import materialize
 from ..sources.tables import local_frame
 
 MEMBERS_SCHEMA = "total_line string, member_line string, sign int, level int"
@@ -70,8 +76,32 @@ def member_rows(mode: str = "repaired", closings: bool = True) -> list[tuple[str
     return [(t, m, s, lvl(t)) for t, m, s in rows]
 
 
-def members(spark: SparkSession, mode: str = "repaired") -> DataFrame:
-    return local_frame(spark, member_rows(mode), MEMBERS_SCHEMA)
+def members(spark: SparkSession, mode: str = "repaired", closings: bool = True) -> DataFrame:
+    """The built-in membership as a table (total_line, member_line, sign, level)."""
+    return local_frame(spark, member_rows(mode, closings), MEMBERS_SCHEMA)
+
+
+def with_levels(mem: DataFrame) -> tuple[DataFrame, int]:
+    """A membership table (total_line, member_line, sign) with each total's ``level``, and the
+    number of levels. A round of joins for each level, over the membership only; the number
+    of totals left comes to the driver. Raises on totals that hold each other."""
+    mem = materialize(mem.select("total_line", "member_line", "sign"))
+    left = mem.select("total_line").distinct()
+    inner = mem.join(left.select(F.col("total_line").alias("member_line")), "member_line", "left_semi").select("total_line", "member_line")
+    placed, level, rest = None, 0, left.count()
+    while rest:
+        level += 1
+        waiting = inner.join(left.select(F.col("total_line").alias("member_line")), "member_line", "left_semi").select("total_line").distinct()
+        now = left.join(waiting, "total_line", "left_anti")
+        left = materialize(left.join(waiting, "total_line", "left_semi"))
+        placed = now.withColumn("level", F.lit(level)) if placed is None else placed.unionByName(now.withColumn("level", F.lit(level)))
+        before, rest = rest, left.count()
+        if rest == before:
+            names = [r[0] for r in left.orderBy("total_line").limit(10).collect()]
+            raise ValueError(f"totals that hold each other, or that hold such: {', '.join(names)}")
+    if placed is None:
+        return mem.withColumn("level", F.lit(0)), 0
+    return materialize(mem.join(placed, "total_line")), level
 
 
 def _in_window(mode: str):
@@ -84,7 +114,7 @@ def _roll_level(cells: DataFrame, mem: DataFrame, lines: DataFrame, columns: Dat
     cols = columns.select(F.col("name").alias("report_col"), "date1", "date2")
     c = cells.select("report_line", "report_col", "ex_date", "amount").join(cols, "report_col")
     c = c.where(_in_window(mode))
-    j = c.join(F.broadcast(mem), c.report_line == mem.member_line)
+    j = c.join(mem, c.report_line == mem.member_line)
     agg = (j.groupBy("total_line", "report_col")
            .agg(F.sum(S.money(F.col("amount")) * F.col("sign")).alias("v"))
            .where(F.col("v") > 0))
@@ -99,21 +129,23 @@ def _roll_level(cells: DataFrame, mem: DataFrame, lines: DataFrame, columns: Dat
 
 
 def totals_and_closings(cells: DataFrame, lines: DataFrame, columns: DataFrame,
-                        mode: str = "repaired", closings: bool = True) -> DataFrame:
+                        mode: str = "repaired", closings: bool = True, mem: DataFrame | None = None) -> DataFrame:
     """Q2: totals and closing balances from stored cells, level by level.
     Returns only the new rows (same schema as the cells). ``closings=False``
-    when the cells already hold closing balances (from the balance chain)."""
-    spark = cells.sparkSession
-    rows = member_rows(mode, closings)
-    mem_all = local_frame(spark, rows, MEMBERS_SCHEMA)
+    when the cells already hold closing balances (from the balance chain).
+    ``mem``: a membership table of any depth instead of the built-in lists."""
+    if mem is None:
+        levelled, levels = members(cells.sparkSession, mode, closings), max(r[3] for r in member_rows(mode, closings))
+    else:
+        levelled, levels = with_levels(mem)
     out = None
     current = cells.select(*CELL_COLUMNS)
-    for level in sorted({r[3] for r in rows}):
-        mem = mem_all.where(F.col("level") == level).drop("level")
-        new = _roll_level(current, mem, lines, columns, mode)
+    for level in range(1, levels + 1):
+        own = levelled.where(F.col("level") == level).drop("level")
+        new = _roll_level(current, own, lines, columns, mode)
         out = new if out is None else out.unionByName(new)
         current = current.unionByName(new)
-    return out
+    return current.limit(0) if out is None else out
 
 
 # --- A8 / J9 / W3 ---------------------------------------------------------------------

@@ -9,9 +9,11 @@ Plan, whatever the ledger size:
    aggregate in the scan stage, so the shuffle carries at most keys x days
    rows per task and a hot key costs nothing extra; the sums are then keyed
    by head and by account, and keys no rule reads are dropped;
-2. the daily key sums join rules x lines on (source, match column, key);
-3. and the report columns on (status, day), each column standing for its
-   days, so the date range is an equi join; one more sum gives the cells.
+2. the key sums, added up per dyadic block of days (``intervals``), join rules x lines on
+   (source, match column, key);
+3. and the report columns on (status, level, block), each column standing for the at most
+   2 log2(days) blocks of its range, so the date range is an equi join whatever
+   its length; one more sum gives the cells.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import scalars as S
+from . import intervals as I
 
 CELL_COLUMNS = ["report_line", "report_col", "col_index", "ex_date", "month", "line_name",
                 "group_no", "amount"]
@@ -108,15 +111,20 @@ def keyed(rows: DataFrame, *kept: str) -> DataFrame:
     return out.select("source", F.col("k.dim").alias("dim"), F.col("k.key").alias("key"), *kept)
 
 
-def daily_key_sums(sources: DataFrame, rules: DataFrame) -> DataFrame:
-    """Step 1: exact sums per (source, dim, trimmed key, day) of the keys that rules
-    read. Ledger rows are summed by (source, head, account, day) first -- a partial
-    aggregate in the scan stage -- and only the sums are told apart by key."""
-    sums = (sources.groupBy("source", S.trimmed("Descriptio").alias("head"), S.trimmed("account").alias("account"), "variable")
+def daily_sums(sources: DataFrame) -> DataFrame:
+    """Exact sums per (source, trimmed head, trimmed account, day): a partial aggregate in the
+    scan stage, so a hot key or day is one row of each task."""
+    return (sources.groupBy("source", S.trimmed("Descriptio").alias("head"), S.trimmed("account").alias("account"), "variable")
             .agg(S.money_sum("amount").alias("amount")))
+
+
+def block_key_sums(sums: DataFrame, rules: DataFrame, top) -> DataFrame:
+    """Step 1: the daily sums of the keys that rules read, told apart by key and added up
+    per (source, dim, key) and block of days, up to level ``top``."""
     used = rules.select("source", "dim", S.trimmed("key").alias("key")).distinct()
-    return (keyed(sums, "variable", "amount").join(used, ["source", "dim", "key"], "left_semi")
-            .groupBy("source", "dim", "key", "variable").agg(F.sum("amount").cast(S.MONEY).alias("amount")))
+    rows = keyed(sums, "variable", "amount").join(used, ["source", "dim", "key"], "left_semi")
+    return (I.with_day_blocks(rows, "variable", top).groupBy("source", "dim", "key", "level", "block")
+            .agg(F.sum("amount").cast(S.MONEY).alias("amount")))
 
 
 def rule_lines(rules: DataFrame, lines: DataFrame) -> DataFrame:
@@ -128,19 +136,25 @@ def rule_lines(rules: DataFrame, lines: DataFrame) -> DataFrame:
     return r.join(ln, "rule_line").drop("rule_line")
 
 
-def column_days(columns: DataFrame) -> DataFrame:
-    """Step 3: each report column for each of its days."""
-    return columns.select(
-        F.col("name").alias("report_col"), F.col("col_no").alias("col_index"), "month", "date2", "col_status",
-        F.explode(F.sequence("date1", "date2")).alias("variable"))
+def column_blocks(columns: DataFrame) -> DataFrame:
+    """Step 3: each report column for each block of days of its range."""
+    return I.indexed(columns.select(F.col("name").alias("report_col"), F.col("col_no").alias("col_index"), "month", "date1", "date2", "col_status"),
+                     "date1", "date2").drop("date1")
 
 
 def base_cells(sources: DataFrame, rules: DataFrame, lines: DataFrame, columns: DataFrame,
                usd_rate=fixed.DEFAULT_SETTINGS["usd_rate"], digits: int = 3) -> DataFrame:
     """Q1: stored report cells -- positive sums only, rounded to ``digits``.
     ``usd_rate``: a number or a Column (the settings row as a scalar subquery)."""
-    daily = daily_key_sums(sources, rules)
-    hit = daily.join(rule_lines(rules, lines), ["source", "dim", "key"]).join(column_days(columns), ["col_status", "variable"])
+    return cells_of(daily_sums(sources), rules, lines, columns, usd_rate, digits)
+
+
+def cells_of(sums: DataFrame, rules: DataFrame, lines: DataFrame, columns: DataFrame,
+             usd_rate=fixed.DEFAULT_SETTINGS["usd_rate"], digits: int = 3) -> DataFrame:
+    """Q1 from daily sums (``daily_sums``)."""
+    blocks = column_blocks(columns)
+    keyed_sums = block_key_sums(sums, rules, I.top_level(blocks))
+    hit = keyed_sums.join(rule_lines(rules, lines), ["source", "dim", "key"]).join(blocks, ["col_status", "level", "block"])
     keys = ["report_line", "report_col", "col_index", "date2", "month", "line_name", "group_no",
             "scale"]
     summed = hit.groupBy(*keys).agg(F.sum("amount").alias("s"))

@@ -10,10 +10,12 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import incremental as INC
 from . import oracle as O
 from . import report as RP
 from .. import fixed
@@ -25,6 +27,7 @@ from ..operators import imports as IM
 from ..operators import reshape as RS
 from ..operators import rollup as R
 from ..operators import rules as RU
+from ..operators import versions as V
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources import sheets, sinks
@@ -42,7 +45,7 @@ REGISTRY: dict[str, Entry] = {}
 
 def register(name: str, sql: Callable[[], str] | None):
     def deco(fn):
-        REGISTRY[name] = Entry(fn, sql)
+        REGISTRY[name] = Entry(wraps(fn)(lambda spark, d: fn(spark, TB.Folder(d))), sql)
         return fn
     return deco
 
@@ -152,7 +155,7 @@ def q8(spark, d):
     """Bills with a revised realisation date -> report cells of the USD sales
     line in the 7 days ending at the revised week's end."""
     inp = RP.inputs_from_dir(spark, d)
-    return RP.revised_date_impact(fx.bills_under_collection(spark, d), RP.base_cells(inp))
+    return RP.revised_date_impact(inp.tables["bills_under_collection"], RP.cells_of_line(inp, RP.REVISED_LINE))
 
 
 # --- forecast side: views, joins, early variants, refresh -----------------------------
@@ -506,6 +509,78 @@ def w2(spark, d):
     return RP.full_report(RP.inputs_from_dir(spark, d))
 
 
+#: Two more levels over the built-in totals: lines, and members with their sign.
+GROUP_LINES = [("CFRL0301", "Group", "9", "Group cash", "BDT", 301), ("CFRL0302", "Group", "9", "Company cash", "BDT", 302)]
+GROUP_MEMBERS = [("CFRL0301", "CFRL0183", 1), ("CFRL0301", "CFRL0192", 1), ("CFRL0302", "CFRL0301", 1), ("CFRL0302", "CFRL0147", -1)]
+
+
+@register("t14_totals_of_member_table", lambda: O.members_sql(GROUP_LINES, GROUP_MEMBERS))
+def t14_members(spark, d):
+    """Totals of totals, four levels deep, by a table of members whose levels the operator finds."""
+    built_in = R.members(spark).select("total_line", "member_line", "sign")
+    more = TB.local_frame(spark, GROUP_MEMBERS, "total_line string, member_line string, sign int")
+    at = sinks.replace_table(built_in.unionByName(more), f"{_scratch(spark)}/roll_up_members.parquet")
+    inp = RP.inputs_from_dir(spark, d)
+    inp.lines = inp.lines.unionByName(TB.local_frame(spark, GROUP_LINES, TB.LINES_SCHEMA))
+    inp.members = spark.read.parquet(at)
+    return RP.totals(inp)
+
+
+@register("w1_versioned_import", O.versions_sql)
+def w1_versions(spark, d):
+    """The forecast as a versioned table after three imports (and one of them run again): every
+    import writes one partition, older rows are Inactive by their version."""
+    table = fx.shipment_forecast(spark, d)
+    at = V.create(table, _scratch(spark))
+    same = IM.as_upload(table, fixed.FORECAST_UPLOAD_FIELDS)
+    for upload in (changed_upload(spark, d), same, same, changed_upload(spark, d)):
+        V.import_upload(upload, at)
+    return V.history(spark, at)
+
+
+@register("s7_append_batches", O.append_batches_sql)
+def append_batches(spark, d):
+    """Two batches appended (S7), the first of them twice."""
+    t = fx.shipments(spark, d).select("shipment_date", "quentity")
+    at = _scratch(spark)
+    for rows, batch in ((t.where("quentity <= 5"), "small"), (t.where("quentity > 45"), "large"), (t.where("quentity <= 5"), "small")):
+        V.append_batch(rows, at, batch)
+    return spark.read.parquet(at)
+
+
+@register("s10_settings_table", O.settings_sql)
+def settings_table(spark, d):
+    """Q4 from the cf_date of a settings table, which is that of the folder's own first day and 1,000 more."""
+    forecast = fx.shipment_forecast(spark, d)
+    row = forecast.agg(F.date_add(F.min("exfty_date"), 1000).alias("cf_date")).select(
+        F.lit(fixed.DEFAULT_SETTINGS["usd_rate"]).cast("double").alias("usd_rate"), "cf_date", F.lit(fixed.YEARLY_SHIPMENT_TARGET).cast("double").alias("yearly_shipment_qty_akl"))
+    at = _scratch(spark)
+    sinks.replace_table(row, f"{at}/settings.parquet")
+    cf = TB.setting(spark, "cf_date", TB.optional_table(spark, at, "settings"))
+    return FC.shipment_forecast_weekly(FC.active_shipment_forecast(forecast, terms(spark, d)), from_date=cf)
+
+
+def _corrections(rows, day):
+    """Rows booked late, corrected and deleted: (inserted, deleted)."""
+    d, year = F.dayofmonth(day), F.year(day) == 1997
+    gone, wrong = year & (d == 5) & (F.col("amount") < 500), year & (d == 6)
+    late = rows.where(year & (d == 8)).withColumn(day, F.date_sub(day, 40))
+    return rows.where(wrong).withColumn("amount", F.col("amount") * 2).unionByName(late), rows.where(gone | wrong)
+
+
+@register("w2_incremental_report", O.incremental_sql)
+def w2_incremental(spark, d):
+    """The report after corrections of two ledgers, by a step upon the stored state: sums and cells
+    of the columns they touch, the chain from there on."""
+    inp, at = RP.inputs_from_dir(spark, d), _scratch(spark)
+    INC.build(inp, at)
+    parts = []
+    for source in ("income_actual", "expenses_actual"):
+        parts.append([RU.ledger_view(x, source) for x in _corrections(inp.tables[source], "expenses_date")])
+    inserted, deleted = (_union(p[k] for p in parts) for k in (0, 1))
+    return INC.apply(inp, at, INC.signed_sums(inserted, deleted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: e.build for k, e in REGISTRY.items()}
 

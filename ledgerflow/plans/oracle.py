@@ -222,7 +222,7 @@ def rule_rows() -> list[tuple]:
             for s, line, src, dim, key in fixed.RULES]
 
 
-def report_ctes(usd_rate: float = fixed.DEFAULT_SETTINGS["usd_rate"]) -> str:
+def report_ctes(usd_rate: float = fixed.DEFAULT_SETTINGS["usd_rate"], more_lines: list[tuple] = ()) -> str:
     """CTEs ending in ``cells`` (Q1 rows) plus config CTEs rules_t, lines_t, cols_t."""
     facts = "\n  UNION ALL ".join([
         "SELECT 'income_forecast' AS source, expenses_head AS Descriptio, main_account AS account, "
@@ -245,7 +245,7 @@ def report_ctes(usd_rate: float = fixed.DEFAULT_SETTINGS["usd_rate"]) -> str:
 {bill_rows(NOT_REALISED)},
 {weekly_long('bill_rows', 'amount', 'r_day')},
 rules_t AS ({values(rule_rows(), ['col_status', 'line_name', 'source', 'dim', 'key', 'scale'])}),
-lines_t AS ({values(line_rows(), ['name', 'report_name', 'group_no', 'line_name', 'unit', 'line_number'])}),
+lines_t AS ({values([*line_rows(), *more_lines], ['name', 'report_name', 'group_no', 'line_name', 'unit', 'line_number'])}),
 col_days AS ({COL_DAYS_SQL}),
 cols_t AS ({COLS_SQL}),
 facts AS ({facts}),
@@ -299,13 +299,13 @@ WHERE a.v > 0"""
 LEVELS = 5
 
 
-def member_ctes(mode: str, closings: bool) -> str:
+def member_ctes(mode: str, closings: bool, more: list[tuple] = ()) -> str:
     """CTE ``members_t`` (total_line, member_line, sign, level): lists by their place
     among the lists of their name, lines by theirs among the lines of their name."""
     written = [(k, name, j, m) for k, (name, ms) in enumerate(fixed.TOTALS_AS_WRITTEN) for j, m in enumerate(ms)]
     lists = [(k, name) for k, (name, _) in enumerate(fixed.TOTALS_AS_WRITTEN)]
     closed = [(f"CFRL{c:04d}", f"CFRL{m:04d}", sign) for c, o, plus, minus in fixed.CLOSINGS
-              for ms, sign in (([o, *plus], 1), (minus, -1)) for m in ms]
+              for ms, sign in (([o, *plus], 1), (minus, -1)) for m in ms] + list(more)
     match = ("l.line_name = t.name AND t.k = (SELECT max(k) FROM lists_t z WHERE z.name = t.name)" if mode == "literal"
              else "l.line_name = t.name AND l.nth = t.nth")
     member = "w.member" if mode == "literal" else "CASE WHEN starts_with(w.member, 'CCFRL') THEN substr(w.member, 2) ELSE w.member END"
@@ -321,8 +321,8 @@ above_t AS (SELECT DISTINCT total_line, 1 AS level FROM pairs_t
 members_t AS (SELECT p.*, (SELECT max(a.level) FROM above_t a WHERE a.total_line = p.total_line) AS level FROM pairs_t p)"""
 
 
-def totals_ctes(mode: str, cells: str = "cells", closings: bool = True) -> str:
-    parts = [member_ctes(mode, closings)]
+def totals_ctes(mode: str, cells: str = "cells", closings: bool = True, more: list[tuple] = ()) -> str:
+    parts = [member_ctes(mode, closings, more)]
     current = cells
     outs = []
     for lv in range(1, LEVELS + 1):
@@ -339,6 +339,10 @@ def q2_sql(mode: str = "repaired") -> str:
     return with_fixtures(f"{report_ctes()},\n{totals_ctes(mode)}\nSELECT * FROM totals")
 
 
+def members_sql(more_lines: list[tuple], more: list[tuple]) -> str:
+    return with_fixtures(f"{report_ctes(more_lines=more_lines)},\n{totals_ctes('repaired', more=more)}\nSELECT * FROM totals")
+
+
 def openings_ctes(cells: str) -> str:
     pairs = [(f"CFRL{o:04d}", f"CFRL{c:04d}") for c, o, _, _ in fixed.CLOSINGS]
     return f"""omap AS ({values(pairs, ['open_line', 'close_line'])}),
@@ -771,6 +775,46 @@ chain_cells AS (SELECT {CELL_COLS} FROM cells UNION ALL SELECT {CELL_COLS} FROM
 SELECT {CELL_COLS} FROM chain_cells UNION ALL SELECT {CELL_COLS} FROM totals""")
 
 
+def incremental_sql() -> str:
+    """The whole report over the two ledgers as they are after the corrections."""
+    sql = w2_sql()
+    for t in ("income_actual", "expenses_actual"):
+        week = ", week_date" if t == "income_actual" else ""
+        booked = f"""(SELECT expenses_date, main_account, expenses_head,
+      CASE WHEN year(expenses_date) = 1997 AND day(expenses_date) = 6 THEN amount * 2 ELSE amount END AS amount{week} FROM {t}
+    WHERE NOT (year(expenses_date) = 1997 AND day(expenses_date) = 5 AND amount < 500)
+    UNION ALL SELECT expenses_date - 40, main_account, expenses_head, amount{week} FROM {t}
+    WHERE year(expenses_date) = 1997 AND day(expenses_date) = 8)"""
+        head, tail = sql.split("facts AS (", 1)
+        sql = head + "facts AS (" + tail.replace(f"FROM {t}", f"FROM {booked}", 1)
+    return sql
+
+
+def versions_sql() -> str:
+    """The forecast after three imports: prices 5 % up and quantities doubled, then the table's own
+    rows, then the first upload again."""
+    up = """SELECT buyer, style, po_no, COALESCE(color, '0') AS color, COALESCE(team, '0') AS team, COALESCE(oc, '0') AS oc,
+  CAST(NULL AS DOUBLE) AS fobpc, COALESCE(order_qty, 0) * {k} AS po_qty, {price} AS fob_price,
+  COALESCE(order_qty, 0) * {k} AS order_qty, COALESCE(shipped_qty, 0) AS shipped_qty, exfty_date, '{status}' AS status, {v} AS version
+FROM shipment_forecast"""
+    dear = "CAST(round_even(CAST(fob_price AS DECIMAL(20,6)) * 1.05, 2) AS DOUBLE)"
+    return with_fixtures(f"""n AS (SELECT buyer, style, po_no, color, team, oc, fobpc, po_qty, fob_price, order_qty, shipped_qty, exfty_date,
+  'Inactive' AS status, 0 AS version FROM shipment_forecast
+UNION ALL {up.format(k=2, price=dear, status='Inactive', v=1)}
+UNION ALL {up.format(k=1, price='COALESCE(fob_price, 0)', status='Inactive', v=2)}
+UNION ALL {up.format(k=2, price=dear, status='Active', v=3)})
+SELECT * REPLACE (CAST(version AS BIGINT) AS version) FROM n""")
+
+
+def append_batches_sql() -> str:
+    return with_fixtures("""SELECT shipment_date, quentity, 'small' AS batch FROM shipments WHERE quentity <= 5
+UNION ALL SELECT shipment_date, quentity, 'large' FROM shipments WHERE quentity > 45""")
+
+
+def settings_sql() -> str:
+    return q4_from_cf_date_sql("1900-01-01").replace("r_day >= DATE '1900-01-01'", "r_day >= (SELECT min(exfty_date) + 1000 FROM shipment_forecast)")
+
+
 def k6_sql(fmt_sql: str) -> str:
     return with_fixtures(f"""SELECT invoice, buyer, {_BILL_NULLS}, total__fob_income, ex_fty_date, ex1, ex2, ex3,
   status, printf({q(fmt_sql)}, row_number() OVER (ORDER BY ex_fty_date, invoice)) AS name FROM bills""")

@@ -6,6 +6,7 @@ lookup).
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ class ReportInputs:
     columns: DataFrame
     usd_rate: object = fixed.DEFAULT_SETTINGS["usd_rate"]     # number or scalar Column
     pruned: bool = False
+    members: DataFrame | None = None                          # roll-up members of the folder, else the built-in lists
 
     def projected_income(self, prune: bool) -> DataFrame:
         """Weekly shipment receipts and weekly open-bill receipts."""
@@ -43,13 +45,16 @@ class ReportInputs:
             FC.shipment_forecast_weekly(FC.active_shipment_forecast(forecast, self.terms)),
             FC.bills_forecast_weekly(FC.bills_view(bills, self.terms)))
 
-    def sources(self, prune: bool | None = None) -> DataFrame:
-        """All ledgers as one long frame."""
+    def sources(self, prune: bool | None = None, only: set[str] | None = None) -> DataFrame:
+        """All ledgers as one long frame, or ``only`` some of them."""
         prune = self.pruned if prune is None else prune
-        t = self.tables
-        return RU.report_sources(
-            t["income_forecast"], t["income_actual"], t["expenses_forecast"], t["expenses_actual"],
-            t["shipments"], self.projected_income(prune), RU.column_span(self.columns) if prune else None)
+        window = RU.column_span(self.columns) if prune else None
+        made = {**{name: lambda name=name: RU.ledger_view(self.tables[name], name, window=window)
+                   for name in ("income_forecast", "income_actual", "expenses_forecast", "expenses_actual")},
+                "shipments": lambda: RU.shipment_views(self.tables["shipments"], window),
+                "final_proj_income": lambda: RU.projected_income_view(self.projected_income(prune), window)}
+        views = [make() for name, make in made.items() if only is None or any(s.startswith(name) for s in only)]
+        return reduce(DataFrame.unionByName, views) if views else RU.ledger_view(self.tables["income_actual"].limit(0), "none")
 
 
 def inputs_from_dir(spark: SparkSession, sf_dir: str, year: int | None = None) -> ReportInputs:
@@ -67,7 +72,8 @@ def inputs_from_tables(spark: SparkSession, t: dict[str, DataFrame], config: dic
         columns = columns.where(F.year("date1") == year)
     return ReportInputs(
         terms=FC.buyer_terms(t["buyers"], t["bank_ratio"]), tables=t, rules=config["rules"], lines=config["report_lines"],
-        columns=columns, usd_rate=TB.setting(spark, "usd_rate", config["settings"]), pruned=year is not None)
+        columns=columns, usd_rate=TB.setting(spark, "usd_rate", config["settings"]), pruned=year is not None,
+        members=config.get("roll_up_members"))
 
 
 def _receipts_in_reach(terms: DataFrame, forecast: DataFrame, bills: DataFrame, span):
@@ -98,6 +104,18 @@ def base_cells(inp: ReportInputs) -> DataFrame:
     return RU.base_cells(inp.sources(), inp.rules, inp.lines, inp.columns, inp.usd_rate)
 
 
+#: The line whose cells a revised realisation date moves.
+REVISED_LINE = "USD Sales from build up account"
+
+
+def cells_of_line(inp: ReportInputs, line_name: str) -> DataFrame:
+    """Q1 of one report line: only the ledgers that its rules name are read. The names, of
+    which there are as many as ledgers, come to the driver."""
+    rules = inp.rules.where(F.trim("line_name") == line_name.strip())
+    only = {r[0] for r in rules.select("source").distinct().collect()}
+    return RU.base_cells(inp.sources(only=only), rules, inp.lines, inp.columns, inp.usd_rate)
+
+
 def stored(inp: ReportInputs) -> tuple[ReportInputs, DataFrame]:
     """The step between Q1 and the passes that read its cells several times: the base
     cells and the columns are written (checkpointed) once."""
@@ -109,7 +127,7 @@ def totals(inp: ReportInputs, cells: DataFrame | None = None, mode: str = "repai
     """Q2: totals and closings over the base cells."""
     if cells is None:
         inp, cells = stored(inp)
-    return R.totals_and_closings(cells, inp.lines, inp.columns, mode)
+    return R.totals_and_closings(cells, inp.lines, inp.columns, mode, mem=inp.members)
 
 
 def openings(inp: ReportInputs, cells: DataFrame | None = None) -> DataFrame:
@@ -136,13 +154,20 @@ def full_report(inp: ReportInputs, initial: DataFrame | None = None) -> DataFram
     inp, base = stored(inp)
     chain = B.balance_roll_forward(base, inp.lines, inp.columns, initial)
     cells = materialize(base.unionByName(chain))   # every roll-up level reads it again
-    tot = R.totals_and_closings(cells, inp.lines, inp.columns, "repaired", closings=False)
-    return cells.unionByName(tot)
+    return cells.unionByName(totals_over_chain(inp, cells, inp.columns))
+
+
+def totals_over_chain(inp: ReportInputs, cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """The roll-ups over cells that hold the chain's closings already."""
+    mem = inp.members
+    if mem is not None:
+        mem = mem.where(~F.col("total_line").isin([fixed.LINE_ID_FORMAT % c for c, *_ in fixed.CLOSINGS]))
+    return R.totals_and_closings(cells, inp.lines, columns, "repaired", closings=False, mem=mem)
 
 
 # --- Q8 -------------------------------------------------------------------------------
 def revised_date_impact(bills: DataFrame, cells: DataFrame,
-                        line_name: str = "USD Sales from build up account",
+                        line_name: str = REVISED_LINE,
                         window_days: int = fixed.OPENING_SHIFT_DAYS) -> DataFrame:
     """Q8: for every bill with a revised realisation date, the report cells of
     ``line_name`` whose date lies in the 7 days ending with the end of the

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -72,3 +73,11 @@ def materialize(df):
     re-scanning the ledgers."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df, name):
+    """``df`` written as Parquet into the shared folder and read back by its schema: lineage is
+    cut, columns are still pruned, and the files outlive any executor."""
+    at = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -38,12 +38,13 @@ def has_domain_tables(data_dir: str) -> bool:
 
 
 #: Configuration that a folder may hold as tables; the built-in one serves where it doesn't.
-CONFIG_TABLES = ["report_lines", "report_columns", "rules", "settings"]
+CONFIG_TABLES = ["report_lines", "report_columns", "rules", "settings", "roll_up_members"]
 
 
 def load_config(spark: SparkSession, data_dir: str) -> dict[str, DataFrame]:
-    """Report lines, report columns, rules and settings of ``data_dir``. Without a
-    columns table the columns cover all years of the data."""
+    """Report lines, report columns, rules, settings and roll-up members of ``data_dir``. Without
+    a columns table the columns cover all years of the data; without a members table
+    there is no such entry, and the built-in lists serve."""
     found = {t: TB.optional_table(spark, data_dir, t) for t in CONFIG_TABLES}
     out = {t: df for t, df in found.items() if df is not None}
     for t, build in (("report_lines", TB.report_lines), ("rules", TB.rules), ("settings", TB.settings)):

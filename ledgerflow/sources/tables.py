@@ -46,9 +46,22 @@ def local_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructTy
     return spark.sql(f"SELECT {cols} FROM VALUES {body} AS t({', '.join(f'`{n}`' for n in names)})")
 
 
+class Folder(str):
+    """A data folder for one call of a query: each of its tables is listed and its schema
+    read once, however many views are made of it. The next call lists anew."""
+
+    def relation(self, spark: SparkSession, name: str) -> DataFrame:
+        held = self.__dict__.setdefault("held", {})
+        if name not in held:
+            held[name] = spark.read.parquet(f"{self.rstrip('/')}/{name}.parquet")
+        return held[name]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table of the data folder, listed anew on every call, so
-    rows appended since the last one are there."""
+    """One Parquet table of the data folder, listed anew on every call (of a query, for
+    a ``Folder``), so rows appended since the last one are there."""
+    if isinstance(sf_dir, Folder):
+        return sf_dir.relation(spark, name)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -125,8 +138,13 @@ def report_columns(spark: SparkSession, year: int, last: int | None = None) -> D
 
 def optional_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame | None:
     """A table of the folder, or None where it has none. Any other fault is raised."""
+    return read_folder(spark, f"{data_dir.rstrip('/')}/{name}.parquet")
+
+
+def read_folder(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where there is none. Any other fault is raised."""
     try:
-        return read_table(spark, data_dir, name)
+        return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -51,6 +51,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_entry_smoke(spark):
-    df = E.entry(spark)
+    import __spark_entry__
+    df = __spark_entry__.entry(spark)
     assert df.columns == ["variable", "Unit", "Descriptio", "value"]
     assert df.count() > 0
