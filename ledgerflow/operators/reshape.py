@@ -51,6 +51,25 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None
             .unpivot(list(ids), values, variable, value))
 
 
+def region_to_long(sheet: DataFrame, first_row: int | None = None, last_row: int | None = None,
+                   drop: Iterable[str] = (), ids: Sequence[str] = ("Description", "Unit"), cells: str = "cells",
+                   row_col: str = "row_no") -> DataFrame:
+    """S4, P22 and R1 of a schema-free sheet: rows ``first_row..last_row`` whose value columns are a map
+    from header to number, melted under 10-character headers, null cells kept, headers in
+    ``drop`` left out. The plan is the same for a month and for thirty years of columns. Two
+    headers of a row that collapse to one key are an error."""
+    rows = sheet if first_row is None else sheet.where(F.col(row_col).between(first_row, last_row))
+    dropped = F.array(*map(F.lit, drop)) if drop else F.array().cast("array<string>")
+    kept = F.map_filter(cells, lambda k, _: ~F.array_contains(dropped, k))
+    keys = F.transform(F.map_keys("_cells"), lambda k: F.substring(k, 1, 10))
+    rows = rows.select(*[F.col(f"`{i}`").alias(header_key(i)) for i in ids], kept.alias("_cells"))
+    clash = F.size(F.array_distinct(keys)) < F.size(keys)
+    entries = F.when(clash, F.raise_error(F.lit("headers collide after trimming to 10 characters"))).otherwise(F.map_entries("_cells"))
+    names = [header_key(i) for i in ids]
+    return rows.select(*names, F.explode(entries).alias("e")).select(
+        *names, F.substring("e.key", 1, 10).alias("variable"), F.col("e.value").cast("double").alias("value"))
+
+
 def load_sheet_region(df: DataFrame, first_row: int, last_row: int,
                       drop: Iterable[str] = QUARTER_COLUMNS,
                       ids: Sequence[str] = ("Descriptio", "Unit"),

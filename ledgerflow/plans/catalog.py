@@ -14,6 +14,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import incremental as INC
 from . import oracle as O
@@ -298,14 +299,14 @@ def w1(spark, d):
 @register("r1_wide_to_long", O.r1_sql)
 def r1(spark, d):
     """Whole wide sheet -> 10-char headers -> long (nulls kept)."""
-    sheet = RS.normalise_headers(fx.wide_sheet(spark, d).drop("row_no"))
-    return RS.wide_to_long(sheet, ["Descriptio", "Unit"])
+    return RS.region_to_long(fx.wide_sheet(spark, d))
 
 
 @register("q14_sheet_region_load", lambda: O.q14_sql(*SHEET_REGION))
 def q14(spark, d):
     """Sheet rows 2-4 without the quarter columns -> long fact with DATE variable."""
-    return RS.load_sheet_region(fx.wide_sheet(spark, d), *SHEET_REGION)
+    long = RS.region_to_long(fx.wide_sheet(spark, d), *SHEET_REGION, drop=RS.QUARTER_COLUMNS)
+    return long.withColumn("variable", P.to_day("variable"))
 
 
 def _regions(spark, d, sheet):
@@ -497,6 +498,68 @@ def sheet_file(spark, d):
     return RS.load_region(back, RS.header_of(back, region), region).withColumn("table", F.lit(region[0]))
 
 
+def _raw_sheet(spark, d, sheet, header_row):
+    """The sheet as a plain delimited file: nothing but its cells in order, the rows above the header empty,
+    and a line break in each label."""
+    raw = fx.sheet_export(spark, d, sheet, header_row)
+    above = spark.range(header_row).select(F.col("id").cast("int").alias("row_no"), *[F.lit("").alias(c) for c in raw.columns[1:]])
+    label = F.when(F.col("row_no") > header_row, F.replace("c2", F.lit("/"), F.lit("/\n"))).otherwise(F.col("c2"))
+    cell = lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"'))
+    line = F.concat_ws(",", *[cell(label if c == "c2" else F.col(c)) for c in raw.columns[1:]])
+    at = _scratch(spark)
+    above.unionByName(raw).orderBy("row_no").select(line.alias("value")).coalesce(1).write.text(at)    # one sheet, one file
+    return at, len(raw.columns) - 1
+
+
+@register("s4_raw_sheet_file", lambda: O.regions_sql("Act Expenses"))
+def raw_sheet_file(spark, d):
+    """The actual-expense regions cut from plain delimited files: rows are numbered by their place
+    in the file, labels go over two lines."""
+    parts = []
+    for region in (r for r in fixed.SHEET_REGIONS if r[1] == "Act Expenses"):
+        raw = sheets.read_raw_sheet(spark, *_raw_sheet(spark, d, "Act Expenses", region[2]))
+        long = RS.load_region(raw, RS.header_of(raw, region), region)
+        parts.append(long.withColumns({"Descriptio": F.replace("Descriptio", F.lit("\n"), F.lit("")), "table": F.lit(region[0])}))
+    return _union(parts)
+
+
+def _faulty_lines(bills):
+    """The bills as lines of a delimited upload, some of them broken: a field short, a quote left open,
+    text for a number or a date."""
+    k = F.col("invoice").cast("long")
+    amount = F.col("total__fob_income").cast("decimal(20,2)").cast("string")
+    amount = F.when(F.pmod(k, F.lit(11)) == 0, F.concat(amount, F.lit(" pcs"))).otherwise(F.concat(F.lit("$"), amount))
+    day = F.when(F.pmod(k, F.lit(13)) == 0, F.lit("soon")).otherwise(F.date_format("ex_fty_date", "yyyy-MM-dd"))
+    buyer = F.when(F.pmod(k, F.lit(7)) == 0, F.concat(F.lit('"'), F.col("buyer"))).otherwise(F.concat(F.lit('"'), F.col("buyer"), F.lit(", Ltd\"")))
+    whole = F.concat_ws(",", "invoice", buyer, amount, day)
+    return bills.select(F.when(F.pmod(k, F.lit(17)) == 0, F.concat_ws(",", "invoice", buyer, amount)).otherwise(whole).alias("value"))
+
+
+@register("s5_upload_rejects", O.rejects_sql)
+def upload_rejects(spark, d):
+    """An upload with broken lines: the good rows typed, the others with the reason each was put aside."""
+    schema = T.StructType([T.StructField("invoice", T.StringType()), T.StructField("buyer", T.StringType()),
+                           T.StructField("amount", T.DoubleType()), T.StructField("day", T.DateType())])
+    lines = _faulty_lines(fx.bills_under_collection(spark, d))
+    at = _scratch(spark)
+    # every file of the upload has its header
+    headed = lines.withColumn("p", F.spark_partition_id())
+    head = headed.select("p").distinct().select(F.lit("invoice,buyer,amount,day").alias("value"), "p", F.lit(0).alias("k"))
+    both = headed.withColumn("k", F.lit(1)).unionByName(head).repartition("p").sortWithinPartitions("p", "k")
+    both.select("value", "p").write.partitionBy("p").text(at)
+    good, bad = sheets.read_upload_checked(spark, at, schema)
+    why = F.array_join(F.transform("problems", lambda p: F.concat_ws(": ", p["field"], p["reason"])), "; ")
+    bad = bad.select(F.substring_index("text", ",", 1).alias("invoice"), *(F.lit(None).cast(t).alias(c) for c, t in (("buyer", "string"), ("amount", "double"), ("day", "date"))),
+                     why.alias("problems"))
+    return good.withColumn("problems", F.lit("")).unionByName(bad)
+
+
+@register("a10_forecast_totals", O.forecast_totals_sql)
+def forecast_totals(spark, d):
+    """Forecast report with totals by bank and over all (grouping sets)."""
+    return RP.forecast_totals(FC.shipment_forecast_report(fx.shipment_forecast(spark, d), terms(spark, d)))
+
+
 @register("k6_id_series", lambda: O.k6_sql("BUC%08d"))
 def k6(spark, d):
     """Gap-free formatted ids for whole bills in (ex-factory date, invoice) order."""

@@ -811,6 +811,23 @@ def append_batches_sql() -> str:
 UNION ALL SELECT shipment_date, quentity, 'large' FROM shipments WHERE quentity > 45""")
 
 
+def rejects_sql() -> str:
+    return with_fixtures("""b AS (SELECT *, CAST(invoice AS BIGINT) AS k, CAST(CAST(total__fob_income AS DECIMAL(20,2)) AS DOUBLE) AS amount FROM bills),
+w AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'quote not closed' WHEN k % 17 = 0 THEN 'number of fields'
+                     WHEN k % 11 = 0 AND k % 13 = 0 THEN 'amount: not a number; day: not a date'
+                     WHEN k % 11 = 0 THEN 'amount: not a number' WHEN k % 13 = 0 THEN 'day: not a date' ELSE '' END AS problems FROM b)
+SELECT invoice, CASE WHEN problems = '' THEN buyer || ', Ltd' END AS buyer, CASE WHEN problems = '' THEN amount END AS amount,
+       CASE WHEN problems = '' THEN ex_fty_date END AS day, problems FROM w""")
+
+
+def forecast_totals_sql() -> str:
+    total = lambda c: f"CAST(SUM(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) AS {c}"
+    return with_fixtures(f"""r AS (SELECT bank, buyer, quantity, amount FROM v_sf_report)
+SELECT 'buyer' AS level, bank, buyer, {total('quantity')}, {total('amount')} FROM r GROUP BY bank, buyer
+UNION ALL SELECT 'bank', bank, NULL, {total('quantity')}, {total('amount')} FROM r GROUP BY bank
+UNION ALL SELECT 'all', NULL, NULL, {total('quantity')}, {total('amount')} FROM r""")
+
+
 def settings_sql() -> str:
     return q4_from_cf_date_sql("1900-01-01").replace("r_day >= DATE '1900-01-01'", "r_day >= (SELECT min(exfty_date) + 1000 FROM shipment_forecast)")
 

@@ -196,6 +196,15 @@ def buyer_list(buyers: DataFrame) -> DataFrame:
     return rows.unionByName(total)
 
 
+def forecast_totals(report: DataFrame) -> DataFrame:
+    """A10 on the forecast report (Q9): quantity and amount by buyer, by bank over its buyers, and over
+    all, exact. ``level`` tells a total row from a group whose key is null."""
+    sums = report.groupBy("bank", "buyer").agg(S.money_sum("quantity").alias("quantity"), S.money_sum("amount").alias("amount"))
+    rolled = sums.rollup("bank", "buyer").agg(F.grouping_id().alias("g"), *(F.sum(c).cast(S.MONEY).cast("double").alias(c) for c in ("quantity", "amount")))
+    level = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "bank").otherwise("buyer")
+    return rolled.select(level.alias("level"), "bank", "buyer", "quantity", "amount")
+
+
 def buyer_lookup(buyers: DataFrame, name: str) -> DataFrame:
     """Q17: bank and name of the buyer called ``name`` (first by name, bank)."""
     return (buyers.where(F.col("buyer_name") == name).select("bank", "buyer_name")

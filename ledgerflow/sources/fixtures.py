@@ -161,20 +161,19 @@ def column_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A wide planning sheet: one row per event type (``row_no`` by type), one
-    column per day holding that day's ``sum(value)``, plus the three quarter
-    subtotal columns a sheet carries (Apr, May, Jun, null here)."""
-    ev = read_table(spark, sf_dir, "events").select("ts", "event_type", "value")
-    days = [r[0] for r in ev.select(F.date_format(F.col("ts").cast("date"), "yyyy-MM-dd"))
-            .distinct().orderBy(1).collect()]
-    long = ev.select(F.col("event_type").alias("Description"),
-                     F.date_format(F.col("ts").cast("date"), "yyyy-MM-dd").alias("day"), "value")
-    day_sum = F.sum(F.col("value").cast("decimal(38,6)")).cast("double")
-    wide = long.groupBy("Description").pivot("day", days).agg(day_sum)
+    """A wide planning sheet: one row per event type (``row_no`` by type) with its value
+    columns as a map: for every day of the table that day's ``sum(value)``, null where the type
+    has none, and the three quarter subtotal columns a sheet carries (Apr, May, Jun, null here)."""
+    ev = read_table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("Description"), F.date_format(F.col("ts").cast("date"), "yyyy-MM-dd").alias("day"), "value")
+    sums = ev.groupBy("Description", "day").agg(F.sum(F.col("value").cast("decimal(38,6)")).cast("double").alias("v"))
+    own = sums.groupBy("Description").agg(F.map_from_entries(F.collect_list(F.struct("day", "v"))).alias("own"))   # a cell of the sheet each
+    days = ev.agg(F.collect_set("day").alias("days")).select("days").scalar()
     rn = F.dense_rank().over(Window.orderBy("Description"))  # a handful of sheet rows
-    return wide.select(rn.cast("int").alias("row_no"), "Description",
-                       F.lit("USD").alias("Unit"), *[F.col(f"`{d}`") for d in days],
-                       *[F.lit(None).cast("double").alias(m) for m in ("Apr", "May", "Jun")])
+    rows = own.select(rn.cast("int").alias("row_no"), "Description", F.lit("USD").alias("Unit"), "own",
+                      F.concat(days, F.array(*map(F.lit, ("Apr", "May", "Jun")))).alias("heads"))
+    return rows.select("row_no", "Description", "Unit", F.map_from_arrays(
+        "heads", F.transform("heads", lambda h: F.try_element_at("own", h))).alias("cells"))
 
 
 #: Headers of the stand-in for a workbook sheet; the sheets with account columns in front
