@@ -101,6 +101,12 @@ EXPENSE_ACCOUNTS = [
 CURRENCIES = ["BDT", "USD"]
 COLUMN_STATUSES = ["Projected", "Actual"]
 SHIPMENT_TYPES = ["Projected", "Actual"]
+# declared cash ledgers
+CF_INFLOW_TYPES = ["Actual", "Projected"]
+CF_OUTFLOW_TYPES = ["Actual Expenses", "SUMMARY ERQ/MARGIN"]
+CF_OUTFLOW_ACCOUNTS = ["BDT", "USD"]
+# defaults of fields left empty
+DEFAULT_CURRENCY, DEFAULT_UNIT = "BDT", "USD"
 RECORD_STATUSES = ["Active", "Inactive"]
 REPORT_NAMES = ["CURRENT ACCOUNT CASHFLOW", "ERQ/MARGIN CASHFLOW"]
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August",

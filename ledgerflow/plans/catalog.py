@@ -421,6 +421,44 @@ def k3(spark, d):
     return K.with_defaults(bills, {"status": "Active", "qty_pcs": 0.0})
 
 
+def _typed_in(spark, d):
+    """Configuration as typed in, with its slips: columns of a first day missing or a month cut short, lines of
+    an unknown report or without a unit."""
+    inp = RP.inputs_from_dir(spark, d)
+    nth = F.pmod("col_no", F.lit(11))
+    columns = inp.columns.select("name", "col_no", F.when(nth == 1, F.lit(None).cast("date")).otherwise(F.col("date1")).alias("date1"),
+                                 F.when(nth == 2, F.substring("month", 1, 3)).otherwise(F.col("month")).alias("month"),
+                                 F.when(nth == 3, F.lit("Draft")).otherwise(F.col("col_status")).alias("col_status"))
+    nth = F.pmod("line_number", F.lit(7))
+    lines = inp.lines.select("name", F.when(nth == 1, F.lit("")).when(nth == 2, F.lit("Old report")).otherwise(F.lit(fixed.REPORT_NAMES[0])).alias("report_name"),
+                             F.when(nth == 3, F.lit(None).cast("string")).otherwise(F.col("unit")).alias("unit"))
+    return columns, lines
+
+
+@register("k1_k2_configuration", O.configuration_sql)
+def k_configuration(spark, d):
+    """Required fields and option lists of the report's columns and lines and of the declared cash ledgers."""
+    columns, lines = _typed_in(spark, d)
+    return _union([
+        K.required(columns, "cf_columns", ["date1"]), K.required(lines, "report_lines", ["report_name"]),
+        K.allowed_values(columns, "cf_columns", {"month": fixed.MONTHS, "col_status": fixed.COLUMN_STATUSES}),
+        K.allowed_values(lines, "report_lines", {"report_name": [*fixed.REPORT_NAMES, ""]}),
+        K.allowed_values(fx.cash_ledger(spark, d, True), "cf_inflow", {"type": fixed.CF_INFLOW_TYPES}),
+        K.allowed_values(fx.cash_ledger(spark, d, False), "cf_outflow", {"type": fixed.CF_OUTFLOW_TYPES, "account": fixed.CF_OUTFLOW_ACCOUNTS})])
+
+
+@register("k3_configuration_defaults", O.configuration_defaults_sql)
+def k3_configuration(spark, d):
+    """Rows by the value of a field after its default was filled in: the ledgers' currency, the lines' unit."""
+    parts = []
+    for name, ledger in _ledgers(spark, d).items():
+        typed = ledger.select(F.when(F.col("currency") != "USD", F.col("currency")).when(F.dayofmonth("expenses_date") > 15, F.col("currency")).alias("currency"))
+        parts.append(K.with_defaults(typed, {"currency": fixed.DEFAULT_CURRENCY}).select(F.lit(name).alias("table"), F.col("currency").alias("value")))
+    _, lines = _typed_in(spark, d)
+    parts.append(K.with_defaults(lines, {"unit": fixed.DEFAULT_UNIT}).select(F.lit("report_lines").alias("table"), F.col("unit").alias("value")))
+    return _union(parts).groupBy("table", "value").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register("q12_import_gate_branches", O.q12_branches_sql)
 def q12_branches(spark, d):
     """The gate of one upload against a target it reaches, one it misses, and of an empty one."""

@@ -811,6 +811,34 @@ def append_batches_sql() -> str:
 UNION ALL SELECT shipment_date, quentity, 'large' FROM shipments WHERE quentity > 45""")
 
 
+def configuration_sql() -> str:
+    bad = lambda t, check, f, src, where: _viol(t, check, f, f"SELECT {f} AS value, count(*) AS rows FROM {src} WHERE {where} GROUP BY 1")
+    outside = lambda f, options: f"{f} IS NOT NULL AND NOT list_contains({lst(options)}, {f})"
+    cash = lambda types: f"""SELECT {pick([*types, 'Planned'], 'user_id')} AS type, {pick([*fixed.CF_OUTFLOW_ACCOUNTS, 'EUR'], 'event_id')} AS account FROM events"""
+    return with_fixtures(f"""{report_ctes()},
+c AS (SELECT CASE WHEN col_no % 11 <> 1 THEN date1 END AS date1, CASE WHEN col_no % 11 = 2 THEN month[1:3] ELSE month END AS month,
+             CASE WHEN col_no % 11 = 3 THEN 'Draft' ELSE col_status END AS col_status FROM cols_t),
+l AS (SELECT CASE line_number % 7 WHEN 1 THEN '' WHEN 2 THEN 'Old report' ELSE {q(fixed.REPORT_NAMES[0])} END AS report_name FROM lines_t),
+inflow AS ({cash(fixed.CF_INFLOW_TYPES)}), outflow AS ({cash(fixed.CF_OUTFLOW_TYPES)})
+{bad('cf_columns', 'required', 'date1', 'c', 'date1 IS NULL')}
+UNION ALL {bad('report_lines', 'required', 'report_name', 'l', "trim(report_name) = ''")}
+UNION ALL {bad('cf_columns', 'option', 'month', 'c', outside('month', fixed.MONTHS))}
+UNION ALL {bad('cf_columns', 'option', 'col_status', 'c', outside('col_status', fixed.COLUMN_STATUSES))}
+UNION ALL {bad('report_lines', 'option', 'report_name', 'l', outside('report_name', [*fixed.REPORT_NAMES, '']))}
+UNION ALL {bad('cf_inflow', 'option', 'type', 'inflow', outside('type', fixed.CF_INFLOW_TYPES))}
+UNION ALL {bad('cf_outflow', 'option', 'type', 'outflow', outside('type', fixed.CF_OUTFLOW_TYPES))}
+UNION ALL {bad('cf_outflow', 'option', 'account', 'outflow', outside('account', fixed.CF_OUTFLOW_ACCOUNTS))}""")
+
+
+def configuration_defaults_sql() -> str:
+    ledgers = " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", CASE WHEN currency = 'USD' AND day(expenses_date) <= 15 THEN 'BDT' ELSE currency END AS value FROM {t}"
+        for t in ("income_forecast", "income_actual", "expenses_forecast", "expenses_actual"))
+    return with_fixtures(f"""{report_ctes()},
+v AS ({ledgers} UNION ALL SELECT 'report_lines', CASE WHEN line_number % 7 = 3 OR unit IS NULL THEN 'USD' ELSE unit END FROM lines_t)
+SELECT "table", value, count(*) AS rows FROM v GROUP BY 1, 2""")
+
+
 def rejects_sql() -> str:
     return with_fixtures("""b AS (SELECT *, CAST(invoice AS BIGINT) AS k, CAST(CAST(total__fob_income AS DECIMAL(20,2)) AS DOUBLE) AS amount FROM bills),
 w AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'quote not closed' WHEN k % 17 = 0 THEN 'number of fields'

@@ -153,6 +153,14 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("date").alias("week_date"))
 
 
+def cash_ledger(spark: SparkSession, sf_dir: str, inflow: bool) -> DataFrame:
+    """The declared cash ledgers: one row per event, its type and account as they were typed in."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    types = fixed.CF_INFLOW_TYPES if inflow else fixed.CF_OUTFLOW_TYPES
+    return ev.select(_pick([*types, "Planned"], F.col("user_id")).alias("type"), _pick([*fixed.CF_OUTFLOW_ACCOUNTS, "EUR"], F.col("event_id")).alias("account"),
+                     F.col("event_type").alias("description"), _date("ts").alias("date"), F.col("value").alias("amount"), F.lit(False).alias("active"))
+
+
 def column_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(first, last): the years of the booking dates, and one more for the receipts."""
     days = read_table(spark, sf_dir, "lineitem").select(_date("l_shipdate").alias("d")).unionAll(
