@@ -8,7 +8,10 @@ repeats its words, and looking a word up costs far less than hashing it anew.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -25,8 +28,8 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 PIECE_BYTES = 4 << 20
 #: Bytes that are hashed at once, more for a longer word.
 HASH_BYTES = 1 << 20
-#: Entries a worker's word table may hold before it is emptied.
-CACHE_WORDS = 150_000
+#: Bytes that a worker's word table may hold, about; words longer than a key are not kept.
+CACHE_BYTES, LONGEST_KEY = 32 << 20, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +71,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: lineage is
     cut, and the files outlive any executor. No schema inference is run."""
     spark = df.sparkSession
+    ship(spark)
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def free(name: str, *taken) -> str:
+    """``name``, with as many underscores as it takes to differ from all names of the frames ``taken``, in
+    any case of letters."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the files of a ``stored`` frame that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.replace("file:", "").replace("//", "/").startswith(shared_dir(spark).replace("file:", "").replace("//", "/")):
+            at = path(folder)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch with their UTF-8 texts, null as empty, of about ``size``
     bytes each (one text at least)."""
@@ -92,19 +115,82 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE_BYTES) -> Itera
 
 
 class WordTable(dict):
-    """word -> packed value, filled by ``make`` on a miss and emptied when it
-    reaches its bound."""
+    """word -> packed value, filled by ``make`` on a miss, of ``bound`` bytes at most, about. When
+    half of that is reached, the entries become the old generation and the one before
+    goes; an old word that is asked for is young again, so frequent words stay. Words over
+    ``LONGEST_KEY`` (texts without blanks) are made anew each time."""
 
-    def __init__(self, make: Callable[[bytes], bytes], bound: int = CACHE_WORDS):
+    ENTRY_BYTES = 110  # of the table itself, for an entry
+
+    def __init__(self, make: Callable[[bytes], bytes], bound: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.bound = make, bound
+        self.make, self.bound, self.old, self.held = make, bound, {}, 0
 
     def __missing__(self, word):
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[word] = self.make(word)
+        self.turn()
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        self.keep(word, value)
         return value
 
+    def peek(self, word):
+        """The value held for a word, or None."""
+        return self[word] if word in self else self.old.get(word)
+
+    def keep(self, word, value) -> None:
+        if len(word) <= LONGEST_KEY and word not in self:
+            self[word] = value
+            self.held += self.ENTRY_BYTES + sys.getsizeof(word) + sys.getsizeof(value)
+
+    def turn(self) -> None:
+        """A new generation where the young one has half of the bound."""
+        if 2 * self.held > self.bound:
+            self.old, self.held = self.copy(), 0
+            super().clear()
+
+    def copy(self) -> dict:
+        return dict(self)
+
+    def clear(self) -> None:
+        super().clear()
+        self.old, self.held = {}, 0
+
+
+_TABLES: dict[str, Callable[[], object]] = {}
+
+
+def claim(name: str, clear: Callable[[], object]) -> None:
+    """The task that calls this uses the worker's tables of operator ``name``, which ``clear`` empties.
+    Those of other operators, whose tasks the worker ran before, go: a worker serves many jobs."""
+    others = [other for other in _TABLES if other != name]
+    for other in others:
+        _TABLES.pop(other)()
+    _TABLES[name] = clear
+    if others:
+        give_back()
+
+
+def lean(run):
+    """A task's function that keeps no tables: those of other operators go before, and unused memory
+    goes back after."""
+    def held(batches):
+        claim("", lambda: None)
+        yield from run(batches)
+        give_back()
+
+    return held
+
+
+def give_back() -> None:
+    """Unused memory of the worker goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not there with every C library
+        pass
+
 
 #: ASCII upper to lower case, every other byte as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

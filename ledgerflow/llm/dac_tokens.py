@@ -28,10 +28,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import LOWER, pieces, stored
+from ledgerflow.llm.common import claim, LOWER, PIECE_BYTES, pieces, ship, stored, WordTable
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
@@ -48,14 +48,19 @@ RANK_BLOCK = 512
 SEGMENT_IDS = 2_000_000
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks between blanks that a worker remembers with their ids.
-CACHE_CHUNKS = 1_000_000
-#: Chunks it keeps from one task to the next: the first it met, so the frequent ones.
-KEPT_CHUNKS = 150_000
+#: Bytes of the chunks between blanks, and of their cores, that a worker remembers with their ids.
+CHUNK_TABLE, CORE_TABLE = 176 << 20, 64 << 20
 END_OF_WORD = "</w>"
 WORDS_AT_ONCE = 500
 #: ASCII signs that are neither letters, digits nor blanks.
 SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: How special tokens begin.
+SPECIAL = b"<|"
+BLANKS = b" \t\n\r\x0b\x0c"
+_BLANK = re.compile(b"[ \t\n\r\x0b\x0c]")
+_HARD = 4
+#: Kinds of bytes: blank, letter, digit, sign, and those that keep their chunk whole.
+_KIND = np.array([0 if b in BLANKS else _HARD if b < 32 or b > 126 or b == 39 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
 SEGMENT_SCHEMA = "range int, seq int, n_ids long, segment binary"
 
 
@@ -72,11 +77,15 @@ class Encoder:
     text's ids are those of its chunks in a row; chunks are remembered as packed
     u32. A file that keeps white space is applied to whole texts.
 
-    A new chunk is its core and the ASCII signs after it, which the tokenizer parts in
-    the same place if the core ends in a letter or digit and there is no apostrophe
-    (contractions) and no special token. Cores
+    A text is cut into units by its bytes, all at once: within a chunk without bytes over 127,
+    apostrophes (contractions) or control signs, runs of letters, of digits and of signs are
+    units, as the tokenizer parts there; other chunks are units as they are. Each different unit is
+    looked up once a batch, and the ids of all are gathered by their numbers.
+
+    A new unit is its core and the ASCII signs after it, which the tokenizer parts in
+    the same place if the core ends in a letter or digit and there is no apostrophe. Cores
     of ASCII letters are one word each; many are encoded at once, a blank between, and
-    told apart by the tokens that end a word."""
+    told apart by the tokens that end a word. A text with a special token's sign is applied whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -84,8 +93,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.by_chunk = splits_on_blanks(path)
-        self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.known = WordTable(None, CHUNK_TABLE)
+        self.cores = WordTable(None, CORE_TABLE)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[k for t, k in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
@@ -93,57 +102,120 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn_words(self, words: list[bytes]) -> None:
+    def word_ids(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words of ASCII letters, ``WORDS_AT_ONCE`` in a call."""
+        out = {}
         groups = [words[at:at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
         for group, ids in zip(groups, self.encode([b" ".join(g).decode() for g in groups])):
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(group):
                 data, at = ids.tobytes(), 0
                 for word, end in zip(group, (4 * cut).tolist()):
-                    self.cores[word] = data[at:end]
+                    out[word] = data[at:end]
                     at = end
             else:
-                self.cores.update((w, i.tobytes()) for w, i in zip(group, self.encode([w.decode() for w in group])))
+                out.update((w, i.tobytes()) for w, i in zip(group, self.encode([w.decode() for w in group])))
+        return out
 
-    def learn(self, chunks: list[bytes]) -> None:
+    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new chunks."""
-        if len(self.cores) > CACHE_CHUNKS // 2:
-            self.cores.clear()
-        parts = {}
+        parts, have = {}, {}
         for c in chunks:
             low = c.translate(LOWER)
             core = low.rstrip(SIGNS)
             tail = low[len(core):]
             parted = tail and b"'" not in tail and ends_in_letter(core)
-            parts[c] = (c,) if b"<|" in c else (core, tail) if parted else (low,)
-        new = {p for both in parts.values() for p in both if p not in self.cores}
-        words = [p for p in new if p.isalpha() and p.islower()]
-        self.learn_words(words)
-        rest = [p for p in new if p not in self.cores]
+            parts[c] = (core, tail) if parted else (low,)
+        new = []
+        for p in {p for both in parts.values() for p in both}:
+            ids = self.cores.peek(p)
+            if ids is None:
+                new.append(p)
+            else:
+                have[p] = ids
+        have.update(self.word_ids([p for p in new if p.isalpha() and p.islower()]))
+        rest = [p for p in new if p not in have]
         for at in range(0, len(rest), 5000):
             some = rest[at:at + 5000]
-            self.cores.update((p, i.tobytes()) for p, i in zip(some, self.encode([p.decode() for p in some])))
-        self.known.update((c, b"".join(self.cores[p] for p in both)) for c, both in parts.items())
-
-    def trim(self) -> None:
-        """Forget all but ``KEPT_CHUNKS``, as the worker may serve other jobs next."""
-        self.known = dict(islice(self.known.items(), KEPT_CHUNKS))
-        self.cores = dict(islice(self.cores.items(), KEPT_CHUNKS))
+            have.update((p, i.tobytes()) for p, i in zip(some, self.encode([p.decode() for p in some])))
+        for p in new:
+            self.cores.keep(p, have[p])
+        self.cores.turn()
+        return {c: b"".join(have[p] for p in both) for c, both in parts.items()}
+
+    def values(self, units: list[bytes]) -> list[bytes]:
+        """Packed ids of different units."""
+        known, old = self.known, self.known.old
+        found = [known[u] if u in known else old.get(u) for u in units]
+        new = [u for u, ids in zip(units, found) if ids is None]
+        learned = self.learn(new) if new else {}
+        out = [learned[u] if ids is None else ids for u, ids in zip(units, found)]
+        for u, ids in zip(units, out):
+            known.keep(u, ids)
+        known.turn()
+        return out
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Packed u32 ids of each text."""
         if not self.by_chunk:
             return [i.tobytes() for i in self.encode([t.decode() for t in texts])]
-        split = [t.split() for t in texts]
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        known = self.known
-        new = {c for chunks in split for c in chunks if c not in known}
-        if new:
-            self.learn(list(new))
-        get = known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        out: list = [None] * len(texts)
+        plain = []
+        for k, text in enumerate(texts):
+            if SPECIAL in text:
+                out[k] = self.encode([text.decode()])[0].tobytes()
+            elif len(text) > PIECE_BYTES:  # in parts, cut at blanks
+                out[k] = b"".join(self.unit_ids([part])[0] for part in parts_of(text, PIECE_BYTES))
+            else:
+                plain.append(k)
+        for k, ids in zip(plain, self.unit_ids([texts[k] for k in plain])):
+            out[k] = ids
+        return out
+
+    def unit_ids(self, texts: list[bytes]) -> list[bytes]:
+        data = (b"\n".join(texts) + b"\n").translate(LOWER)
+        at = np.cumsum([0] + [len(t) + 1 for t in texts])
+        starts, ends = unit_spans(np.frombuffer(data, np.uint8))
+        if not len(starts):
+            return [b""] * len(texts)
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data.translate(None, BLANKS))])
+        different = units.dictionary_encode()
+        values = self.values(different.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        first, code = np.cumsum(sizes) - sizes, different.indices.to_numpy()
+        n = sizes[code]
+        edge = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(values), "<u4")[np.repeat(first[code] - edge[:-1], n) + np.arange(edge[-1])]
+        cut = edge[np.searchsorted(starts, at)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+
+
+def unit_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where units begin and end in bytes that end in a blank."""
+    kind = _KIND[b]
+    inside = kind > 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    chunk = np.cumsum(begins, dtype=np.int32)
+    whole = np.zeros(int(chunk[-1]) + 1, bool)
+    whole[chunk[kind == _HARD]] = True
+    parted = inside & ~whole[chunk]
+    parted[0] = False
+    parted[1:] &= inside[:-1] & (kind[1:] != kind[:-1])
+    begins |= parted
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | begins[1:])) + 1
+    return np.flatnonzero(begins), ends
+
+
+def parts_of(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes that end before a blank."""
+    at = 0
+    while at < len(text):
+        found = _BLANK.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
 
 
 def ends_in_letter(core: bytes) -> bool:
@@ -173,6 +245,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder, kept between tasks."""
+    claim("tokens", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -272,6 +345,7 @@ class Segment:
 def encode_segments(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
                     segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """``docs`` (doc_id, text) as segments in ascending doc_id order."""
+    ship(docs.sparkSession)
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,10 +374,10 @@ def encode_segments(docs: DataFrame, path: str | None = None, end_id: int = END_
                         doc_ids, parts, lengths, held = [], [], [], 0
         if doc_ids:
             yield close()
-        enc.trim()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = [F.col("doc_id"), F.xxhash64("text")]  # rows of one id, or of none, are many ranges'
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return dealt.mapInArrow(run, SEGMENT_SCHEMA)
 
 
@@ -316,6 +390,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
     """Documents of written segments: doc_id, start, n_tokens, ids_crc32 and the
     ids' place (range, seq, first). Starts add up ids per range (one row each), then
     those before the segment in its range, which the segment itself states."""
+    ship(segments.sparkSession)
     totals = segments.groupBy("range").agg(F.sum("n_ids").alias("n_ids"))
     order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # one row per written range, so a single task may add them up and every task may hold them

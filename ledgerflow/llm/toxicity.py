@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import LOWER, WordTable, id_crc32, pieces
+from ledgerflow.llm.common import id_crc32, lean, LOWER, pieces, ship, WordTable
 
 TRAIN_ROWS = 10_000
 SAMPLE_BUCKETS = 256
@@ -45,6 +45,8 @@ LEAST_DOCS = 5
 LEAST_SHARE = 0.003
 LEAST_RATIO = 30.0
 VOCABULARY = 20_000
+#: Bytes of the tokens that a worker remembers.
+CACHE_BYTES = 96 << 20
 #: Letters and their look-alikes.
 LOOKS = {"4": "a", "@": "a", "8": "b", "(": "c", "3": "e", "6": "g", "9": "g", "#": "h", "1": "il", "!": "il",
          "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z"}
@@ -80,7 +82,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["gram", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def log_probabilities(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -211,7 +213,7 @@ class Scorer:
     known: WordTable = field(init=False)
 
     def __post_init__(self):
-        self.known = WordTable(self._pack, bound=500_000)
+        self.known = WordTable(self._pack, bound=CACHE_BYTES)
 
     def _pack(self, token: bytes) -> bytes:
         single = _SINGLE if lone(token) else 0
@@ -290,7 +292,7 @@ def word_documents(rows: DataFrame, letters) -> DataFrame:
                     [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)],
                     ["word", "toxic_docs", "clean_docs"])
 
-    found = rows.mapInArrow(run, "word string, toxic_docs long, clean_docs long")
+    found = rows.mapInArrow(lean(run), "word string, toxic_docs long, clean_docs long")
     return found.groupBy("word").agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("clean_docs").alias("clean_docs"))
 
 
@@ -343,6 +345,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from=None, rows: int = TRAIN
 
 def _totals(rows: DataFrame, model: Model, schema: str, keep: list[str]) -> DataFrame:
     """``keep`` and the summed weights of each row's distinct words."""
+    ship(rows.sparkSession)
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -353,7 +356,7 @@ def _totals(rows: DataFrame, model: Model, schema: str, keep: list[str]) -> Data
                 totals = [float(own.weights[scorer.found(t)].sum()) for t in texts]
                 yield pa.RecordBatch.from_arrays([*map(piece.column, keep), pa.array(totals, pa.float64())], [*keep, "total"])
 
-    return rows.mapInArrow(run, f"{schema}, total double")
+    return rows.mapInArrow(lean(run), f"{schema}, total double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

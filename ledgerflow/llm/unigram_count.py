@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import WordTable, pieces
+from ledgerflow.llm.common import claim, pieces, ship, WordTable
 
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
+#: Bytes of the chunks that a worker remembers.
+CACHE_BYTES = 128 << 20
 UNKNOWN_PENALTY = 10.0
 CHUNK = re.compile(" *[^ ]+| +$")
 _PACKED = struct.Struct("<dq")
@@ -58,7 +60,7 @@ class Vocabulary:
                 self.found.add_word(p, (len(p), s))
         if len(self.found):
             self.found.make_automaton()
-        self.known = WordTable(self._chunk, bound=600_000)
+        self.known = WordTable(self._chunk, bound=CACHE_BYTES)
 
     def _chunk(self, chunk: str) -> bytes:
         return _PACKED.pack(*self.best(chunk.replace(" ", MARK)))
@@ -130,9 +132,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens and the best segmentation's score."""
+    ship(docs.sparkSession)
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("unigram", worker_vocabulary.cache_clear)
         words = worker_vocabulary(path)
         for batch in batches:
             for piece, texts in pieces(batch, "text"):

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,3 +79,36 @@ def test_ties_and_unknowns_follow_the_tokenizer():
         own, whole = U.Vocabulary(scored, False), Tokenizer(models.Unigram([("<unk>", 0.0), *scored], unk_id=0, byte_fallback=False))
         text = "".join(random.choice("abcd") for _ in range(random.randint(0, 12)))
         assert own.best(text)[1] == len(whole.encode(text).ids)
+
+
+def test_tables_stay_bounded_with_texts_without_blanks():
+    path = D.tokenizer_path()
+    own, whole = D.Encoder(path), Tokenizer.from_file(path)
+    random.seed(8)
+    held = 0
+    for _ in range(40):
+        texts = ["".join(chr(random.randint(0x4E00, 0x9FFF)) for _ in range(random.randint(100, 1500))) for _ in range(50)]
+        got = own.ids([t.encode() for t in texts])
+        assert np.frombuffer(got[0], "<u4").tolist() == whole.encode(texts[0], add_special_tokens=False).ids
+        held = max(held, own.known.held + own.cores.held)
+    assert held < 1_000_000 and not own.known and not own.cores
+
+
+def test_a_small_table_keeps_frequent_words_and_gives_the_same_ids():
+    path = D.tokenizer_path()
+    own, whole = D.Encoder(path), Tokenizer.from_file(path)
+    own.known, own.cores = D.WordTable(None, 40_000), D.WordTable(None, 20_000)
+    random.seed(9)
+    for _ in range(60):
+        text = " ".join(random.choice(["the", "of", "and"]) if random.random() < 0.5 else "".join(random.choices("abcdefg,'", k=6)) for _ in range(200))
+        assert np.frombuffer(own.ids([text.encode()])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert own.known.held <= 20_000 + 200 * 400 and (b"the" in own.known or b"the" in own.known.old)
+
+
+def test_word_table_makes_each_frequent_word_once():
+    made = Counter()
+    table = D.WordTable(lambda w: made.update([w]) or w[::-1], 60_000)
+    for k in range(20_000):
+        assert table[b"often"] == b"netfo" and table[b"%d" % k] == (b"%d" % k)[::-1]
+        assert table[b"x" * 100] == b"x" * 100
+    assert made[b"often"] == 1 and table.held <= 60_000 and b"x" * 100 not in table
