@@ -6,10 +6,10 @@ window. Window hashes are looked up for every window of every document, a hit is
 verified word by word, and all words inside a verified window are hit. The hit spans
 can be removed, or the document dropped.
 
-The benchmark's windows are broadcast only up to ``BROADCAST_WINDOWS``. Beyond it the
-benchmark is cut by a hash of the item's id into blocks under that bound, the
-documents are scanned once per block, and a document's hits from all blocks are merged;
-results are the same. One item larger than the bound is a block of its own.
+The benchmark's windows are broadcast only up to ``BROADCAST_WINDOWS``, by an estimate from the
+texts' lengths. Beyond it they stay a table: the documents are scanned once, windows that a bitmap of
+bounded size (``IdFilter``) may know are joined with it by length, hash and words, and nothing of the
+benchmark comes to the driver. Results are the same.
 
 Null and empty texts have no words and no hits; items without words match nothing;
 equal items all count; a null item_id is reported as an empty name; an empty benchmark
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import LOWER, WordTable, alnum_words, pieces
+from ledgerflow.llm.common import alnum_words, claim, free, IdFilter, LOWER, pieces, ship, stored, WordTable
 
 WINDOW = 10
 #: Windows of the benchmark that one broadcast may hold: about 200 bytes each.
@@ -62,8 +62,8 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class BenchmarkIndex:
-    """Sorted window hashes of one block of the benchmark by window length, the
-    words behind each, and a sieve."""
+    """Sorted window hashes of a bounded benchmark by window length, the words behind each, and
+    a sieve."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
         found: dict[int, dict[int, dict[tuple, set]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
@@ -99,24 +99,24 @@ class BenchmarkIndex:
         return spans, items
 
 
-def benchmark_blocks(benchmark: DataFrame, n: int, bound: int) -> list[DataFrame]:
-    """The benchmark (item, text) in blocks of at most ``bound`` windows by estimate
-    from the texts' lengths (a word has a byte and a blank at least)."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
-                            F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
-    rows = rows.withColumn("most", F.expr("length(body) div 2 + 1"))
-    total = rows.agg(F.sum("most")).first()[0] or 0
-    blocks = max(1, -(-total * 3 // (2 * bound)) if total > bound else 1)
-    if blocks == 1:
-        return [rows.select("item", "body")]
-    return [rows.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).select("item", "body") for k in range(blocks)]
+def benchmark_rows(benchmark: DataFrame) -> DataFrame:
+    """(item, text) of each item, null as empty."""
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
+                            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _scan(docs: DataFrame, block: DataFrame, n: int, schema: str, emit) -> DataFrame:
-    """``emit(piece, texts, index)`` over the documents, the block's index broadcast."""
-    items = [(r["item"], bytes(r["body"])) for r in block.collect()]  # bounded by benchmark_blocks
-    held = docs.sparkSession.sparkContext.broadcast(items)
-    key = xxhash.xxh3_64_intdigest(b"\0".join(i.encode() + b"\1" + t for i, t in sorted(items)))
+def fits(items: DataFrame, bound: int) -> bool:
+    """Whether the benchmark's windows are at most ``bound`` (a word has a byte and a blank at least)."""
+    most = items.agg(F.sum(F.expr("octet_length(text) div 2 + 1"))).first()[0] or 0
+    return most <= bound
+
+
+def _scan(docs: DataFrame, items: DataFrame, n: int, schema: str, emit) -> DataFrame:
+    """``emit(piece, texts, index)`` over the documents, the index of a bounded benchmark broadcast."""
+    ship(docs.sparkSession)
+    rows = [(r["item"], r["text"].encode()) for r in items.collect()]  # bounded by ``fits``
+    held = docs.sparkSession.sparkContext.broadcast(rows)
+    key = xxhash.xxh3_64_intdigest(b"\0".join(i.encode() + b"\1" + t for i, t in sorted(rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = worker_index(key, n, held)
@@ -127,11 +127,86 @@ def _scan(docs: DataFrame, block: DataFrame, n: int, schema: str, emit) -> DataF
     return docs.mapInArrow(run, schema)
 
 
+# ---- a benchmark beyond the bound --------------------------------------------------
+
+#: The benchmark's side of the join is repeated so often, and the documents' dealt by as many salts.
+SALTS = 8
+
+
+def window_rows(items: DataFrame, n: int) -> DataFrame:
+    """(size, hash, window, item): each item's windows, once."""
+    def run(batches):
+        for batch in batches:
+            for piece, texts in pieces(batch, "text"):
+                for item, text in zip(piece.column("item").to_pylist(), texts):
+                    words = alnum_words(text)
+                    size = min(n, len(words))
+                    if not size:
+                        continue
+                    hashes = window_hashes(word_hashes(words), size).view(np.int64)
+                    for lo in range(0, len(hashes), 4096):
+                        own = hashes[lo:lo + 4096]
+                        texts_ = [b" ".join(words[k:k + size]) for k in range(lo, lo + len(own))]
+                        yield pa.RecordBatch.from_arrays([pa.array([size] * len(own), pa.int32()), pa.array(own), pa.array(texts_, pa.binary()),
+                                                          pa.array([item] * len(own), pa.string())], ["size", "hash", "window", "item"])
+
+    return items.mapInArrow(run, "size int, hash long, window binary, item string").distinct()
+
+
+def likely_windows(docs: DataFrame, sizes: list[int], known: IdFilter) -> DataFrame:
+    """(uid, doc_id, n_words, likely): of each document (uid, doc_id, text) the windows whose hash may be
+    the benchmark's."""
+    held = docs.sparkSession.sparkContext.broadcast(known)  # IdFilter.MOST_BITS at most
+
+    def run(batches):
+        for batch in batches:
+            for piece, texts in pieces(batch, "text"):
+                counts, likely = [], []
+                for text in texts:
+                    words = alnum_words(text)
+                    hashes, own = word_hashes(words), []
+                    for size in sizes:
+                        found = window_hashes(hashes, size).view(np.int64)
+                        for k in np.flatnonzero(held.value.has(found)).tolist():
+                            own.append({"at": k, "size": size, "hash": int(found[k]), "window": b" ".join(words[k:k + size])})
+                    counts.append(len(words))
+                    likely.append(own)
+                kind = pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int32()), ("hash", pa.int64()), ("window", pa.binary())]))
+                yield pa.RecordBatch.from_arrays([piece.column("uid"), piece.column("doc_id"), pa.array(counts, pa.int64()), pa.array(likely, kind)],
+                                                 ["uid", "doc_id", "n_words", "likely"])
+
+    return docs.mapInArrow(run, "uid long, doc_id long, n_words long, likely array<struct<at:long,size:int,hash:long,window:binary>>")
+
+
+def joined_hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """(uid, doc_id, n_words, spans, items) of each document (uid, doc_id, text): the verified windows as (at, size),
+    and the items that have them, ascending; null without any."""
+    windows = stored(window_rows(items, n), "benchmark-windows")
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # n of them at most
+    rows = stored(likely_windows(docs, sizes, IdFilter.of(windows.select("hash"))), "benchmark-likely")
+    every = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    likely = rows.select("uid", F.explode("likely").alias("w")).select("uid", "w.*", F.pmod("uid", F.lit(SALTS)).cast("int").alias("salt"))
+    hits = likely.join(every, ["size", "hash", "window", "salt"])
+    per_doc = hits.groupBy("uid").agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    return rows.drop("likely").join(per_doc, "uid", "left")
+
+
+def hit_words(spans):
+    """Words inside any of an array of (at, size)."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
+    return F.aggregate(F.array_sort(spans), zero, lambda a, s: F.struct(
+        (a["n"] + F.greatest(F.lit(0).cast("long"), s["at"] + s["size"] - F.greatest(a["reach"], s["at"]))).alias("n"),
+        F.greatest(a["reach"], s["at"] + s["size"]).alias("reach")), lambda a: a["n"])
+
+
+# ---- a bounded one -------------------------------------------------------------------
+
 _INDEX: dict = {}
 
 
 def worker_index(key, n, held) -> BenchmarkIndex:
-    """The worker's index of a block, kept between tasks (one at a time)."""
+    """The worker's index of a benchmark, kept between tasks (one at a time)."""
+    claim("benchmark", lambda: (_INDEX.clear(), _word_hash.clear()))
     if (key, n) not in _INDEX:
         _INDEX.clear()
         _INDEX[key, n] = BenchmarkIndex(held.value, n)
@@ -160,28 +235,6 @@ def _digest_batch(rows, piece) -> pa.RecordBatch:
         ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def _merged_spans(docs, blocks, n) -> DataFrame:
-    """Spans and items of each (doc_id, text) from all blocks, and how often it occurs."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    schema = "doc_id long, row long, n_words long, spans binary, items array<string>"
-
-    def spans_of(piece, texts, index):
-        rows = [(len(w), np.array(s, "<i8").tobytes(), sorted(i)) for w, s, i in _per_doc(texts, index)]
-        return pa.RecordBatch.from_arrays(
-            [piece.column("doc_id"), piece.column("row"), pa.array([r[0] for r in rows], pa.int64()),
-             pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.string()))],
-            ["doc_id", "row", "n_words", "spans", "items"])
-
-    merged = None
-    for block in blocks:
-        one = _scan(keyed, block, n, schema, spans_of)
-        merged = one if merged is None else merged.unionAll(one)
-    return merged.groupBy("doc_id", "row").agg(
-        F.first("n_words").alias("n_words"), F.collect_set("spans").alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-        (F.count("*") / len(blocks)).cast("int").alias("copies"))
-
-
 def _per_doc(texts, index):
     for text in texts:
         words = alnum_words(text)
@@ -195,27 +248,17 @@ RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, bound: int = BROADCAST_WINDOWS) -> DataFrame:
     """Per document: words, hit words, items with occurring windows."""
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    blocks = benchmark_blocks(benchmark, n, bound)
-
-    if len(blocks) == 1:
+    items = benchmark_rows(benchmark)
+    if fits(items, bound):
         def emit(piece, texts, index):
             return _digest_batch([(len(w), int(covered(s, len(w)).sum()) if s else 0, i) for w, s, i in _per_doc(texts, index)], piece)
 
-        return _scan(own, blocks[0], n, RESULT, emit)
-
-    per_row = _merged_spans(own, blocks, n)
-
-    def close(batches):
-        for batch in batches:
-            rows = []
-            for n_words, spans, items in zip(*(batch.column(c).to_pylist() for c in ("n_words", "spans", "items"))):
-                every = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2).tolist()
-                rows.append((n_words, int(covered(every, n_words).sum()), items))
-            out = _digest_batch(rows, batch)
-            yield out
+        return _scan(own, items, n, RESULT, emit)
 
-    spread = per_row.withColumn("one", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "n_words", "spans", "items")
-    return spread.mapInArrow(close, RESULT)
+    found = joined_hits(own.withColumn("uid", F.monotonically_increasing_id()), items, n)
+    n_hit, n_items = F.coalesce(hit_words(F.col("spans")), F.lit(0).cast("long")), F.coalesce(F.size("items"), F.lit(0))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.when(n_items > 0, n_items).otherwise(0).cast("long").alias("n_items"),
+                        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_share: float = 0.5,
@@ -223,8 +266,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_sha
     """``docs`` without benchmark text: the bytes from the first to the last word of
     each hit run are removed; a document of which at least ``drop_share`` of the words
     are hit is dropped. All columns stay; ``n_chars`` follows the text if there is one."""
-    columns = docs.columns
-    blocks = benchmark_blocks(benchmark, n, bound)
+    columns, schema = docs.columns, docs.schema
 
     def without(piece, texts, spans_of_rows):
         kept, new = [], []
@@ -238,26 +280,28 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_sha
             new.append(cut(text, hit).decode() if spans else piece.column("text")[row].as_py())
         at, left = piece.schema.get_field_index("text"), piece.take(pa.array(kept, pa.int64()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(new, pa.string()) if k == at else left.column(k) for k in range(left.num_columns)], names=left.schema.names)
+            [pa.array(new, pa.string()) if k == at else left.column(k) for k in range(len(columns))], names=columns)
 
-    if len(blocks) == 1:
-        out = _scan(docs, blocks[0], n, docs.schema,
-                    lambda piece, texts, index: without(piece, texts, [s for _, s, _ in _per_doc(texts, index)]))
+    items = benchmark_rows(benchmark)
+    if fits(items, bound):
+        out = _scan(docs, items, n, schema, lambda piece, texts, index: without(piece, texts, [s for _, s, _ in _per_doc(texts, index)]))
     else:
-        spans = _merged_spans(docs.select(F.col("doc_id").cast("long"), "text"), blocks, n)
-        spans = spans.select(F.col("row").alias("__row"), F.expr("aggregate(spans, X'', (a, s) -> concat(a, s))").alias("__spans"))
-        keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+        # the rows are packed, so that their names meet none of these
+        held = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.monotonically_increasing_id().alias("uid")), "benchmark-rows")
+        own = held.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+        spans = joined_hits(own, items, n).where("spans is not null").select("uid", "spans")
+        name = free("spans", docs)
 
         def run(batches):
             for batch in batches:
                 for piece, texts in pieces(batch, "text"):
-                    yield without(piece.drop_columns(["__spans"]), texts,
-                                  [np.frombuffer(s or b"", "<i8").reshape(-1, 2).tolist() for s in piece.column("__spans").to_pylist()])
+                    found = [[(s["at"], s["size"]) for s in own or ()] for own in piece.column(name).to_pylist()]
+                    yield without(piece, texts, found)
 
-        out = keyed.join(spans, "__row", "left").drop("__row").select(*columns, "__spans").mapInArrow(run, docs.schema)
+        out = held.join(spans, "uid", "left").select("row.*", F.col("spans").alias(name)).mapInArrow(run, schema)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        out = out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType))
+    return out.select(*(F.col(f"`{c}`") for c in columns))
 
 
 def cut(text: bytes, hit: np.ndarray) -> bytes:
