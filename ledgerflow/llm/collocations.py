@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import IdFilter, mixed, pieces, stored
+from ledgerflow.llm.common import IdFilter, lean, mixed, pieces, stored
 
 #: Words of the longest phrase, occurrences a phrase needs, phrases a language reports.
 LONGEST, LEAST, TOP = 4, 30, 2000
@@ -166,7 +166,7 @@ def stripes(docs: DataFrame, n: int, frequent: IdFilter | None, deal: dict[int,
                         before = words[-n:] if n else []
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(count, STRIPES)
+    return texts.mapInArrow(lean(count), STRIPES)
 
 
 def merged(sent: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ sizes. ``LANDMARKS`` labelled texts stand for the kernel's space: a text's kerne
 values against them, times the whitened ridge coefficients, are its scores by
 language, and a batch of texts is scored by two matrix products.
 
-The model is fitted on ``TRAIN_ROWS`` labelled rows at most, shared evenly among the
-languages and chosen by a hash of the doc_id; landmarks are taken from them in turn.
+The model is fitted on about ``TRAIN_ROWS`` labelled rows, shared evenly among the
+languages and chosen by a hash of the doc_id; landmarks are the first of each language.
 Whole texts are read, in windows of a megabyte.
 
 A null text, or one without a letter, is ``und`` with score 0. Null languages are not
@@ -20,6 +20,7 @@ rows. Other columns are ignored, or kept by ``keep_known``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import id_crc32, pieces
+from ledgerflow.llm.common import id_crc32, lean, pieces, ship
 
 FEATURES = 1 << 14
 LANDMARKS = 128
 TRAIN_ROWS = 2400
+#: Buckets of ids from each of which the same number of rows of a language is taken.
+TRAIN_BUCKETS = 64
 RIDGE = 1e-3
 #: Sharpness of the scores' softmax.
 SHARP = 6.0
@@ -98,47 +101,70 @@ def kernel(sets: np.ndarray, scaled_landmarks: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, bytes]]) -> Model:
-    """Ridge regression of +1 / -1 by language on whitened landmark kernels."""
-    languages = sorted({lang for lang, _ in rows})
-    by_lang = {lang: [t for other, t in rows if other == lang] for lang in languages}
+    """A model from (language, text) rows."""
+    return fit_marks([lang for lang, _ in rows], presence([t for _, t in rows]))
+
+
+def fit_marks(langs: list[str], marks: np.ndarray) -> Model:
+    """Ridge regression of +1 / -1 by language on whitened landmark kernels, from presence rows. The
+    first rows of each language are the landmarks."""
+    languages = sorted(set(langs))
+    code = np.array([languages.index(lang) for lang in langs])
     share = max(1, LANDMARKS // max(1, len(languages)))
-    marks = np.concatenate([presence(by_lang[lang][:share]) for lang in languages])
-    scaled = (marks / np.sqrt(np.maximum(marks.sum(axis=1), 1.0))[:, None]).T.copy()
-    own = kernel(marks, scaled).astype(np.float64)
+    first = np.concatenate([np.flatnonzero(code == k)[:share] for k in range(len(languages))])
+    scaled = (marks[first] / np.sqrt(np.maximum(marks[first].sum(axis=1), 1.0))[:, None]).T.astype(np.float32).copy()
+    own = kernel(marks[first], scaled).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     gram, right = np.zeros_like(own), np.zeros((len(own), len(languages)))
-    for at in range(0, len(rows), BATCH):
-        part = rows[at:at + BATCH]
-        phi = kernel(presence([t for _, t in part]), scaled) @ whiten
-        target = np.where(np.array([[lang == other for other in languages] for lang, _ in part]), 1.0, -1.0)
-        weight = np.array([1.0 / len(by_lang[lang]) for lang, _ in part])[:, None]
-        gram += phi.T @ (phi * weight)
-        right += phi.T @ (target * weight)
+    target = np.where(code[:, None] == np.arange(len(languages)), 1.0, -1.0)
+    weight = 1.0 / np.bincount(code)[code][:, None]
+    for at in range(0, len(code), BATCH):
+        part = slice(at, at + BATCH)
+        phi = kernel(marks[part], scaled) @ whiten
+        gram += phi.T @ (phi * weight[part])
+        right += phi.T @ (target[part] * weight[part])
     coefficients = whiten @ np.linalg.solve(gram + RIDGE * np.eye(len(gram)), right)
     return Model(languages, scaled, coefficients.astype(np.float32))
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """A model from labelled rows of ``docs`` (doc_id, text, lang); ids are chosen from
-    two narrow columns, then at most ``train_rows`` texts come to the driver."""
+    """A model from labelled rows of ``docs`` (doc_id, text, lang), about ``train_rows`` of them, shared
+    among the languages: in each of ``TRAIN_BUCKETS`` buckets of ids those with the smallest hashes, so
+    no task orders all rows of a language. Ids are chosen from two narrow columns; the
+    texts become presence rows in the tasks, and only these bits come to the driver."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    named = known.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("label"))
+    own = F.col("doc_id").cast("long")
+    named = known.select(own.alias("id"), F.col("lang").cast("string").alias("label"), F.pmod(F.xxhash64(own, F.lit(1)), F.lit(TRAIN_BUCKETS)).alias("bucket"))
     n_langs = named.select("label").distinct().count()
     if not n_langs:
         return None
-    each = max(1, train_rows // n_langs)
-    turn = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    each = max(1, -(-train_rows // (n_langs * TRAIN_BUCKETS)))
+    turn = Window.partitionBy("label", "bucket").orderBy(F.xxhash64("id"), "id")
     chosen = named.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= each).select("id").distinct()
-    texts = known.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("label"),
-                         F.col("text").cast("string").cast("binary").alias("body"))
-    found = texts.join(F.broadcast(chosen), "id")  # at most train_rows ids
-    got = found.orderBy(F.xxhash64("id"), "id", "label", F.xxhash64("body")).limit(train_rows).collect()
-    rows = [(r["label"], bytes(r["body"])) for r in got if has_letter(bytes(r["body"]))]
-    return fit(rows) if rows else None
+    texts = known.select(own.alias("id"), F.col("lang").cast("string").alias("label"), F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(chosen), "id")  # TRAIN_BUCKETS * each for a language
+
+    def marked(batches):
+        for batch in batches:
+            for piece, own_texts in pieces(batch, "text"):
+                rows = [k for k, t in enumerate(own_texts) if has_letter(t)]
+                bits = [np.packbits(presence([own_texts[k]])[0] > 0).tobytes() for k in rows]
+                digest = [hashlib.blake2b(own_texts[k], digest_size=8).digest() for k in rows]
+                some = piece.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("label"), pa.array(digest, pa.binary()), pa.array(bits, pa.binary())],
+                                                 ["id", "label", "digest", "bits"])
+
+    marks = found.mapInArrow(lean(marked), "id long, label string, digest binary, bits binary")
+    # rows that repeat an id are few or many: as many rows as were asked for, in the order of hashes
+    got = marks.orderBy(F.xxhash64("id"), "id", "label", "digest").limit(2 * TRAIN_BUCKETS * each * n_langs).collect()
+    if not got:
+        return None
+    return fit_marks([r["label"] for r in got], np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:FEATURES] for r in got]).astype(np.float32))
 
 
 def _score(docs: DataFrame, model: Model | None, schema, emit) -> DataFrame:
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +180,7 @@ def _score(docs: DataFrame, model: Model | None, schema, emit) -> DataFrame:
                         langs[k], scores[k] = lang, s
                 yield emit(piece, langs, scores)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
