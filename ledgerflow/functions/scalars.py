@@ -98,7 +98,7 @@ def half(x) -> Column:
     return col(x) * F.lit(0.5)
 
 
-# P18, P19 -------------------------------------------------------------------
+# P18 -------------------------------------------------------------------
 def money(x) -> Column:
     return col(x).cast(MONEY)
 
@@ -113,10 +113,6 @@ def round_cell(x, digits: int) -> Column:
     return F.bround(col(x), digits).cast("double")
 
 
-def zero_if_null(x) -> Column:
-    return F.coalesce(col(x), F.lit(0))
-
-
 # P20 --------------------------------------------------------------------------
 def trimmed(c) -> Column:
     return F.trim(col(c))

@@ -159,7 +159,7 @@ def cells_of(sums: DataFrame, rules: DataFrame, lines: DataFrame, columns: DataF
             "scale"]
     summed = hit.groupBy(*keys).agg(F.sum("amount").alias("s"))
     value = (F.when(F.col("scale") == "usd_per_thousand",
-                    S.money(S.value(usd_rate).cast("double") * F.col("s").cast("double") / F.lit(1000)))
+                    S.money(S.usd_per_thousand(F.col("s").cast("double"), S.value(usd_rate).cast("double"))))
              .otherwise(F.col("s")))
     return (summed.withColumn("v", value).where(F.col("v") > 0)
             .select("report_line", "report_col", "col_index", F.col("date2").alias("ex_date"),
