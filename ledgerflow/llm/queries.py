@@ -171,7 +171,7 @@ from d left join per_base using (r) left join per_met using (r) left join names
 
 OP10_SQL = r"""
 with d as (
-  select row_number() over () as r, doc_id, source, md5('mix-1|' || coalesce(cast(doc_id as varchar), '')) as place,
+  select row_number() over () as r, doc_id, source, md5('mix-1|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))) as place,
          cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size
   from documents),
 p as (

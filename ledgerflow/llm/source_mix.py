@@ -18,9 +18,8 @@ rows, are added up.
 
 Words are ``[^\\x20\\x09-\\x0D]+``; null and empty texts have size 0 and take nothing. A
 null source is a source of its own, a null doc_id a value like any other. Rows that
-share a doc_id are laid one after the other. An empty table, or one without words,
-takes nothing. Ties of the shuffle are broken by doc_id and the text's hash, and
-equal rows are interchangeable. Other columns pass ``mix_documents`` unchanged.
+share a doc_id are laid in the order of a hash of their texts. An empty table, or one without words,
+takes nothing. Equal rows are interchangeable. Other columns pass ``mix_documents`` unchanged.
 """
 
 from __future__ import annotations
@@ -48,11 +47,12 @@ ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def laid_out(docs: DataFrame) -> DataFrame:
-    """``docs`` with __source, __size (words) and the shuffle's __place."""
-    seeded = F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """``docs`` with __source, __size (words) and the shuffle's __place, a hash of the id and the
+    text, so rows of one id, or of none, lie anywhere in their source."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    seeded = F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary")))
     return docs.withColumns({
-        "__source": F.col("source").cast("string"), "__size": F.expr(WORD_COUNT.format("text")).cast("long"),
-        "__place": F.md5(seeded), "__tie": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+        "__source": F.col("source").cast("string"), "__size": F.expr(WORD_COUNT.format("text")).cast("long"), "__place": F.md5(seeded)})
 
 
 def _by_name():
@@ -115,7 +115,7 @@ def schedule(plan: DataFrame) -> DataFrame:
 def placed(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """``sized`` with source_no and __begin, the words before the row in its source."""
     named = sized.withColumn("__bucket", F.substring("__place", 1, BUCKET_DIGITS))
-    order = Window.partitionBy("__source", "__bucket").orderBy("__place", "doc_id", "__tie")
+    order = Window.partitionBy("__source", "__bucket").orderBy("__place", "doc_id", "__uid")
     named = named.withColumn("__in_bucket", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
     totals = sized.groupBy("__source", F.substring("__place", 1, BUCKET_DIGITS).alias("__bucket")).agg(F.sum("__size").alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -135,7 +135,8 @@ def doc_blocks(rows: DataFrame) -> DataFrame:
 
 def taken_words(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, size, source_size, target, taken."""
-    sized = stored(laid_out(docs.select("doc_id", "source", "text")).select("doc_id", "__source", "__size", "__place", "__tie"), "mix-sizes")
+    sized = stored(laid_out(docs.select("doc_id", "source", "text")).select(
+        "doc_id", "__source", "__size", "__place", F.monotonically_increasing_id().alias("__uid")), "mix-sizes")
     plan = stored(stretches(targets(sized)), "mix-plan")
     rows = placed(sized, plan)
     times = schedule(plan).groupBy("source_no", "block").agg(F.count("*").alias("times"))
@@ -151,19 +152,25 @@ def taken_words(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: one row per document and epoch that took words of it, its
     text cut to the words taken (words joined by blanks where it is cut), all columns of
-    ``docs``. ``n_chars`` follows the text."""
-    columns = docs.columns
-    whole = docs.withColumn("__row", F.struct(*columns)).select("__row", "doc_id", "source", "text")
-    sized = laid_out(whole).select("__row", "doc_id", "__source", "__size", "__place", "__tie")
-    few = stored(sized.select("__source", "__size"), "mix-sizes")
-    plan = stored(stretches(targets(few)), "mix-plan")
+    ``docs``. ``n_chars`` follows the text. Rows come in no order: who wants that of the
+    schedule sorts by slot (``schedule``).
+
+    The rows are numbered and written first. Only numbers, sizes and places go through the
+    schedule; the texts meet what is taken of them once, one row each, and epochs are made
+    of them there."""
+    columns, schema = docs.columns, docs.schema
+    held = stored(docs.select(F.struct(*columns).alias("__row"), F.monotonically_increasing_id().alias("__uid")), "mix-rows")
+    own = held.select("__uid", *(F.col("__row")[c].alias(c) for c in ("doc_id", "source", "text")))
+    sized = stored(laid_out(own).select("__uid", "doc_id", "__source", "__size", "__place"), "mix-sizes")
+    plan = stored(stretches(targets(sized)), "mix-plan")
     rows = placed(sized, plan).where("__size > 0")
     taken = doc_blocks(rows.select("source_no", "__begin", "__size")).join(
         schedule(plan), ["source_no", "block"]).groupBy("source_no", "__begin", "epoch").agg(F.sum("words").alias("__taken"))
-    taken = taken.select(F.col("source_no").alias("__of"), F.col("__begin").alias("__at"), "__taken")
-    out = rows.join(taken, (F.col("source_no") == F.col("__of")) & (F.col("__begin") == F.col("__at")))
+    taken = rows.select("source_no", "__begin", "__uid", "__size").join(taken, ["source_no", "__begin"])
+    taken = taken.groupBy("__uid", "__size").agg(F.collect_list("__taken").alias("__epochs"))  # MAX_EPOCHS at most
+    out = held.join(taken, "__uid").select("__row", "__size", F.explode("__epochs").alias("__taken"))
     text = F.col("__row")["text"].cast("string")
     first_words = F.concat_ws(" ", F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("__taken").cast("int")))
     out = out.withColumn("__text", F.when(F.col("__taken") >= F.col("__size"), text).otherwise(first_words))
     new = {"text": F.col("__text"), "n_chars": F.char_length("__text")}
-    return out.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("__row")[c].alias(c) for c in columns))
+    return out.select(*(new[c].cast(schema[c].dataType).alias(c) if c in new else F.col("__row")[c].alias(c) for c in columns))
