@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import claim, LOWER, PIECE_BYTES, pieces, ship, stored, WordTable
+from ledgerflow.llm.common import LOWER, PIECE_BYTES, WordTable, claim, give_back, pieces, ship, stored
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
@@ -49,7 +49,7 @@ SEGMENT_IDS = 2_000_000
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of the chunks between blanks, and of their cores, that a worker remembers with their ids.
-CHUNK_TABLE, CORE_TABLE = 176 << 20, 64 << 20
+CHUNK_TABLE, CORE_TABLE = 112 << 20, 40 << 20
 END_OF_WORD = "</w>"
 WORDS_AT_ONCE = 500
 #: ASCII signs that are neither letters, digits nor blanks.
@@ -374,6 +374,7 @@ def encode_segments(docs: DataFrame, path: str | None = None, end_id: int = END_
                         doc_ids, parts, lengths, held = [], [], [], 0
         if doc_ids:
             yield close()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = [F.col("doc_id"), F.xxhash64("text")]  # rows of one id, or of none, are many ranges'
