@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import stored
+from ledgerflow.llm.common import forget, stored
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(id, root) for every id of ``links`` (a, b) but the roots: the smallest id of its
     component. Alternating large-star and small-star steps until the links rest; every
     step is a minimum by node, which is combined before the shuffle, and a join, so a node
-    with many links is no single task's. Each round is written to the shared folder."""
+    with many links is no single task's. Each round is written to the shared folder, and
+    the one before removed."""
     a, b = F.least("a", "b"), F.greatest("a", "b")
     links = stored(links.where("a <> b").select(a.alias("a"), b.alias("b")).distinct(), name)
     before = None
     while True:
-        links = stored(small_star(large_star(links)), name)
+        last, links = links, stored(small_star(large_star(links)), name)
+        forget(last)
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             return links.select(F.col("b").alias("id"), F.col("a").alias("root"))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import IdFilter, pieces, shingles, stored
+from ledgerflow.llm.common import IdFilter, lean, pieces, shingles, stored
 from ledgerflow.llm.graph import components
 
 N = 5
@@ -127,12 +127,12 @@ def half_counts(docs: DataFrame) -> DataFrame:
         none = pa.nulls(len(who), pa.int64())
         yield _frame(pa.array(who), none, none, pa.array(n))
 
-    rows = docs.mapInArrow(run, "part int, body binary").withColumn(
+    rows = docs.mapInArrow(lean(run), "part int, body binary").withColumn(
         "task", F.when(F.col("part") < 0, F.pmod(F.xxhash64("body"), F.lit(parts)).cast("int")).otherwise(F.col("part")))
     dealt = rows.repartition(parts, "task").sortWithinPartitions("part").select("part", "body")
-    counts = dealt.mapInArrow(count, "part int, body binary").withColumn(
+    counts = dealt.mapInArrow(lean(count), "part int, body binary").withColumn(
         "task", F.when(F.col("part") < 0, F.pmod(F.xxhash64("body"), F.lit(groups)).cast("int")).otherwise(F.col("part")))
-    return counts.repartition(groups, "task").select("part", "body").mapInArrow(add_up, "doc_id long, n long, lone long, shared long")
+    return counts.repartition(groups, "task").select("part", "body").mapInArrow(lean(add_up), "doc_id long, n long, lone long, shared long")
 
 
 def rows_of(parts, bodies) -> pa.RecordBatch:
@@ -213,7 +213,7 @@ def sets_of(docs: DataFrame, wanted: IdFilter) -> DataFrame:
                     ["doc_id", "n", "digest", "body"])
                 yield rows.filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, body binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, digest binary, body binary")
 
 
 def keep(ids: pa.Array, wanted: IdFilter) -> pa.Array:
@@ -229,7 +229,7 @@ def only(sets: DataFrame, wanted: IdFilter) -> DataFrame:
         for batch in batches:
             yield batch.filter(keep(batch.column("doc_id"), held.value))
 
-    return sets.mapInArrow(run, sets.schema)
+    return sets.mapInArrow(lean(run), sets.schema)
 
 
 def keys_of(sets: DataFrame, wanted: IdFilter) -> DataFrame:
@@ -246,7 +246,7 @@ def keys_of(sets: DataFrame, wanted: IdFilter) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys), pa.array(np.repeat(some.column("doc_id").to_numpy(), n)), pa.array(np.repeat(n, n))], ["key", "doc_id", "n"])
 
-    return sets.select("doc_id", "n", "body").mapInArrow(run, "key long, doc_id long, n long")
+    return sets.select("doc_id", "n", "body").mapInArrow(lean(run), "key long, doc_id long, n long")
 
 
 def memberships(sets: DataFrame, wanted: IdFilter) -> DataFrame:
@@ -408,9 +408,9 @@ def group_links(ids: list[int], blocks: list[int], bodies: list[bytes], apart: b
     return out
 
 
-def links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def links(members: DataFrame, sets: DataFrame, of_group=group_links) -> DataFrame:
     """(a, b): links that connect all that is connected, from stored memberships
-    (leader, doc_id) and sets (doc_id, body)."""
+    (leader, doc_id) and sets (doc_id, body). ``of_group`` finds those of a group."""
     wanted = IdFilter.of(members.select("doc_id").distinct())
     rows = meetings(members).join(only(sets.select("doc_id", "body"), wanted), "doc_id")
     dealt = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
@@ -423,17 +423,17 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
                 for leader, i, j, *row in zip(*(some.column(c).to_pylist() for c in ("leader", "i", "j", "doc_id", "block", "body"))):
                     if at != (leader, i, j):
                         if len(held) > 1:
-                            yield _links(held, at)
+                            yield _links(held, at, of_group)
                         at, held = (leader, i, j), []
                     held.append(row)
         if len(held) > 1:
-            yield _links(held, at)
+            yield _links(held, at, of_group)
 
-    return dealt.select("leader", "i", "j", "doc_id", "block", "body").mapInArrow(run, "a long, b long")
+    return dealt.select("leader", "i", "j", "doc_id", "block", "body").mapInArrow(lean(run), "a long, b long")
 
 
-def _links(held, at) -> pa.RecordBatch:
-    found = group_links(*map(list, zip(*held)), apart=at[1] != at[2])
+def _links(held, at, of_group) -> pa.RecordBatch:
+    found = of_group(*map(list, zip(*held)), apart=at[1] != at[2])
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -460,34 +460,33 @@ def cluster(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each (doc_id, text), null equal to null. Only rows that are there
-    again are grouped, and a group is combined before the shuffle."""
-    columns = docs.columns
-    keyed = docs.withColumn("__digest", F.md5(F.col("text").cast("string").cast("binary")))
-    again = stored(keyed.groupBy(F.col("doc_id").alias("__id"), F.col("__digest").alias("__again")).agg(F.count("*").alias("__n"))
-                   .where("__n > 1").drop("__n"), "ngram-repeats")
+def without_repeats(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, a struct of all columns) with one row of each (doc_id, text), null equal to null.
+    Only rows that are there again are grouped, and a group is combined before the shuffle."""
+    keyed = rows.select("row", F.col("row.doc_id").alias("id"), F.md5(F.col("row.text").cast("string").cast("binary")).alias("digest"))
+    again = stored(keyed.groupBy(F.col("id").alias("same_id"), F.col("digest").alias("same")).agg(F.count("*").alias("n"))
+                   .where("n > 1").drop("n"), "ngram-repeats")
     if again.isEmpty():
-        return docs
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__digest").eqNullSafe(F.col("__again"))
-    row = F.struct(*(F.col(f"`{c}`") for c in columns))
+        return rows
+    both = F.col("id").eqNullSafe(F.col("same_id")) & F.col("digest").eqNullSafe(F.col("same"))
     # the first as JSON, so that it doesn't depend on the order of rows
-    first = keyed.join(again, same, "left_semi").groupBy("doc_id", "__digest").agg(F.min_by(row, F.to_json(row)).alias("__row"))
-    one = keyed.join(again, same, "left_anti").drop("__digest").unionByName(first.select("__row.*"))
+    first = keyed.join(again, both, "left_semi").groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    one = keyed.join(again, both, "left_anti").select("row").unionByName(first.select("row"))
     return stored(one, "ngram-rows")
 
 
 def node():
     """A row's node in the graph: its doc_id, or for a null one a number of its text, from 2^62 on."""
-    own = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    return F.coalesce(F.col("doc_id").cast("long"), F.when(F.col("text").isNotNull(), own))
+    text = F.col("row.text").cast("string")
+    own = F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(F.col("row.doc_id").cast("long"), F.when(text.isNotNull(), own))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id, and one row
     of each (doc_id, text). Rows with a null doc_id link by their texts, and stay only where
-    no doc_id below 2^62 is in the component."""
-    rows = without_repeats(docs)
-    found = cluster(rows.select(node().alias("doc_id"), "text"))
-    later = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__later")).distinct()
-    return rows.join(later, node() == F.col("__later"), "left_anti")
+    no doc_id below 2^62 is in the component. Rows are packed meanwhile, so columns of any name pass."""
+    rows = without_repeats(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
+    found = cluster(rows.select(node().alias("doc_id"), F.col("row.text").alias("text")))
+    later = found.where("component_id <> doc_id").select(F.col("doc_id").alias("later")).distinct()
+    return rows.join(later, node() == F.col("later"), "left_anti").select("row.*")

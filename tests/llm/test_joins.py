@@ -3,6 +3,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 from llm_cases import nothing, odd  # noqa: F401  fixtures
 from ledgerflow.llm import decontaminate, license_scan, ngram_join, paragraph_dedup
 from ledgerflow.llm.common import alnum_words, blank_words
@@ -107,6 +109,7 @@ def test_paragraphs_find_passages_inside_lines_and_leave_others(spark, odd, noth
     left = {r["doc_id"]: r["text"] for r in paragraph_dedup.remove_repeats(docs).collect()}
     assert left[0] == rows[0][1] and len(left[57].split()) < len(rows[57][1].split())
     assert len(paragraph_dedup.cluster(odd).collect()) == odd.count()
+    assert paragraph_dedup.remove_repeats(odd).columns == odd.columns and len(paragraph_dedup.remove_repeats(odd).collect()) == odd.count()
     assert paragraph_dedup.cluster(nothing).count() == 0
 
 
@@ -193,7 +196,7 @@ def brute_hits(docs, items, n=10):
     return sorted(out, key=str)
 
 
-def test_decontamination_is_brute_force_s_in_one_block_and_many(spark):
+def test_decontamination_is_brute_force_s_broadcast_and_joined(spark):
     random.seed(6)
     words = [f"w{k}" for k in range(300)]
     items = [(k, " ".join(random.choice(words) for _ in range(random.choice([0, 1, 4, 10, 14, 30])))) for k in range(12)] + [(99, None)]
@@ -210,8 +213,8 @@ def test_decontamination_is_brute_force_s_in_one_block_and_many(spark):
     want = brute_hits(docs, items)
     rows = lambda out: sorted(map(tuple, out.collect()), key=str)
     assert rows(decontaminate.find_hits(d, b)) == want
-    assert rows(decontaminate.find_hits(d, b, bound=60)) == want
-    one, many = (sorted(map(tuple, decontaminate.remove_hits(d, b, bound=k).collect()), key=str) for k in (10**6, 60))
+    assert rows(decontaminate.find_hits(d, b, bound=5)) == want
+    one, many = (sorted(map(tuple, decontaminate.remove_hits(d, b, bound=k).collect()), key=str) for k in (10**6, 5))
     assert one == many
     hit = {r[0]: r for r in want}
     assert {r[0] for r in one} == {r[0] for r in want if r[2] < 0.5 * r[1] or not r[2]}
@@ -224,8 +227,11 @@ def test_decontamination_of_odd_rows(spark, odd, nothing):
     assert decontaminate.find_hits(odd, b).where("n_hit = 5").count() == 4
     assert decontaminate.find_hits(odd, b.limit(0)).where("contaminated").count() == 0
     assert decontaminate.find_hits(nothing, b).count() == 0
-    out = decontaminate.remove_hits(odd, b)
-    assert out.columns == odd.columns and "lazy" not in "".join(r["text"] or "" for r in out.collect())
+    for bound in (10**6, 3):  # a broadcast benchmark, and one that is joined
+        out = decontaminate.remove_hits(odd, b, bound=bound)
+        assert out.columns == odd.columns and "lazy" not in "".join(r["text"] or "" for r in out.collect())
+        assert decontaminate.find_hits(odd, b, bound=bound).where("n_hit = 5").count() == 4
+        assert decontaminate.find_hits(nothing, b, bound=bound).count() == decontaminate.remove_hits(nothing, b, bound=bound).count() == 0
 
 
 def test_license_scan_finds_phrases_and_templates(spark, odd, nothing):
@@ -295,3 +301,21 @@ def test_license_join_is_brute_force_s(spark):
             own = {" ".join(p) for p in zip(block, block[1:])}
             want |= {(k, b, j) for j, _, t, need in license_scan.template_rows(license_scan.TEMPLATES) if len(own & set(t)) >= need}
     assert got == want and len(want) > 20
+
+
+def test_few_sets_are_linked_as_by_the_prefix_tree():
+    random.seed(21)
+    for m in (2, 3, 8, 20):
+        for apart in (False, True):
+            base = [random.sample(range(1, 400), 40) for _ in range(3)]
+            sets = [np.unique(np.array([x if random.random() < 0.93 else random.randint(1, 400) for x in random.choice(base)], np.uint64)) for _ in range(m)]
+            blocks = [random.randint(0, 1) for _ in range(m)]
+            args = (list(range(m)), blocks, [s.tobytes() for s in sets], apart)
+
+            def joined(found):
+                root = list(range(m))
+                for a, b in found:
+                    root = [root[a] if x == root[b] else x for x in root]
+                return {(a, b) for a in range(m) for b in range(a) if root[a] == root[b]}
+
+            assert joined(paragraph_dedup.pair_links(*args)) == joined(ngram_join.group_links(*args))
