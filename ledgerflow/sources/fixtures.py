@@ -59,7 +59,9 @@ def shipment_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    return (li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
+    # the buyer comes to the orders first, so the lines, of which there are most, are dealt and sorted once
+    o = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name")
+    return (li.join(o, li.l_orderkey == o.o_orderkey)
             .select(F.col("c_name").alias("buyer"),
                     F.col("l_partkey").cast("string").alias("style"),
                     F.col("l_orderkey").cast("string").alias("po_no"),
