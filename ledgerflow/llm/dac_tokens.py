@@ -60,7 +60,7 @@ BLANKS = b" \t\n\r\x0b\x0c"
 _BLANK = re.compile(b"[ \t\n\r\x0b\x0c]")
 _HARD = 4
 #: Kinds of bytes: blank, letter, digit, sign, and those that keep their chunk whole.
-_KIND = np.array([0 if b in BLANKS else _HARD if b < 32 or b > 126 or b == 39 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+_KIND = bytes(0 if b in BLANKS else _HARD if b < 32 or b > 126 or b == 39 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256))
 SEGMENT_SCHEMA = "range int, seq int, n_ids long, segment binary"
 
 
@@ -129,6 +129,7 @@ class Encoder:
         new = []
         for p in {p for both in parts.values() for p in both}:
             ids = self.cores.peek(p)
+            ids = self.known.peek(p) if ids is None else ids
             if ids is None:
                 new.append(p)
             else:
@@ -139,7 +140,8 @@ class Encoder:
             some = rest[at:at + 5000]
             have.update((p, i.tobytes()) for p, i in zip(some, self.encode([p.decode() for p in some])))
         for p in new:
-            self.cores.keep(p, have[p])
+            if parts.get(p) != (p,):  # else it is a unit itself, which ``values`` keeps
+                self.cores.keep(p, have[p])
         self.cores.turn()
         return {c: b"".join(have[p] for p in both) for c, both in parts.items()}
 
@@ -175,37 +177,50 @@ class Encoder:
     def unit_ids(self, texts: list[bytes]) -> list[bytes]:
         data = (b"\n".join(texts) + b"\n").translate(LOWER)
         at = np.cumsum([0] + [len(t) + 1 for t in texts])
-        starts, ends = unit_spans(np.frombuffer(data, np.uint8))
+        starts, ends = unit_spans(data)
         if not len(starts):
             return [b""] * len(texts)
-        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
-        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data.translate(None, BLANKS))])
+        cut = np.searchsorted(starts, at)
+        offsets = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(ends - starts, out=offsets[1:])
+        del starts, ends
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data.translate(None, BLANKS))])
         different = units.dictionary_encode()
+        del data, offsets, units
         values = self.values(different.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        first, code = np.cumsum(sizes) - sizes, different.indices.to_numpy()
+        code = different.indices.to_numpy()
+        del different
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) // 4
         n = sizes[code]
-        edge = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(b"".join(values), "<u4")[np.repeat(first[code] - edge[:-1], n) + np.arange(edge[-1])]
-        cut = edge[np.searchsorted(starts, at)].tolist()
+        edge = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(n, out=edge[1:])
+        first = np.cumsum(sizes, dtype=np.int64) - sizes
+        place = np.repeat(first[code] - edge[:-1], n)
+        place += np.arange(edge[-1])
+        ids = np.frombuffer(b"".join(values), "<u4")[place]
+        cut = edge[cut].tolist()
         return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
 
 
-def unit_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where units begin and end in bytes that end in a blank."""
-    kind = _KIND[b]
+def unit_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where units begin and end in bytes that end in a blank, as int32 numbers where they fit."""
+    kind = np.frombuffer(data.translate(_KIND), np.uint8)
+    small = np.int32 if len(data) < 2**31 else np.int64
     inside = kind > 0
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
-    chunk = np.cumsum(begins, dtype=np.int32)
-    whole = np.zeros(int(chunk[-1]) + 1, bool)
-    whole[chunk[kind == _HARD]] = True
-    parted = inside & ~whole[chunk]
+    parted = inside.copy()
     parted[0] = False
     parted[1:] &= inside[:-1] & (kind[1:] != kind[:-1])
+    hard = np.flatnonzero(kind == _HARD)
+    if len(hard):  # chunks that stay whole
+        chunk = np.flatnonzero(begins).astype(small)
+        whole = np.zeros(len(chunk), bool)
+        whole[np.searchsorted(chunk, hard, "right") - 1] = True
+        parted[chunk[0]:] &= ~np.repeat(whole, np.diff(chunk, append=small(len(data))))
     begins |= parted
-    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | begins[1:])) + 1
-    return np.flatnonzero(begins), ends
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | begins[1:])).astype(small) + small(1)
+    return np.flatnonzero(begins).astype(small), ends
 
 
 def parts_of(text: bytes, size: int) -> Iterator[bytes]:

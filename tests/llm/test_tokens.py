@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -112,3 +113,19 @@ def test_word_table_makes_each_frequent_word_once():
         assert table[b"often"] == b"netfo" and table[b"%d" % k] == (b"%d" % k)[::-1]
         assert table[b"x" * 100] == b"x" * 100
     assert made[b"often"] == 1 and table.held <= 60_000 and b"x" * 100 not in table
+
+
+def test_a_piece_takes_few_bytes_beside_its_text():
+    own, text = D.Encoder(D.tokenizer_path()), b"the quick brown fox, jumps over 12 lazy dogs. \n" * 40000
+    own.unit_ids([text[:1000]])
+    tracemalloc.start()
+    own.unit_ids([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 * len(text)
+
+
+def test_a_unit_is_remembered_once():
+    own = D.Encoder(D.tokenizer_path())
+    own.ids([b"alpha beta 12, gam\xc3\xa9, gamma's, ..."])
+    assert b"alpha" in own.known and b"alpha" not in own.cores and not set(own.known) & set(own.cores)
