@@ -1,6 +1,6 @@
 import random
 
-from ledgerflow.llm.common import IdFilter, blank_words, shingles
+from ledgerflow.llm.common import CLEANUP_KEY, IdFilter, blank_words, shingles, stored
 from ledgerflow.llm.graph import components
 
 
@@ -43,3 +43,13 @@ def test_components_are_those_of_union_find(spark):
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(root) if find(x) != x}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(disk.getAllFiles().apply(k).getName().startswith("shuffle_") for k in range(disk.getAllFiles().size()))
+    before, setting = held(), spark.conf.get(CLEANUP_KEY)
+    rows = spark.range(0, 5000, 1, 3)
+    kept = stored(rows.repartition(3, "id").groupBy((rows.id % 10).alias("g")).count(), "tidy")
+    IdFilter.of(rows.repartition(3))
+    assert held() <= before and kept.count() == 10 and spark.conf.get(CLEANUP_KEY) == setting
