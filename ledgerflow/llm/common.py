@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Spark removes the shuffle files of a query when it ends.
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch on its way to a Python worker, held there and in the executor; Spark's own limit is 64 MB.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Bytes of text handled at once inside a Python worker.
 PIECE_BYTES = 4 << 20
 #: Bytes that are hashed at once, more for a longer word.
@@ -82,13 +84,26 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP_KEY, before)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of the queries that run in this block have ``BATCH_BYTES`` at most, about; one row at least."""
+    before = spark.conf.get(BATCH_KEY)
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(BATCH_KEY, str(min(most, BATCH_BYTES) if most > 0 else BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: lineage is
-    cut, its shuffle files go, and the files outlive any executor. No schema inference is run."""
+    cut, its shuffle files go, and the files outlive any executor. Batches for Python are small
+    meanwhile. No schema inference is run."""
     spark = df.sparkSession
     ship(spark)
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with tidy(spark):
+    with tidy(spark), small_batches(spark):
         df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
@@ -160,6 +175,18 @@ class WordTable(dict):
             self[word] = value
             self.held += self.ENTRY_BYTES + sys.getsizeof(word) + sys.getsizeof(value)
 
+    def find(self, words: list[bytes]) -> list:
+        """The values held for words, or None."""
+        old = self.old
+        return [self[w] if w in self else old.get(w) for w in words]
+
+    def keep_all(self, words: list[bytes], values: list[bytes], new: list[int] | None = None) -> None:
+        """Words that ``find`` was asked for, with their values; ``new``: the places of those it didn't know. These
+        are held, and the others are young again."""
+        for word, value in zip(words, values):
+            self.keep(word, value)
+        self.turn()
+
     def turn(self) -> None:
         """A new generation where the young one has half of the bound."""
         if 2 * self.held > self.bound:
@@ -174,6 +201,131 @@ class WordTable(dict):
         self.old, self.held = {}, 0
 
 
+def flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words in a row, and where each begins, with the end."""
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)), out=edge[1:])
+    return np.frombuffer(b"".join(words), np.uint8), edge
+
+
+def gather(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Stretches of ``n`` items from ``first`` on, in a row."""
+    edge = np.cumsum(n) - n
+    return data[np.repeat(first - edge, n) + np.arange(int(n.sum()))]
+
+
+class PackedTable:
+    """word -> packed value in arrays, for many words at once, of ``bound`` bytes at most, about: 30 bytes beside
+    a word and its value, where a dict of bytes takes 150. Words are found by a 64-bit hash and compared
+    byte by byte; of two that share a hash one is held. Beyond the bound the words that were asked for
+    least recently go, half of the bytes. Words over ``LONGEST_KEY`` aren't kept."""
+
+    ENTRY_BYTES = 30  # two edges, the last use, the hash and its row
+
+    def __init__(self, bound: int = CACHE_BYTES):
+        self.bound = bound
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.word_at = np.zeros(0, np.uint8), np.zeros(1, np.uint32)
+        self.values, self.value_at = np.zeros(0, np.uint8), np.zeros(1, np.uint32)
+        self.used, self.now = np.zeros(0, np.int64), 0
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # in the order of the hashes
+
+    @property
+    def held(self) -> int:
+        return len(self.words) + len(self.values) + self.ENTRY_BYTES * len(self.rows)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self) -> Iterator[bytes]:
+        return (self.words[a:b].tobytes() for a, b in zip(self.word_at.tolist(), self.word_at[1:].tolist()))
+
+    def __contains__(self, word: bytes) -> bool:
+        return self.find([word])[0] is not None
+
+    @staticmethod
+    def _hashes(data: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        n = np.diff(edge)
+        order = np.argsort(-n, kind="stable")
+        first, n = edge[:-1][order], n[order]
+        out = n.astype(np.uint64)
+        alive = len(n)
+        for k in range(min(int(n[0]), LONGEST_KEY) if alive else 0):  # the k-th byte of all words that have one
+            alive = int(np.searchsorted(-n, -k, "left"))
+            out[:alive] = (out[:alive] ^ data[first[:alive] + k]) * _U(0x9E3779B97F4A7C15)
+            out[:alive] ^= out[:alive] >> _U(29)
+        back = np.empty(len(out), np.uint64)
+        back[order] = mixed(out)
+        return back
+
+    def find(self, words: list[bytes]) -> list:
+        """The values held for words, or None."""
+        out: list = [None] * len(words)
+        if not len(self.rows) or not words:
+            return out
+        data, edge = flat(words)
+        hashes = self._hashes(data, edge)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        n = np.diff(edge)
+        row = self.rows[place]
+        first, size = self.word_at[row].astype(np.int64), (self.word_at[row + 1] - self.word_at[row]).astype(np.int64)
+        at = np.flatnonzero((self.hashes[place] == hashes) & (size == n))
+        apart = gather(data, edge[:-1][at], n[at]) != gather(self.words, first[at], n[at])
+        if apart.any():
+            at = at[np.bincount(np.repeat(np.arange(len(at)), n[at])[apart], minlength=len(at)) == 0]
+        row = row[at]
+        self.now += 1
+        self.used[row] = self.now
+        values = self.values.tobytes()
+        for k, a, b in zip(at.tolist(), self.value_at[row].tolist(), self.value_at[row + 1].tolist()):
+            out[k] = values[a:b]
+        return out
+
+    def keep_all(self, words: list[bytes], values: list[bytes], new: list[int] | None = None) -> None:
+        """Different words, with their values; ``new``: the places of those that ``find`` didn't know. Words held stay."""
+        some = [k for k in (range(len(words)) if new is None else new) if len(words[k]) <= LONGEST_KEY]
+        if not some:
+            return
+        words, values = [words[k] for k in some], [values[k] for k in some]
+        hashes = self._hashes(*flat(words))
+        hashes, first = np.unique(hashes, return_index=True)
+        if len(self.hashes):
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            fresh = self.hashes[place] != hashes
+            hashes, first = hashes[fresh], first[fresh]
+        n = len(self.used)
+        for name, own in (("word", words), ("value", values)):
+            data, edge = flat([own[k] for k in first.tolist()])
+            at = getattr(self, f"{name}_at")
+            setattr(self, f"{name}_at", np.concatenate([at, (edge[1:] + int(at[-1])).astype(np.uint32)]))
+            setattr(self, f"{name}s", np.concatenate([getattr(self, f"{name}s"), data]))
+        self.used = np.concatenate([self.used, np.full(len(first), self.now)])
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.rows = np.insert(self.rows, place, np.arange(n, n + len(first), dtype=np.int32))
+        self.turn()
+
+    def turn(self) -> None:
+        """Beyond the bound, only the words asked for last stay."""
+        if self.held <= self.bound:
+            return
+        sizes = [np.diff(self.word_at).astype(np.int64), np.diff(self.value_at).astype(np.int64)]
+        order = np.argsort(-self.used, kind="stable")
+        stay = np.zeros(len(order), bool)
+        stay[order[np.cumsum((sizes[0] + sizes[1] + self.ENTRY_BYTES)[order]) <= self.bound // 2]] = True
+        for name, n in zip(("word", "value"), sizes):
+            data = getattr(self, f"{name}s")[np.repeat(stay, n)]
+            edge = np.concatenate([[0], np.cumsum(n[stay])]).astype(np.uint32)
+            setattr(self, f"{name}s", data)
+            setattr(self, f"{name}_at", edge)
+        self.used = self.used[stay]
+        row = (np.cumsum(stay) - 1).astype(np.int32)
+        ok = stay[self.rows]
+        self.hashes, self.rows = self.hashes[ok], row[self.rows[ok]]
+
+
 _TABLES: dict[str, Callable[[], object]] = {}
 
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import LOWER, PIECE_BYTES, WordTable, claim, give_back, pieces, ship, stored
+from ledgerflow.llm.common import LOWER, PackedTable, PIECE_BYTES, WordTable, claim, give_back, pieces, ship, stored
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
@@ -49,7 +49,7 @@ SEGMENT_IDS = 2_000_000
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of the chunks between blanks, and of their cores, that a worker remembers with their ids.
-CHUNK_TABLE, CORE_TABLE = 112 << 20, 40 << 20
+CHUNK_TABLE, CORE_TABLE = 40 << 20, 12 << 20
 END_OF_WORD = "</w>"
 WORDS_AT_ONCE = 500
 #: ASCII signs that are neither letters, digits nor blanks.
@@ -84,29 +84,39 @@ class Encoder:
 
     A new unit is its core and the ASCII signs after it, which the tokenizer parts in
     the same place if the core ends in a letter or digit and there is no apostrophe. Cores
-    of ASCII letters are one word each; many are encoded at once, a blank between, and
-    told apart by the tokens that end a word. A text with a special token's sign is applied whole."""
+    of letters are one word each, as a rule; many are encoded at once, a blank between, and
+    told apart by the tokens that end a word. Those of small ASCII letters are the model's words as
+    they stand, so only blanks part them (``plain``). A text with a special token's sign is applied whole."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import pre_tokenizers, Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # words come once, so the model needn't remember them, too
+            self.tokenizer.model._resize_cache(0)
         self.by_chunk = splits_on_blanks(path)
-        self.known = WordTable(None, CHUNK_TABLE)
-        self.cores = WordTable(None, CORE_TABLE)
+        self.known: PackedTable | WordTable = PackedTable(CHUNK_TABLE)
+        self.cores: PackedTable | WordTable = PackedTable(CORE_TABLE)
+        self.plain = self.tokenizer
+        if small_letters_stay(path):
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
+        # then every word has a token that ends it, so as many ends as words are one for each
+        self.always_ends = all(b + END_OF_WORD in vocabulary for b in pre_tokenizers.ByteLevel.alphabet())
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[k for t, k in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
+        tokenizer = self.plain if plain else self.tokenizer
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word_ids(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words of ASCII letters, ``WORDS_AT_ONCE`` in a call."""
+    def word_ids(self, words: list[bytes], plain: bool) -> dict[bytes, bytes]:
+        """Ids of words of letters, ``WORDS_AT_ONCE`` in a call. ``plain``: all are of small ASCII letters."""
         out = {}
         groups = [words[at:at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
-        for group, ids in zip(groups, self.encode([b" ".join(g).decode() for g in groups])):
+        for group, ids in zip(groups, self.encode([b" ".join(g).decode() for g in groups], plain)):
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(group):
                 data, at = ids.tobytes(), 0
@@ -118,43 +128,46 @@ class Encoder:
         return out
 
     def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new chunks."""
-        parts, have = {}, {}
+        """Ids of new chunks, all in small ASCII letters."""
+        have = self.word_ids([c for c in chunks if c.isalpha()], True)
+        parts, whole = {}, set()
         for c in chunks:
-            low = c.translate(LOWER)
-            core = low.rstrip(SIGNS)
-            tail = low[len(core):]
-            parted = tail and b"'" not in tail and ends_in_letter(core)
-            parts[c] = (core, tail) if parted else (low,)
-        new = []
-        for p in {p for both in parts.values() for p in both}:
-            ids = self.cores.peek(p)
-            ids = self.known.peek(p) if ids is None else ids
+            if c not in have:
+                core = c.rstrip(SIGNS)
+                tail = c[len(core):]
+                if tail and b"'" not in tail and ends_in_letter(core):
+                    parts[c] = core, tail
+                else:
+                    whole.add(c)
+        asked = [p for p in {p for both in parts.values() for p in both} if p not in have and p not in whole]
+        new = list(whole)
+        for p, ids, unit in zip(asked, self.cores.find(asked), self.known.find(asked)):
+            ids = unit if ids is None else ids
             if ids is None:
                 new.append(p)
             else:
                 have[p] = ids
-        have.update(self.word_ids([p for p in new if p.isalpha() and p.islower()]))
+        have.update(self.word_ids([p for p in new if p.isalpha()], True))
         rest = [p for p in new if p not in have]
+        if self.always_ends:
+            have.update(self.word_ids([p for p in rest if not p.isascii() and p.decode().isalpha()], False))
+            rest = [p for p in rest if p not in have]
         for at in range(0, len(rest), 5000):
             some = rest[at:at + 5000]
             have.update((p, i.tobytes()) for p, i in zip(some, self.encode([p.decode() for p in some])))
-        for p in new:
-            if parts.get(p) != (p,):  # else it is a unit itself, which ``values`` keeps
-                self.cores.keep(p, have[p])
-        self.cores.turn()
-        return {c: b"".join(have[p] for p in both) for c, both in parts.items()}
+        self.cores.keep_all(asked, [have[p] for p in asked])
+        have.update((c, have[core] + have[tail]) for c, (core, tail) in parts.items())
+        return have
 
     def values(self, units: list[bytes]) -> list[bytes]:
         """Packed ids of different units."""
-        known, old = self.known, self.known.old
-        found = [known[u] if u in known else old.get(u) for u in units]
-        new = [u for u, ids in zip(units, found) if ids is None]
-        learned = self.learn(new) if new else {}
-        out = [learned[u] if ids is None else ids for u, ids in zip(units, found)]
-        for u, ids in zip(units, out):
-            known.keep(u, ids)
-        known.turn()
+        out = self.known.find(units)
+        new = [k for k, ids in enumerate(out) if ids is None]
+        if new:
+            learned = self.learn([units[k] for k in new])
+            for k in new:
+                out[k] = learned[units[k]]
+        self.known.keep_all(units, out, new)
         return out
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
@@ -187,9 +200,11 @@ class Encoder:
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data.translate(None, BLANKS))])
         different = units.dictionary_encode()
         del data, offsets, units
-        values = self.values(different.dictionary.to_pylist())
+        _, at, body = different.dictionary.buffers()
+        at, body = np.frombuffer(at, np.int64, len(different.dictionary) + 1).tolist(), body.to_pybytes()
+        values = self.values([body[a:b] for a, b in zip(at, at[1:])])
         code = different.indices.to_numpy()
-        del different
+        del different, at, body
         sizes = np.fromiter(map(len, values), np.int32, len(values)) // 4
         n = sizes[code]
         edge = np.zeros(len(code) + 1, np.int64)
@@ -242,6 +257,20 @@ def ends_in_letter(core: bytes) -> bool:
     return last.isalpha() and len(last.lower()) == 1
 
 
+def small_letters_stay(path: str) -> bool:
+    """Whether all that the tokenizer file does before its model leaves words of small ASCII letters, blanks
+    between, as they are."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    first = spec.get("normalizer") or {}
+    steps = first.get("normalizers", [first] if first else [])
+    kept = all(s["type"] in ("NFC", "Lowercase") or (s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " ") for s in steps)
+    first, *others = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    parted = (first.get("pattern") or {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    plain = all(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s.get("use_regex", True) for s in others)
+    return splits_on_blanks(path) and kept and parted and plain
+
+
 def splits_on_blanks(path: str) -> bool:
     """Whether the tokenizer file drops white space before its words are made and
     has no token that holds or strips any."""

@@ -1,5 +1,9 @@
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from ledgerflow.llm import common as C
 from ledgerflow.llm.common import CLEANUP_KEY, IdFilter, blank_words, shingles, stored
 from ledgerflow.llm.graph import components
 
@@ -53,3 +57,14 @@ def test_a_stored_step_leaves_no_shuffle_files(spark):
     kept = stored(rows.repartition(3, "id").groupBy((rows.id % 10).alias("g")).count(), "tidy")
     IdFilter.of(rows.repartition(3))
     assert held() <= before and kept.count() == 10 and spark.conf.get(CLEANUP_KEY) == setting
+
+
+def test_stored_steps_hand_small_batches_to_python(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    before = spark.conf.get(C.BATCH_KEY)
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    found = [r["n"] for r in C.stored(rows.mapInArrow(sizes, "n long"), "test-batches").collect()]
+    assert sum(found) > 25e6 and max(found) < 2 * C.BATCH_BYTES and spark.conf.get(C.BATCH_KEY) == before

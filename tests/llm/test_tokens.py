@@ -129,3 +129,29 @@ def test_a_unit_is_remembered_once():
     own = D.Encoder(D.tokenizer_path())
     own.ids([b"alpha beta 12, gam\xc3\xa9, gamma's, ..."])
     assert b"alpha" in own.known and b"alpha" not in own.cores and not set(own.known) & set(own.cores)
+
+
+def test_a_packed_table_keeps_frequent_words_in_few_bytes():
+    table = D.PackedTable(60_000)
+    for k in range(0, 20_000, 100):
+        words = [b"often", b"x" * 100, *(b"%d" % j for j in range(k, k + 100))]
+        found = table.find(words)
+        assert found[0] == (b"netfo" if k else None) and set(found[1:]) == {None}
+        table.keep_all(words, [w[::-1] for w in words])
+        assert table.find(words[2:]) == [w[::-1] for w in words[2:]] and b"x" * 100 not in table
+        assert table.held <= 60_000 and len(table) == len(set(table))
+    assert len(table) > 60_000 // 2 // 45  # a dict of bytes holds a third of these
+
+
+def test_a_packed_table_tells_apart_words_of_one_hash(monkeypatch):
+    monkeypatch.setattr(D.PackedTable, "_hashes", staticmethod(lambda data, edge: np.zeros(len(edge) - 1, np.uint64)))
+    table = D.PackedTable()
+    table.keep_all([b"ab", b"cd"], [b"1", b"2"])
+    table.keep_all([b"cd", b""], [b"2", b"3"])
+    assert table.find([b"cd", b"ab", b"", b"a"]) == [None, b"1", None, None] and len(table) == 1
+
+
+def test_small_ascii_words_skip_what_leaves_them_as_they_are():
+    own = D.Encoder(D.tokenizer_path())
+    words = [b"the", b"quick", b"brownfoxes", b"zzyzx"]
+    assert own.plain is not own.tokenizer and own.word_ids(words, True) == own.word_ids(words, False)
