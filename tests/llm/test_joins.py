@@ -319,3 +319,34 @@ def test_few_sets_are_linked_as_by_the_prefix_tree():
                 return {(a, b) for a in range(m) for b in range(a) if root[a] == root[b]}
 
             assert joined(paragraph_dedup.pair_links(*args)) == joined(ngram_join.group_links(*args))
+
+
+def test_prefixes_connect_what_every_comparison_connects(monkeypatch):
+    random.seed(23)
+    for case in range(60):
+        monkeypatch.setattr(paragraph_dedup, "DENSE", 0 if case % 2 else 1 << 25)
+        monkeypatch.setattr(paragraph_dedup, "COMPARED", 50 if case % 3 else 1 << 19)
+        m, sets = random.randint(25, 70), []
+        for k in range(m):  # chains of copies, with some of their shingles changed, of many sizes
+            near = set(random.choice(sets)) if sets and random.random() < 0.7 else set(random.sample(range(300), random.randint(1, 40)))
+            for x in random.sample(sorted(near), min(len(near) - 1, random.randint(0, 4))):
+                near.discard(x)
+            sets.append(near | set(random.sample(range(300), random.randint(0, 3))))
+        blocks = [random.randint(0, 1) for _ in sets]
+        for apart in (False, True):
+            root = list(range(m))
+            for k in range(m):
+                for j in range(k):
+                    if 100 * len(sets[k] & sets[j]) >= 75 * len(sets[k] | sets[j]) and not (apart and blocks[k] == blocks[j]):
+                        root = [root[j] if r == root[k] else r for r in root]
+            found = paragraph_dedup.prefix_links(list(range(m)), blocks, [np.array(sorted(s), np.uint64).tobytes() for s in sets], apart)
+            assert len(found) == m - len(set(root)) and all(root[a] == root[b] for a, b in found)
+            assert not apart or all(blocks[a] != blocks[b] for a, b in found)
+
+
+def test_a_group_of_many_unlike_windows_is_compared_at_once(monkeypatch):
+    monkeypatch.setattr(ngram_join, "Trie", None)
+    sets = [np.array([*range(9), *range(100 * k + 20, 100 * k + 39)], np.uint64).tobytes() for k in range(1, 300)]
+    copies = [np.array([*range(9), *range(100 * k + 20, 100 * k + 38), 9], np.uint64).tobytes() for k in range(1, 300)]
+    found = paragraph_dedup.pair_links(list(range(598)), [0] * 598, sets + copies, False)
+    assert sorted((min(x), max(x)) for x in found) == [(k, k + 299) for k in range(299)]
