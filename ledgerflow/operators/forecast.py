@@ -4,8 +4,9 @@ Q4: shipment forecast; Q5/Q6: bills under collection (open / realised);
 Q7: fund flow; Q9/Q10: buyer-term joins; Q15: early variants; Q16: refresh.
 
 Scale notes. The fact side (forecast lines, bills) is the only large input.
-Joins to buyer terms are N:1 dimension joins without a hint (``joins.dimension_join``):
-Spark decides by size and splits a hot buyer's partition while it runs. The weekly
+Joins to buyer terms are N:1 dimension joins (``joins.dimension_join``): Spark decides by
+size and splits a hot buyer's partition while it runs; terms of very many buyers are
+hashed, so the fact side is never sorted. The weekly
 aggregation has a handful of groups per month, so the
 partial (map-side) aggregate shrinks every task's output to a few rows before
 the shuffle: a week holding a third of all rows costs no more.

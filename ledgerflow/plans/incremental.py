@@ -100,7 +100,9 @@ def apply(inp: RP.ReportInputs, path: str, delta: DataFrame, step: int | None =
 
 def _compute(inp: RP.ReportInputs, path: str, step: int, delta: DataFrame | None) -> None:
     spark, columns = inp.terms.sparkSession, materialize(inp.columns)
-    sums = merged(_layers(spark, path, "sums", step))
+    # the steps' layers as they are: the cells' sums add them up, block of days by block of days, so no task
+    # holds every key and day of its share only to have each once
+    sums = _layers(spark, path, "sums", step)
     if delta is None:
         changed = later = columns
         initial = None

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import fixed
+from ..operators.joins import dimension_join
 from .tables import literal_array, read_table
 
 
@@ -60,8 +61,9 @@ def shipment_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     # the buyer comes to the orders first, so the lines, of which there are most, are dealt and sorted once
-    o = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name")
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
+    orders = o.count()
+    o = dimension_join(o, c, ["o_custkey"], ["c_custkey"]).select("o_orderkey", "c_name")
+    return (dimension_join(li, o, ["l_orderkey"], ["o_orderkey"], dim_rows=orders)
             .select(F.col("c_name").alias("buyer"),
                     F.col("l_partkey").cast("string").alias("style"),
                     F.col("l_orderkey").cast("string").alias("po_no"),
@@ -91,7 +93,7 @@ def bills_under_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(F.col("o_orderstatus") == "O", "OPEN")
               .when(F.pmod(k, F.lit(7)) == 0, F.lit(None).cast("string"))
               .otherwise("PENDING"))
-    return (o.join(c, F.col("o_custkey") == c.c_custkey)
+    return (dimension_join(o, c, ["o_custkey"], ["c_custkey"])
             .select(k.cast("string").alias("invoice"),
                     F.col("c_name").alias("buyer"),
                     F.lit(None).cast("string").alias("style_no"),

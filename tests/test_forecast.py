@@ -89,3 +89,24 @@ def test_dimension_join_salted_path_matches_broadcast(spark):
     b = dimension_join(fact, dim, ["buyer"], ["buyer_name"], buckets=8)
     assert b.columns == a.columns
     assert rows(a) == rows(b) and len(rows(b)) == 201
+
+
+def test_a_large_dimension_is_hashed_and_the_facts_are_not_sorted(spark, monkeypatch):
+    from ledgerflow.operators import joins as J
+    fact = spark.range(300).selectExpr("cast(if(id % 3 = 0, 7, id * 400) as string) AS buyer", "cast(id as int) AS n")
+    fact = fact.unionByName(spark.createDataFrame([(None, 1), ("none", 2)], "buyer string, n int"))
+    dim = spark.range(110_000).selectExpr("cast(id as string) AS buyer_name", "cast(id % 90 as int) AS days")
+    dim = dim.unionByName(spark.createDataFrame([("7", -1), (None, 5)], "buyer_name string, days int"))   # a buyer twice
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = rows(fact.join(dim, fact.buyer == dim.buyer_name))
+        for task in (J.ROWS_OF_A_TASK, 10_000):       # the session's 4 partitions, then 12
+            monkeypatch.setattr(J, "ROWS_OF_A_TASK", task)
+            got = J.dimension_join(fact, dim, ["buyer"], ["buyer_name"])
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "ShuffledHashJoin" in plan and "Sort" not in plan
+            assert plan.count("hashpartitioning") == 2 and (", 12)" in plan) == (task == 10_000)
+            assert rows(got) == want and len(want) > 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -160,3 +160,17 @@ def test_increments_equal_the_rebuild(spark, tmp_path):
         want = rows(RP.full_report(replace(inp, book=of(book))))
         assert rows(got) == want and rows(again) == want and len(want) > 300
     assert INC.last_step(spark, at) == 3
+
+
+def test_layers_of_sums_are_not_merged_key_by_key_for_the_cells(spark, tmp_path, monkeypatch):
+    schema = "source string, Descriptio string, account string, variable date, amount double"
+    head = next((key or line).strip() for status, line, source, _, key in fixed.RULES if source == "income_actual")
+    of = lambda r: spark.createDataFrame(r, schema)
+    first = [("income_actual", head, head, dt.date(1997, 1, 3), 100.0), ("income_actual", head, head, dt.date(1997, 2, 3), 50.0)]
+    more, gone = [("income_actual", head, head, dt.date(1997, 1, 3), 11.0)], first[1:]
+    inp = Booked(terms=of([]), tables={}, rules=TB.rules(spark), lines=TB.report_lines(spark), columns=TB.report_columns(spark, 1997), usd_rate=85.0)
+    at, delta = str(tmp_path / "state"), INC.signed_sums(of(more), of(gone))
+    monkeypatch.setattr(INC, "merged", lambda sums: pytest.fail("merged"))
+    INC.build(replace(inp, book=of(first)), at)
+    got = rows(INC.apply(inp, at, delta))
+    assert got == rows(RP.full_report(replace(inp, book=of(first[:1] + more)))) and got
