@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import stored
+from ledgerflow.llm.common import stored, tidy
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -39,6 +39,8 @@ POINTS, MULTIPLIER = 2**31, 1327217885
 CELL_POINTS = 2**19
 #: Slots that are ranked together, by source.
 RUN = 1 << 14
+#: Sources whose stretches every task gets; with more, slots and stretches are dealt by cell.
+SENT_SOURCES = 100_000
 #: Leading hex digits of the shuffle's hash that make a bucket.
 BUCKET_DIGITS = 3
 SEED = "mix-1"
@@ -90,7 +92,8 @@ def stretches(per_source: DataFrame) -> DataFrame:
 
 
 def schedule(plan: DataFrame) -> DataFrame:
-    """The mix: slot, source_no, epoch, block, in any order of rows."""
+    """The mix: slot, source_no, epoch, block, in any order of rows. Spark takes the slots for as few bytes as the
+    runs they are made of, so the joins say which side is small: else all slots may be gathered in the driver."""
     # few rows that become many: a given number of partitions is not merged into fewer
     tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = plan.agg(F.max("slots").alias("slots")).where("slots > 0").select(
@@ -100,13 +103,15 @@ def schedule(plan: DataFrame) -> DataFrame:
     slots = slots.withColumn("cell", F.expr(f"point div {CELL_POINTS}"))
     cells = plan.where("hi > lo").select(
         "source_no", "lo", "hi", F.explode(F.expr(f"sequence(lo div {CELL_POINTS}, (hi - 1) div {CELL_POINTS})")).alias("cell"))
-    dealt = slots.join(cells, "cell").where("lo <= point and point < hi").select("run", "slot", "source_no")
+    with tidy(plan.sparkSession):
+        few = plan.count() <= SENT_SOURCES
+    dealt = slots.join(F.broadcast(cells) if few else cells.hint("merge"), "cell").where("lo <= point and point < hi").select("run", "slot", "source_no")
     in_run = F.row_number().over(Window.partitionBy("run", "source_no").orderBy("slot")) - 1
     ranked = dealt.withColumn("in_run", in_run)
     counts = dealt.groupBy("run", "source_no").agg(F.count("*").alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("source_no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("run", "source_no", F.coalesce(earlier, F.lit(0)).alias("earlier"))
-    ranked = ranked.join(counts, ["run", "source_no"]).withColumn("rank", F.col("earlier") + F.col("in_run"))
+    ranked = ranked.join(counts.hint("merge"), ["run", "source_no"]).withColumn("rank", F.col("earlier") + F.col("in_run"))
     ranked = ranked.join(plan.select("source_no", "blocks"), "source_no")
     return ranked.where(f"rank < {MAX_EPOCHS} * blocks").select(
         "slot", "source_no", F.expr("rank div blocks").alias("epoch"), F.expr("rank % blocks").alias("block"))

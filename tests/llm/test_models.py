@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 
 from llm_cases import nothing, odd, sf  # noqa: F401  fixtures
+from pyspark.sql import functions as F
 from ledgerflow.llm import language_id, source_mix, toxicity
 from ledgerflow.llm import multiset_fingerprint as fp
 from ledgerflow.llm import queries as Q
@@ -188,6 +189,28 @@ def test_mix_shares_the_excess_of_stopped_sources(spark):
     assert abs(t["b"][1] - 712) < 1e-6 and abs(t["c"][1] - 356) < 1e-6 and abs(t[None][1] - 712) < 1e-6
 
 
+def first_plan(df) -> str:
+    """The plan before anything has run, as adaptive execution may keep it."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def mix_plan(spark, n_words=400_000):
+    rows = [(k, "w " * n_words, s) for k, s in enumerate(("a", "b", None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = source_mix.stored(source_mix.laid_out(docs).select("doc_id", "__source", "__size", "__place", F.col("doc_id").alias("__uid")), "test-sizes")
+    return sized, source_mix.stored(source_mix.stretches(source_mix.targets(sized)), "test-plan")
+
+
+def test_the_slots_of_a_mix_are_not_gathered_in_the_driver(spark, monkeypatch):
+    _, plan = mix_plan(spark)
+    mix = source_mix.schedule(plan)
+    assert "BuildLeft" not in first_plan(mix) and "BuildRight" in first_plan(mix)
+    monkeypatch.setattr(source_mix, "SENT_SOURCES", 2)
+    dealt = source_mix.schedule(plan)
+    assert first_plan(dealt).count("Broadcast") < first_plan(mix).count("Broadcast")
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, mix.collect()))
+
+
 def test_mix_documents_gives_the_words_taken(spark, odd, nothing):
     got, want = {}, {}
     for r in source_mix.mix_documents(odd).collect():
