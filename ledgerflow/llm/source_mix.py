@@ -131,11 +131,12 @@ def placed(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def doc_blocks(rows: DataFrame) -> DataFrame:
-    """(source_no, block, __begin, words): the blocks that each row's words lie in."""
+    """(source_no, block, __begin, words): the blocks that each row's words lie in. They are many more than the rows,
+    which Spark doesn't see: a join with them must not send them to every task."""
     cut = rows.where("__size > 0").select("source_no", "__begin", "__size", F.explode(F.expr(
         f"sequence(__begin div {BLOCK}, (__begin + __size - 1) div {BLOCK})")).alias("block"))
     words = F.expr(f"least((block + 1) * {BLOCK}, __begin + __size) - greatest(block * {BLOCK}, __begin)")
-    return cut.select("source_no", "block", "__begin", words.alias("words"))
+    return cut.select("source_no", "block", "__begin", words.alias("words")).hint("merge")
 
 
 def taken_words(docs: DataFrame) -> DataFrame:

@@ -211,6 +211,15 @@ def test_the_slots_of_a_mix_are_not_gathered_in_the_driver(spark, monkeypatch):
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, mix.collect()))
 
 
+def test_the_blocks_of_a_mix_are_not_gathered_in_the_driver(spark):
+    sized, plan = mix_plan(spark)
+    blocks = source_mix.doc_blocks(source_mix.placed(sized, plan))
+    few = spark.range(9).select(F.col("id").cast("int").alias("source_no"), (F.col("id") % 7).alias("block"))
+    joined = blocks.join(few, ["source_no", "block"])
+    assert "SortMergeJoin [source_no" in first_plan(joined) and "BroadcastHashJoin [source_no" not in first_plan(joined)
+    assert joined.count() == 3
+
+
 def test_mix_documents_gives_the_words_taken(spark, odd, nothing):
     got, want = {}, {}
     for r in source_mix.mix_documents(odd).collect():
