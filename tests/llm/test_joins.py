@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from llm_cases import nothing, odd  # noqa: F401  fixtures
 from ledgerflow.llm import decontaminate, license_scan, ngram_join, paragraph_dedup
@@ -350,3 +351,69 @@ def test_a_group_of_many_unlike_windows_is_compared_at_once(monkeypatch):
     copies = [np.array([*range(9), *range(100 * k + 20, 100 * k + 38), 9], np.uint64).tobytes() for k in range(1, 300)]
     found = paragraph_dedup.pair_links(list(range(598)), [0] * 598, sets + copies, False)
     assert sorted((min(x), max(x)) for x in found) == [(k, k + 299) for k in range(299)]
+
+
+class Captured:
+    """Stands for a DataFrame, and keeps the functions that would run on its batches."""
+
+    def __init__(self):
+        self.runs = []
+
+    def first(self):
+        return [10**8]
+
+    def mapInArrow(self, run, schema):
+        self.runs.append(run)
+        return self
+
+    def __getattr__(self, name):
+        return lambda *a, **b: self
+
+
+def test_groups_send_their_links_together(spark):
+    rows = Captured()
+    ngram_join.links(rows, rows, paragraph_dedup.pair_links, chosen=True)
+    groups, ids = np.repeat(np.arange(500), 4), np.arange(2000)[::-1].copy()
+    sets = [(np.arange(30, dtype=np.uint64) + np.uint64(100 * g)).tobytes() for g in groups]
+    columns = [pa.array(groups), pa.array([0] * 2000, pa.int32()), pa.array([0] * 2000, pa.int32()), pa.array(ids), pa.array([0] * 2000, pa.int32()), pa.array(sets, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["leader", "i", "j", "doc_id", "block", "body"])
+    out = list(rows.runs[0](iter([batch])))
+    assert len(out) == 1  # not a batch for each group
+    got = sorted(zip(out[0].column("a").to_pylist(), out[0].column("b").to_pylist()))
+    assert got == [(a, a + k) for a in range(0, 2000, 4) for k in (1, 2, 3)]
+
+
+def test_a_chunk_sends_its_keys_for_all_parts_together(spark):
+    texts = [" ".join(f"w{(7 * k + j) % 997}" for j in range(200)) for k in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(texts)], ["doc_id", "text"])
+    for make in (lambda rows: paragraph_dedup.band_counts(rows, paragraph_dedup.bands()), ngram_join.half_counts):
+        rows = Captured()
+        make(rows)
+        out = list(rows.runs[0](iter([batch])))
+        parts = [p for b in out for p in b.column("part").to_pylist()]
+        assert len(out) == 2 and parts[0] == -1 and len(set(parts)) == len(parts) > 8  # the rows' and the keys'
+
+
+def test_stars_connect_what_links_connect():
+    rng = random.Random(8)
+    for n in (0, 1, 5, 40):
+        found = [(rng.randrange(50), rng.randrange(50)) for _ in range(n)]
+        assert components_of(ngram_join.stars(found)) == components_of(found)
+    assert sorted(ngram_join.stars([(9, 4), (4, 7), (7, 9), (2, 3)])) == [(2, 3), (4, 7), (4, 9)]
+
+
+def components_of(links):
+    groups = {x: {x} for link in links for x in link}
+    for a, b in links:
+        both = groups[a] | groups[b]
+        groups.update(dict.fromkeys(both, both))
+    return sorted({tuple(sorted(g)) for g in groups.values() if len(g) > 1})
+
+
+def test_paragraph_keys_do_not_depend_on_the_texts_made_at_once(spark):
+    texts = [("word%d " % k) * 40 + " ".join(f"w{(k * j) % 89}" for j in range(120)) for k in range(60)] + ["", "x" * 300_000 + " y"]
+    n_words, n, keys = paragraph_dedup._keys_of([t.encode() for t in texts], 5)
+    some = [paragraph_dedup._keys_of([t.encode() for t in texts[a:b]], 5) for a, b in ((0, 7), (7, 8), (8, 62))]
+    assert n_words.tolist() == np.concatenate([x[0] for x in some]).tolist() == [len(t.split()) for t in texts]
+    assert n.tolist() == np.concatenate([x[1] for x in some]).tolist()
+    assert sorted(keys.tolist()) == sorted(np.concatenate([x[2] for x in some]).tolist())
