@@ -54,12 +54,13 @@ def buyer_terms(buyers: DataFrame, ratios: DataFrame) -> DataFrame:
 
 
 # Q9 / J2, P14, P16 -------------------------------------------------------------
-def shipment_forecast_report(sf: DataFrame, terms: DataFrame) -> DataFrame:
+def shipment_forecast_report(sf: DataFrame, terms: DataFrame, terms_rows: int | None = None) -> DataFrame:
     """Forecast lines with the buyer's credit days and ratios; ``r_day`` is
-    the ex-factory date moved by the buyer's credit period."""
+    the ex-factory date moved by the buyer's credit period. ``terms_rows``: about how many
+    terms there are, counted where not given."""
     f = refresh_forecast_fields(sf)
     t = terms.select("buyer_name", "bank", "realised_day", *fixed.RATIO_FIELDS)
-    j = dimension_join(f, t, ["buyer"], ["buyer_name"])
+    j = dimension_join(f, t, ["buyer"], ["buyer_name"], dim_rows=terms_rows)
     return j.select(
         "buyer", "style", "ex_date",
         P.shift_days("ex_date", "realised_day").alias("r_day"),
@@ -68,20 +69,20 @@ def shipment_forecast_report(sf: DataFrame, terms: DataFrame) -> DataFrame:
         *(["considerable_handover"] if "considerable_handover" in sf.columns else []))
 
 
-def active_shipment_forecast(sf: DataFrame, terms: DataFrame) -> DataFrame:
+def active_shipment_forecast(sf: DataFrame, terms: DataFrame, terms_rows: int | None = None) -> DataFrame:
     """The forecast view: report rows of the current (Active) snapshot."""
-    return shipment_forecast_report(sf, terms).where(F.col("status") == "Active")
+    return shipment_forecast_report(sf, terms, terms_rows).where(F.col("status") == "Active")
 
 
 # bills view -----------------------------------------------------------------------
-def bills_view(bills: DataFrame, terms: DataFrame) -> DataFrame:
+def bills_view(bills: DataFrame, terms: DataFrame, terms_rows: int | None = None) -> DataFrame:
     """Bills with buyer ratios and the expected realisation day ``r_day``:
     the latest revised date (ex3, then ex2, then ex1), else the ex-factory
     date plus the buyer's credit days. A bill without an amount is valued
     at quantity x unit price."""
     b = bills
     t = terms.select("buyer_name", "realised_day", *fixed.RATIO_FIELDS)
-    j = dimension_join(b, t, ["buyer"], ["buyer_name"])
+    j = dimension_join(b, t, ["buyer"], ["buyer_name"], dim_rows=terms_rows)
     ex_fty = P.to_day("ex_fty_date", b.schema["ex_fty_date"].dataType)
     revised = S.first_present(*[P.to_day(c, b.schema[c].dataType) for c in ("ex3", "ex2", "ex1")])
     amount = F.coalesce(S.number_of(b, "total__fob_income"),

@@ -35,6 +35,7 @@ class ReportInputs:
     usd_rate: object = fixed.DEFAULT_SETTINGS["usd_rate"]     # number or scalar Column
     pruned: bool = False
     members: DataFrame | None = None                          # roll-up members of the folder, else the built-in lists
+    terms_rows: int | None = None                             # about how many terms; unknown: counted as the report is planned
 
     def projected_income(self, prune: bool) -> DataFrame:
         """Weekly shipment receipts and weekly open-bill receipts."""
@@ -42,8 +43,8 @@ class ReportInputs:
         if prune:
             forecast, bills = _receipts_in_reach(self.terms, forecast, bills, RU.column_span(self.columns))
         return FC.projected_income(
-            FC.shipment_forecast_weekly(FC.active_shipment_forecast(forecast, self.terms)),
-            FC.bills_forecast_weekly(FC.bills_view(bills, self.terms)))
+            FC.shipment_forecast_weekly(FC.active_shipment_forecast(forecast, self.terms, self.terms_rows)),
+            FC.bills_forecast_weekly(FC.bills_view(bills, self.terms, self.terms_rows)))
 
     def sources(self, prune: bool | None = None, only: set[str] | None = None) -> DataFrame:
         """All ledgers as one long frame, or ``only`` some of them."""
@@ -70,8 +71,9 @@ def inputs_from_tables(spark: SparkSession, t: dict[str, DataFrame], config: dic
     columns = config["report_columns"]
     if year is not None:
         columns = columns.where(F.year("date1") == year)
+    terms = FC.buyer_terms(t["buyers"], t["bank_ratio"])
     return ReportInputs(
-        terms=FC.buyer_terms(t["buyers"], t["bank_ratio"]), tables=t, rules=config["rules"], lines=config["report_lines"],
+        terms=terms, terms_rows=terms.count(), tables=t, rules=config["rules"], lines=config["report_lines"],
         columns=columns, usd_rate=TB.setting(spark, "usd_rate", config["settings"]), pruned=year is not None,
         members=config.get("roll_up_members"))
 
